@@ -142,3 +142,8 @@ def expand_compressions(folder: Column, known: Sequence[str], requested: Iterabl
         F.struct(F.lit(None).cast("string").alias("compression"), folder.alias("folder"))
     )
     return F.when(F.contains(folder, F.lit("{cX}")), each).otherwise(plain)
+
+
+def hash_pick(text: Column, count: Column) -> Column:
+    """A 0-based pick out of `count`, uniform over texts: 60 bits of the md5, modulo."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long") % count

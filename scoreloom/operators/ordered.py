@@ -159,9 +159,8 @@ def numbered(
     blocks: int | None = None,
 ) -> DataFrame:
     """A 1-based row number per group in `order`, whatever the size of a group."""
-    tidy = df
     cuts = order_cuts(df, order, blocks)
-    return prefix_sums(tidy, groups, order, {name: F.lit(1)}, cut_block(order, cuts))
+    return prefix_sums(df, groups, order, {name: F.lit(1)}, cut_block(order, cuts))
 
 
 def weighted_quantiles(
