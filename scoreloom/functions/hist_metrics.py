@@ -1,0 +1,132 @@
+"""Metrics of one small histogram in numpy: what a resampling task computes per replicate.
+
+`s` holds the distinct scores in ascending order, `pos` and `neg` the counts of fakes and reals;
+both may carry a leading axis of replicates.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+
+Array = np.ndarray
+
+
+def _sum(x: Array) -> Array:
+    return x.sum(axis=-1)
+
+
+def _curve(pos: Array, neg: Array) -> tuple[Array, Array, Array, Array]:
+    """FPR and TPR after and before each score, from the top score down."""
+    tp = np.cumsum(pos[..., ::-1], axis=-1)
+    fp = np.cumsum(neg[..., ::-1], axis=-1)
+    n_pos, n_neg = tp[..., -1:], fp[..., -1:]
+    zero = np.zeros_like(tp[..., :1], dtype=float)
+    tpr, fpr = tp / n_pos, fp / n_neg
+    before = lambda x: np.concatenate([zero, x[..., :-1]], axis=-1)
+    return fpr, tpr, before(fpr), before(tpr)
+
+
+def auc(s: Array, pos: Array, neg: Array) -> Array:
+    below = np.cumsum(neg, axis=-1) - neg
+    return _sum(pos * (below + 0.5 * neg)) / (_sum(pos) * _sum(neg))
+
+
+def ap(s: Array, pos: Array, neg: Array) -> Array:
+    p = pos[..., ::-1]
+    tp, all_ = np.cumsum(p, axis=-1), np.cumsum((pos + neg)[..., ::-1], axis=-1)
+    return _sum(p * tp / np.maximum(all_, 1)) / _sum(pos)
+
+
+def eer(s: Array, pos: Array, neg: Array) -> Array:
+    fpr, tpr, fpr0, tpr0 = _curve(pos, neg)
+    at = np.argmax(fpr - (1 - tpr) >= 0, axis=-1)[..., None]
+    f1, t1, f0, t0 = (np.take_along_axis(x, at, -1)[..., 0] for x in (fpr, tpr, fpr0, tpr0))
+    d0, d1 = f0 - (1 - t0), f1 - (1 - t1)
+    t = np.where(d1 == d0, 0.0, -d0 / np.where(d1 == d0, 1.0, d1 - d0))
+    return (f0 + t * (f1 - f0) + (1 - t0) + t * (t0 - t1)) / 2
+
+
+def acc(s: Array, pos: Array, neg: Array, thr: float = 0.5) -> Array:
+    return _sum(np.where(s >= thr, pos, neg)) / _sum(pos + neg)
+
+
+def _interpolated(x: float, xs: Array, xs0: Array, ys: Array, ys0: Array) -> Array:
+    leaves = (xs0 <= x) & (xs > x)
+    at = np.argmax(leaves, axis=-1)[..., None]
+    x1, x0, y1, y0 = (np.take_along_axis(v, at, -1)[..., 0] for v in (xs, xs0, ys, ys0))
+    value = y0 + (y1 - y0) / np.where(x1 == x0, 1.0, x1 - x0) * (x - x0)
+    return np.where(leaves.any(axis=-1), value, ys[..., -1])
+
+
+def tpr(s: Array, pos: Array, neg: Array, fpr: float = 0.0, interp: bool = False) -> Array:
+    f, t, f0, t0 = _curve(pos, neg)
+    if interp:
+        return _interpolated(fpr, f, f0, t, t0)
+    return np.where(f <= fpr, t, 0.0).max(axis=-1)
+
+
+def fpr(s: Array, pos: Array, neg: Array, tpr: float = 1.0, interp: bool = False) -> Array:
+    f, t, f0, t0 = _curve(pos, neg)
+    if interp:
+        return _interpolated(tpr, t, t0, f, f0)
+    return np.where(t >= tpr, f, 1.0).min(axis=-1) if tpr > 0 else np.zeros(f.shape[:-1])
+
+
+def brier(s: Array, pos: Array, neg: Array) -> Array:
+    return _sum(pos * (s - 1) ** 2 + neg * s**2) / _sum(pos + neg)
+
+
+def nll(s: Array, pos: Array, neg: Array) -> Array:
+    p = np.clip(s, 1e-7, 1 - 1e-7)
+    return -_sum(pos * np.log(p) + neg * np.log(1 - p)) / _sum(pos + neg)
+
+
+def ece(s: Array, pos: Array, neg: Array, bins: int = 15, adaptive: bool = False) -> Array:
+    w = pos + neg
+    n = _sum(w)
+    total = np.zeros(w.shape[:-1])
+    if adaptive:
+        # order statistics of the replicate at the interpolated positions of each inner edge
+        cum = np.cumsum(w, axis=-1)
+        edges = []
+        for q in np.linspace(0, 1, bins + 1)[1:-1]:
+            at = q * (n - 1)
+            lo = s[np.argmax(cum > np.floor(at)[..., None], axis=-1)]
+            hi = s[np.argmax(cum > np.ceil(at)[..., None], axis=-1)]
+            edges.append(lo + (hi - lo) * (at - np.floor(at)))
+        which = sum((s >= e[..., None]).astype(int) for e in edges) if edges else np.zeros(w.shape, int)
+    else:
+        which = np.searchsorted(np.linspace(0, 1, bins + 1)[1:-1], s, side="right")
+    for b in range(bins):
+        here = which == b
+        total = total + np.abs(_sum(np.where(here, w * s, 0.0)) - _sum(np.where(here, pos, 0)))
+    return total / n
+
+
+def _harmonic(n: Array) -> Array:
+    small = np.concatenate([[0.0], np.cumsum(1.0 / np.arange(1, 64))])
+    m = np.maximum(n, 1).astype(float)
+    series = np.log(m) + np.euler_gamma + 1 / (2 * m) - 1 / (12 * m**2) + 1 / (120 * m**4)
+    return np.where(n < 64, small[np.minimum(n, 63).astype(int)], series)
+
+
+def aurc(s: Array, pos: Array, neg: Array) -> Array:
+    """Equal confidences take reals first, as a class-by-class resample lists them."""
+    runs_s = np.concatenate([s, s])
+    label = np.repeat([0, 1], len(s))
+    count = np.concatenate([neg, pos], axis=-1)
+    order = np.lexsort((runs_s, label, -np.maximum(runs_s, 1 - runs_s)))
+    m = count[..., order]
+    wrong = ((runs_s >= 0.5).astype(int) != label)[order].astype(float)
+    k0 = np.cumsum(m, axis=-1) - m
+    e0 = np.cumsum(m * wrong, axis=-1) - m * wrong
+    part = wrong * m + (e0 - wrong * k0) * (_harmonic(k0 + m) - _harmonic(k0))
+    return _sum(part) / _sum(m)
+
+
+FUNCTIONS: dict[str, Callable[..., Array]] = {
+    "auc": auc, "ap": ap, "eer": eer, "acc": acc, "tpr": tpr, "fpr": fpr, "ece": ece,
+    "brier": brier, "nll": nll, "aurc": aurc,
+}

@@ -349,6 +349,9 @@ def compute(
     so no line here; reports join the groups back.
     """
     groups = list(groups)
+    if not groups:
+        whole = None if hist is None else hist.withColumn("_all", F.lit(0))
+        return compute(rows.withColumn("_all", F.lit(0)), ["_all"], metrics, hist=whole).drop("_all")
     hist = score_hist(rows, groups) if hist is None else hist
     curve_cols = [m.value().alias(k) for k, m in metrics.items() if m.source == "curve"]
     hist_cols = [m.value().alias(k) for k, m in metrics.items() if m.source == "hist"]
@@ -360,7 +363,7 @@ def compute(
     for k, m in metrics.items():
         if m.source == "plan":
             part = m.value(hist, rows, groups).withColumnRenamed("value", k)
-            out = join_null_safe(out, part, groups, "left") if groups else out.crossJoin(part)
+            out = join_null_safe(out, part, groups, "left")
     one_class = (F.col("n_pos") == 0) | (F.col("n_neg") == 0)
     for k, m in metrics.items():
         if m.two_class:

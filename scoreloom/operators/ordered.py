@@ -61,6 +61,18 @@ def join_null_safe(
     return out.drop(*[f"_r_{k}" for k in keys])
 
 
+def bounded(table: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A table that is broadcast when, and only when, it is found to hold at most `rows` rows.
+
+    A small one becomes local data whose exact size the planner knows; a larger one is returned as
+    it is and joined by shuffle.
+    """
+    head = table.limit(rows + 1).toArrow()
+    if head.num_rows > rows:
+        return table
+    return table.sparkSession.createDataFrame(head, schema=table.schema)
+
+
 def order_cuts(
     df: DataFrame, order: Sequence[str], blocks: int | None = None
 ) -> list[tuple[object, ...]]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.errors import ConfigError, ContractError
 from scoreloom.functions.keys import task_or_key
-from scoreloom.operators.ordered import join_null_safe
+from scoreloom.operators.ordered import bounded, join_null_safe
 
 SPLITS = ("train", "val", "test", "exclude")
 RECORD_FIELDS = (
@@ -55,18 +55,13 @@ def check_where(videos: DataFrame, where: Mapping[str, object]) -> DataFrame:
     for field in where:
         if field not in known and not field.startswith("attrs."):
             raise ConfigError(f"unknown field {field!r}; known: {', '.join(sorted(known))}, attrs.*")
-    spark = videos.sparkSession
-    asked = [(f.removeprefix("attrs."),) for f in where if f.startswith("attrs.")]
-    wanted = spark.createDataFrame(asked, "wanted string")
+    asked = [f.removeprefix("attrs.") for f in where if f.startswith("attrs.")]
+    wanted = F.explode(F.array(*[F.lit(a) for a in asked]).cast("array<string>"))
     present = videos.select(F.explode(F.map_keys("attrs")).alias("name")).distinct()
-    missing = wanted.join(present, F.col("wanted") == F.col("name"), "left_anti")
-    # every name is a candidate suggestion; names are attribute names of one schema, not data
-    near = F.struct(F.levenshtein("wanted", "name").alias("distance"), F.col("name"))
-    return (
-        missing.join(F.broadcast(present), F.levenshtein("wanted", "name") >= 0, "left")
-        .groupBy("wanted")
-        .agg(F.min(near)["name"].alias("nearest"))
-    )
+    pairs = present.select(wanted.alias("wanted"), "name")
+    near = F.min(F.struct(F.levenshtein("wanted", "name").alias("distance"), "name"))
+    found = pairs.groupBy("wanted").agg(near["distance"].alias("_d"), near["name"].alias("nearest"))
+    return found.where(F.col("_d") > 0).drop("_d")
 
 
 def records(
@@ -105,10 +100,10 @@ def label_table(
 def with_labels(rows: DataFrame, mapping: DataFrame, name: str = "mapped") -> DataFrame:
     """Rows with their mapped label; an unmapped key has null, which `unmapped` lists.
 
-    The vocabulary has one row per method of a dataset, so it is joined broadcast.
+    The vocabulary has one row per method of a dataset; `bounded` checks that it is small.
     """
-    table = mapping.select("label_key", F.col("mapped").alias(name))
-    return rows.join(F.broadcast(table), "label_key", "left")
+    table = bounded(mapping.select("label_key", F.col("mapped").alias(name)))
+    return rows.join(table, "label_key", "left")
 
 
 def unmapped(rows: DataFrame, mapping: DataFrame) -> DataFrame:

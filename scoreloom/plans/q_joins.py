@@ -137,15 +137,15 @@ def k03(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "j04_protocol_scope",
     with_views(
-        f"""SELECT s.split, count(*) AS n, max(g.lacking) AS lacking FROM fx_videos2 b JOIN fx_splits s ON {same('s', 'b')},
-  (SELECT count(*) AS lacking FROM fx_splits s WHERE NOT EXISTS (SELECT 1 FROM fx_videos2 b WHERE {same('s', 'b')})) g GROUP BY s.split""",
+        f"""SELECT s.split AS scope, count(*) AS n FROM fx_videos2 b JOIN fx_splits s ON {same('s', 'b')} GROUP BY s.split
+UNION ALL SELECT 'not in inventory', count(*) FROM fx_splits s WHERE NOT EXISTS (SELECT 1 FROM fx_videos2 b WHERE {same('s', 'b')})""",
         "fx_videos2", "fx_splits",
     ),
 )
 def j04(spark: SparkSession, d: str) -> DataFrame:
     found, lacking = J.protocol_scope(split_videos(spark, d), V.videos_next(spark, d))
-    counts = found.groupBy("split").agg(F.count("*").alias("n"))
-    return counts.crossJoin(F.broadcast(lacking))  # one row
+    counts = found.groupBy(F.col("split").alias("scope")).agg(F.count("*").alias("n"))
+    return counts.unionByName(lacking.select(F.lit("not in inventory").alias("scope"), F.col("lacking").alias("n")))
 
 
 @query(
