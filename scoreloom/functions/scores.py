@@ -24,8 +24,9 @@ def apply_missing_policy(rows: DataFrame, policy: str = "exclude") -> DataFrame:
 
 
 def logit(p: Column, clip: float = LOGIT_CLIP) -> Column:
+    """Log-odds of a score kept off 0 and 1; null for null (greatest and least skip nulls)."""
     inside = F.least(F.greatest(p, F.lit(clip)), F.lit(1.0 - clip))
-    return F.ln(inside / (1.0 - inside))
+    return F.when(p.isNotNull(), F.ln(inside / (1.0 - inside)))
 
 
 def sigmoid(z: Column) -> Column:

@@ -45,9 +45,9 @@ def fit_temperature(hist: DataFrame, *, probes: int = 64) -> Calibration:
         low, high = T_LOW, T_HIGH
         while high - low >= T_STEP:
             grid = [float(t) for t in np.linspace(low, high, probes)]
-            row = cells.agg(*[_loss(F.col("_z") / t).alias(str(i)) for i, t in enumerate(grid)])
-            losses = list(row.first())
-            best = int(np.argmin(losses))
+            each = F.explode(F.array(*[F.lit(t) for t in grid])).alias("t")
+            losses = cells.select("*", each).groupBy("t").agg(_loss(F.col("_z") / F.col("t")).alias("l"))
+            best = grid.index(losses.agg(F.min_by("t", "l")).first()[0])
             low, high = grid[max(best - 1, 0)], grid[min(best + 1, probes - 1)]
         return Calibration("temperature", {"T": (low + high) / 2.0})
     finally:

@@ -221,7 +221,7 @@ def scorer_files(spark: SparkSession, d: str) -> DataFrame:
     a = s.select(F.lit("a").alias("file"), *cols, "score", "status")
     b = s.select(F.lit("b").alias("file"), *cols, F.col("score_b").alias("score"), F.col("status_b").alias("status"))
     c = s.select(
-        F.lit("c").alias("file"), *cols, F.round((F.col("score") + F.col("score_b")) / 2, 3).alias("score"),
+        F.lit("c").alias("file"), *cols, ((F.col("score") + F.col("score_b")) / 2).alias("score"),
         F.when((F.col("status") == "ok") & (F.col("status_b") == "ok"), "ok").otherwise("error").alias("status"),
     )
     return a.unionByName(b).unionByName(c)
@@ -278,7 +278,7 @@ FROM o x JOIN o y ON x.dataset = y.dataset AND x.key = y.key AND x.compression I
         o="""SELECT *, count(*) OVER (PARTITION BY file) AS ok FROM (
 SELECT 'a' AS file, dataset, key, compression, label, score FROM fx_scores WHERE status = 'ok' UNION ALL
 SELECT 'b', dataset, key, compression, label, score_b FROM fx_scores WHERE status_b = 'ok' UNION ALL
-SELECT 'c', dataset, key, compression, label, round((score + score_b) / 2, 3) FROM fx_scores WHERE status = 'ok' AND status_b = 'ok')""",
+SELECT 'c', dataset, key, compression, label, (score + score_b) / 2 FROM fx_scores WHERE status = 'ok' AND status_b = 'ok')""",
     ),
 )
 def a37_compare(spark: SparkSession, d: str) -> DataFrame:
@@ -308,9 +308,9 @@ def _pick(text: str, n: str) -> str:
     "a22_stratified_resample",
     with_views(
         f"""SELECT rep, s.label, s.rn AS slot, t.key, t.compression FROM (SELECT r.*, q.rep FROM r, (VALUES (0), (1)) AS q(rep)) s
-JOIN r t ON t.label = s.label AND t.rn = {_pick("'5:' || s.rep || ':' || s.label || ':' || s.rn", "s.n")} + 1""",
+JOIN r t ON t.label = s.label AND t.rn = {_pick("'5:' || s.rep || ':' || s.label || ':' || s.rn", "s.cnt")} + 1""",
         "fx_videos",
-        r="SELECT *, row_number() OVER (PARTITION BY label ORDER BY key) AS rn, count(*) OVER (PARTITION BY label) AS n FROM fx_videos",
+        r="SELECT *, row_number() OVER (PARTITION BY label ORDER BY key) AS rn, count(*) OVER (PARTITION BY label) AS cnt FROM fx_videos",
     ),
 )
 def a22(spark: SparkSession, d: str) -> DataFrame:
