@@ -154,6 +154,7 @@ def packed_batches(
         raise ConfigError(f"batch_size must be positive, got {batch_size}")
     by = list(by)
     kinds = dict(groups.dtypes)
+    columns = groups.columns
     cut = groups.withColumn("_b", F.floor(F.col(index) / block_rows))
     key = [*by, "_b"]
     fields = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "_b long"])
@@ -205,7 +206,7 @@ def packed_batches(
                 batch, fill = batch + 1, 0
             fill += n
             out[i] = batch
-        return part[groups.columns].assign(batch=out)
+        return part[columns].assign(batch=out)
 
     shown = ", ".join(f"`{c}` {t}" for c, t in groups.dtypes)
     return seeded.groupBy(*key).applyInPandas(pack, f"{shown}, batch long")
