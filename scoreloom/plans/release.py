@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scoreloom.operators import fingerprint as FP
+from scoreloom.operators import pairs as P
+from scoreloom.operators import records as R
+from scoreloom.operators import splits as S
+from scoreloom.operators.checks import repeated_keys
 from scoreloom.operators.joins import ROW_KEY
 from scoreloom.operators.ordered import join_null_safe
 
@@ -29,3 +39,165 @@ def dataset_bumps(old: DataFrame, new: DataFrame) -> DataFrame:
         .otherwise("none")
     )
     return counts.withColumn("bump", bump)
+
+
+@dataclass(frozen=True)
+class Built:
+    """A dataset's lists: portable videos, a split list per scheme, pairs, and what fits them."""
+
+    videos: DataFrame
+    schemes: dict[str, DataFrame]
+    pairs: DataFrame
+    fingerprints: DataFrame
+
+
+def list_fingerprints(
+    videos: DataFrame, schemes: Mapping[str, DataFrame], pairs: DataFrame
+) -> DataFrame:
+    """(list, n, fingerprint) of the videos, the pairs and every scheme."""
+    tables = {
+        "videos": FP.fingerprint(videos, FP.json_line(videos.columns)),
+        "pairs": FP.fingerprint(pairs.distinct(), FP.json_line(pairs.columns)),
+        **{f"scheme:{k}": FP.fingerprint(v, FP.split_line()) for k, v in schemes.items()},
+    }
+    return reduce(
+        DataFrame.unionByName, [t.withColumn("list", F.lit(k)) for k, t in tables.items()]
+    )
+
+
+def build_dataset(
+    records: DataFrame,
+    schemes: Mapping[str, tuple[str, Mapping[str, object]]],
+    *,
+    is_real: Column,
+    candidates: Column,
+    task_rank: Mapping[str, int],
+    pairing_rule: str | None,
+    fanout: int | None = None,
+    listed: DataFrame | None = None,
+    local_attrs: Sequence[str] = (),
+) -> Built:
+    """All lists of a dataset from its inventory: one plan per list, none run yet.
+
+    `schemes` names a rule and its parameters per scheme.
+    """
+    splits = {
+        name: S.assign(rule, params, records, listed=listed, is_real=is_real, task_rank=task_rank)
+        for name, (rule, params) in schemes.items()
+    }
+    if pairing_rule is None:
+        pairs = records.sparkSession.createDataFrame([], "fake_key string, real_key string, rule string")
+    else:
+        pairs = P.resolve_pairs(
+            records, is_real=is_real, candidates=candidates, fanout_cap=fanout,
+            rule=pairing_rule, task_rank=task_rank,
+        )
+    columns = [c for c in R.RECORD_FIELDS if c in records.columns]
+    if "attrs" in records.columns:
+        columns.append("attrs")
+    videos = R.portable(records, local_attrs).select(*columns)
+    return Built(videos, splits, pairs, list_fingerprints(videos, splits, pairs))
+
+
+def rebuild_report(
+    built: Built, published: DataFrame, card_counts: DataFrame, compressions: Sequence[str] = ()
+) -> DataFrame:
+    """Each list's fingerprint against the published one, with counts and the likely cause.
+
+    `published` holds (list, fingerprint); `card_counts` holds (list, split, n). One row per list,
+    `matches` true where nothing differs.
+    """
+    rows = None
+    for name, split in built.schemes.items():
+        counts = S.split_counts(split).withColumn("list", F.lit(f"scheme:{name}"))
+        rows = counts if rows is None else rows.unionByName(counts)
+    sums = built.fingerprints.select("list", F.col("n").alias("rebuilt_rows"), "fingerprint")
+    card = card_counts.groupBy("list").agg(F.sum("n").alias("published_rows"))
+    joined = (
+        published.select("list", F.col("fingerprint").alias("_published"))
+        .join(sums, "list", "left")
+        .join(card, "list", "left")
+    )
+    if rows is not None:
+        mine = rows.select("list", "split", F.col("n").alias("_mine"))
+        theirs = card_counts.select("list", "split", F.col("n").alias("_theirs"))
+        moved = mine.join(theirs, ["list", "split"], "full_outer").groupBy("list").agg(
+            F.count_if(~F.col("_mine").eqNullSafe(F.col("_theirs"))).alias("splits_off")
+        )
+        joined = joined.join(moved, "list", "left")
+    else:
+        joined = joined.withColumn("splits_off", F.lit(0))
+    held = built.videos.select("compression").distinct()
+    lacking = (
+        built.videos.sparkSession.createDataFrame([(c,) for c in compressions], "compression string")
+        .join(held, "compression", "left_anti")
+        .agg(F.count(F.lit(1)).alias("_lacking"), F.lit(0).alias("_k"))
+    )
+    joined = joined.withColumn("_k", F.lit(0)).join(lacking, "_k")
+    same = F.col("fingerprint").eqNullSafe(F.col("_published"))
+    fewer = F.col("rebuilt_rows") < F.col("published_rows")
+    more = F.col("rebuilt_rows") > F.col("published_rows")
+    cause = (
+        F.when(same, F.lit(None).cast("string"))
+        .when(F.col("_lacking") > 0, "a listed compression has no video")
+        .when(fewer, "videos of the release are lacking")
+        .when(more, "videos the release does not have")
+        .otherwise("same numbers, other rows or fields")
+    )
+    return joined.select(
+        "list", same.alias("matches"), "rebuilt_rows", "published_rows", "splits_off",
+        cause.alias("cause"),
+    )
+
+
+def write_dataset(built: Built, path: str, card: Mapping[str, object]) -> None:
+    """Write every list, checked first, and the card last: readers start from the card.
+
+    Raises when a video is listed twice or a split row names no video.
+    """
+    key = list(R.KEY)
+    R.require_empty(repeated_keys(built.videos, key), "video listed twice")
+    for name, split in built.schemes.items():
+        strangers = join_null_safe(split, built.videos.select(*key), key, "left_anti")
+        R.require_empty(strangers, f"split row of {name} names no video")
+    built.videos.write.mode("overwrite").parquet(f"{path}/videos")
+    built.pairs.write.mode("overwrite").parquet(f"{path}/pairs")
+    parts = [v.withColumn("scheme", F.lit(k)) for k, v in built.schemes.items()]
+    if parts:
+        table = reduce(DataFrame.unionByName, parts)
+        table.write.mode("overwrite").partitionBy("scheme").parquet(f"{path}/splits")
+    built.fingerprints.write.mode("overwrite").parquet(f"{path}/fingerprints")
+    spark = built.videos.sparkSession
+    text = json.dumps(dict(card), sort_keys=True)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(
+        f"{path}/card"
+    )
+
+
+def publish(built: Built, root: str, version: str, expected: DataFrame) -> str:
+    """Write a rebuilt dataset under its version and point readers at it, or leave all as it was.
+
+    The pointer is written only after the written lists, read back, have the expected fingerprints;
+    a failed write leaves an unreferenced folder and the old pointer.
+    """
+    spark = built.videos.sparkSession
+    path = f"{root}/{version}"
+    write_dataset(built, path, {"version": version})
+    splits = spark.read.parquet(f"{path}/splits") if built.schemes else None
+    schemes = {k: splits.where(F.col("scheme") == k).drop("scheme") for k in built.schemes}
+    found = list_fingerprints(
+        spark.read.parquet(f"{path}/videos").select(*built.videos.columns),
+        schemes,
+        spark.read.parquet(f"{path}/pairs").select(*built.pairs.columns),
+    )
+    both = expected.select("list", F.col("fingerprint").alias("_e")).join(found, "list", "left")
+    off = both.where(~F.col("_e").eqNullSafe(F.col("fingerprint")))
+    R.require_empty(off, "fingerprint differs from the expected one")
+    pointer = spark.createDataFrame([(version,)], "value string")
+    pointer.coalesce(1).write.mode("overwrite").text(f"{root}/current")
+    return path
+
+
+def current(spark: SparkSession, root: str) -> str:
+    """The folder of the published version."""
+    return f"{root}/{spark.read.text(f'{root}/current').first()['value']}"
