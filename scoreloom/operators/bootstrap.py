@@ -158,18 +158,21 @@ def resampled_hist(
     by = [*groups, "_block", "_slice"]
     left = cut.withColumn("_slice", each_slice)
     right = vector.withColumn("_block", F.explode("_blocks")).withColumn("_slice", each_slice)
+    # both sides come from one histogram: new names keep the cogroup's keys apart
+    right = right.select(*[F.col(c).alias(f"_v{c}" if c in by else c) for c in right.columns])
+    right_by = [f"_v{c}" for c in by]
 
     def fill(part: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
         columns = [*groups, "rep", *cells, "pos", "neg"]
         if part.empty or plan.empty:
             return pd.DataFrame(columns=columns)
         one = plan.iloc[0]
-        place = int(np.flatnonzero(np.asarray(one["_blocks"]) == one["_block"])[0])
+        place = int(np.flatnonzero(np.asarray(one["_blocks"]) == one["_v_block"])[0])
         all_p, all_q = np.asarray(one["_p"]), np.asarray(one["_q"])
         part = part.sort_values(cells, ignore_index=True)
         pos, neg = part["pos"].to_numpy(), part["neg"].to_numpy()
         out = []
-        for rep in range(int(one["_slice"]), n_boot, slices):
+        for rep in range(int(one["_v_slice"]), n_boot, slices):
             key = [seed, int(one["_stream"]), rep]
             shared, own = np.random.default_rng(key), np.random.default_rng([*key, place + 1])
             n_p = _multinomial(shared, all_p, 1)[0][place]
@@ -186,7 +189,7 @@ def resampled_hist(
     fields = [f"`{c}` {kinds[c]}" for c in groups]
     shown = [f"`{c}` {kinds[c]}" for c in cells]
     schema = ", ".join([*fields, "rep long", *shown, "pos long", "neg long"])
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(fill, schema)
+    return left.groupBy(*by).cogroup(right.groupBy(*right_by)).applyInPandas(fill, schema)
 
 
 def aurc_of_hist() -> M.Metric:

@@ -160,14 +160,14 @@ def packed_batches(
     fields = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "_b long"])
 
     def summarise(part: pd.DataFrame) -> pd.DataFrame:
-        """For every fill 0..batch_size (larger fills act like a full batch), the exit state."""
+        """For every fill 0..batch_size + 1 (the last stands for any overfull batch), the exit state."""
         sizes = part.sort_values(index)[size].to_numpy()
-        fill = np.arange(batch_size + 1)
-        closed = np.zeros(batch_size + 1, dtype=np.int64)
+        fill = np.arange(batch_size + 2)
+        closed = np.zeros(batch_size + 2, dtype=np.int64)
         for n in sizes:
             over = (fill > 0) & (fill + n > batch_size)
             closed += over
-            fill = np.minimum(np.where(over, n, fill + n), batch_size)
+            fill = np.minimum(np.where(over, n, fill + n), batch_size + 1)
         out = part.iloc[:1][key].copy()
         out["fills"], out["closed"] = [fill.tolist()], [closed.tolist()]
         return out
