@@ -51,6 +51,14 @@ def _group_rng(seed: int, group: int, rep: int) -> np.random.Generator:
     return np.random.default_rng([seed, group, rep])
 
 
+def small_table(cells: DataFrame, rows: int) -> DataFrame | None:
+    """The cells as local data when they are at most `rows`, else None; one job finds out."""
+    head = cells.limit(rows + 1).toArrow()
+    if head.num_rows > rows:
+        return None
+    return cells.sparkSession.createDataFrame(head, schema=cells.schema)
+
+
 def replicate_values(
     hist: DataFrame,
     groups: Sequence[str],
@@ -72,16 +80,15 @@ def replicate_values(
         both = hist.groupBy(*groups).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_q"))
         both = both.where((F.col("_p") > 0) & (F.col("_q") > 0)).select(*groups)
         hist = join_null_safe(hist, both, groups) if groups else hist
-    cells = hist.select(*groups, "score", "pos", "neg")
-    head = cells.limit(small_cells + 1).toArrow()
-    if head.num_rows > small_cells:
+    head = small_table(hist.select(*groups, "score", "pos", "neg"), small_cells)
+    if head is None:
         drawn = resampled_hist(hist, groups, n_boot=n_boot, seed=seed)
         by = [*groups, "rep"]
         values = M.compute(None, by, {"value": _distributed(name, params)}, hist=drawn)
         return values.select(*by, "value")
 
     spark = hist.sparkSession
-    table = head.to_pandas().sort_values([*groups, "score"], ignore_index=True)
+    table = head.toPandas().sort_values([*groups, "score"], ignore_index=True)
     keyed = table.groupby(groups, dropna=False, sort=True) if groups else [((), table)]
     packed = [
         (key, part["score"].to_numpy(), part["pos"].to_numpy(), part["neg"].to_numpy())
@@ -266,6 +273,8 @@ def bootstrap_ci(
 ) -> DataFrame:
     """The metric and its interval per group; `n_boot` 0 gives the value alone."""
     params = dict(params or {})
+    # a small histogram is worked out once, for the value and for its replicates
+    hist = small_table(hist, small_cells) or hist
     point = M.compute(None, groups, {"value": _distributed(name, params)}, hist=hist)
     point = point.select(*groups, "value", "undefined")
     if n_boot == 0:

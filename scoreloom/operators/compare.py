@@ -157,14 +157,14 @@ def paired_delta_ci(
     """
     groups, params = list(groups), dict(params or {})
     cells = joint.select(*groups, "score_a", "score_b", "pos", "neg")
-    head = cells.limit(small_cells + 1).toArrow()
-    if head.num_rows > small_cells:
+    head = B.small_table(cells, small_cells)
+    if head is None:
         values = _distributed_deltas(joint, groups, name, params, n_boot, seed)
         return B.intervals(values, groups).withColumnsRenamed(
             {"ci_lo": "delta_lo", "ci_hi": "delta_hi"}
         )
     spark = joint.sparkSession
-    table = head.to_pandas().sort_values([*groups, "score_a", "score_b"], ignore_index=True)
+    table = head.toPandas().sort_values([*groups, "score_a", "score_b"], ignore_index=True)
     keyed = table.groupby(groups, dropna=False, sort=True) if groups else [((), table)]
     packed = []
     for key, part in keyed:

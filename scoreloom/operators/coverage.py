@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.errors import ConfigError
-from scoreloom.functions.scores import logit, sigmoid
+from scoreloom.functions.scores import apply_missing_policy, logit, sigmoid
 from scoreloom.operators.ordered import join_null_safe, weighted_quantiles
 
 AGGREGATION_CLIP = 1e-7
@@ -25,6 +25,39 @@ def coverage(rows: DataFrame, groups: Sequence[str], minimum: float | None = Non
     return out if minimum is None else out.withColumn("meets", F.col("coverage") >= F.lit(minimum))
 
 
+def status_cells(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Row counts per (keys, status, label, score): the one pass a whole report is read from.
+
+    Coverage and every histogram of a report are sums over these cells, so their plans share this
+    aggregate's exchange and the rows are scanned once.
+    """
+    return rows.groupBy(*keys, "status", "label", "score").agg(F.count(F.lit(1)).alias("n"))
+
+
+def cells_hist(cells: DataFrame, groups: Sequence[str], missing: str = "exclude") -> DataFrame:
+    """The score histogram of cells under a missing-score policy."""
+    y, n = F.col("label").cast("long"), F.col("n")
+    return apply_missing_policy(cells, missing).groupBy(*groups, "score").agg(
+        F.sum(y * n).alias("pos"), F.sum((1 - y) * n).alias("neg")
+    )
+
+
+def cells_coverage(
+    cells: DataFrame, groups: Sequence[str], minimum: float | None = None
+) -> DataFrame:
+    """The coverage of cells, as `coverage` gives it for rows."""
+    n = F.col("n")
+    counts = cells.groupBy(*groups).agg(
+        F.sum(n).alias("expected"),
+        *[
+            F.coalesce(F.sum(F.when(F.col("status") == s, n)), F.lit(0)).alias(s)
+            for s in ("ok", "missing", "error")
+        ],
+    )
+    out = counts.withColumn("coverage", F.col("ok") / F.col("expected"))
+    return out if minimum is None else out.withColumn("meets", F.col("coverage") >= F.lit(minimum))
+
+
 def clip_to_video(
     clips: DataFrame, keys: Sequence[str], mode: str = "mean-prob", *, thr: float = 0.5
 ) -> DataFrame:

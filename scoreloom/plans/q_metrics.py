@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions.scores import apply_missing_policy, row_problems
 from scoreloom.operators import metrics as M
-from scoreloom.operators.coverage import clip_to_video, coverage
+from scoreloom.operators.coverage import (
+    cells_coverage,
+    cells_hist,
+    clip_to_video,
+    coverage,
+    status_cells,
+)
 from scoreloom.operators.ordered import midranks
 from scoreloom.plans import views as V
 from scoreloom.plans.catalog import query, r9
@@ -45,8 +51,9 @@ def entry_clip_to_auc(spark: SparkSession, d: str) -> DataFrame:
         .join(per_video, "key", "left")
         .withColumn("status", F.when(F.col("score").isNull(), "missing").otherwise("ok"))
     )
-    cov = coverage(rows, G)
-    auc = M.compute(apply_missing_policy(rows), G, {"auc": M.auc()})
+    cells = status_cells(rows, G)
+    cov = cells_coverage(cells, G)
+    auc = M.compute(None, G, {"auc": M.auc()}, hist=cells_hist(cells, G))
     return cov.join(auc, G).select(
         *G, "expected", "ok", "missing", r9("coverage").alias("coverage"), r9("auc").alias("auc")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.functions import scores as X
@@ -27,16 +27,27 @@ AUC = """SELECT {by}, sum(pos * (nn - cn + 0.5::DOUBLE * neg)) / nullif(max(np *
 SPECS = {"auc": ("auc", {}), "brier": ("brier", {})}
 
 
+def per_scorer(rows: DataFrame, files: dict[str, tuple[Column, Column, Column]]) -> DataFrame:
+    """One row per video and scorer from a table that holds the scorers side by side."""
+    cols = ["dataset", "key", "compression", "label", "label_key", "method"]
+    each = [
+        F.struct(f.alias("file"), s.alias("score"), t.alias("status")) for f, s, t in files.values()
+    ]
+    return rows.select(*cols, F.explode(F.array(*each)).alias("_f")).select(
+        "_f.file", *cols, "_f.score", "_f.status"
+    )
+
+
 def files(spark: SparkSession, d: str) -> DataFrame:
     """Score rows of six files: two scorers over three datasets."""
-    s = V.scores(spark, d)
-    cols = ["dataset", "key", "compression", "label", "label_key", "method"]
-    a = s.select(F.concat(F.lit("a-"), "dataset").alias("file"), *cols, "score", "status")
-    b = s.select(
-        F.concat(F.lit("b-"), "dataset").alias("file"), *cols,
-        F.col("score_b").alias("score"), F.col("status_b").alias("status"),
+    name = lambda x: F.concat(F.lit(f"{x}-"), "dataset")
+    return per_scorer(
+        V.scores(spark, d),
+        {
+            "a": (name("a"), F.col("score"), F.col("status")),
+            "b": (name("b"), F.col("score_b"), F.col("status_b")),
+        },
     )
-    return a.unionByName(b)
 
 
 @query(
@@ -216,15 +227,16 @@ def t16(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scorer_files(spark: SparkSession, d: str) -> DataFrame:
-    s = V.scores(spark, d)
-    cols = ["dataset", "key", "compression", "label"]
-    a = s.select(F.lit("a").alias("file"), *cols, "score", "status")
-    b = s.select(F.lit("b").alias("file"), *cols, F.col("score_b").alias("score"), F.col("status_b").alias("status"))
-    c = s.select(
-        F.lit("c").alias("file"), *cols, ((F.col("score") + F.col("score_b")) / 2).alias("score"),
-        F.when((F.col("status") == "ok") & (F.col("status_b") == "ok"), "ok").otherwise("error").alias("status"),
+    both = (F.col("status") == "ok") & (F.col("status_b") == "ok")
+    mean = (F.col("score") + F.col("score_b")) / 2
+    return per_scorer(
+        V.scores(spark, d),
+        {
+            "a": (F.lit("a"), F.col("score"), F.col("status")),
+            "b": (F.lit("b"), F.col("score_b"), F.col("status_b")),
+            "c": (F.lit("c"), F.when(both, mean), F.when(both, "ok").otherwise("error")),
+        },
     )
-    return a.unionByName(b).unionByName(c)
 
 
 @query(

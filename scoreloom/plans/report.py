@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.errors import ConfigError
-from scoreloom.functions.scores import apply_missing_policy
 from scoreloom.operators import bootstrap as B
 from scoreloom.operators import metrics as M
-from scoreloom.operators.coverage import coverage
+from scoreloom.operators.coverage import cells_coverage, cells_hist, status_cells
 from scoreloom.operators.joins import first_match
 from scoreloom.operators.ordered import bounded, join_null_safe
 
@@ -20,57 +19,54 @@ DIMENSIONS = ("method", "compression", "label_key", "family")
 Spec = tuple[str, dict]
 
 
-def by_dimension(rows: DataFrame, by: str, vocab: DataFrame | None = None) -> DataFrame:
-    """Rows with their breakdown group; rows without a value for it are left out."""
+def with_group(rows: DataFrame, by: str, vocab: DataFrame | None = None) -> DataFrame:
+    """Rows with their breakdown group, null where a row has no value for it."""
     if by not in DIMENSIONS:
         raise ConfigError(f"unknown breakdown {by!r}; known: {', '.join(DIMENSIONS)}")
     if by == "family":
         if vocab is None:
             raise ConfigError("a breakdown by family needs the label vocabulary")
         rows = rows.join(bounded(vocab.select("label_key", "family")), "label_key", "left")
-    return rows.withColumn("group", F.col(by).cast("string")).where(F.col("group").isNotNull())
+    return rows.withColumn("group", F.col(by).cast("string"))
 
 
-def pooled_groups(
-    rows: DataFrame, by: str, *, missing: str = "exclude", vocab: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Histogram and status counts per (file, group), all-fake groups pooled with the reals.
+def pooled_cells(rows: DataFrame, by: str, vocab: DataFrame | None = None) -> DataFrame:
+    """Cells per (file, group), all-fake groups pooled with the reals of their datasets.
 
     A group of one method's fakes is measured against every real of its datasets in the file. The
-    reals' histogram is added to each such group's, so what multiplies with the number of groups is
-    a histogram, never rows. A breakdown by compression stays a plain partition.
+    reals' cells are added to each such group's, so what multiplies with the number of groups is a
+    histogram, never rows. A breakdown by compression stays a plain partition. Rows without a value
+    for the dimension form no group but stay in the pool.
     """
-    named = by_dimension(rows, by, vocab)
     keys = ["file", "group"]
-    kept = apply_missing_policy(named, missing)
-    hist = M.score_hist(kept, keys)
-    counts = named.groupBy(*keys, "status").agg(F.count(F.lit(1)).alias("n"))
-    if by != "compression":
-        sides = named.groupBy(*keys, "dataset").agg(F.min("label").alias("_least"))
-        whole = Window.partitionBy(*keys)
-        fake_only = sides.withColumn("_least", F.min("_least").over(whole)).where("_least = 1")
-        links = fake_only.select(*keys, "dataset")
-        reals = rows.where(F.col("label") == 0)
-        pool = M.score_hist(apply_missing_policy(reals, missing), ["file", "dataset"])
-        added = links.join(pool, ["file", "dataset"]).select(*keys, "score", "pos", "neg")
-        hist = hist.unionByName(added).groupBy(*keys, "score").agg(
-            F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
-        )
-        real_counts = reals.groupBy("file", "dataset", "status").agg(F.count(F.lit(1)).alias("n"))
-        more = links.join(real_counts, ["file", "dataset"]).select(*keys, "status", "n")
-        counts = counts.unionByName(more)
-    return hist, counts
-
-
-def _status_table(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    out = counts.groupBy(*keys).agg(
-        F.sum("n").alias("expected"),
-        *[
-            F.coalesce(F.sum(F.when(F.col("status") == s, F.col("n"))), F.lit(0)).alias(s)
-            for s in ("ok", "missing", "error")
-        ],
+    cells = status_cells(with_group(rows, by, vocab), [*keys, "dataset"])
+    named = cells.where(F.col("group").isNotNull())
+    own = named.select(*keys, "status", "label", "score", "n")
+    if by == "compression":
+        return own
+    sides = named.groupBy(*keys, "dataset").agg(F.min("label").alias("_least"))
+    # one row per group and dataset
+    whole = Window.partitionBy(*keys)
+    links = (
+        sides.withColumn("_least", F.min("_least").over(whole))
+        .where(F.col("_least") == 1)
+        .select(*keys, "dataset")
+    )
+    pool = (
+        cells.where(F.col("label") == 0)
+        .groupBy("file", "dataset", "status", "label", "score")
+        .agg(F.sum("n").alias("n"))
     )
-    return out.withColumn("coverage", F.col("ok") / F.col("expected"))
+    return own.unionByName(links.join(pool, ["file", "dataset"]).drop("dataset"))
+
+
+def pooled_groups(
+    rows: DataFrame, by: str, *, missing: str = "exclude", vocab: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Histogram and coverage per (file, group) of `pooled_cells`."""
+    cells = pooled_cells(rows, by, vocab)
+    keys = ["file", "group"]
+    return cells_hist(cells, keys, missing), cells_coverage(cells, keys)
 
 
 def _long(
@@ -165,8 +161,9 @@ def evaluate(
     covered less than `min_coverage`.
     """
     keys = ["file"]
-    cover = coverage(rows, keys, min_coverage)
-    hist = M.score_hist(apply_missing_policy(rows, missing), keys)
+    cells = status_cells(rows, keys)
+    cover = cells_coverage(cells, keys, min_coverage)
+    hist = cells_hist(cells, keys, missing)
     points = _long(hist, keys, metrics, n_boot, seed)
     n = hist.groupBy(*keys).agg(F.sum(F.col("pos") + F.col("neg")).alias("n"))
     per_file = cover.join(n, "file", "left").join(points, "file", "left")
@@ -178,9 +175,9 @@ def evaluate(
     }
     if by is not None:
         keys = ["file", "group"]
-        group_hist, counts = pooled_groups(rows, by, missing=missing, vocab=vocab)
+        group_hist, covered = pooled_groups(rows, by, missing=missing, vocab=vocab)
         table = _long(group_hist, keys, metrics, n_boot, seed).where(F.col("value").isNotNull())
-        out["breakdown"] = _status_table(counts, keys).join(table.drop("undefined"), keys, "left")
+        out["breakdown"] = covered.join(table.drop("undefined"), keys, "left")
     if files is not None:
         out["seeds"] = seed_table(points, files)
         if suite is not None:
