@@ -300,16 +300,13 @@ def stratified_resample(
     Every row is also a slot; slot k of a class takes the row a hash of (seed, replicate, class, k)
     points at. The draw joins on (class, row number), an even key.
     """
-    ranked = numbered(rows, [label], order, "_rn", blocks=blocks)
-    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    slots = (
-        ranked.select(label, F.col("_rn").alias("slot"))
-        .join(counts, label)
-        .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_reps - 1))))
+    ranked = numbered(rows, [label], order, "_rn", blocks=blocks, total="_n")
+    slots = ranked.select(label, F.col("_rn").alias("slot"), "_n").withColumn(
+        "rep", F.explode(F.sequence(F.lit(0), F.lit(n_reps - 1)))
     )
     text = F.concat_ws(":", F.lit(str(seed)), "rep", F.col(label), "slot")
     picks = slots.select(label, "rep", "slot", (hash_pick(text, F.col("_n")) + 1).alias("_rn"))
-    return picks.join(ranked, [label, "_rn"]).drop("_rn")
+    return picks.join(ranked.drop("_n"), [label, "_rn"]).drop("_rn")
 
 
 def seed_summary(values: DataFrame, groups: Sequence[str]) -> DataFrame:

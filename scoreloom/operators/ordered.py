@@ -169,10 +169,17 @@ def numbered(
     name: str = "rn",
     *,
     blocks: int | None = None,
+    total: str | None = None,
 ) -> DataFrame:
-    """A 1-based row number per group in `order`, whatever the size of a group."""
+    """A 1-based row number per group in `order`, whatever the size of a group.
+
+    `total` names a column for the group's number of rows.
+    """
     cuts = order_cuts(df, order, blocks)
-    return prefix_sums(df, groups, order, {name: F.lit(1)}, cut_block(order, cuts))
+    totals = {name: total} if total else None
+    return prefix_sums(
+        df, groups, order, {name: F.lit(1)}, cut_block(order, cuts), totals=totals
+    )
 
 
 def weighted_quantiles(

@@ -65,16 +65,15 @@ def label_balanced_draws(
     A hash picks the label of a draw from those present, another the row within it.
     """
     ranked = _ranked(rows, [label], order, blocks)
-    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    # one row per label value
-    table = counts.agg(F.array_sort(F.collect_list(F.struct(label, "_n"))).alias("_labels"))
-    slots = _ranked(rows.select(*order, label), [], order, blocks).select(
-        (F.col("_rn") - 1).alias("slot"), F.lit(0).alias("_k")
+    # as many rows as there are labels
+    sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).orderBy(label).collect()
+    table = F.array(*[F.struct(F.lit(r[0]).alias(label), F.lit(r["_n"]).alias("_n")) for r in sizes])
+    spread = _ranked(rows.select(*order, label), [], order, blocks).select(
+        (F.col("_rn") - 1).alias("slot")
     )
-    spread = slots.join(table.withColumn("_k", F.lit(0)), "_k").drop("_k")
     text = F.concat_ws(":", F.lit(f"{seed}:{epoch}"), "slot")
-    coin = hash_pick(F.concat(text, F.lit(":label")), F.size("_labels"))
-    drawn = spread.withColumn("_l", F.get("_labels", coin.cast("int")))
+    coin = hash_pick(F.concat(text, F.lit(":label")), F.lit(len(sizes)))
+    drawn = spread.withColumn("_l", F.get(table, coin.cast("int")))
     pick = hash_pick(F.concat(text, F.lit(":row")), F.col("_l._n")) + 1
     picks = drawn.select("slot", F.col(f"_l.{label}").alias(label), pick.alias("_rn"))
     return picks.join(ranked, [label, "_rn"]).drop("_rn")
@@ -95,7 +94,11 @@ def source_weighted_draws(
     """
     total = float(sum(weights))
     ranked = _ranked(rows, ["source_id"], order, blocks)
-    counts = rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per listed source
+    sizes = dict(rows.groupBy("source_id").agg(F.count(F.lit(1))).collect())
+    count = F.element_at(
+        F.array(*[F.lit(sizes.get(i, 0)) for i in range(len(weights))]), F.col("source_id") + 1
+    )
     slots = _ranked(rows.select("source_id", *order), [], ["source_id", *order], blocks).select(
         (F.col("_rn") - 1).alias("slot")
     )
@@ -106,8 +109,8 @@ def source_weighted_draws(
     for i in range(len(weights) - 1, 0, -1):
         reached -= weights[i]
         source = F.when(u < F.lit(reached / total), F.lit(i - 1)).otherwise(source)
-    drawn = slots.select("slot", source.alias("source_id"), text.alias("_t")).join(counts, "source_id")
-    pick = hash_pick(F.concat("_t", F.lit(":row")), F.col("_n")) + 1
+    drawn = slots.select("slot", source.alias("source_id"), text.alias("_t"))
+    pick = hash_pick(F.concat("_t", F.lit(":row")), count) + 1
     picks = drawn.select("slot", "source_id", pick.alias("_rn"))
     return picks.join(ranked, ["source_id", "_rn"]).drop("_rn")
 
@@ -173,28 +176,20 @@ def packed_batches(
         return out
 
     maps = cut.groupBy(*key).applyInPandas(summarise, f"{fields}, fills array<long>, closed array<long>")
-    # chaining keeps one row per block of 100,000 groups; a group is never in it
-    chain = maps.groupBy(*by).agg(
-        F.array_sort(F.collect_list(F.struct("_b", "fills", "closed"))).alias("_maps")
-    )
-    start = F.struct(
-        F.lit(0).cast("long").alias("fill"), F.lit(0).cast("long").alias("batch"),
-        F.array().cast("array<struct<_b:bigint,fill:bigint,batch:bigint>>").alias("starts"),
-    )
 
-    def step(acc: Column, m: Column) -> Column:
-        here = F.struct(m["_b"].alias("_b"), acc["fill"].alias("fill"), acc["batch"].alias("batch"))
-        at = acc["fill"].cast("int")
-        return F.struct(
-            F.get(m["fills"], at).alias("fill"),
-            (acc["batch"] + F.get(m["closed"], at)).alias("batch"),
-            F.concat(acc["starts"], F.array(here)).alias("starts"),
-        )
-
-    folded = F.aggregate("_maps", start, step)["starts"]
-    starts = chain.select(*by, F.explode(folded).alias("_s")).select(
-        *by, F.col("_s._b").alias("_b"), F.col("_s.fill").alias("_fill"), F.col("_s.batch").alias("_batch")
-    )
+    def chain(part: pd.DataFrame) -> pd.DataFrame:
+        """Every block's true start, from one row per block of 100,000 groups."""
+        part = part.sort_values("_b")
+        fill = batch = 0
+        starts = []
+        for fills, closed in zip(part["fills"], part["closed"], strict=True):
+            starts.append((fill, batch))
+            fill, batch = int(fills[fill]), batch + int(closed[fill])
+        out = part[key].copy()
+        out[["_fill", "_batch"]] = starts
+        return out
+
+    starts = maps.groupBy(*by).applyInPandas(chain, f"{fields}, _fill long, _batch long")
     seeded = join_null_safe(cut, starts, key)
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:

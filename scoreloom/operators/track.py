@@ -27,7 +27,7 @@ SMOOTHING_GAP = 2
 SUBJECT_FRAMES = 8
 UNDEFINED_DISTANCE = 2.0
 
-CHUNK_FRAMES = 2000
+CHUNK_FRAMES = 10_000
 Box = tuple[float, float, float, float]
 
 
@@ -165,7 +165,7 @@ def track(
     earlier = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
     some = F.when(F.size("boxes") > 0, F.col("boxes"))
     entries = ends.select(*by, F.last(some, ignorenulls=True).over(earlier).alias("_entry"))
-    tried = cut.join(entries, by) if "subject" not in cut.columns else cut.join(entries, by)
+    tried = cut.join(entries, by)
 
     def chunk_map(part: pd.DataFrame) -> pd.DataFrame:
         """The box this chunk hands on, for every box it may start from."""
@@ -185,26 +185,21 @@ def track(
 
     boxes = "array<array<double>>"
     maps = tried.groupBy(*by).applyInPandas(chunk_map, f"{fields}, starts {boxes}, exits {boxes}")
-    # chain: one row per chunk of a video
-    chain = maps.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_c", "starts", "exits"))).alias("_m")
-    )
-    box = "array<double>"
-    zero = F.struct(
-        F.lit(None).cast(box).alias("box"),
-        F.array().cast(f"array<struct<_c:bigint,box:{box}>>").alias("seen"),
-    )
 
-    def step(acc, m):
-        at = F.greatest(F.array_position(m["starts"], acc["box"]), F.lit(1)).cast("int")
-        here = F.struct(m["_c"].alias("_c"), acc["box"].alias("box"))
-        return F.struct(
-            F.get(m["exits"], at - 1).alias("box"),
-            F.concat(acc["seen"], F.array(here)).alias("seen"),
-        )
+    def chain(part: pd.DataFrame) -> pd.DataFrame:
+        """The box before each chunk, from one row per chunk of a video."""
+        part = part.sort_values("_c")
+        box, before = None, []
+        for starts, exits in zip(part["starts"], part["exits"], strict=True):
+            before.append(box)
+            tried = [None if s is None else list(s) for s in starts]
+            out = exits[tried.index(box)]
+            box = None if out is None else list(out)
+        out = part[by].copy()
+        out["_from"] = before
+        return out
 
-    states = chain.select(*keys, F.explode(F.aggregate("_m", zero, step)["seen"]).alias("_s"))
-    states = states.select(*keys, F.col("_s._c").alias("_c"), F.col("_s.box").alias("_from"))
+    states = maps.groupBy(*keys).applyInPandas(chain, f"{fields}, _from array<double>")
 
     def choose(part: pd.DataFrame) -> pd.DataFrame:
         start = part["_from"].iloc[0]
@@ -270,19 +265,19 @@ def smooth(tracked: DataFrame, keys: list[str], spec: TrackSpec, *, chunk: int =
         return out
 
     maps = linked.groupBy(*by).applyInPandas(affine, f"{fields}, k double, a array<double>")
-    chain = maps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_c", "k", "a"))).alias("_m"))
-    zero = F.struct(
-        F.array(*[F.lit(0.0)] * 4).alias("box"),
-        F.array().cast("array<struct<_c:bigint,box:array<double>>>").alias("seen"),
-    )
 
-    def step(acc, m):
-        moved = F.transform(m["a"], lambda v, i: v + m["k"] * F.get(acc["box"], i))
-        here = F.struct(m["_c"].alias("_c"), acc["box"].alias("box"))
-        return F.struct(moved.alias("box"), F.concat(acc["seen"], F.array(here)).alias("seen"))
+    def chain(part: pd.DataFrame) -> pd.DataFrame:
+        """The smoothed box before each chunk, from one row per chunk of a video."""
+        part = part.sort_values("_c")
+        box, before = np.zeros(4), []
+        for k, a in zip(part["k"], part["a"], strict=True):
+            before.append(box.tolist())
+            box = np.asarray(a, dtype=float) + k * box
+        out = part[by].copy()
+        out["_from"] = before
+        return out
 
-    states = chain.select(*keys, F.explode(F.aggregate("_m", zero, step)["seen"]).alias("_s"))
-    states = states.select(*keys, F.col("_s._c").alias("_c"), F.col("_s.box").alias("_from"))
+    states = maps.groupBy(*keys).applyInPandas(chain, f"{fields}, _from array<double>")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("frame")
