@@ -219,20 +219,19 @@ def s12(spark: SparkSession, d: str) -> DataFrame:
     """SELECT c_mktsegment AS name, CAST(count(*) AS BIGINT) AS runs, count(*) FILTER (n % 2 = 0) AS completed FROM (SELECT c_mktsegment, c_nationkey AS n FROM customer GROUP BY ALL) GROUP BY 1""",
 )
 def s14(spark: SparkSession, d: str) -> DataFrame:
-    root = shared_folder(spark, "runs")
-    runs = V.table(spark, d, "customer").select("c_mktsegment", "c_nationkey").distinct().collect()
-    import json
-    import os
-
-    for r in runs:  # the ledger's folders: one per run, bounded by segments times nations
-        folder = f"{root}/{r[0]}/run{r[1]}"
-        os.makedirs(folder)
-        with open(f"{folder}/env.json", "w") as f:
-            json.dump({"seed": r[1], "created": "2026"}, f)
-        if r[1] % 2 == 0:
-            with open(f"{folder}/metrics.json", "w") as f:
-                json.dump({"epochs": 3, "monitor": {"key": "auc", "best": 0.5}}, f)
-    out = SR.list_runs(spark, root)
+    runs = V.table(spark, d, "customer").select("c_mktsegment", "c_nationkey").distinct()
+    n = F.col("c_nationkey")
+    run = F.concat(F.lit("runs/"), "c_mktsegment", F.lit("/run"), n).alias("run")
+    # documents as they lie in the run folders, written and read as JSON
+    env_path, metrics_path = shared_folder(spark, "env"), shared_folder(spark, "metrics")
+    runs.select(run, n.alias("seed"), F.lit("2026").alias("created")).write.json(env_path)
+    best = F.struct(F.lit("auc").alias("key"), F.lit(0.5).alias("best"), F.lit("max").alias("mode"))
+    done = runs.where(n % 2 == 0)
+    done.select(run, F.lit(3).alias("epochs"), best.alias("monitor")).write.json(metrics_path)
+    read = lambda p, shape: spark.read.schema(f"run STRING, {shape}").json(p)
+    env = read(env_path, SR._ENV)
+    resume = env.select("run", "seed", F.lit(1).cast("long").alias("epoch")).where("seed % 2 = 1")
+    out = SR.runs_of(env, read(metrics_path, SR._METRICS), resume)
     return out.groupBy("name").agg(
         F.count("*").alias("runs"), F.count_if(F.col("status") == "completed").alias("completed")
     )
@@ -267,9 +266,6 @@ def s17(spark: SparkSession, d: str) -> DataFrame:
     return back.select("file", r9(value("brier")).alias("brier"), value("auc").isNotNull().alias("has_auc"))
 
 
-_IDS = "SELECT CAST(c_custkey AS STRING) AS id, CASE c_custkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM c"
-
-
 @query(
     "s19_official_lists",
     """SELECT reader, split, count(*) AS n FROM (SELECT r AS reader, CASE c_custkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM customer, (VALUES ('json'), ('text'), ('object'), ('paths')) AS t(r)
@@ -277,23 +273,26 @@ UNION ALL SELECT 'labelled', 'test' FROM customer) GROUP BY ALL""",
 )
 def s19(spark: SparkSession, d: str) -> DataFrame:
     root = shared_folder(spark, "lists")
-    V.table(spark, d, "customer").createOrReplaceTempView("c")
-    ids = spark.sql(_IDS)
-    out = None
-    # one document per split, written under the split's name
-    for split in ("train", "val", "test"):
-        mine = ids.where(F.col("split") == split)
-        pair = F.array("id", "id")
-        docs = mine.agg(F.to_json(F.collect_list(pair)).alias("value"))
-        for name, rows in {
-            "json": docs,
-            "text": mine.select(F.col("id").alias("value")),
-            "paths": mine.select(F.concat(F.lit("t/s/"), "id", F.lit(".mp4")).alias("value")),
-        }.items():
-            _write_named(rows, f"{root}/{name}", split)
+    k = F.col("c_custkey")
+    split = F.when(k % 3 == 0, "train").when(k % 3 == 1, "val").otherwise("test")
+    ids = V.table(spark, d, "customer").select(k.cast("string").alias("id"), split.alias("split"))
+    # one document per thousand ids and split, so no document grows with the table
+    part = (F.crc32("id") % F.greatest(F.lit(1), F.lit(ids.count() // 1000))).alias("part")
+    pairs = F.to_json(F.collect_list(F.array("id", "id"))).alias("value")
     entry = F.struct(F.concat("id", F.lit(".mp4")), F.struct(F.upper("split").alias("set")))
-    _write_named(ids.agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")), f"{root}/object", "all")
-    _write_named(ids.select(F.concat(F.lit("1 real/"), "id", F.lit(".mp4")).alias("value")), f"{root}/labelled", "all")
+    entries = F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")
+    named = {
+        "json": ids.groupBy("split", part).agg(pairs).drop("part"),
+        "text": ids.select("split", F.col("id").alias("value")),
+        "paths": ids.select("split", F.concat(F.lit("t/s/"), "id", F.lit(".mp4")).alias("value")),
+    }
+    for name, rows in named.items():
+        # a document is one file: one record per file for the whole-document reader
+        writer = rows.write.partitionBy("split")
+        (writer.option("maxRecordsPerFile", 1) if name == "json" else writer).text(f"{root}/{name}")
+    documents = ids.groupBy(part).agg(entries).select("value")
+    documents.write.option("maxRecordsPerFile", 1).text(f"{root}/object")
+    ids.select(F.concat(F.lit("1 real/"), "id", F.lit(".mp4")).alias("value")).write.text(f"{root}/labelled")
     readers = {
         "json": LS.json_id_lists(spark, f"{root}/json"),
         "text": LS.text_lists(spark, f"{root}/text"),
@@ -301,23 +300,13 @@ def s19(spark: SparkSession, d: str) -> DataFrame:
         "paths": LS.path_lists(spark, f"{root}/paths"),
         "labelled": LS.labelled_test_list(spark, f"{root}/labelled"),
     }
+    out = None
     for name, rows in readers.items():
-        part = rows.select(F.lit(name).alias("reader"), "split")
-        out = part if out is None else out.unionAll(part)
+        found = rows.select(F.lit(name).alias("reader"), "split")
+        out = found if out is None else out.unionAll(found)
     return out.groupBy("reader", "split").agg(F.count("*").alias("n"))
 
 
-def _write_named(rows: DataFrame, folder: str, name: str) -> None:
-    """One text file of a given name: how publishers ship their lists."""
-    import os
-    import shutil
-
-    staged = f"{folder}/.{name}"
-    rows.coalesce(1).write.mode("overwrite").text(staged)
-    part = next(p for p in os.listdir(staged) if p.startswith("part-"))
-    shutil.move(f"{staged}/{part}", f"{folder}/{name}.txt")
-
-
 @query(
     "s20_side_metadata",
     """SELECT l_orderkey::VARCHAR AS stem, arg_max(l_partkey, l_linenumber * 10000000 + l_partkey) AS speaker FROM lineitem GROUP BY 1""",

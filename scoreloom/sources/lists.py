@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.functions.keys import stem_of
@@ -14,14 +14,15 @@ def _texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("wholetext", True).text(path)
 
 
-def _split_of_file() -> object:
-    """The split a list file is named after."""
-    return stem_of(F.col("_metadata.file_name"))
+def _split_of(rows: DataFrame) -> Column:
+    """The split a list is for: the partition column it was written under, else its file's name."""
+    return F.col("split") if "split" in rows.columns else stem_of(F.col("_metadata.file_name"))
 
 
 def json_id_lists(spark: SparkSession, path: str) -> DataFrame:
     """`<split>.json` files: lists of ids, or of lists of ids, all belonging to the split."""
-    docs = _texts(spark, path).select(_split_of_file().alias("split"), F.col("value"))
+    docs = _texts(spark, path)
+    docs = docs.select(_split_of(docs).alias("split"), "value")
     items = docs.select("split", F.explode(F.from_json("value", "array<string>")).alias("item"))
     ids = F.when(
         F.startswith("item", F.lit("[")), F.from_json("item", "array<string>")
@@ -31,7 +32,8 @@ def json_id_lists(spark: SparkSession, path: str) -> DataFrame:
 
 def json_pair_lists(spark: SparkSession, path: str) -> DataFrame:
     """`<split>.json` files of [source, target] pairs, with each pair's place in its list."""
-    docs = _texts(spark, path).select(_split_of_file().alias("split"), F.col("value"))
+    docs = _texts(spark, path)
+    docs = docs.select(_split_of(docs).alias("split"), "value")
     pairs = docs.select("split", F.posexplode(F.from_json("value", "array<array<string>>")).alias("place", "p"))
     rank = F.when(F.col("split") == "train", 0).when(F.col("split") == "val", 1).otherwise(2)
     return pairs.select(
@@ -66,7 +68,8 @@ def source_split_object(spark: SparkSession, path: str) -> DataFrame:
 
 def text_lists(spark: SparkSession, path: str) -> DataFrame:
     """`<split>` text files of one id per line."""
-    lines = spark.read.text(path).select(F.trim("value").alias("id"), _split_of_file().alias("split"))
+    lines = spark.read.text(path)
+    lines = lines.select(F.trim("value").alias("id"), _split_of(lines).alias("split"))
     return lines.where(F.col("id") != "").distinct()
 
 

@@ -322,21 +322,14 @@ def _documents(spark: SparkSession, root: str, name: str, schema: str, up: int =
     return rows.withColumn("run", run)
 
 
-def list_runs(spark: SparkSession, root: str) -> DataFrame:
-    """Training runs: name, seed, creation, status, epochs and what was monitored.
+def runs_of(env: DataFrame, metrics: DataFrame, resume: DataFrame) -> DataFrame:
+    """Training runs from their documents, each keyed by `run`, a folder path.
 
-    A run is a folder with an env document; metrics make it completed, else its resume state tells
-    how far it came.
+    Metrics make a run completed, else its resume state tells how far it came.
     """
-    env = _documents(spark, root, "env.json", "seed LONG, created STRING")
-    metrics = _documents(
-        spark, root, "metrics.json",
-        "seed LONG, epochs LONG, monitor STRUCT<key: STRING, best: DOUBLE, mode: STRING>",
-    ).select("run", F.struct("seed", "epochs", "monitor").alias("m"))
-    resume = _documents(spark, root, "state.json", "seed LONG, epoch LONG", up=2).select(
-        "run", F.struct("seed", "epoch").alias("s")
-    )
-    runs = env.join(metrics, "run", "full_outer").join(resume, "run", "full_outer")
+    m = metrics.select("run", F.struct("seed", "epochs", "monitor").alias("m"))
+    s = resume.select("run", F.struct("seed", "epoch").alias("s"))
+    runs = env.join(m, "run", "full_outer").join(s, "run", "full_outer")
     done = F.col("m").isNotNull()
     return runs.select(
         F.element_at(F.split("run", "/"), -2).alias("name"),
@@ -349,6 +342,20 @@ def list_runs(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+_ENV = "seed LONG, created STRING"
+_METRICS = "seed LONG, epochs LONG, monitor STRUCT<key: STRING, best: DOUBLE, mode: STRING>"
+_RESUME = "seed LONG, epoch LONG"
+
+
+def list_runs(spark: SparkSession, root: str) -> DataFrame:
+    """Training runs below a folder: name, seed, creation, status, epochs, what was monitored."""
+    return runs_of(
+        _documents(spark, root, "env.json", _ENV),
+        _documents(spark, root, "metrics.json", _METRICS),
+        _documents(spark, root, "state.json", _RESUME, up=2),
+    )
+
+
 _SOURCE = (
     "ARRAY<STRUCT<name: STRING, protocol: STRUCT<ref: STRING, split: STRING>, index: STRUCT<"
     "sources: ARRAY<STRUCT<counts: STRUCT<in_split: LONG, included: LONG>>>>>>"

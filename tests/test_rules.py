@@ -161,6 +161,37 @@ def test_listing_and_jsonl_guards(spark, tmp_path):
         scan.checked()
 
 
+def test_run_ledger_and_named_lists(spark, tmp_path):
+    import json
+
+    from scoreloom.sources import lists as LS
+
+    for run, docs in {
+        "exp/r1": {"env.json": {"seed": 1, "created": "x"}, "metrics.json": {"epochs": 5, "monitor": {"key": "auc", "best": 0.9}}},
+        "exp/r2": {"env.json": {"created": "y"}, "resume/state.json": {"seed": 7, "epoch": 2}},
+    }.items():
+        for name, doc in docs.items():
+            p = tmp_path / "runs" / run / name
+            os.makedirs(p.parent, exist_ok=True)
+            p.write_text(json.dumps(doc, indent=1))
+    (tmp_path / "runs/exp/r1/data.json").write_text(json.dumps(
+        {"train": [{"name": "a", "protocol": {"ref": "p", "split": "train"}, "index": {"sources": [{"counts": {"in_split": 9, "included": 8}}]}}], "val": []}))
+    got = {r.run: (r.name, r.seed, r.status, r.epochs) for r in SR.list_runs(spark, str(tmp_path / "runs")).collect()}
+    assert got == {"r1": ("exp", 1, "completed", 5), "r2": ("exp", 7, "incomplete", 2)}
+    data = SR.run_data(spark, str(tmp_path / "runs")).collect()
+    assert [(r.role, r.name, r.in_split, r.included) for r in data] == [("train", "a", 9, 8)]
+    os.makedirs(tmp_path / "lists")
+    (tmp_path / "lists/train.json").write_text('[["000", "003"], "7"]')
+    (tmp_path / "lists/test.json").write_text('[["1", "2"]]')
+    ids = {(r.id, r.split) for r in LS.json_id_lists(spark, str(tmp_path / "lists")).collect()}
+    assert ids == {("000", "train"), ("003", "train"), ("7", "train"), ("1", "test"), ("2", "test")}
+    (tmp_path / "thb.json").write_text('{"Train": {"CelebV-HQ": ["-a.mp4"]}, "Test": {"CelebV-HQ": ["b.mp4"]}}')
+    rows = {(r.source, r.id, r.split) for r in LS.source_split_object(spark, str(tmp_path / "thb.json")).collect()}
+    assert rows == {("CelebV-HQ", "-a", "train"), ("CelebV-HQ", "b", "test")}
+    (tmp_path / "def.csv").write_text("identity,split\n 5 ,TRAIN\n6,other\n")
+    assert [tuple(r) for r in LS.csv_split_definition(spark, str(tmp_path / "def.csv")).collect()] == [("5", "train")]
+
+
 def test_score_table_contract(spark, tmp_path):
     (tmp_path / "x.csv").write_text("﻿dataset,key,compression,label,score,status,x_note\nd,k,,1,0.5,ok,hi\nd,j,c23,0,,missing,\n", encoding="utf-8")
     rows = {r["key"]: r for r in SR.read_scores(spark, str(tmp_path / "x.csv")).checked().collect()}
