@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,9 +59,14 @@ def cells_coverage(
 
 
 def clip_to_video(
-    clips: DataFrame, keys: Sequence[str], mode: str = "mean-prob", *, thr: float = 0.5
+    clips: DataFrame,
+    keys: Sequence[str],
+    mode: str = "mean-prob",
+    *,
+    thr: float = 0.5,
+    more: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """One score per video from its clip scores.
+    """One score per video from its clip scores, with `more` aggregates beside it.
 
     All modes aggregate partially before the shuffle, so a video holding most of the clips is no
     hot spot; the median reads a (video, score) histogram for the same reason.
@@ -69,10 +74,11 @@ def clip_to_video(
     s = F.col("score")
     if mode == "median":
         hist = clips.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("_w"))
-        counts = hist.groupBy(*keys).agg(F.sum("_w").alias("n_clips"))
+        extra = [c.alias(k) for k, c in (more or {}).items()]
+        counts = clips.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_clips"), *extra)
         median = weighted_quantiles(hist, keys, "score", "_w", {"score_median": 0.5})
         joined = join_null_safe(median, counts, keys)
-        return joined.select(*keys, F.col("score_median").alias("score"), "n_clips")
+        return joined.select(*keys, F.col("score_median").alias("score"), "n_clips", *(more or {}))
     modes: dict[str, Column] = {
         "mean-prob": F.avg(s),
         "mean-logit": sigmoid(F.avg(logit(s, AGGREGATION_CLIP))),
@@ -82,5 +88,7 @@ def clip_to_video(
     if mode not in modes:
         raise ConfigError(f"unknown aggregation {mode!r}; known: median, {', '.join(modes)}")
     return clips.groupBy(*keys).agg(
-        modes[mode].alias("score"), F.count(F.lit(1)).alias("n_clips")
+        modes[mode].alias("score"),
+        F.count(F.lit(1)).alias("n_clips"),
+        *[c.alias(k) for k, c in (more or {}).items()],
     )

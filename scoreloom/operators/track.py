@@ -9,7 +9,7 @@ A video holding a third of all frames is spread over as many tasks as it has chu
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from dataclasses import dataclass
 from decimal import Decimal
 

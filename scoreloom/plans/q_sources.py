@@ -427,7 +427,7 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     with_views(
         f"""SELECT v.dataset, v.key, v.compression, v.label, CASE WHEN v.key NOT LIKE '%77' THEN round(s.score, 9) END AS score,
   CASE WHEN s.key IS NULL THEN 'missing' WHEN v.key LIKE '%77' THEN 'error' ELSE 'ok' END AS status
-FROM fx_videos v JOIN m ON m.label_key = v.label_key LEFT JOIN s ON {same('s', 'v')} WHERE m.mapped <> 'exclude' OR s.key IS NOT NULL""".replace("v.label,", "CASE WHEN m.mapped = 'exclude' THEN NULL ELSE v.label END AS label,"),
+FROM fx_videos v JOIN m ON m.label_key = v.label_key LEFT JOIN s ON {same('s', 'v')} WHERE m.mapped <> 'exclude'""",
         "fx_clips", s=_DEMO, m=MAPPED,
     ),
 )

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from scoreloom.errors import ContractError
 from scoreloom.operators.coverage import clip_to_video
-from scoreloom.operators.joins import ROW_KEY, missing_rows
-from scoreloom.operators.ordered import join_null_safe
+from scoreloom.operators.joins import ROW_KEY
+from scoreloom.operators.ordered import bounded, join_null_safe
+from scoreloom.session import cut_lineage
 
 # Clips of one video that are kept in one task.
 VIDEO_RUN = 64
@@ -101,27 +102,35 @@ def video_rows(
 ) -> DataFrame:
     """A score table of the whole split: ok, error and missing videos, none dropped.
 
-    A video with any failed clip is an error; a split video without clips is missing, unless its
-    label is excluded.
+    A video with any failed clip is an error, a split video without clips is missing; videos whose
+    label is excluded are no part of the table. The scorer runs once: everything about a video
+    comes from one aggregate, which the split is joined to. The median needs two passes, so its
+    clip scores are checkpointed first.
     """
+    if mode == "median":
+        scored = cut_lineage(scored)
     clips = scored.withColumnRenamed("clip_score", "score")
-    reduced = clip_to_video(clips.where(F.col("failure").isNull()), ROW_KEY, mode)
-    failed = clips.groupBy(*ROW_KEY).agg(F.max("failure").alias("_failure"))
-    known = split_videos.select(*ROW_KEY, "label_key", "method").join(mapping, "label_key")
-    videos = join_null_safe(join_null_safe(known, failed, ROW_KEY), reduced, ROW_KEY, "left")
-    ok = F.col("_failure").isNull()
-    done = videos.select(
+    reduced = clip_to_video(clips, ROW_KEY, mode, more={"_failure": F.max("failure")})
+    known = split_videos.select(*ROW_KEY, "label_key", "method").join(bounded(mapping), "label_key")
+    videos = join_null_safe(
+        known.where(F.col("mapped") != "exclude"), reduced, ROW_KEY, "left"
+    )
+    status = (
+        F.when(F.col("n_clips").isNull(), "missing")
+        .when(F.col("_failure").isNotNull(), "error")
+        .otherwise("ok")
+    )
+    ok = status == "ok"
+    return videos.select(
         *ROW_KEY,
         F.col("mapped").try_cast("int").alias("label"),
         F.when(ok, F.col("score")).alias("score"),
-        F.when(ok, "ok").otherwise("error").alias("status"),
+        status.alias("status"),
         "label_key",
         "method",
         F.when(ok, F.col("n_clips")).alias("n_clips"),
         F.when(ok, F.col("n_clips") * frames_per_clip).alias("n_frames"),
     )
-    missing = missing_rows(split_videos, done, mapping)
-    return done.unionByName(missing, allowMissingColumns=True)
 
 
 def frame_records(scored: DataFrame, frames: str = "frame_indices") -> DataFrame:

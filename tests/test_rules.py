@@ -256,6 +256,25 @@ def test_scoring_isolates_the_video_at_fault(spark):
     assert len(rows) == 31 and rows["k30"] == "missing" and rows["k7"] == rows["k8"] == "error" and rows["k1"] == "ok"
 
 
+@pytest.mark.parametrize("mode", ["mean-prob", "max", "median"])
+def test_the_scorer_runs_once_per_clip(spark, tmp_path, mode):
+    clips = spark.createDataFrame([("d", f"k{v}", None, c) for v in range(5) for c in range(4)],
+                                  "dataset string, key string, compression string, clip_index int")
+    videos = spark.createDataFrame([("d", f"k{v}", None, "REAL", "m") for v in range(6)],
+                                   "dataset string, key string, compression string, label_key string, method string")
+    mapping = spark.createDataFrame([("REAL", "0")], "label_key string, mapped string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def scorer(batch):
+        seen.add(len(batch))
+        return batch["clip_index"] / 4.0
+
+    rows = {r.key: r for r in SC.video_rows(SC.score_clips(clips, scorer), videos, mapping, mode=mode).collect()}
+    assert seen.value == 20
+    want = {"mean-prob": 0.375, "max": 0.75, "median": 0.375}[mode]
+    assert rows["k0"].score == want and rows["k0"].n_clips == 4 and rows["k5"].status == "missing"
+
+
 def test_import_reports_double_matches(spark):
     videos = spark.createDataFrame([("d", "REAL/1", None, "REAL", "m"), ("d", "REAL/2", "a", "REAL", "m"), ("d", "REAL/2", "b", "REAL", "m")],
                                    "dataset string, key string, compression string, label_key string, method string")
