@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import query, stored, table
+from scoreloom.llm.common import let, query, stored, table
 from scoreloom.llm.components import components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,8 +48,11 @@ def path_of(url: Column) -> Column:
 
 def address(url: Column) -> Column:
     """What names a page: host, path and query. Scheme and fragment don't; null if there is no host."""
-    tail = F.regexp_extract(_rest(url), r"^[^/?#]*([^#]*)", 1)
-    return F.when(host_of(url) != "", F.concat(host_of(url), tail))
+    def joined(rest: Column) -> Column:
+        host, tail = F.regexp_extract(rest, r"^[^/?#]*", 0), F.regexp_extract(rest, r"^[^/?#]*([^#]*)", 1)
+        return F.when(host != "", F.concat(lowered(host), tail))
+
+    return let(_rest(url), joined)
 
 
 def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
@@ -70,12 +73,13 @@ def _resolved(target: Column, url: Column) -> Column:
     scheme = F.regexp_extract(url, r"^([^:/?#]*)://", 1)
     site = F.concat(scheme, F.lit("://"), host_of(url))
     folder = F.regexp_extract(path_of(url), r"^(.*/)?", 0)
-    return (
-        F.when(target.contains("://"), target)
-        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-        .when(target.startswith("/"), F.concat(site, target))
-        .when(target != "", F.concat(site, F.when(folder == "", F.lit("/")).otherwise(folder), target))
-    )
+    below = let(folder, lambda f: F.when(f == "", F.lit("/")).otherwise(f))
+    return let(target, lambda t: (
+        F.when(t.contains("://"), t)
+        .when(t.startswith("//"), F.concat(scheme, F.lit(":"), t))
+        .when(t.startswith("/"), F.concat(site, t))
+        .when(t != "", F.concat(site, below, t))
+    ))
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
