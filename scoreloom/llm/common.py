@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,7 +88,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             continue
         col = batch.column(batch.schema.get_field_index(column))
         sizes = np.zeros(batch.num_rows, np.int64)
-        lengths = pa.compute.fill_null(pa.compute.binary_length(col), 0)
+        lengths = pc.fill_null(pc.binary_length(col), 0)
         sizes[:] = lengths.to_numpy(zero_copy_only=False)
         run = (np.cumsum(sizes) - sizes) // most
         cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
