@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -114,3 +115,45 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
         for k in range(n):
             h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(h)])
     return h
+
+
+# ---- bitmaps of hashed keys ----------------------------------------------------------------------
+
+BLOCK_BITS = 15
+KEY_BITS = 27
+
+
+def key_bucket(keys: np.ndarray) -> np.ndarray:
+    """The bit of each 64-bit key in a bitmap of fixed size."""
+    return (mix64(keys.astype(np.uint64)) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+
+
+def has_bit(bits: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    return ((bits[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1) == 1
+
+
+def bitmap(buckets: DataFrame) -> np.ndarray:
+    """The bitmap of a table (bucket): 2**KEY_BITS bits, 16 MB, however many rows there are.
+
+    Set bits become packed blocks on the executors; the driver only puts the blocks together.
+    """
+    size = 1 << BLOCK_BITS
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for offsets in pdf["offsets"]:
+                on = np.zeros(size, np.uint8)
+                on[np.asarray(offsets, np.int64)] = 1
+                out.append(np.packbits(on, bitorder="little").tobytes())
+            yield pd.DataFrame({"block": pdf["block"], "bits": out})
+
+    blocks = (
+        buckets.groupBy(F.floor(F.col("bucket") / size).cast("int").alias("block"))
+        .agg(F.collect_set((F.col("bucket") % size).cast("int")).alias("offsets"))
+        .mapInPandas(pack, "block int, bits binary")
+    )
+    bits = np.zeros(1 << (KEY_BITS - 3), np.uint8)
+    for row in blocks.toLocalIterator():
+        bits[row["block"] * size // 8 : (row["block"] + 1) * size // 8] = np.frombuffer(row["bits"], np.uint8)
+    return bits

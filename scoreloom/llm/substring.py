@@ -18,16 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreloom.llm.common import WordHashes, mix64, query, slices, stored, table
+from scoreloom.llm.common import WordHashes, bitmap, has_bit, key_bucket, mix64, query, slices, stored, table
 
 MINIMIZER = 6
 #: Windows of a segment at most. A run of windows with one minimizer is cut there; it is long only
 #: where a text repeats itself.
 SEGMENT = 64
-#: The sketch has 2**SKETCH_BITS counters: two bitmaps of 16 MB, whatever the corpus. Counters that
-#: several minimizers share only let more segments through.
-SKETCH_BITS = 27
-BLOCK_BITS = 15
 #: A minimizer with more segments than this has its windows dealt out one by one, by their own hash.
 HOT = 50_000
 #: Bytes of text per shard, before all segments that can't repeat are left out.
@@ -225,10 +221,8 @@ class _Segments:
 
     def chosen(self, shared: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
         """(segment's document, pos, windows, start, end, route, content) of all that may repeat."""
-        bucket = (self.m >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-        bit = lambda bits: (bits[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1
-        kept = bit(shared) == 1
-        single = bit(hot) == 1
+        bucket = key_bucket(self.m)
+        kept, single = has_bit(shared, bucket), has_bit(hot, bucket)
         plain = np.flatnonzero(kept & ~single)
         split = np.flatnonzero(kept & single)
         n = self.windows[split]
@@ -249,42 +243,20 @@ def _buckets(window: int):
         for part in slices(batches, "text"):
             s = _Segments(hashes, part.column("text").to_pylist(), window)
             if s.size:
-                b, at = np.unique((s.m >> np.uint64(64 - SKETCH_BITS)).astype(np.int32), return_inverse=True)
+                b, at = np.unique(key_bucket(s.m).astype(np.int32), return_inverse=True)
                 n = np.bincount(at, weights=s.weight).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(n)], names=["bucket", "n"])
 
     return run
 
 
-def _bitmaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def bits(offsets) -> bytes:
-        on = np.zeros(1 << BLOCK_BITS, np.uint8)
-        on[np.asarray(offsets, np.int64)] = 1
-        return np.packbits(on, bitorder="little").tobytes()
-
-    for pdf in batches:
-        yield pd.DataFrame({"block": pdf["block"], "shared": [bits(x) for x in pdf["shared"]], "hot": [bits(x) for x in pdf["hot"]]})
-
-
 def repeat_sketch(keyed: DataFrame, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Two bitmaps over hashed minimizers: those that occur twice or more, and those that are hot."""
-    counts = keyed.select("text").mapInArrow(_buckets(window), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    size = 1 << BLOCK_BITS
-    blocks = (
-        counts.where("n > 1")
-        .groupBy(F.floor(F.col("bucket") / size).cast("int").alias("block"))
-        .agg(
-            F.collect_list(F.col("bucket") % size).alias("shared"),
-            F.collect_list(F.when(F.col("n") > HOT, F.col("bucket") % size)).alias("hot"),
-        )
-        .mapInPandas(_bitmaps, "block int, shared binary, hot binary")
+    counts = stored(
+        keyed.select("text").mapInArrow(_buckets(window), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1"),
+        "minimizers",
     )
-    shared, hot = np.zeros((2, 1 << (SKETCH_BITS - 3)), np.uint8)
-    for row in blocks.toLocalIterator():
-        at = slice(row["block"] * size // 8, (row["block"] + 1) * size // 8)
-        shared[at] = np.frombuffer(row["shared"], np.uint8)
-        hot[at] = np.frombuffer(row["hot"], np.uint8)
-    return shared, hot
+    return bitmap(counts.select("bucket")), bitmap(counts.where(F.col("n") > HOT).select("bucket"))
 
 
 def _contents(window: int, sketch, shards: int):
@@ -349,7 +321,7 @@ def _places(window: int, sketch):
     return run
 
 
-def _cut(window: int, schema: T.StructType, carry: Sequence[str]):
+def _cut(window: int, schema: T.StructType, carry: Sequence[str], verbatim: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             counts, removed, kept = [], [], []
@@ -366,7 +338,10 @@ def _cut(window: int, schema: T.StructType, carry: Sequence[str]):
                 gone = np.cumsum(edge[:-1]) > 0
                 counts.append(len(words))
                 removed.append(int(gone.sum()))
-                kept.append(b" ".join(w for w, g in zip(words, gone.tolist()) if not g).decode() if gone.any() else b" ".join(words).decode())
+                if verbatim and not gone.any():
+                    kept.append(text)
+                else:
+                    kept.append(b" ".join(w for w, g in zip(words, gone.tolist()) if not g).decode())
             columns = [part.column(c) for c in carry]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=schema.names
@@ -375,12 +350,13 @@ def _cut(window: int, schema: T.StructType, carry: Sequence[str]):
     return run
 
 
-def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 20, verbatim: bool = False) -> DataFrame:
     """`docs` with _n_words, _n_removed and _kept: its words without those of repeated windows.
 
     A window is `window` consecutive words of one document, compared word for word. Words covered by
     a window that also starts earlier go: in a smaller doc_id, or earlier in the same document. All
-    windows are judged on the input. A null text has no words; fewer words than a window are kept. A
+    windows are judged on the input. With `verbatim`, texts that lose nothing stay as they were written.
+    A null text has no words; fewer words than a window are kept. A
     null id comes after all others. Rows that share an id count as one document: windows at the same
     place in them are not earlier than each other, so repeated rows fare alike. No rows give no rows.
     """
@@ -420,10 +396,17 @@ def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
             T.StructField("_kept", T.StringType()),
         ]
     )
-    out = joined.mapInArrow(_cut(window, schema, carried), schema)
+    out = joined.mapInArrow(_cut(window, schema, carried, verbatim), schema)
     return out.withColumnsRenamed({n: c for c, n in names.items()})
 
 
+def cut_documents(docs: DataFrame, window: int) -> DataFrame:
+    """`docs` with repeated passages cut from their texts; n_chars, if there, follows the text."""
+    out = without_repeats(docs, window, verbatim=True)
+    fresh = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
+    return out.select(*[fresh[c].alias(c) if c in fresh else F.col(c) for c in docs.columns])
+
+
 @query("op3_substring_dedup")
 def op3(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
