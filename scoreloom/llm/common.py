@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -157,3 +158,31 @@ def bitmap(buckets: DataFrame) -> np.ndarray:
     for row in blocks.toLocalIterator():
         bits[row["block"] * size // 8 : (row["block"] + 1) * size // 8] = np.frombuffer(row["bits"], np.uint8)
     return bits
+
+
+# ---- sums of arrays over all tasks ---------------------------------------------------------------
+
+PARTIAL = "key int, part int, value binary"
+
+
+def partial(key: int, part: int, value: np.ndarray) -> pa.RecordBatch:
+    """A task's share of the array named `key`, packed."""
+    return pa.RecordBatch.from_arrays(
+        [pa.array([key], pa.int32()), pa.array([part], pa.int32()), pa.array([zlib.compress(value.tobytes(), 1)], pa.binary())],
+        names=["key", "part", "value"],
+    )
+
+
+def summed(parts: DataFrame, dtype: type, tasks: int) -> dict[int, np.ndarray]:
+    """The sums of PARTIAL arrays by key. They are added 64 at a time, so that no task meets those of
+    all others; what reaches the driver is one array per key."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zlib.decompress(v), dtype) for v in pdf.sort_values("part")["value"])
+        return pd.DataFrame({"key": pdf["key"].iloc[:1], "part": pdf["part"].iloc[:1] // 64, "value": [zlib.compress(total.tobytes(), 1)]})
+
+    while True:
+        parts = parts.groupBy("key", F.floor(F.col("part") / 64)).applyInPandas(add, PARTIAL)
+        tasks = -(-tasks // 64)
+        if tasks <= 1:
+            return {row["key"]: np.frombuffer(zlib.decompress(row["value"]), dtype) for row in parts.toLocalIterator()}

@@ -8,11 +8,9 @@ its two l's before it is verified on the whole sets.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -20,15 +18,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.llm.common import (
+    PARTIAL,
     WordHashes,
     bitmap,
     has_bit,
     key_bucket,
     mix64,
+    partial,
     query,
     shingle_hashes,
     slices,
     stored,
+    summed,
     table,
 )
 from scoreloom.llm.components import components
@@ -85,45 +86,27 @@ def _counter(shingles: np.ndarray) -> np.ndarray:
 
 
 def _partial_counts(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = WordHashes(), np.zeros(SKETCH, np.uint32)
         for part in slices(batches, "text"):
             sets = [shingle_set(hashes, t, n) for t in part.column("text").to_pylist()]
             counts += np.bincount(_counter(np.concatenate(sets)), minlength=SKETCH).astype(np.uint32)
         task = TaskContext.get().partitionId()
-        blocks = [b for b in range(SKETCH // SKETCH_BLOCK) if counts[b * SKETCH_BLOCK : (b + 1) * SKETCH_BLOCK].any()]
-        packed = [zlib.compress(counts[b * SKETCH_BLOCK : (b + 1) * SKETCH_BLOCK].tobytes(), 1) for b in blocks]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(blocks, pa.int32()), pa.array([task] * len(blocks), pa.int32()), pa.array(packed, pa.binary())],
-            names=["block", "part", "counts"],
-        )
+        for b in range(SKETCH // SKETCH_BLOCK):
+            block = counts[b * SKETCH_BLOCK : (b + 1) * SKETCH_BLOCK]
+            if block.any():
+                yield partial(b, task, block.astype(np.uint64))
 
     return run
 
 
-def _add_counts(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(SKETCH_BLOCK, np.uint64)
-    for packed in pdf["counts"]:
-        total += np.frombuffer(zlib.decompress(packed), np.uint32)
-    total = np.minimum(total, np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": pdf["part"].iloc[:1] // 64, "counts": [zlib.compress(total.tobytes(), 1)]})
-
-
 def frequencies(texts: DataFrame, n: int) -> np.ndarray:
-    """In how many documents each counter's shingles occur. Tasks send their counters packed; these
-    are added 64 at a time, so that no task meets those of all others."""
-    schema = "block int, part int, counts binary"
-    parts = texts.mapInArrow(_partial_counts(n), schema)
-    tasks = texts.rdd.getNumPartitions()
-    while True:
-        parts = parts.groupBy("block", F.floor(F.col("part") / 64)).applyInPandas(_add_counts, schema)
-        tasks = -(-tasks // 64)
-        if tasks <= 1:
-            break
-    counts = np.zeros(SKETCH, np.uint32)
-    for row in parts.toLocalIterator():
-        counts[row["block"] * SKETCH_BLOCK : (row["block"] + 1) * SKETCH_BLOCK] = np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
-    return counts
+    """In how many documents each counter's shingles occur."""
+    parts = texts.mapInArrow(_partial_counts(n), PARTIAL)
+    counts = np.zeros(SKETCH, np.uint64)
+    for b, block in summed(parts, np.uint64, texts.rdd.getNumPartitions()).items():
+        counts[b * SKETCH_BLOCK : (b + 1) * SKETCH_BLOCK] = block
+    return np.minimum(counts, np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
 # ---- prefixes ------------------------------------------------------------------------------------

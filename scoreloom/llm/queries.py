@@ -1,6 +1,6 @@
 """Imports every operator, so that their queries are registered."""
 
-from scoreloom.llm import bpe, mixing, ngram_join, quality, sharding, substring, url_filter  # noqa: F401
+from scoreloom.llm import bpe, embeddings, mixing, ngram_join, quality, sharding, substring, url_filter  # noqa: F401
 from scoreloom.llm.common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
