@@ -87,18 +87,6 @@ class Release:
         return f"{self.prefix}-{abbr}"
 
 
-def _tasks(text: str) -> tuple[Task, ...]:
-    """Tasks from lines `abbr name kind folder method [recursive]`."""
-    rows = [line.split() for line in text.strip().splitlines()]
-    return tuple(Task(*r[:5], len(r) > 5) for r in rows)
-
-
-def _labels(text: str) -> dict[str, Label]:
-    """Labels from lines `abbr binary binary_av multiclass family`."""
-    rows = [line.split() for line in text.strip().splitlines()]
-    return {r[0]: Label(int(r[1]), int(r[2]), int(r[3]), r[4]) for r in rows}
-
-
 def _stem() -> Column:
     return F.col("stem")
 
@@ -128,24 +116,25 @@ def _ffpp_fake() -> dict[str, Column]:
     }
 
 
+# The release's names, folders and class numbers.
 FFPP = Release(
     "ffpp", "FaceForensics++", "FF",
-    _tasks("""
-REAL YouTube real original_content/YouTube/{cX}/videos original
-FS_DF Deepfakes fake manipulated_content/Deepfakes/{cX}/videos Deepfakes
-FR_F2F Face2Face fake manipulated_content/Face2Face/{cX}/videos Face2Face
-FS_FSH FaceShifter fake manipulated_content/FaceShifter/{cX}/videos FaceShifter
-FS_FS FaceSwap fake manipulated_content/FaceSwap/{cX}/videos FaceSwap
-FR_NT NeuralTextures fake manipulated_content/NeuralTextures/{cX}/videos NeuralTextures
-"""),
-    _labels("""
-REAL 0 0 1 real
-FS_DF 1 1 2 face-swap
-FR_F2F 1 1 3 face-reenactment
-FS_FSH 1 1 4 face-swap
-FS_FS 1 1 5 face-swap
-FR_NT 1 1 6 face-reenactment
-"""),
+    (
+        Task("REAL", "YouTube", "real", "original_content/YouTube/{cX}/videos", "original"),
+        Task("FS_DF", "Deepfakes", "fake", "manipulated_content/Deepfakes/{cX}/videos", "Deepfakes"),
+        Task("FR_F2F", "Face2Face", "fake", "manipulated_content/Face2Face/{cX}/videos", "Face2Face"),
+        Task("FS_FSH", "FaceShifter", "fake", "manipulated_content/FaceShifter/{cX}/videos", "FaceShifter"),
+        Task("FS_FS", "FaceSwap", "fake", "manipulated_content/FaceSwap/{cX}/videos", "FaceSwap"),
+        Task("FR_NT", "NeuralTextures", "fake", "manipulated_content/NeuralTextures/{cX}/videos", "NeuralTextures"),
+    ),
+    {
+        "REAL": Label(0, 0, 1, "real"),
+        "FS_DF": Label(1, 1, 2, "face-swap"),
+        "FR_F2F": Label(1, 1, 3, "face-reenactment"),
+        "FS_FSH": Label(1, 1, 4, "face-swap"),
+        "FS_FS": Label(1, 1, 5, "face-swap"),
+        "FR_NT": Label(1, 1, 6, "face-reenactment"),
+    },
     real=lambda: _same_person(_stem()),
     fake=_ffpp_fake,
     candidates=lambda: F.coalesce("target_id", part(_local(), "_", 0)),
@@ -174,13 +163,17 @@ def _dfd_fake() -> dict[str, Column]:
     return {**_when(_dfd_ok(_stem()), who), "pair_key": _dfd_pair(_stem())}
 
 
+# The release's names, folders and class numbers.
 DFD = Release(
     "dfd", "FaceForensics++", "DFD",
-    _tasks("""
-AR Actors-real real original_content/Actors/{cX}/videos original
-FS_DFD DeepFakeDetection fake manipulated_content/DeepFakeDetection/{cX}/videos deepfakedetection
-"""),
-    _labels("AR 0 0 1 real\nFS_DFD 1 1 2 face-swap"),
+    (
+        Task("AR", "Actors-real", "real", "original_content/Actors/{cX}/videos", "original"),
+        Task("FS_DFD", "DeepFakeDetection", "fake", "manipulated_content/DeepFakeDetection/{cX}/videos", "deepfakedetection"),
+    ),
+    {
+        "AR": Label(0, 0, 1, "real"),
+        "FS_DFD": Label(1, 1, 2, "face-swap"),
+    },
     real=lambda: _same_person(F.nullif(part(_stem(), "__", 0), F.lit(""))),
     fake=_dfd_fake,
     candidates=lambda: _dfd_pair(_local()),
@@ -197,13 +190,17 @@ def _strip_fake(stem: Column) -> Column:
     return F.when(F.endswith(stem, F.lit("_fake")), F.regexp_extract(stem, "^(.*)_fake$", 1))
 
 
+# The release's names, folders and class numbers.
 UADFV = Release(
     "uadfv", "UADFV", "UADFV",
-    _tasks("""
-REAL real real original_content/real/videos original
-FS_FAKE fake fake manipulated_content/fake/videos faceswap
-"""),
-    _labels("REAL 0 0 1 real\nFS_FAKE 1 1 2 face-swap"),
+    (
+        Task("REAL", "real", "real", "original_content/real/videos", "original"),
+        Task("FS_FAKE", "fake", "fake", "manipulated_content/fake/videos", "faceswap"),
+    ),
+    {
+        "REAL": Label(0, 0, 1, "real"),
+        "FS_FAKE": Label(1, 1, 2, "face-swap"),
+    },
     real=lambda: {"identity": _stem()},
     fake=lambda: {**_same_person(_strip_fake(_stem())), "pair_key": _strip_fake(_stem())},
     candidates=lambda: _strip_fake(_local()),
@@ -237,74 +234,111 @@ def _celeb_real() -> dict[str, Column]:
     return _same_person(person)
 
 
-_CELEB_REALS = """
-CR Celeb-real real original_content/Celeb-real/videos original
-YTR YouTube-real real original_content/YouTube-real/videos original
-"""
-_CELEB_REAL_LABELS = "CR 0 0 1 real\nYTR 0 0 2 real\n"
-
-
-def _celeb(version: str, tasks: str, labels: str, benchmark: dict) -> Release:
+def _celeb(
+    version: str, tasks: tuple[Task, ...], labels: Mapping[str, Label], benchmark: dict
+) -> Release:
     return Release(
         f"celebdf-{version}", f"Celeb-DF-{version}", f"CDF{version}",
-        _tasks(_CELEB_REALS.strip() + "\n" + tasks.strip()),
-        _labels(_CELEB_REAL_LABELS + labels.strip()),
+        tasks, labels,
         real=_celeb_real, fake=_celeb_fake, candidates=lambda: _celeb_pair(_local()),
         official=_local, pairing_rule="target-recording",
         default_scheme="official+ident-80-20", benchmark=benchmark,
     )
 
 
-_SYNTHESIS = "FS_CS Celeb-synthesis fake manipulated_content/Celeb-synthesis/videos Celeb-synthesis"
-CELEBDF_V1 = _celeb("v1", _SYNTHESIS, "FS_CS 1 1 3 face-swap", {"k_fake": 100})
-CELEBDF_V2 = _celeb("v2", _SYNTHESIS, "FS_CS 1 1 3 face-swap", {"k_fake": 100})
-# Abbreviation, family folder and method of the third release's fakes.
-_V3 = """
-FS_CDFV2 FaceSwap Celeb-DF-v2
-FS_BLEND FaceSwap BlendFace
-FS_GHOST FaceSwap GHOST
-FS_HIFI FaceSwap HifiFace
-FS_INSW FaceSwap InSwapper
-FS_MOBILE FaceSwap MobileFaceSwap
-FS_SIM FaceSwap SimSwap
-FS_UNI FaceSwap UniFace
-FR_DAGAN FaceReenact DaGAN
-FR_FSRT FaceReenact FSRT
-FR_HYPER FaceReenact HyperReenact
-FR_LIA FaceReenact LIA
-FR_LP FaceReenact LivePortrait
-FR_MCNET FaceReenact MCNET
-FR_TPSMM FaceReenact TPSMM
-TF_ANI TalkingFace AniTalker
-TF_ECHO TalkingFace EchoMimic
-TF_EDTALK TalkingFace EDTalk
-TF_FLOAT TalkingFace FLOAT
-TF_IPLAP TalkingFace IP_LAP
-TF_REAL3D TalkingFace Real3DPortrait
-TF_SAD TalkingFace SadTalker
-"""
-_V3_ROWS = [line.split() for line in _V3.strip().splitlines()]
-_FAMILY = {"FaceSwap": "face-swap", "FaceReenact": "face-reenactment", "TalkingFace": "talking-face"}
-# classes number the methods by abbreviation
-_V3_LABELS = "\n".join(
-    f"{a} 1 1 {i} {_FAMILY[f]}" for i, (a, f, _) in enumerate(sorted(_V3_ROWS), start=3)
-)
+# The release's names, folders and class numbers.
+CELEBDF_V1 = _celeb("v1", (
+        Task("CR", "Celeb-real", "real", "original_content/Celeb-real/videos", "original"),
+        Task("YTR", "YouTube-real", "real", "original_content/YouTube-real/videos", "original"),
+        Task("FS_CS", "Celeb-synthesis", "fake", "manipulated_content/Celeb-synthesis/videos", "Celeb-synthesis"),
+    ), {
+        "CR": Label(0, 0, 1, "real"),
+        "YTR": Label(0, 0, 2, "real"),
+        "FS_CS": Label(1, 1, 3, "face-swap"),
+    }, {"k_fake": 100})
+# The release's names, folders and class numbers.
+CELEBDF_V2 = _celeb("v2", (
+        Task("CR", "Celeb-real", "real", "original_content/Celeb-real/videos", "original"),
+        Task("YTR", "YouTube-real", "real", "original_content/YouTube-real/videos", "original"),
+        Task("FS_CS", "Celeb-synthesis", "fake", "manipulated_content/Celeb-synthesis/videos", "Celeb-synthesis"),
+    ), {
+        "CR": Label(0, 0, 1, "real"),
+        "YTR": Label(0, 0, 2, "real"),
+        "FS_CS": Label(1, 1, 3, "face-swap"),
+    }, {"k_fake": 100})
+
+
+# The release's names, folders and class numbers.
 CELEBDF_V3 = _celeb(
     "v3",
-    "\n".join(f"{a} {m} fake manipulated_content/{f}/{m}/videos {m}" for a, f, m in _V3_ROWS),
-    _V3_LABELS,
+    (
+        Task("CR", "Celeb-real", "real", "original_content/Celeb-real/videos", "original"),
+        Task("YTR", "YouTube-real", "real", "original_content/YouTube-real/videos", "original"),
+        Task("FS_CDFV2", "Celeb-DF-v2", "fake", "manipulated_content/FaceSwap/Celeb-DF-v2/videos", "Celeb-DF-v2"),
+        Task("FS_BLEND", "BlendFace", "fake", "manipulated_content/FaceSwap/BlendFace/videos", "BlendFace"),
+        Task("FS_GHOST", "GHOST", "fake", "manipulated_content/FaceSwap/GHOST/videos", "GHOST"),
+        Task("FS_HIFI", "HifiFace", "fake", "manipulated_content/FaceSwap/HifiFace/videos", "HifiFace"),
+        Task("FS_INSW", "InSwapper", "fake", "manipulated_content/FaceSwap/InSwapper/videos", "InSwapper"),
+        Task("FS_MOBILE", "MobileFaceSwap", "fake", "manipulated_content/FaceSwap/MobileFaceSwap/videos", "MobileFaceSwap"),
+        Task("FS_SIM", "SimSwap", "fake", "manipulated_content/FaceSwap/SimSwap/videos", "SimSwap"),
+        Task("FS_UNI", "UniFace", "fake", "manipulated_content/FaceSwap/UniFace/videos", "UniFace"),
+        Task("FR_DAGAN", "DaGAN", "fake", "manipulated_content/FaceReenact/DaGAN/videos", "DaGAN"),
+        Task("FR_FSRT", "FSRT", "fake", "manipulated_content/FaceReenact/FSRT/videos", "FSRT"),
+        Task("FR_HYPER", "HyperReenact", "fake", "manipulated_content/FaceReenact/HyperReenact/videos", "HyperReenact"),
+        Task("FR_LIA", "LIA", "fake", "manipulated_content/FaceReenact/LIA/videos", "LIA"),
+        Task("FR_LP", "LivePortrait", "fake", "manipulated_content/FaceReenact/LivePortrait/videos", "LivePortrait"),
+        Task("FR_MCNET", "MCNET", "fake", "manipulated_content/FaceReenact/MCNET/videos", "MCNET"),
+        Task("FR_TPSMM", "TPSMM", "fake", "manipulated_content/FaceReenact/TPSMM/videos", "TPSMM"),
+        Task("TF_ANI", "AniTalker", "fake", "manipulated_content/TalkingFace/AniTalker/videos", "AniTalker"),
+        Task("TF_ECHO", "EchoMimic", "fake", "manipulated_content/TalkingFace/EchoMimic/videos", "EchoMimic"),
+        Task("TF_EDTALK", "EDTalk", "fake", "manipulated_content/TalkingFace/EDTalk/videos", "EDTalk"),
+        Task("TF_FLOAT", "FLOAT", "fake", "manipulated_content/TalkingFace/FLOAT/videos", "FLOAT"),
+        Task("TF_IPLAP", "IP_LAP", "fake", "manipulated_content/TalkingFace/IP_LAP/videos", "IP_LAP"),
+        Task("TF_REAL3D", "Real3DPortrait", "fake", "manipulated_content/TalkingFace/Real3DPortrait/videos", "Real3DPortrait"),
+        Task("TF_SAD", "SadTalker", "fake", "manipulated_content/TalkingFace/SadTalker/videos", "SadTalker"),
+    ),
+    {
+        "CR": Label(0, 0, 1, "real"),
+        "YTR": Label(0, 0, 2, "real"),
+        "FR_DAGAN": Label(1, 1, 3, "face-reenactment"),
+        "FR_FSRT": Label(1, 1, 4, "face-reenactment"),
+        "FR_HYPER": Label(1, 1, 5, "face-reenactment"),
+        "FR_LIA": Label(1, 1, 6, "face-reenactment"),
+        "FR_LP": Label(1, 1, 7, "face-reenactment"),
+        "FR_MCNET": Label(1, 1, 8, "face-reenactment"),
+        "FR_TPSMM": Label(1, 1, 9, "face-reenactment"),
+        "FS_BLEND": Label(1, 1, 10, "face-swap"),
+        "FS_CDFV2": Label(1, 1, 11, "face-swap"),
+        "FS_GHOST": Label(1, 1, 12, "face-swap"),
+        "FS_HIFI": Label(1, 1, 13, "face-swap"),
+        "FS_INSW": Label(1, 1, 14, "face-swap"),
+        "FS_MOBILE": Label(1, 1, 15, "face-swap"),
+        "FS_SIM": Label(1, 1, 16, "face-swap"),
+        "FS_UNI": Label(1, 1, 17, "face-swap"),
+        "TF_ANI": Label(1, 1, 18, "talking-face"),
+        "TF_ECHO": Label(1, 1, 19, "talking-face"),
+        "TF_EDTALK": Label(1, 1, 20, "talking-face"),
+        "TF_FLOAT": Label(1, 1, 21, "talking-face"),
+        "TF_IPLAP": Label(1, 1, 22, "talking-face"),
+        "TF_REAL3D": Label(1, 1, 23, "talking-face"),
+        "TF_SAD": Label(1, 1, 24, "talking-face"),
+    },
     {"k_fake": 2, "strata": ("identity", "task")},
 )
 
 # --- DFDC test set: opaque names; listed stems are test
 
+# The release's names, folders and class numbers.
 DFDC = Release(
     "dfdc", "DFDC", "DFDC",
-    _tasks("""
-REAL testing_real real original_content/testing_real/videos original
-FS_FAKE testing_fake fake manipulated_content/testing_fake/videos deepfake
-"""),
-    _labels("REAL 0 0 1 real\nFS_FAKE 1 1 2 face-swap"),
+    (
+        Task("REAL", "testing_real", "real", "original_content/testing_real/videos", "original"),
+        Task("FS_FAKE", "testing_fake", "fake", "manipulated_content/testing_fake/videos", "deepfake"),
+    ),
+    {
+        "REAL": Label(0, 0, 1, "real"),
+        "FS_FAKE": Label(1, 1, 2, "face-swap"),
+    },
     official=_local, default_scheme="official", benchmark={"k_fake": 1000},
 )
 
@@ -325,14 +359,19 @@ def _dfdcp_fake() -> dict[str, Column]:
     return {**_when(_dfdcp_ok(s), who), "pair_key": _dfdcp_pair(s)}
 
 
+# The release's names, folders and class numbers.
 DFDCP = Release(
     "dfdc-p", "DFDC-P", "DFDCP",
-    _tasks("""
-REAL Original real original_content/original/videos original recursive
-FS_METHOD_A method_A fake manipulated_content/method_A/videos method_a recursive
-FS_METHOD_B method_B fake manipulated_content/method_B/videos method_b recursive
-"""),
-    _labels("REAL 0 0 1 real\nFS_METHOD_A 1 1 2 face-swap\nFS_METHOD_B 1 1 3 face-swap"),
+    (
+        Task("REAL", "Original", "real", "original_content/original/videos", "original", True),
+        Task("FS_METHOD_A", "method_A", "fake", "manipulated_content/method_A/videos", "method_a", True),
+        Task("FS_METHOD_B", "method_B", "fake", "manipulated_content/method_B/videos", "method_b", True),
+    ),
+    {
+        "REAL": Label(0, 0, 1, "real"),
+        "FS_METHOD_A": Label(1, 1, 2, "face-swap"),
+        "FS_METHOD_B": Label(1, 1, 3, "face-swap"),
+    },
     real=lambda: _same_person(F.when(parts(_stem(), "_") >= 3, part(_stem(), "_", 0))),
     fake=_dfdcp_fake,
     candidates=lambda: _dfdcp_pair(_local()),
@@ -349,33 +388,37 @@ def _after_first(s: Column) -> Column:
     return F.when(F.contains(s, F.lit("_")), F.substr(s, F.instr(s, "_") + 1))
 
 
-_DEEPER = """
-FS_E2E End-to-End end_to_end
-FS_L1 E2E-Level-1 end_to_end_level_1
-FS_L2 E2E-Level-2 end_to_end_level_2
-FS_L3 E2E-Level-3 end_to_end_level_3
-FS_L4 E2E-Level-4 end_to_end_level_4
-FS_L5 E2E-Level-5 end_to_end_level_5
-FS_RND E2E-Random end_to_end_random_level
-FS_M2 E2E-Mix-2 end_to_end_mix_2_distortions
-FS_M3 E2E-Mix-3 end_to_end_mix_3_distortions
-FS_M4 E2E-Mix-4 end_to_end_mix_4_distortions
-FR_RP Reenact-Post reenact_postprocess
-"""
-_DEEPER_ROWS = [line.split() for line in _DEEPER.strip().splitlines()]
+# The release's names, folders and class numbers.
 DEEPER = Release(
     "deeperforensics", "DeeperForensics-1.0", "DeFo",
-    _tasks(
-        "SR Source-Real real original_content/source_videos/videos original recursive\n"
-        + "\n".join(f"{a} {n} fake manipulated_content/{f}/videos {n}" for a, n, f in _DEEPER_ROWS)
-    ),
-    _labels(
-        "SR 0 0 1 real\n"
-        + "\n".join(
-            f"{a} 1 1 {i} {'face-reenactment' if a == 'FR_RP' else 'face-swap'}"
-            for i, (a, _, _) in enumerate(_DEEPER_ROWS, start=2)
-        )
+    (
+        Task("SR", "Source-Real", "real", "original_content/source_videos/videos", "original", True),
+        Task("FS_E2E", "End-to-End", "fake", "manipulated_content/end_to_end/videos", "End-to-End"),
+        Task("FS_L1", "E2E-Level-1", "fake", "manipulated_content/end_to_end_level_1/videos", "E2E-Level-1"),
+        Task("FS_L2", "E2E-Level-2", "fake", "manipulated_content/end_to_end_level_2/videos", "E2E-Level-2"),
+        Task("FS_L3", "E2E-Level-3", "fake", "manipulated_content/end_to_end_level_3/videos", "E2E-Level-3"),
+        Task("FS_L4", "E2E-Level-4", "fake", "manipulated_content/end_to_end_level_4/videos", "E2E-Level-4"),
+        Task("FS_L5", "E2E-Level-5", "fake", "manipulated_content/end_to_end_level_5/videos", "E2E-Level-5"),
+        Task("FS_RND", "E2E-Random", "fake", "manipulated_content/end_to_end_random_level/videos", "E2E-Random"),
+        Task("FS_M2", "E2E-Mix-2", "fake", "manipulated_content/end_to_end_mix_2_distortions/videos", "E2E-Mix-2"),
+        Task("FS_M3", "E2E-Mix-3", "fake", "manipulated_content/end_to_end_mix_3_distortions/videos", "E2E-Mix-3"),
+        Task("FS_M4", "E2E-Mix-4", "fake", "manipulated_content/end_to_end_mix_4_distortions/videos", "E2E-Mix-4"),
+        Task("FR_RP", "Reenact-Post", "fake", "manipulated_content/reenact_postprocess/videos", "Reenact-Post"),
     ),
+    {
+        "SR": Label(0, 0, 1, "real"),
+        "FS_E2E": Label(1, 1, 2, "face-swap"),
+        "FS_L1": Label(1, 1, 3, "face-swap"),
+        "FS_L2": Label(1, 1, 4, "face-swap"),
+        "FS_L3": Label(1, 1, 5, "face-swap"),
+        "FS_L4": Label(1, 1, 6, "face-swap"),
+        "FS_L5": Label(1, 1, 7, "face-swap"),
+        "FS_RND": Label(1, 1, 8, "face-swap"),
+        "FS_M2": Label(1, 1, 9, "face-swap"),
+        "FS_M3": Label(1, 1, 10, "face-swap"),
+        "FS_M4": Label(1, 1, 11, "face-swap"),
+        "FR_RP": Label(1, 1, 12, "face-reenactment"),
+    },
     real=lambda: _same_person(part(_stem(), "_", 0)),
     fake=lambda: _same_person(_after_first(_stem())),
     candidates=lambda: F.when(_local().rlike(r"^\d+_[MW]\d+$"), _after_first(_local())),
@@ -405,26 +448,34 @@ def _wild() -> dict[str, Column]:
     }
 
 
+# The release's names, folders and class numbers.
 WILD = Release(
     "wilddeepfake", "WildDeepfake", "WDF",
-    _tasks("""
-REAL real real original_content/real/frames/224w_224h_wild_precropped original
-FAKE fake fake manipulated_content/fake/frames/224w_224h_wild_precropped fake
-"""),
-    _labels("REAL 0 0 1 real\nFAKE 1 1 2 unknown"),
+    (
+        Task("REAL", "real", "real", "original_content/real/frames/224w_224h_wild_precropped", "original"),
+        Task("FAKE", "fake", "fake", "manipulated_content/fake/frames/224w_224h_wild_precropped", "fake"),
+    ),
+    {
+        "REAL": Label(0, 0, 1, "real"),
+        "FAKE": Label(1, 1, 2, "unknown"),
+    },
     real=_wild, fake=_wild,
     default_scheme="official+ident-80-20", benchmark={"k_fake": 100},
 )
 
 # --- FFIW-10K: the split is the name's prefix; pairs come from side lists
 
+# The release's names, folders and class numbers.
 FFIW = Release(
     "ffiw10k", "FFIW10K", "FFIW",
-    _tasks("""
-REAL source real original_content/source/videos original
-FS_FAKE target fake manipulated_content/target/videos unknown
-"""),
-    _labels("REAL 0 0 1 real\nFS_FAKE 1 1 2 face-swap"),
+    (
+        Task("REAL", "source", "real", "original_content/source/videos", "original"),
+        Task("FS_FAKE", "target", "fake", "manipulated_content/target/videos", "unknown"),
+    ),
+    {
+        "REAL": Label(0, 0, 1, "real"),
+        "FS_FAKE": Label(1, 1, 2, "face-swap"),
+    },
     real=lambda: {"identity": _stem()},
     fake=lambda: {"identity": _stem(), "pair_key": F.col("side.pair")},
     default_scheme="official", benchmark={"k_fake": 1000},
@@ -445,24 +496,25 @@ def _kodf_fake() -> dict[str, Column]:
     return _when(four, who)
 
 
+# The release's names, folders and class numbers.
 KODF = Release(
     "kodf", "KoDF", "KoDF",
-    _tasks("""
-REAL Actors real original_content/actors/videos original recursive
-LS_AD audio-driven fake manipulated_content/audio-driven/videos audio-driven recursive
-FS_DFFS dffs fake manipulated_content/dffs/videos dffs recursive
-FS_DFL dfl fake manipulated_content/dfl/videos dfl recursive
-FR_FO fo fake manipulated_content/fo/videos fo recursive
-FS_FSG fsgan fake manipulated_content/fsgan/videos fsgan recursive
-"""),
-    _labels("""
-REAL 0 0 1 real
-LS_AD 1 1 2 lip-sync
-FS_DFFS 1 1 3 face-swap
-FS_DFL 1 1 4 face-swap
-FR_FO 1 1 5 face-reenactment
-FS_FSG 1 1 6 face-swap
-"""),
+    (
+        Task("REAL", "Actors", "real", "original_content/actors/videos", "original", True),
+        Task("LS_AD", "audio-driven", "fake", "manipulated_content/audio-driven/videos", "audio-driven", True),
+        Task("FS_DFFS", "dffs", "fake", "manipulated_content/dffs/videos", "dffs", True),
+        Task("FS_DFL", "dfl", "fake", "manipulated_content/dfl/videos", "dfl", True),
+        Task("FR_FO", "fo", "fake", "manipulated_content/fo/videos", "fo", True),
+        Task("FS_FSG", "fsgan", "fake", "manipulated_content/fsgan/videos", "fsgan", True),
+    ),
+    {
+        "REAL": Label(0, 0, 1, "real"),
+        "LS_AD": Label(1, 1, 2, "lip-sync"),
+        "FS_DFFS": Label(1, 1, 3, "face-swap"),
+        "FS_DFL": Label(1, 1, 4, "face-swap"),
+        "FR_FO": Label(1, 1, 5, "face-reenactment"),
+        "FS_FSG": Label(1, 1, 6, "face-swap"),
+    },
     real=lambda: _same_person(
         F.when(F.contains(_stem(), F.lit("_")), F.regexp_extract(_stem(), "^(.*)_[^_]*$", 1))
     ),
@@ -485,23 +537,25 @@ def _dfdm_pair(s: Column) -> Column:
     return F.when(_dfdm_ok(s), F.concat_ws("_", part(s, "_", 0), part(s, "_", 2)))
 
 
+# The release's names, folders and class numbers.
 DFDM = Release(
     "dfdm", "DFDM", "DFDM",
-    _tasks("""
-REAL Celeb-real real original_content/Celeb-real/videos original
-FS_DF DFaker fake manipulated_content/DFaker/{cX}/videos DFaker
-FS_DFL DFL-H128 fake manipulated_content/DFL-H128/{cX}/videos DFL-H128
-FS_FS FaceSwap fake manipulated_content/FaceSwap/{cX}/videos FaceSwap
-FS_IAE IAE fake manipulated_content/IAE/{cX}/videos IAE
-FS_LW LightWeight fake manipulated_content/LightWeight/{cX}/videos LightWeight
-"""),
-    _labels(
-        "REAL 0 0 1 real\n"
-        + "\n".join(
-            f"{a} 1 1 {i} face-swap"
-            for i, a in enumerate(("FS_DF", "FS_DFL", "FS_FS", "FS_IAE", "FS_LW"), start=2)
-        )
+    (
+        Task("REAL", "Celeb-real", "real", "original_content/Celeb-real/videos", "original"),
+        Task("FS_DF", "DFaker", "fake", "manipulated_content/DFaker/{cX}/videos", "DFaker"),
+        Task("FS_DFL", "DFL-H128", "fake", "manipulated_content/DFL-H128/{cX}/videos", "DFL-H128"),
+        Task("FS_FS", "FaceSwap", "fake", "manipulated_content/FaceSwap/{cX}/videos", "FaceSwap"),
+        Task("FS_IAE", "IAE", "fake", "manipulated_content/IAE/{cX}/videos", "IAE"),
+        Task("FS_LW", "LightWeight", "fake", "manipulated_content/LightWeight/{cX}/videos", "LightWeight"),
     ),
+    {
+        "REAL": Label(0, 0, 1, "real"),
+        "FS_DF": Label(1, 1, 2, "face-swap"),
+        "FS_DFL": Label(1, 1, 3, "face-swap"),
+        "FS_FS": Label(1, 1, 4, "face-swap"),
+        "FS_IAE": Label(1, 1, 5, "face-swap"),
+        "FS_LW": Label(1, 1, 6, "face-swap"),
+    },
     real=lambda: _same_person(F.when(_stem().rlike("^id[^_]*_"), part(_stem(), "_", 0))),
     fake=lambda: {
         **_when(
@@ -553,20 +607,22 @@ def _favc(kind: str) -> Callable[[], dict[str, Column]]:
     return columns
 
 
-_AV_TASKS = """
-RVRA RealVideo-RealAudio real original_content/RealVideo-RealAudio/videos original recursive
-FVFA FakeVideo-FakeAudio fake manipulated_content/FakeVideo-FakeAudio/videos FakeVideo-FakeAudio recursive
-FVRA FakeVideo-RealAudio fake manipulated_content/FakeVideo-RealAudio/videos FakeVideo-RealAudio recursive
-RVFA RealVideo-FakeAudio fake manipulated_content/RealVideo-FakeAudio/videos RealVideo-FakeAudio recursive
-"""
-_AV_LABELS = """
-RVRA 0 0 1 real
-FVFA 1 1 2 video-and-audio
-FVRA 1 1 3 video-only
-RVFA 0 1 1 audio-only
-"""
+# Tasks and class numbers that two releases share.
+_AV_TASKS = (
+    Task("RVRA", "RealVideo-RealAudio", "real", "original_content/RealVideo-RealAudio/videos", "original", True),
+    Task("FVFA", "FakeVideo-FakeAudio", "fake", "manipulated_content/FakeVideo-FakeAudio/videos", "FakeVideo-FakeAudio", True),
+    Task("FVRA", "FakeVideo-RealAudio", "fake", "manipulated_content/FakeVideo-RealAudio/videos", "FakeVideo-RealAudio", True),
+    Task("RVFA", "RealVideo-FakeAudio", "fake", "manipulated_content/RealVideo-FakeAudio/videos", "RealVideo-FakeAudio", True),
+)
+_AV_LABELS = {
+    "RVRA": Label(0, 0, 1, "real"),
+    "FVFA": Label(1, 1, 2, "video-and-audio"),
+    "FVRA": Label(1, 1, 3, "video-only"),
+    "RVFA": Label(0, 1, 1, "audio-only"),
+}
+# The release's names, folders and class numbers.
 FAVC = Release(
-    "fakeavceleb", "FakeAVCeleb-v1_2", "FAVC", _tasks(_AV_TASKS), _labels(_AV_LABELS),
+    "fakeavceleb", "FakeAVCeleb-v1_2", "FAVC", _AV_TASKS, _AV_LABELS,
     real=_favc("real"), fake=_favc("fake"),
     candidates=lambda: F.coalesce(
         F.nullif(F.element_at("attrs", F.lit("raw_video_stem")), F.lit("")), _strip_fake(_local())
@@ -601,21 +657,41 @@ def _pgf_fake() -> dict[str, Column]:
     }
 
 
+# The release's names, folders and class numbers.
 PGF = Release(
     "polyglotfake", "PolyGlotFake", "PGF",
-    _tasks(
-        "\n".join(f"{c.upper()} {c} real original_content/{c}/videos original" for c in LANGUAGES)
-        + "\n"
-        + "\n".join(
-            f"LS_TO_{c.upper()} to_{c} fake manipulated_content/to_{c}/videos lip_sync"
-            for c in LANGUAGES
-        )
-    ),
-    _labels(
-        "\n".join(f"{c.upper()} 0 0 1 real" for c in LANGUAGES)
-        + "\n"
-        + "\n".join(f"LS_TO_{c.upper()} 1 1 {i} lip-sync" for i, c in enumerate(LANGUAGES, start=2))
+    (
+        Task("AR", "ar", "real", "original_content/ar/videos", "original"),
+        Task("EN", "en", "real", "original_content/en/videos", "original"),
+        Task("ES", "es", "real", "original_content/es/videos", "original"),
+        Task("FR", "fr", "real", "original_content/fr/videos", "original"),
+        Task("JA", "ja", "real", "original_content/ja/videos", "original"),
+        Task("RU", "ru", "real", "original_content/ru/videos", "original"),
+        Task("ZH", "zh", "real", "original_content/zh/videos", "original"),
+        Task("LS_TO_AR", "to_ar", "fake", "manipulated_content/to_ar/videos", "lip_sync"),
+        Task("LS_TO_EN", "to_en", "fake", "manipulated_content/to_en/videos", "lip_sync"),
+        Task("LS_TO_ES", "to_es", "fake", "manipulated_content/to_es/videos", "lip_sync"),
+        Task("LS_TO_FR", "to_fr", "fake", "manipulated_content/to_fr/videos", "lip_sync"),
+        Task("LS_TO_JA", "to_ja", "fake", "manipulated_content/to_ja/videos", "lip_sync"),
+        Task("LS_TO_RU", "to_ru", "fake", "manipulated_content/to_ru/videos", "lip_sync"),
+        Task("LS_TO_ZH", "to_zh", "fake", "manipulated_content/to_zh/videos", "lip_sync"),
     ),
+    {
+        "AR": Label(0, 0, 1, "real"),
+        "EN": Label(0, 0, 1, "real"),
+        "ES": Label(0, 0, 1, "real"),
+        "FR": Label(0, 0, 1, "real"),
+        "JA": Label(0, 0, 1, "real"),
+        "RU": Label(0, 0, 1, "real"),
+        "ZH": Label(0, 0, 1, "real"),
+        "LS_TO_AR": Label(1, 1, 2, "lip-sync"),
+        "LS_TO_EN": Label(1, 1, 3, "lip-sync"),
+        "LS_TO_ES": Label(1, 1, 4, "lip-sync"),
+        "LS_TO_FR": Label(1, 1, 5, "lip-sync"),
+        "LS_TO_JA": Label(1, 1, 6, "lip-sync"),
+        "LS_TO_RU": Label(1, 1, 7, "lip-sync"),
+        "LS_TO_ZH": Label(1, 1, 8, "lip-sync"),
+    },
     real=lambda: {
         "identity": F.coalesce("side.speaker", "task"),
         "target_id": F.col("task"),
@@ -666,15 +742,11 @@ def _ds2_fake() -> dict[str, Column]:
     }
 
 
-def _deepspeak(version: str, tasks: str, labels: str, fake: Callable, benchmark: dict) -> Release:
-    rows = [line.split() for line in tasks.strip().splitlines()]
+def _deepspeak(
+    version: str, tasks: tuple[Task, ...], labels: Mapping[str, Label], fake: Callable, benchmark: dict
+) -> Release:
     return Release(
-        f"deepspeak-{version}", f"DeepSpeak-{version}", f"DS{version}",
-        _tasks(
-            "AR Actors real original_content/Actors/videos original\n"
-            + "\n".join(f"{a} {n} fake manipulated_content/{n}/videos {n.lower()}" for a, n in rows)
-        ),
-        _labels("AR 0 0 1 real\n" + labels.strip()),
+        f"deepspeak-{version}", f"DeepSpeak-{version}", f"DS{version}", tasks, labels,
         real=_ds_real, fake=fake,
         candidates=lambda: F.coalesce("pair_key", "target_id"),
         official=lambda: F.nullif("identity", F.lit("")),
@@ -682,42 +754,48 @@ def _deepspeak(version: str, tasks: str, labels: str, fake: Callable, benchmark:
     )
 
 
+# The release's names, folders and class numbers.
 DEEPSPEAK_V1 = _deepspeak(
     "v1",
-    """
-FS_FF FaceFusion
-FS_FFGAN FaceFusion_GAN
-FS_FFLIVE FaceFusion_Live
-LS_RT ReTalking
-LS_W2L Wav2Lip
-""",
-    """
-FS_FF 1 1 2 face-swap
-FS_FFGAN 1 1 3 face-swap
-FS_FFLIVE 1 1 4 face-swap
-LS_RT 1 1 5 lip-sync
-LS_W2L 1 1 6 lip-sync
-""",
+    (
+        Task("AR", "Actors", "real", "original_content/Actors/videos", "original"),
+        Task("FS_FF", "FaceFusion", "fake", "manipulated_content/FaceFusion/videos", "facefusion"),
+        Task("FS_FFGAN", "FaceFusion_GAN", "fake", "manipulated_content/FaceFusion_GAN/videos", "facefusion_gan"),
+        Task("FS_FFLIVE", "FaceFusion_Live", "fake", "manipulated_content/FaceFusion_Live/videos", "facefusion_live"),
+        Task("LS_RT", "ReTalking", "fake", "manipulated_content/ReTalking/videos", "retalking"),
+        Task("LS_W2L", "Wav2Lip", "fake", "manipulated_content/Wav2Lip/videos", "wav2lip"),
+    ),
+    {
+        "AR": Label(0, 0, 1, "real"),
+        "FS_FF": Label(1, 1, 2, "face-swap"),
+        "FS_FFGAN": Label(1, 1, 3, "face-swap"),
+        "FS_FFLIVE": Label(1, 1, 4, "face-swap"),
+        "LS_RT": Label(1, 1, 5, "lip-sync"),
+        "LS_W2L": Label(1, 1, 6, "lip-sync"),
+    },
     _ds1_fake, {"k_fake": 2, "strata": ("identity", "task")},
 )
+# The release's names, folders and class numbers.
 DEEPSPEAK_V2 = _deepspeak(
     "v2",
-    """
-LS_D2L Diff2Lip
-FS_FF FaceFusion
-TF_HM HelloMeme
-LS_LS LatentSync
-TF_LP LivePortrait
-TF_MEMO Memo
-""",
-    """
-LS_D2L 1 1 2 lip-sync
-FS_FF 1 1 3 face-swap
-TF_HM 1 1 4 talking-face
-LS_LS 1 1 5 lip-sync
-TF_LP 1 1 6 talking-face
-TF_MEMO 1 1 7 talking-face
-""",
+    (
+        Task("AR", "Actors", "real", "original_content/Actors/videos", "original"),
+        Task("LS_D2L", "Diff2Lip", "fake", "manipulated_content/Diff2Lip/videos", "diff2lip"),
+        Task("FS_FF", "FaceFusion", "fake", "manipulated_content/FaceFusion/videos", "facefusion"),
+        Task("TF_HM", "HelloMeme", "fake", "manipulated_content/HelloMeme/videos", "hellomeme"),
+        Task("LS_LS", "LatentSync", "fake", "manipulated_content/LatentSync/videos", "latentsync"),
+        Task("TF_LP", "LivePortrait", "fake", "manipulated_content/LivePortrait/videos", "liveportrait"),
+        Task("TF_MEMO", "Memo", "fake", "manipulated_content/Memo/videos", "memo"),
+    ),
+    {
+        "AR": Label(0, 0, 1, "real"),
+        "LS_D2L": Label(1, 1, 2, "lip-sync"),
+        "FS_FF": Label(1, 1, 3, "face-swap"),
+        "TF_HM": Label(1, 1, 4, "talking-face"),
+        "LS_LS": Label(1, 1, 5, "lip-sync"),
+        "TF_LP": Label(1, 1, 6, "talking-face"),
+        "TF_MEMO": Label(1, 1, 7, "talking-face"),
+    },
     _ds2_fake, {"k_fake": 2, "strata": ("target_id", "task")},
 )
 
@@ -734,32 +812,35 @@ def _idforge(kind: str) -> Callable[[], dict[str, Column]]:
     return columns
 
 
-_IDF = """
-FS_AM_TM face_audiomismatch_textmismatch face-swap
-FS_RVC_TM face_rvc_textmismatch face-swap
-FS_TTS face_tts face-swap
-FS_TTS_TG face_tts_textgen face-swap
-LS_AM_TM lip_audiomismatch_textmismatch lip-sync
-LS_RVC_TM lip_rvc_textmismatch lip-sync
-LS_TTS_TG lip_tts_textgen lip-sync
-RVC_TM rvc_textmismatch audio-only
-TTS_TG tts_textgen audio-only
-TTS_TM tts_textmismatch audio-only
-"""
-_IDF_ROWS = [line.split() for line in _IDF.strip().splitlines()]
+# The release's names, folders and class numbers.
 IDFORGE = Release(
     "idforge-v1", "IDForge-v1", "IDFv1",
-    _tasks(
-        "REAL pristine real original_content/pristine/videos original recursive\n"
-        + "\n".join(f"{a} {n} fake manipulated_content/{n}/videos {n} recursive" for a, n, _ in _IDF_ROWS)
-    ),
-    _labels(
-        "REAL 0 0 1 real\n"
-        + "\n".join(
-            f"{a} 0 1 1 {f}" if f == "audio-only" else f"{a} 1 1 {i} {f}"
-            for i, (a, _, f) in enumerate(_IDF_ROWS, start=2)
-        )
+    (
+        Task("REAL", "pristine", "real", "original_content/pristine/videos", "original", True),
+        Task("FS_AM_TM", "face_audiomismatch_textmismatch", "fake", "manipulated_content/face_audiomismatch_textmismatch/videos", "face_audiomismatch_textmismatch", True),
+        Task("FS_RVC_TM", "face_rvc_textmismatch", "fake", "manipulated_content/face_rvc_textmismatch/videos", "face_rvc_textmismatch", True),
+        Task("FS_TTS", "face_tts", "fake", "manipulated_content/face_tts/videos", "face_tts", True),
+        Task("FS_TTS_TG", "face_tts_textgen", "fake", "manipulated_content/face_tts_textgen/videos", "face_tts_textgen", True),
+        Task("LS_AM_TM", "lip_audiomismatch_textmismatch", "fake", "manipulated_content/lip_audiomismatch_textmismatch/videos", "lip_audiomismatch_textmismatch", True),
+        Task("LS_RVC_TM", "lip_rvc_textmismatch", "fake", "manipulated_content/lip_rvc_textmismatch/videos", "lip_rvc_textmismatch", True),
+        Task("LS_TTS_TG", "lip_tts_textgen", "fake", "manipulated_content/lip_tts_textgen/videos", "lip_tts_textgen", True),
+        Task("RVC_TM", "rvc_textmismatch", "fake", "manipulated_content/rvc_textmismatch/videos", "rvc_textmismatch", True),
+        Task("TTS_TG", "tts_textgen", "fake", "manipulated_content/tts_textgen/videos", "tts_textgen", True),
+        Task("TTS_TM", "tts_textmismatch", "fake", "manipulated_content/tts_textmismatch/videos", "tts_textmismatch", True),
     ),
+    {
+        "REAL": Label(0, 0, 1, "real"),
+        "FS_AM_TM": Label(1, 1, 2, "face-swap"),
+        "FS_RVC_TM": Label(1, 1, 3, "face-swap"),
+        "FS_TTS": Label(1, 1, 4, "face-swap"),
+        "FS_TTS_TG": Label(1, 1, 5, "face-swap"),
+        "LS_AM_TM": Label(1, 1, 6, "lip-sync"),
+        "LS_RVC_TM": Label(1, 1, 7, "lip-sync"),
+        "LS_TTS_TG": Label(1, 1, 8, "lip-sync"),
+        "RVC_TM": Label(0, 1, 1, "audio-only"),
+        "TTS_TG": Label(0, 1, 1, "audio-only"),
+        "TTS_TM": Label(0, 1, 1, "audio-only"),
+    },
     real=_idforge("real"), fake=_idforge("fake"),
     candidates=lambda: F.col("identity"),
     official=_local,
@@ -787,8 +868,9 @@ def _lav() -> dict[str, Column]:
     return {"pair_key": F.col("side.original"), "attrs": F.create_map(*entries)}
 
 
+# The release's names, folders and class numbers.
 LAVDF = Release(
-    "lav-df", "LAV-DF", "LAVDF", _tasks(_AV_TASKS), _labels(_AV_LABELS),
+    "lav-df", "LAV-DF", "LAVDF", _AV_TASKS, _AV_LABELS,
     real=_lav, fake=_lav, candidates=lambda: F.col("pair_key"), official=_local,
     pairing_rule="original-video", default_scheme="official",
     benchmark={"k_fake": 100, "strata": ("task",)},
@@ -805,6 +887,7 @@ AVDF_TASKS = {
     ("visual_modified", "diff2lip"): "LS_D2L",
     ("both_modified", "Talklip"): "LS_TALKLIP_TTS",
 }
+# The release's names, folders and class numbers.
 AVDF = Release(
     "av-deepfake1m-pp", "AV-Deepfake1M++", "AVDF1MPP",
     (
@@ -814,13 +897,13 @@ AVDF = Release(
         Task("LS_D2L", "FakeVideo-RealAudio-Diff2Lip", "fake", "", "diff2lip", True),
         Task("RVFA", "RealVideo-FakeAudio", "fake", "", "tts_audio_only", True),
     ),
-    _labels("""
-RVRA 0 0 1 real
-LS_TALKLIP 1 1 2 lip-sync
-LS_TALKLIP_TTS 1 1 3 lip-sync
-LS_D2L 1 1 4 lip-sync
-RVFA 0 1 1 audio-only
-"""),
+    {
+        "RVRA": Label(0, 0, 1, "real"),
+        "LS_TALKLIP": Label(1, 1, 2, "lip-sync"),
+        "LS_TALKLIP_TTS": Label(1, 1, 3, "lip-sync"),
+        "LS_D2L": Label(1, 1, 4, "lip-sync"),
+        "RVFA": Label(0, 1, 1, "audio-only"),
+    },
     candidates=lambda: F.col("pair_key"), official=_local, pairing_rule="original-video",
     default_scheme="official", benchmark={"k_fake": 100, "strata": ("task",)},
     local_attrs=("audio_relpath",),
@@ -841,26 +924,39 @@ def _thb_fake() -> dict[str, Column]:
     return {"source_id": F.coalesce("side.driver", written)}
 
 
-_THB = "TH_LP LivePortrait\nTH_APA AniPortraitAudio\nTH_APV AniPortraitVideo\nTH_H1 Hallo\n" \
-    "TH_H2 Hallo2\nTH_EP EmoPortrait\nTH_M1 MAGI-1\nTH_H3 Hallo3"
-_THB_ROWS = [line.split() for line in _THB.splitlines()]
 # The sibling folder and video folder of each task of reals.
 THB_REALS = {
     "REAL_FF": ("FaceForensics++", "original_content/YouTube/raw/videos"),
     "REAL_CVHQ": ("CelebV-HQ", "original_content/YouTube/videos"),
 }
 THB_HELD_OUT = ("TH_M1", "TH_H3")
+# The release's names, folders and class numbers.
 THB = Release(
     "talkingheadbench", "TalkingHeadBench", "THB",
     (
         Task("REAL_FF", "Real-FFpp", "real", "../FaceForensics++/original_content/YouTube/raw/videos", "original"),
         Task("REAL_CVHQ", "Real-CelebVHQ", "real", "../CelebV-HQ/original_content/YouTube/videos", "original"),
-        *[Task(a, n, "fake", f"manipulated_content/{n}/videos", n) for a, n in _THB_ROWS],
-    ),
-    _labels(
-        "REAL_FF 0 0 1 real\nREAL_CVHQ 0 0 1 real\n"
-        + "\n".join(f"{a} 1 1 {i} talking-head" for i, (a, _) in enumerate(_THB_ROWS, start=2))
+        Task("TH_LP", "LivePortrait", "fake", "manipulated_content/LivePortrait/videos", "LivePortrait"),
+        Task("TH_APA", "AniPortraitAudio", "fake", "manipulated_content/AniPortraitAudio/videos", "AniPortraitAudio"),
+        Task("TH_APV", "AniPortraitVideo", "fake", "manipulated_content/AniPortraitVideo/videos", "AniPortraitVideo"),
+        Task("TH_H1", "Hallo", "fake", "manipulated_content/Hallo/videos", "Hallo"),
+        Task("TH_H2", "Hallo2", "fake", "manipulated_content/Hallo2/videos", "Hallo2"),
+        Task("TH_EP", "EmoPortrait", "fake", "manipulated_content/EmoPortrait/videos", "EmoPortrait"),
+        Task("TH_M1", "MAGI-1", "fake", "manipulated_content/MAGI-1/videos", "MAGI-1"),
+        Task("TH_H3", "Hallo3", "fake", "manipulated_content/Hallo3/videos", "Hallo3"),
     ),
+    {
+        "REAL_FF": Label(0, 0, 1, "real"),
+        "REAL_CVHQ": Label(0, 0, 1, "real"),
+        "TH_LP": Label(1, 1, 2, "talking-head"),
+        "TH_APA": Label(1, 1, 3, "talking-head"),
+        "TH_APV": Label(1, 1, 4, "talking-head"),
+        "TH_H1": Label(1, 1, 5, "talking-head"),
+        "TH_H2": Label(1, 1, 6, "talking-head"),
+        "TH_EP": Label(1, 1, 7, "talking-head"),
+        "TH_M1": Label(1, 1, 8, "talking-head"),
+        "TH_H3": Label(1, 1, 9, "talking-head"),
+    },
     fake=_thb_fake, candidates=lambda: F.col("source_id"), pairing_rule="driving-video",
     default_scheme="official", benchmark={"k_fake": 100, "strata": ("task",)},
     local_attrs=("audio_relpath",),
@@ -877,11 +973,19 @@ def _synthetic_fake() -> dict[str, Column]:
     )
 
 
+# The release's names, folders and class numbers.
 SYNTHETIC = Release(
     "synthetic", "synthetic", "SYN",
-    _tasks("REAL original real original original\nBLEND_A blend-a fake blend-a blend-a\n"
-           "BLEND_B blend-b fake blend-b blend-b"),
-    _labels("REAL 0 0 0 real\nBLEND_A 1 1 1 blend\nBLEND_B 1 1 2 blend"),
+    (
+        Task("REAL", "original", "real", "original", "original"),
+        Task("BLEND_A", "blend-a", "fake", "blend-a", "blend-a"),
+        Task("BLEND_B", "blend-b", "fake", "blend-b", "blend-b"),
+    ),
+    {
+        "REAL": Label(0, 0, 0, "real"),
+        "BLEND_A": Label(1, 1, 1, "blend"),
+        "BLEND_B": Label(1, 1, 2, "blend"),
+    },
     real=lambda: _same_person(_stem()), fake=_synthetic_fake,
     candidates=lambda: F.col("target_id"), official=lambda: F.col("identity"),
     pairing_rule="target-id", default_scheme="official", benchmark={"k_fake": 20},
