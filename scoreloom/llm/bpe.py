@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreloom.llm.common import query, slices, table
+from scoreloom.llm.common import aside, query, restored_names, slices, table
 
 # Distinct words a worker remembers; beyond this many it starts anew.
 REMEMBERED = 200_000
@@ -192,20 +192,23 @@ def encoded(docs: DataFrame, path: str, decode: bool = False) -> DataFrame:
     """
     spark = docs.sparkSession
     bpe = spark.sparkContext.broadcast(Bpe(path))
-    rest = [f for f in docs.schema.fields if f.name != "text"]
+    inner, names = aside(docs, "text")
+    inner = inner.drop(names["text"])
+    rest = [f for f in inner.schema.fields if f.name != "text"]
+    added = ["_ids", *(["_decoded"] if decode else [])]
     schema = T.StructType([*rest, T.StructField("_ids", T.BinaryType()), *([T.StructField("_decoded", T.StringType())] if decode else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _Encoder(bpe.value)
         for part in slices(batches, "text", 2 << 20):
-            ids = encode(part.column(part.schema.get_field_index("text")).to_pylist())
-            columns = [part.column(part.schema.get_field_index(f.name)) for f in rest]
+            ids = encode(part.column("text").to_pylist())
+            columns = [part.column(f.name) for f in rest]
             columns.append(pa.array([x.tobytes() for x in ids], pa.binary()))
             if decode:
                 columns.append(pa.array([decoded_text(bpe.value, x).decode() for x in ids], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return inner.mapInArrow(run, schema).select(*restored_names(names, added, without=["text"]))
 
 
 def word_bpe() -> str:

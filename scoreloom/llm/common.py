@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,21 +74,63 @@ def hex_unit(hex_digits: Column) -> Column:
     return F.conv(F.substring(hex_digits, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-class WordHashes(dict):
-    """64-bit hashes by word. It starts anew when full, so that its memory is bounded."""
+def aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` with every column under a name of its own, and the needed ones once more under theirs;
+    and these names. No column of the input can clash with one that an operator makes."""
+    names = {c: f"_carried_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(m) for c, m in names.items()], *needed), names
 
-    def __init__(self, most: int = 300_000):
-        super().__init__()
-        self.most = most
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+def restored_names(names: dict[str, str], added: Sequence[str] = (), without: Sequence[str] = ()) -> list[Column]:
+    """The carried columns under their old names, then the added ones, which replace any of their name."""
+    return [*[F.col(m).alias(c) for c, m in names.items() if c not in added and c not in without], *map(F.col, added)]
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_FOLD = np.arange(256)
+_FOLD[ord("A") : ord("Z") + 1] += 32
+
+
+class Words:
+    """The words of many texts as one flat array of hashes: no word becomes a Python object.
+
+    A word's hash is a polynomial of its bytes, looked up as random 64-bit numbers, and its length.
+    `doc` is the text of each word, `start` and `end` its bytes in `flat`; `fold` lower-cases A-Z.
+    """
+
+    def __init__(self, texts: Sequence[str | None], fold: bool = False):
+        raw = [(t or "").encode() for t in texts]
+        self.flat = b"\n".join([*raw, b""])
+        data = np.frombuffer(self.flat, np.uint8)
+        space = _SPACE[data]
+        edge = np.flatnonzero(np.diff(space, prepend=True))
+        self.start, self.end = edge[::2], edge[1::2]
+        length = self.end - self.start
+        closes = np.cumsum([len(r) + 1 for r in raw])
+        self.doc = np.searchsorted(closes, self.start, "right")
+        self.counts = np.bincount(self.doc, minlength=len(raw))
+        if len(length) == 0:
+            self.hashes = np.zeros(0, np.uint64)
+            return
+        table = mix64(np.arange(1, 257).astype(np.uint64))
+        table = table[_FOLD] if fold else table
+        first = np.cumsum(length) - length
+        with np.errstate(over="ignore"):
+            power = np.cumprod(np.full(int(length.max()), 0x9E3779B97F4A7C15, np.uint64))
+            offset = np.arange(int(length.sum())) - np.repeat(first, length)
+            value = table[data[~space]] * power[offset]
+            self.hashes = mix64(np.add.reduceat(value, first) + length.astype(np.uint64))
+
+    def shingles(self, n: int) -> list[np.ndarray]:
+        """The hashes of the runs of `n` words of every text, sorted, each once; of a shorter text as a whole."""
+        w, counts = self.hashes, self.counts
+        many = shingle_hashes(w, n) if len(w) >= n else w[:0]
+        first = np.cumsum(counts) - counts
+        out = []
+        for a, c in zip(first.tolist(), counts.tolist()):
+            s = np.sort(many[a : a + c - n + 1] if c >= n else shingle_hashes(w[a : a + c], n))
+            out.append(s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s)
+        return out
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -139,11 +180,20 @@ def key_bucket(keys: np.ndarray) -> np.ndarray:
 
 
 def has_bit(bits: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    bucket = bucket >> (KEY_BITS - (len(bits).bit_length() + 2))
     return ((bits[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1) == 1
 
 
+def _folded(bits: np.ndarray) -> np.ndarray:
+    """A bitmap of half the size: neighbouring bits become one."""
+    pair = np.array([sum((((b >> 2 * k) | (b >> (2 * k + 1))) & 1) << k for k in range(4)) for b in range(256)], np.uint8)
+    half = pair[bits]
+    return half[::2] | (half[1::2] << 4)
+
+
 def bitmap(buckets: DataFrame) -> np.ndarray:
-    """The bitmap of a table (bucket): 2**KEY_BITS bits, 16 MB, however many rows there are.
+    """The bitmap of a table (bucket): 2**KEY_BITS bits, 16 MB, at most, however many rows there are.
+    One of few bits is folded to a smaller size.
 
     Set bits become packed blocks on the executors; the driver only puts the blocks together.
     """
@@ -166,6 +216,8 @@ def bitmap(buckets: DataFrame) -> np.ndarray:
     bits = np.zeros(1 << (KEY_BITS - 3), np.uint8)
     for row in blocks.toLocalIterator():
         bits[row["block"] * size // 8 : (row["block"] + 1) * size // 8] = np.frombuffer(row["bits"], np.uint8)
+    while len(bits) > 1 << 14 and int(np.bitwise_count(bits).sum()) < len(bits) * 8 // 64:
+        bits = _folded(bits)
     return bits
 
 

@@ -88,7 +88,7 @@ def _pairs(x: np.ndarray, y: np.ndarray, least: float, same: bool) -> tuple[np.n
         rows.append(i)
         cols.append(j)
     i, j = np.concatenate(rows), np.concatenate(cols)
-    kept_i, kept_j = [], []
+    kept_i, kept_j = [i[:0]], [j[:0]]
     for a in range(0, len(i), 1 << 17):
         p, q = i[a : a + (1 << 17)], j[a : a + (1 << 17)]
         total, before = np.zeros(len(p)), 0

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import hex_unit, query, stored, table, word_count
+from scoreloom.llm.common import aside, hex_unit, query, restored_names, stored, table, word_count
 
 # Sources up to this many rows are sent to every task; more are joined by shuffle.
 SMALL_SOURCES = 100_000
@@ -62,7 +62,8 @@ def mixture(
     and follow their source's rate; a source of size 0 has rate 0. A null source is a source. Rows
     that share a doc_id share their draw; a null id draws as the text "null". No rows give no rows.
     """
-    sized = docs.withColumn("_size", word_count(F.col("text")))
+    inner, names = aside(docs, "doc_id", "source", "text")
+    sized = inner.select("*", word_count(F.col("text")).alias("_size"))
     sources = stored(
         source_targets(sized.select("source", F.col("_size").alias("size")), weights, share, cap), "sources"
     ).withColumnsRenamed({"source": "_src", "source_size": "_source_size", "target": "_target"})
@@ -75,14 +76,15 @@ def mixture(
         sized.join(sources, F.col("source").eqNullSafe(F.col("_src")))
         .withColumn("_rate", rate)
         .withColumn("_copies", copies)
-        .drop("_src", "_rate")
+        .select(*restored_names(names, ["_size", "_source_size", "_target", "_copies"]))
     )
 
 
 def mixed(docs: DataFrame, **options: object) -> DataFrame:
     """The mix itself: each document as often as `mixture` says, with the columns of `docs`."""
-    rows = mixture(docs, **options)
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select(*docs.columns)
+    inner, names = aside(docs, "doc_id", "source", "text")
+    rows = mixture(inner, **options)
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select(*restored_names(names))
 
 
 SIZES = f"""

@@ -19,14 +19,13 @@ from pyspark.sql import functions as F
 
 from scoreloom.llm.common import (
     PARTIAL,
-    WordHashes,
+    Words,
     bitmap,
     has_bit,
     key_bucket,
     mix64,
     partial,
     query,
-    shingle_hashes,
     slices,
     stored,
     summed,
@@ -34,7 +33,7 @@ from scoreloom.llm.common import (
 )
 from scoreloom.llm.components import components
 
-#: Counters of the frequency sketch: 16 MB, whatever the corpus. Shingles that share a counter seem
+#: Counters of the frequency sketch, a byte each: 4 MB, whatever the corpus. Shingles that share a counter seem
 #: more frequent than they are, which changes their order, never a result.
 SKETCH = 1 << 22
 SKETCH_BLOCK = 1 << 16
@@ -47,10 +46,11 @@ LIST = 32
 #: Members and probes that one comparison task holds at a time.
 MEMBERS, PROBES = 256, 1024
 LAST = (1 << 63) - 1
-
-
-def shingle_set(hashes: WordHashes, text: str | None, n: int) -> np.ndarray:
-    return np.unique(shingle_hashes(hashes.of((text or "").encode().lower().split()), n))
+#: Bytes of text taken at a time.
+SLICE = 2 << 20
+CODE = 8.0
+OCCURRENCES = 2.0 ** (np.arange(256) / CODE) - 1
+ALL_MATCHES = np.arange(1, MOST_MATCHES + 1)
 
 
 def set_key(s: np.ndarray) -> int:
@@ -62,22 +62,6 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _summaries(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for part in slices(batches, "text"):
-            sizes, keys = [], []
-            for text in part.column("text").to_pylist():
-                s = shingle_set(hashes, text, n)
-                sizes.append(len(s))
-                keys.append(_signed(set_key(s)) if len(s) else None)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("dk"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], names=["dk", "size", "node"]
-            )
-
-    return run
-
-
 # ---- frequencies ---------------------------------------------------------------------------------
 
 
@@ -85,45 +69,53 @@ def _counter(shingles: np.ndarray) -> np.ndarray:
     return (mix64(shingles) & np.uint64(SKETCH - 1)).astype(np.int64)
 
 
-def _partial_counts(n: int):
+def _summaries(n: int):
+    """Every row's set size and node, and at the end of a task its share of the frequency sketch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = WordHashes(), np.zeros(SKETCH, np.uint32)
-        for part in slices(batches, "text"):
-            sets = [shingle_set(hashes, t, n) for t in part.column("text").to_pylist()]
+        counts = np.zeros(SKETCH, np.uint32)
+        for part in slices(batches, "text", SLICE):
+            sets = Words(part.column("text").to_pylist(), fold=True).shingles(n)
             counts += np.bincount(_counter(np.concatenate(sets)), minlength=SKETCH).astype(np.uint32)
-        task = TaskContext.get().partitionId()
+            keys = [_signed(set_key(s)) if len(s) else None for s in sets]
+            none = [None] * len(sets)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("dk"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.int32()), pa.array(none, pa.binary())],
+                names=["dk", "size", "node", "key", "part", "value"],
+            )
         for b in range(SKETCH // SKETCH_BLOCK):
             block = counts[b * SKETCH_BLOCK : (b + 1) * SKETCH_BLOCK]
             if block.any():
-                yield partial(b, task, block.astype(np.uint64))
+                share = partial(b, TaskContext.get().partitionId(), block.astype(np.uint64))
+                none = pa.array([None], pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, none, *share.columns], names=["dk", "size", "node", "key", "part", "value"])
 
     return run
 
 
-def frequencies(texts: DataFrame, n: int) -> np.ndarray:
-    """In how many documents each counter's shingles occur."""
-    parts = texts.mapInArrow(_partial_counts(n), PARTIAL)
-    counts = np.zeros(SKETCH, np.uint64)
-    for b, block in summed(parts, np.uint64, texts.rdd.getNumPartitions()).items():
-        counts[b * SKETCH_BLOCK : (b + 1) * SKETCH_BLOCK] = block
-    return np.minimum(counts, np.uint64(0xFFFFFFFF)).astype(np.uint32)
+def frequencies(parts: DataFrame, tasks: int) -> np.ndarray:
+    """In how many documents each counter's shingles occur, as codes: eighths of a power of two."""
+    codes = np.zeros(SKETCH, np.uint8)
+    for b, block in summed(parts, np.uint64, tasks).items():
+        codes[b * SKETCH_BLOCK : (b + 1) * SKETCH_BLOCK] = np.minimum(np.round(CODE * np.log2(1.0 + block)), 255)
+    return codes
 
 
 # ---- prefixes ------------------------------------------------------------------------------------
 
 
-def prefix(s: np.ndarray, counts: np.ndarray, noise: float, t: float) -> tuple[np.ndarray, int]:
+def prefix(s: np.ndarray, codes: np.ndarray, noise: int, t: float) -> tuple[np.ndarray, int]:
     """The shingles of a set to index, and how many of them a pair must share.
 
     Reading the lists of a prefix costs the sum of its frequencies; at most that sum over l documents
     share l of its shingles, each to be verified. The l of least cost is taken.
     """
     n = len(s)
-    seen = counts[_counter(s)]
-    order = np.lexsort((s, seen))
-    cost = np.cumsum(np.maximum(seen[order] - noise, 1.0))
+    seen = codes[_counter(s)]
+    order = np.argsort(seen, kind="stable")  # sets are sorted, so ties are in the order of hashes
+    cost = np.cumsum(np.maximum(OCCURRENCES[seen[order]] - OCCURRENCES[noise], 1.0))
     base = n - int(np.ceil(t * n - 1e-9))
-    matches = np.arange(1, min(MOST_MATCHES, n - base) + 1)
+    matches = ALL_MATCHES[: min(MOST_MATCHES, n - base)]
     spent = cost[base + matches - 1]
     best = int(matches[np.argmin(spent * (1 + VERIFY_COST / matches))])
     return s[order[: base + best]], best
@@ -134,21 +126,20 @@ def _prefixes(n: int, t: float, sketch, shared):
     `shared` is None, else of those whose bucket is shared. A set is indexed once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, done = WordHashes(), set()
-        counts = sketch.value
-        noise = float(np.median(counts))
+        done: set[int] = set()
+        codes = sketch.value
+        noise = int(np.median(codes))
         bits = shared.value if shared is not None else None
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             if len(done) > 1_000_000:
                 done.clear()
             tokens, nodes, sizes, need = [], [], [], []
-            for text in part.column("text").to_pylist():
-                s = shingle_set(hashes, text, n)
+            for s in Words(part.column("text").to_pylist(), fold=True).shingles(n):
                 key = set_key(s)
                 if len(s) == 0 or key in done:
                     continue
                 done.add(key)
-                head, matches = prefix(s, counts, noise, t)
+                head, matches = prefix(s, codes, noise, t)
                 tokens.append(head)
                 nodes.append(key)
                 sizes.append(len(s))
@@ -193,14 +184,14 @@ def _compare(n: int, percent: int):
     """Rows sorted by place, members before probes: one link for every probe that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, place, members = WordHashes(), None, []
-        for part in slices(batches, "text"):
+        place, members = None, []
+        for part in slices(batches, "text", SLICE):
             out = []
+            sets = Words(part.column("text").to_pylist(), fold=True).shingles(n)
             keys = list(zip(*(part.column(c).to_pylist() for c in ("target", "block", "chunk"))))
-            for key, probe, node, text in zip(keys, part.column("probe").to_pylist(), part.column("node").to_pylist(), part.column("text").to_pylist()):
+            for key, probe, node, s in zip(keys, part.column("probe").to_pylist(), part.column("node").to_pylist(), sets):
                 if key != place:
                     place, members = key, []
-                s = shingle_set(hashes, text, n)
                 if not probe:
                     members.append((node, s))
                     continue
@@ -281,9 +272,10 @@ def near_groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
     t = percent / 100
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("dk"), "text")
-    summary = stored(texts.mapInArrow(_summaries(n), "dk long, size long, node long"), "sets")
+    both = stored(texts.mapInArrow(_summaries(n), f"dk long, size long, node long, {PARTIAL}"), "sets")
+    summary = both.where("key is null").select("dk", "size", "node")
     nodes = stored(summary.where("size > 0").groupBy("node").agg(F.min("dk").alias("dk")), "nodes")
-    sketch = spark.sparkContext.broadcast(frequencies(texts, n))
+    sketch = spark.sparkContext.broadcast(frequencies(both.where("key is not null").select("key", "part", "value"), texts.rdd.getNumPartitions()))
     seen = texts.mapInArrow(_prefixes(n, t, sketch, None), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     shared = spark.sparkContext.broadcast(bitmap(seen.where("n > 1").select("bucket")))
     entries = stored(

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import hex_unit, query, table
+from scoreloom.llm.common import aside, hex_unit, query, restored_names, table
 
 # Rows that one task orders when slots are given out.
 ROWS_PER_BLOCK = 1_000_000
@@ -33,7 +33,7 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
 
 
 def sharded(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | None = None) -> DataFrame:
-    """`docs` with _size, _crc, _shard, _slot and _grown (the shard under `grown` weights).
+    """`docs`, but for its text, with _size, _crc, _shard, _slot and _grown (the shard under `grown` weights).
 
     Slots count from 0 in every shard, in the order of md5(key), crc and size. Rows are numbered in
     blocks of equal leading digits, whose totals are added up per shard: a shard is never one task,
@@ -42,8 +42,9 @@ def sharded(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] |
     bytes and the checksum of an empty one.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    keyed = docs.select(
-        *[c for c in docs.columns if c != "text"],
+    inner, names = aside(docs, "doc_id", "text")
+    keyed = inner.select(
+        *[m for c, m in names.items() if c != "text"],
         (F.octet_length(text) + 16).cast("long").alias("_size"),
         F.crc32(text).alias("_crc"),
         key_of(F.col("doc_id")).alias("_key"),
@@ -63,7 +64,7 @@ def sharded(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] |
         placed.withColumn("_in", F.row_number().over(ordered) - 1)
         .join(offsets, ["_shard", "_block"])
         .withColumn("_slot", (F.col("_in") + F.col("_before")).cast("long"))
-        .drop("_in", "_before", "_block", "_h", "_key")
+        .select(*restored_names(names, ["_size", "_crc", "_shard", "_slot", "_grown"], without=["text"]))
     )
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreloom.llm.common import WordHashes, bitmap, has_bit, key_bucket, mix64, query, slices, stored, table
+from scoreloom.llm.common import Words, bitmap, has_bit, key_bucket, mix64, query, slices, stored, table
 
 MINIMIZER = 6
 #: Windows of a segment at most. A run of windows with one minimizer is cut there; it is long only
@@ -31,6 +31,8 @@ SHARD_BYTES = 8 << 20
 #: Segments a task remembers in order to send each content once.
 REMEMBERED = 400_000
 LAST = (1 << 63) - 1
+#: Bytes of text taken at a time.
+SLICE = 2 << 20
 
 
 # ---- FM-index ------------------------------------------------------------------------------------
@@ -170,11 +172,9 @@ def judge_shard(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
 class _Segments:
     """The segments of a slice of documents, as flat arrays."""
 
-    def __init__(self, hashes: WordHashes, texts: Sequence[str | None], window: int):
-        docs = [(t or "").encode().split() for t in texts]
-        self.words = [w for d in docs for w in d]
-        counts = np.array([len(d) for d in docs], np.int64)
-        w = hashes.of(self.words)
+    def __init__(self, texts: Sequence[str | None], window: int):
+        self.words = Words(texts)
+        w, counts = self.words.hashes, self.words.counts
         n, span = len(w), window - MINIMIZER + 1
         self.size = 0
         if n < window:
@@ -189,7 +189,7 @@ class _Segments:
                 least, have = np.minimum(least[:-have], least[have:]), have * 2
             windows = n - window + 1
             least = np.minimum(least[:windows], least[span - have : span - have + windows])
-            doc = np.repeat(np.arange(len(docs)), counts)
+            doc = self.words.doc
             whole = doc[:windows] == doc[window - 1 :]
             new = np.r_[True, (least[1:] != least[:-1]) | (doc[1:windows] != doc[: windows - 1]) | (whole[1:] != whole[:-1])]
             run = np.flatnonzero(new)
@@ -239,9 +239,8 @@ class _Segments:
 
 def _buckets(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for part in slices(batches, "text"):
-            s = _Segments(hashes, part.column("text").to_pylist(), window)
+        for part in slices(batches, "text", SLICE):
+            s = _Segments(part.column("text").to_pylist(), window)
             if s.size:
                 b, at = np.unique(key_bucket(s.m).astype(np.int32), return_inverse=True)
                 n = np.bincount(at, weights=s.weight).astype(np.int64)
@@ -263,10 +262,10 @@ def _contents(window: int, sketch, shards: int):
     """Segments with their text: each content once per task, unless an earlier place turns up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), {}
+        seen: dict[int, tuple[int, int]] = {}
         shared, hot = sketch.value
-        for part in slices(batches, "text"):
-            s = _Segments(hashes, part.column("text").to_pylist(), window)
+        for part in slices(batches, "text", SLICE):
+            s = _Segments(part.column("text").to_pylist(), window)
             if not s.size:
                 continue
             doc, pos, _, start, end, route, h = s.chosen(shared, hot)
@@ -281,7 +280,8 @@ def _contents(window: int, sketch, shards: int):
                     seen[x] = place
                     keep.append(i)
             pick = np.array(keep, np.int64)
-            texts = [b" ".join(s.words[a:b]) for a, b in zip(start[pick].tolist(), end[pick].tolist())]
+            flat, first, last = s.words.flat, s.words.start[start[pick]], s.words.end[end[pick] - 1]
+            texts = [flat[a:b] for a, b in zip(first.tolist(), last.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array((route[pick] % np.uint64(shards)).astype(np.int32)),
@@ -300,10 +300,9 @@ def _places(window: int, sketch):
     """Every place of every segment that may repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         shared, hot = sketch.value
-        for part in slices(batches, "text"):
-            s = _Segments(hashes, part.column("text").to_pylist(), window)
+        for part in slices(batches, "text", SLICE):
+            s = _Segments(part.column("text").to_pylist(), window)
             if not s.size:
                 continue
             doc, pos, windows, _, _, _, h = s.chosen(shared, hot)

@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scoreloom.llm.common import (
     PARTIAL,
+    aside,
     bitmap,
     crc_of_id,
     has_bit,
@@ -26,6 +28,7 @@ from scoreloom.llm.common import (
     mix64,
     partial,
     query,
+    restored_names,
     slices,
     stored,
     summed,
@@ -291,7 +294,7 @@ def _evidences(model, carry: list[str], curve: np.ndarray | None):
                 columns.append(pa.array(x.tolist(), pa.list_(pa.float64())))
             else:
                 columns.append(pa.array(1 / (1 + np.exp(-np.clip(x @ curve, -50, 50)))))
-            yield pa.RecordBatch.from_arrays(columns, names=[*carry, "x" if curve is None else "score"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*carry, "x" if curve is None else "_score"])
 
     return run
 
@@ -337,9 +340,11 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, train_rows) -> DataFrame:
     rows = sample.mapInArrow(_evidences(model, ["toxic"], None), "toxic int, x array<double>").toArrow()
     x = np.array(rows.column("x").to_pylist(), np.float64).reshape(-1, 4)
     curve = fitted(x, rows.column("toxic").to_numpy().astype(np.float64))
-    carry = [c for c in docs.columns if c != "text"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    return docs.mapInArrow(_evidences(model, carry, curve), f"{fields}, score double").withColumnRenamed("score", "_score")
+    inner, names = aside(docs, "text")
+    carry = [m for c, m in names.items() if c != "text"]
+    schema = T.StructType([*[inner.schema[m] for m in carry], T.StructField("_score", T.DoubleType())])
+    scored = inner.select(*carry, "text").mapInArrow(_evidences(model, carry, curve), schema)
+    return scored.select(*restored_names(names, ["_score"], without=["text"]))
 
 
 def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
