@@ -12,6 +12,7 @@ the replicate as one more group.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -47,8 +48,10 @@ def _measure(name: str, params: dict, s: np.ndarray, pos: np.ndarray, neg: np.nd
     return hist_metrics.FUNCTIONS[name](s, pos, neg, **params)
 
 
-def _group_rng(seed: int, group: int, rep: int) -> np.random.Generator:
-    return np.random.default_rng([seed, group, rep])
+def _group_rng(seed: int, key: object, rep: int) -> np.random.Generator:
+    """A stream of its own for each group: its interval is the same alone and beside others."""
+    names = key if isinstance(key, tuple) else (key,)
+    return np.random.default_rng([seed, zlib.crc32(repr(tuple(map(str, names))).encode()), rep])
 
 
 def small_table(cells: DataFrame, rows: int) -> DataFrame | None:
@@ -99,12 +102,12 @@ def replicate_values(
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             reps = batch["rep"].to_numpy()
-            for g, (key, s, pos, neg) in enumerate(shared.value):
+            for key, s, pos, neg in shared.value:
                 step = max(1, _CHUNK // max(1, len(s)))
                 for at in range(0, len(reps), step):
                     some = reps[at : at + step]
                     # one generator per replicate: the draw does not depend on the batching
-                    rngs = [_group_rng(seed, g, int(r)) for r in some]
+                    rngs = [_group_rng(seed, key, int(r)) for r in some]
                     p = np.vstack([_multinomial(r, pos, 1) for r in rngs])
                     q = np.vstack([_multinomial(r, neg, 1) for r in rngs])
                     out = pd.DataFrame({"rep": some, "value": _measure(name, params, s, p, q)})

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.functions.keys import leaks_local_path
-from scoreloom.operators.ordered import bounded, join_null_safe
+from scoreloom.operators.ordered import join_null_safe
 
 
 def key_counts(rows: DataFrame, keys: Sequence[str], **more: Column) -> DataFrame:
@@ -28,7 +28,7 @@ def inventory_problems(rows: DataFrame, tasks: DataFrame) -> DataFrame:
     and repeated (key, compression). `tasks` maps task to label_key, one row per task."""
     task = F.substring_index("key", "/", 1)
     known = tasks.select(F.col("task").alias("_task"), F.col("label_key").alias("_label"))
-    joined = rows.join(bounded(known), task == F.col("_task"), "left")
+    joined = rows.join(known, task == F.col("_task"), "left")
     rules = F.array(
         F.when(~F.col("key").rlike("^[^/]+/.+$"), F.lit("key is not task/id")),
         F.when(F.col("_task").isNull(), F.lit("unknown task")),
@@ -64,7 +64,7 @@ def lint_release(
         lambda a, b: a | b,
         [F.coalesce(leaks_local_path(F.col(n)), F.lit(False)) for n, t in videos.dtypes if t == "string"],
     )
-    strangers = videos.join(bounded(vocab.select("label_key")), "label_key", "left_anti")
+    strangers = videos.join(vocab.select("label_key"), "label_key", "left_anti")
     known = videos.select("key").distinct()
     ends = pairs.select(F.col("real_key").alias("key")).unionAll(pairs.select("fake_key"))
     parts = [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator, Sequence
 
@@ -10,11 +11,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreloom.errors import ContractError
 from scoreloom.functions import hist_metrics
 from scoreloom.operators import bootstrap as B
 from scoreloom.operators import metrics as M
 from scoreloom.operators.joins import ROW_KEY
 from scoreloom.operators.ordered import join_null_safe, prefix_sums, score_block
+from scoreloom.operators.records import require_empty
 
 
 def file_pairs(rows: DataFrame) -> DataFrame:
@@ -175,10 +178,10 @@ def paired_delta_ci(
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for g, (key, sides, pos, neg) in enumerate(shared.value):
+            for key, sides, pos, neg in shared.value:
                 values = []
                 for rep in batch["rep"]:
-                    rng = B._group_rng(seed, g, int(rep))
+                    rng = B._group_rng(seed, key, int(rep))
                     p, q = B._multinomial(rng, pos, 1)[0], B._multinomial(rng, neg, 1)[0]
                     a, b = (
                         fn(
@@ -226,13 +229,22 @@ def compare(
     n_boot: int = 2000,
     seed: int = 0,
 ) -> dict[str, DataFrame]:
-    """Every pair of files on the rows both scored.
+    """Every pair of files on the rows both scored. Fewer than two files, a pair without a shared
+    row, and rows that two files label differently are refused.
 
     Returns `overlap` (shared and one-sided counts, label conflicts), `metrics` (both values, their
     difference and its interval per metric) and `delong` (the AUC test, Holm-adjusted over pairs).
     """
     pairs = file_pairs(rows)
     by = ["a", "b"]
+    files = [r["file"] for r in rows.select("file").distinct().orderBy("file").collect()]
+    if len(files) < 2:
+        raise ContractError("a comparison needs two files or more")
+    require_empty(pairs.where(~F.col("label_a").eqNullSafe(F.col("label_b"))).select(*by, *ROW_KEY), "labels differ")
+    met = {(r["a"], r["b"]) for r in pairs.select(*by).distinct().collect()}  # pairs of files
+    for pair in itertools.combinations(files, 2):
+        if pair not in met:
+            raise ContractError(f"files {pair[0]!r} and {pair[1]!r} share no scored row")
     joint = joint_hist(pairs, by)
     ok = rows.where(F.col("status") == "ok").groupBy("file").agg(F.count(F.lit(1)).alias("_n"))
     overlap = pairs.groupBy(*by).agg(
@@ -250,8 +262,9 @@ def compare(
     for label, (name, params) in metrics.items():
         point = None
         for side in ("a", "b"):
+            own = pairs.select(*by, *ROW_KEY, F.col("label_a").alias("label"), F.col(f"score_{side}").alias("score"))
             v = M.compute(
-                None, by, {f"value_{side}": B._distributed(name, params)},
+                own, by, {f"value_{side}": M.metric(name, **params)},
                 hist=side_hist(joint, by, side),
             ).select(*by, f"value_{side}")
             point = v if point is None else point.join(v, by)

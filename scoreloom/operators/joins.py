@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions.keys import task_or_key
 from scoreloom.operators.logs import latest
-from scoreloom.operators.ordered import bounded, join_null_safe
+from scoreloom.operators.ordered import join_null_safe
 from scoreloom.operators.records import KEY
 
 ROW_KEY = ("dataset", "key", "compression")
@@ -23,7 +23,7 @@ def index_videos(split_videos: DataFrame, store: DataFrame, mapping: DataFrame)
     """
     last = latest(store).select(*KEY, F.col("status").alias("_status"), "n_frames")
     joined = join_null_safe(split_videos, last, KEY, "left").join(
-        bounded(mapping.select("label_key", "mapped")), "label_key", "left"
+        mapping.select("label_key", "mapped"), "label_key", "left"
     )
     status = F.col("_status")
     reason = (
@@ -136,7 +136,7 @@ def label_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def missing_rows(split_videos: DataFrame, scored: DataFrame, mapping: DataFrame) -> DataFrame:
     """Score rows for the split's videos that have none, unless their label is excluded."""
-    labelled = split_videos.join(bounded(mapping), "label_key").where(
+    labelled = split_videos.join(mapping, "label_key").where(
         F.col("mapped") != "exclude"
     )
     unscored = join_null_safe(labelled, scored.select(*ROW_KEY), ROW_KEY, "left_anti")

@@ -15,10 +15,12 @@ from scoreloom.operators.records import KEY
 def latest(log: DataFrame, keys: Sequence[str] = KEY, seq: str = "seq") -> DataFrame:
     """The last row of every key.
 
-    A partial maximum per task, so a key logged over and over shuffles one row per task.
+    A partial maximum per task, so a key logged over and over shuffles one row per task. A row
+    without an order is an error.
     """
     others = [c for c in log.columns if c not in keys]
-    best = F.max_by(F.struct(*others), F.col(seq)).alias("_row")
+    known = F.coalesce(F.col(seq), F.raise_error(F.lit(f"a row without {seq}")).cast(log.schema[seq].dataType))
+    best = F.max_by(F.struct(*others), known).alias("_row")
     return log.groupBy(*keys).agg(best).select(*keys, "_row.*")
 
 

@@ -4,9 +4,10 @@ A running sum over a group is taken in two levels. Rows carry a block number tha
 order; each (group, block) is summed on its own, and the totals of the blocks before it are added.
 Only the block totals, a bounded number per group, are ever ordered together.
 
-Blocks come from one of two places: `score_block` maps a score in [0, 1] to a fixed block, so the
-plan stays lazy; `order_cuts` samples any order (strings, several columns) and returns cut points
-that become literals of the plan, so a retried task assigns the same blocks.
+Blocks come from one of two places: `score_block` maps a score in [0, 1] to a fixed, fine block, so
+the plan stays lazy; `order_cuts` samples any order (strings, several columns) and returns cut points
+that become literals of the plan, so a retried task assigns the same blocks. Their number follows the
+counted rows, whatever the files look like that the rows come from.
 """
 
 from __future__ import annotations
@@ -17,28 +18,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Input bytes per block. A plan that reads less is ordered in one block per group: splitting it
-# would cost a sampling job and gain nothing.
-BLOCK_BYTES = 128 << 20
-MAX_BLOCKS = 2048
-_SAMPLES_PER_BLOCK = 32
-
-
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size of everything a plan scans; no job is run."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+# Rows of a block, about; there are LEAST_BLOCKS even of a small table, so that one path serves all.
+ROWS_PER_BLOCK = 2_000_000
+LEAST_BLOCKS = 8
+_SAMPLES_PER_BLOCK = 64
 
 
 def score_block(score: Column) -> Column:
     """A block number that never falls as the score grows.
 
     Equal steps of log-odds: detectors crowd their scores near 0 and 1, which equal-width steps
-    would put into two blocks. About 2,400 blocks over [0, 1].
+    would put into two blocks. About 75,000 blocks over [0, 1], some hundred between 0.49 and 0.51.
     """
     p = F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0))
     odds = F.ln((p + F.lit(1e-16)) / (F.lit(1.0) - p + F.lit(1e-16)))
-    return F.floor(odds * 32.0).cast("int")
+    return F.floor(odds * 1024.0).cast("int")
 
 
 def join_null_safe(
@@ -61,35 +55,21 @@ def join_null_safe(
     return out.drop(*[f"_r_{k}" for k in keys])
 
 
-def bounded(table: DataFrame, rows: int = 100_000) -> DataFrame:
-    """A table that is broadcast when, and only when, it is found to hold at most `rows` rows.
-
-    A small one becomes local data whose exact size the planner knows; a larger one is returned as
-    it is and joined by shuffle.
-    """
-    head = table.limit(rows + 1).toArrow()
-    if head.num_rows > rows:
-        return table
-    return table.sparkSession.createDataFrame(head, schema=table.schema)
-
-
 def order_cuts(
     df: DataFrame, order: Sequence[str], blocks: int | None = None
 ) -> list[tuple[object, ...]]:
-    """Cut points splitting `order` into about `blocks` even blocks; [] for a small plan.
+    """Cut points splitting `order` into about `blocks` even blocks, as many as the rows ask for.
 
-    The sample is the rows with the smallest hashes: uniform, one pass, and bounded by the number
-    of blocks. It decides only where blocks end, never what the result is.
+    A uniform sample of a size that follows the number of blocks decides where blocks end, never what
+    the result is.
     """
+    keys = df.select(*order).dropna()
+    n = keys.count()
     if blocks is None:
-        blocks = min(MAX_BLOCKS, input_bytes(df) // BLOCK_BYTES + 1)
-    if blocks <= 1:
+        blocks = max(LEAST_BLOCKS, -(-n // ROWS_PER_BLOCK))
+    if blocks <= 1 or n == 0:
         return []
-    keys = df.select(*order).dropna()
-    sample = (
-        keys.orderBy(F.xxhash64(*order)).limit(int(blocks) * _SAMPLES_PER_BLOCK).orderBy(*order)
-    )
-    rows = [tuple(r) for r in sample.collect()]
+    rows = [tuple(r) for r in keys.sample(min(1.0, blocks * _SAMPLES_PER_BLOCK / n), 1).orderBy(*order).collect()]
     if not rows:
         return []
     picks = [rows[len(rows) * i // int(blocks)] for i in range(1, int(blocks))]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.errors import ConfigError, ContractError
 from scoreloom.functions.keys import task_or_key
-from scoreloom.operators.ordered import bounded, join_null_safe
+from scoreloom.operators.ordered import join_null_safe
 
 SPLITS = ("train", "val", "test", "exclude")
 RECORD_FIELDS = (
@@ -100,9 +100,9 @@ def label_table(
 def with_labels(rows: DataFrame, mapping: DataFrame, name: str = "mapped") -> DataFrame:
     """Rows with their mapped label; an unmapped key has null, which `unmapped` lists.
 
-    The vocabulary has one row per method of a dataset; `bounded` checks that it is small.
+    The vocabulary has one row per method of a dataset.
     """
-    table = bounded(mapping.select("label_key", F.col("mapped").alias(name)))
+    table = mapping.select("label_key", F.col("mapped").alias(name))
     return rows.join(table, "label_key", "left")
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions.scores import STATUSES, compose_key, import_score, import_status
 from scoreloom.operators.joins import ROW_KEY, double_matched, match_import, missing_rows
-from scoreloom.operators.ordered import bounded
 
 
 def import_scores(
@@ -42,9 +41,9 @@ def import_scores(
         (F.col(label).cast("string") if label else F.lit(None).cast("string")).alias("_label"),
         (F.col(status) if status else F.lit("ok")).cast("string").alias("_status"),
     )
-    labelled = split_videos.join(bounded(mapping), "label_key").where(F.col("mapped") != "exclude")
+    labelled = split_videos.join(mapping, "label_key").where(F.col("mapped") != "exclude")
     matched, unmatched = match_import(named, split_videos, use_compression=compression is not None)
-    kept = matched.join(bounded(mapping), "label_key").where(F.col("mapped") != "exclude")
+    kept = matched.join(mapping, "label_key").where(F.col("mapped") != "exclude")
     state = import_status(F.col("_status"))
     value = import_score(F.col("_score"), polarity)
     ok = state == "ok"

@@ -386,12 +386,17 @@ def w03(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "u02_pairs_sorted",
-    with_views("SELECT real_key, count(*) AS n FROM pr GROUP BY real_key", "fx_videos", **_pair_sql("2")),
+    with_views(
+        "SELECT real_key, fake_key, row_number() OVER (ORDER BY real_key, fake_key) AS place FROM pr",
+        "fx_videos", **_pair_sql("2"),
+    ),
 )
 def u02(spark: SparkSession, d: str) -> DataFrame:
+    from scoreloom.operators.ordered import numbered
+
     pairs = _pairs(spark, d).unionByName(_pairs(spark, d)).distinct()
-    ordered = pairs.orderBy("real_key", "fake_key", "rule")
-    return ordered.groupBy("real_key").agg(F.count("*").alias("n"))
+    out = numbered(pairs, [], ["real_key", "fake_key"], "place")
+    return out.select("real_key", "fake_key", F.col("place").cast("long").alias("place"))
 
 
 @query(

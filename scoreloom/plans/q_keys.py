@@ -102,7 +102,7 @@ def p03(spark: SparkSession, d: str) -> DataFrame:
 FROM (SELECT page_id, substr(url, 8 + page_id % 40) AS p FROM pages)""",
 )
 def p04(spark: SparkSession, d: str) -> DataFrame:
-    p = F.substring("url", F.lit(8) + (F.col("page_id") % 40).cast("int"), F.lit(100000))
+    p = F.substr("url", F.lit(8) + (F.col("page_id") % 40).cast("int"))
     rows = V.table(spark, d, "pages").select("page_id", p.alias("p"))
     p = F.col("p")
     return rows.select(

@@ -13,7 +13,8 @@ from scoreloom.operators import bootstrap as B
 from scoreloom.operators import metrics as M
 from scoreloom.operators.coverage import cells_coverage, cells_hist, status_cells
 from scoreloom.operators.joins import first_match
-from scoreloom.operators.ordered import bounded, join_null_safe
+from scoreloom.functions.scores import apply_missing_policy
+from scoreloom.operators.ordered import join_null_safe
 
 DIMENSIONS = ("method", "compression", "label_key", "family")
 Spec = tuple[str, dict]
@@ -26,7 +27,7 @@ def with_group(rows: DataFrame, by: str, vocab: DataFrame | None = None) -> Data
     if by == "family":
         if vocab is None:
             raise ConfigError("a breakdown by family needs the label vocabulary")
-        rows = rows.join(bounded(vocab.select("label_key", "family")), "label_key", "left")
+        rows = rows.join(vocab.select("label_key", "family"), "label_key", "left")
     return rows.withColumn("group", F.col(by).cast("string"))
 
 
@@ -69,19 +70,46 @@ def pooled_groups(
     return cells_hist(cells, keys, missing), cells_coverage(cells, keys)
 
 
+def pooled_rows(rows: DataFrame, by: str, vocab: DataFrame | None = None) -> DataFrame:
+    """The rows behind `pooled_cells`, for metrics that depend on the order of rows.
+
+    Reals are repeated for every group of fakes that is measured against them.
+    """
+    keys = ["file", "group"]
+    named = with_group(rows, by, vocab)
+    own = named.where(F.col("group").isNotNull())
+    if by == "compression":
+        return own
+    sides = own.groupBy(*keys, "dataset").agg(F.min("label").alias("_least"))
+    links = (
+        sides.withColumn("_least", F.min("_least").over(Window.partitionBy(*keys)))
+        .where(F.col("_least") == 1)
+        .select(*keys, "dataset")
+    )
+    pool = named.where(F.col("label") == 0).drop("group")
+    return own.unionByName(links.join(pool, ["file", "dataset"]), allowMissingColumns=True)
+
+
 def _long(
-    hist: DataFrame, keys: Sequence[str], metrics: dict[str, Spec], n_boot: int, seed: int
+    hist: DataFrame, keys: Sequence[str], metrics: dict[str, Spec], n_boot: int, seed: int, rows: DataFrame
 ) -> DataFrame:
-    """(keys, metric, value, ci_lo, ci_hi, undefined), one row per metric."""
+    """(keys, metric, value, ci_lo, ci_hi, undefined), one row per metric.
+
+    Values are those of the rows as they stand; only `aurc` reads them again, for the order of ties.
+    """
     parts = []
     if n_boot:
         for label, (name, params) in metrics.items():
             part = B.bootstrap_ci(hist, keys, name, params, n_boot=n_boot, seed=seed)
+            if name == "aurc":
+                exact = M.compute(rows, keys, {"value": M.metric(name, **params)}, hist=hist)
+                part = join_null_safe(part.drop("value"), exact.select(*keys, "value"), keys, "left")
+                part = part.select(*keys, "value", "undefined", "ci_lo", "ci_hi")
             parts.append(part.withColumn("metric", F.lit(label)))
     else:
         # every metric of the report comes from one plan over the shared histogram
         wide = M.compute(
-            None, keys, {k: B._distributed(n, p) for k, (n, p) in metrics.items()}, hist=hist
+            rows, keys, {k: M.metric(n, **p) for k, (n, p) in metrics.items()}, hist=hist
         )
         cells = [F.struct(F.lit(k).alias("metric"), F.col(f"`{k}`").alias("value")) for k in metrics]
         none = F.lit(None).cast("double")
@@ -164,7 +192,7 @@ def evaluate(
     cells = status_cells(rows, keys)
     cover = cells_coverage(cells, keys, min_coverage)
     hist = cells_hist(cells, keys, missing)
-    points = _long(hist, keys, metrics, n_boot, seed)
+    points = _long(hist, keys, metrics, n_boot, seed, apply_missing_policy(rows, missing))
     n = hist.groupBy(*keys).agg(F.sum(F.col("pos") + F.col("neg")).alias("n"))
     per_file = cover.join(n, "file", "left").join(points, "file", "left")
     out = {
@@ -176,7 +204,8 @@ def evaluate(
     if by is not None:
         keys = ["file", "group"]
         group_hist, covered = pooled_groups(rows, by, missing=missing, vocab=vocab)
-        table = _long(group_hist, keys, metrics, n_boot, seed).where(F.col("value").isNotNull())
+        pooled = apply_missing_policy(pooled_rows(rows, by, vocab), missing)
+        table = _long(group_hist, keys, metrics, n_boot, seed, pooled).where(F.col("value").isNotNull())
         out["breakdown"] = covered.join(table.drop("undefined"), keys, "left")
     if files is not None:
         out["seeds"] = seed_table(points, files)

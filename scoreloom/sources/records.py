@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import or_
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -63,11 +65,17 @@ class Scan:
 
 
 def read_jsonl(
-    spark: SparkSession, path: str | Sequence[str], schema: str | T.StructType, *, strict: bool = False
+    spark: SparkSession,
+    path: str | Sequence[str],
+    schema: str | T.StructType,
+    *,
+    strict: bool = False,
+    required: Sequence[str] = (),
 ) -> Scan:
     """JSON lines (gzip by suffix): blank lines skipped, other fields and broken lines reported.
 
-    With `strict`, values of another type are reported too. Each problem names its file and line.
+    With `strict`, values of another type are reported too; fields that are `required` must be there
+    and not null. Each problem names its file and line.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
@@ -83,6 +91,8 @@ def read_jsonl(
         F.size(F.array_except(names, known)) > 0,
         F.concat(F.lit("unknown field "), F.get(F.array_except(names, known), 0)),
     )
+    for field in required:
+        problem = problem.when(F.col(f"r.`{field}`").isNull(), F.lit(f"missing field {field}"))
     if strict:
         problem = problem.when(F.col("r._corrupt").isNotNull(), F.lit("value of another type"))
     return Scan(
@@ -151,11 +161,30 @@ def write_split_tsv(rows: DataFrame, path: str) -> str:
     return fingerprint(rows, split_line()).first()["fingerprint"]
 
 
-def read_csv_text(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """A CSV table with a header, every cell as text, a byte-order mark tolerated."""
-    rows = spark.read.option("header", True).option("sep", sep).option("escape", '"').csv(path)
-    first = rows.columns[0]
-    return rows.withColumnRenamed(first, first.lstrip("﻿"))
+def read_csv_text(spark: SparkSession, path: str, sep: str = ",", *, named: bool = False) -> DataFrame:
+    """A CSV table with a header, every cell as text, a byte-order mark tolerated.
+
+    Files may order or choose their columns each in their own way: files of one header are read
+    together, and the tables united by name. With `named`, `file` names the file of each row.
+    """
+    reader = spark.read.option("sep", sep).option("escape", '"')
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    lines = lines.withColumn("place", F.monotonically_increasing_id())
+    heads = (
+        lines.where("at = 0").groupBy("file")
+        .agg(F.min_by("value", "place").alias("head"))
+        .groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("head").collect()
+    )  # one row per header
+    if len(heads) <= 1:
+        tables = [reader.option("header", True).csv(path)]
+    else:
+        tables = [reader.option("header", True).csv(h["files"]) for h in heads]
+    tables = [t.withColumn("file", F.col("_metadata.file_name")) if named else t for t in tables]
+    tables = [t.withColumnRenamed(t.columns[0], t.columns[0].lstrip("\ufeff")) for t in tables]
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
 
 
 def score_table(cells: DataFrame) -> Scan:
@@ -191,8 +220,7 @@ def score_table(cells: DataFrame) -> Scan:
 
 def read_scores(spark: SparkSession, path: str) -> Scan:
     """Score tables from CSV files with a header; `file` names the file of each row."""
-    rows = read_csv_text(spark, path)
-    return score_table(rows.withColumn("file", F.col("_metadata.file_name")))
+    return score_table(read_csv_text(spark, path, named=True))
 
 
 def decimal_text(value: Column) -> Column:
@@ -225,7 +253,11 @@ def write_scores(rows: DataFrame, path: str, meta: Mapping[str, object]) -> None
     """A score table as CSV, its meta document beside it, written last."""
     each = F.explode(F.array_compact(F.array(*row_problems()))).alias("problem")
     require_empty(rows.select("dataset", "key", each), "bad score row")
-    cells = score_cells(rows).write.mode("overwrite").option("header", True)
+    table = score_cells(rows)
+    broken = reduce(or_, [F.coalesce(F.col(f"`{c}`").rlike("[\r\n]"), F.lit(False)) for c in table.columns])
+    # a table is read in blocks of lines, so no cell may hold a line break
+    require_empty(table.where(broken), "line break in a cell")
+    cells = table.write.mode("overwrite").option("header", True)
     cells.option("escape", '"').csv(path)
     spark = rows.sparkSession
     text = json.dumps(dict(meta), sort_keys=True, default=str)
@@ -260,7 +292,15 @@ SHARD_FILE = r"index\.shard-(\d+)-of-(\d+)\.jsonl"
 
 
 def append_outcomes(outcomes: DataFrame, path: str, batch_id: int) -> None:
-    """Append outcomes to a log, reasons cut to portable texts, each row with its batch."""
+    """Append outcomes to a log, reasons cut to portable texts, each row with its batch.
+
+    Rows without a `seq` are numbered in their order, after those of earlier batches.
+    """
+    place = F.monotonically_increasing_id()
+    if "seq" not in outcomes.columns:
+        # a task's first row, then its place: 2**20 rows of each of 4,096 tasks of a batch
+        at = F.shiftleft(F.shiftright(place, 33), 20) + place.bitwiseAND(F.lit((1 << 20) - 1))
+        outcomes = outcomes.withColumn("seq", F.lit(batch_id << 32) + at)
     rows = outcomes.withColumns(
         {
             "reason": portable_text(F.col("reason")),
@@ -272,9 +312,16 @@ def append_outcomes(outcomes: DataFrame, path: str, batch_id: int) -> None:
 
 
 def read_outcomes(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Outcome rows with the shard their file names, if any."""
+    """Outcome rows with the shard their file names, if any.
+
+    A line without a `seq` gets one from where it stands in its file: the start of the block that
+    Spark read it in, then its place among the rows of that block's task.
+    """
     paths = [path] if isinstance(path, str) else list(path)
     rows = spark.read.schema(OUTCOME_SCHEMA).json(paths)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 24) - 1))
+    at = F.shiftleft(F.col("_metadata.file_block_start"), 24) + place
+    rows = rows.withColumn("seq", F.coalesce(F.col("seq"), at))
     shard = F.regexp_extract(F.col("_metadata.file_path"), SHARD_FILE, 1)
     return rows.withColumn("shard", F.nullif(shard, F.lit("")).cast("int"))
 

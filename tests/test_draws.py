@@ -295,7 +295,7 @@ def test_holm_example(spark):
 
 def test_replicates_do_not_depend_on_partitioning(spark):
     s, pos, neg = np.array([0.1, 0.5, 0.9]), np.array([3, 4, 5]), np.array([6, 2, 1])
-    rng = B._group_rng(1, 0, 7)
+    rng = B._group_rng(1, ("a",), 7)
     p = B._multinomial(rng, pos, 1)[0]
     q = B._multinomial(rng, neg, 1)[0]
     want = float(H.auc(s, p, q))

@@ -76,11 +76,6 @@ def test_null_safe_join_kinds(spark):
     assert anti == [("y", "c", 2), ("z", "c", 3)]
 
 
-def test_bounded_returns_same_rows_either_way(spark):
-    t = spark.range(50).withColumn("x", F.col("id") * 2)
-    assert sorted(map(tuple, O.bounded(t, 100).collect())) == sorted(map(tuple, t.collect()))
-    assert O.bounded(t, 10) is t
-
 
 def test_running_sums_read_the_input_once(spark, sf):
     """Both levels share the histogram's exchange, so the rows are scanned once."""
