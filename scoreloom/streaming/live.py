@@ -70,7 +70,7 @@ def track_stream(frames: DataFrame, key: str, spec: TrackSpec) -> DataFrame:
     """The tracker with its state kept per video between batches.
 
     State is two boxes, two frame numbers, the switch flag and the count of late frames. A frame
-    that is not after the last one seen is dropped and counted in `late` of the rows that follow.
+    that is not after the last one seen changes nothing; its row says so, and `late` counts them.
     With `spec.ema` set, boxes are smoothed as they come.
     """
     key_type = dict(frames.dtypes)[key]
@@ -90,6 +90,7 @@ def track_stream(frames: DataFrame, key: str, spec: TrackSpec) -> DataFrame:
             index = int(index)
             if last is not None and index <= last:
                 late += 1
+                out.append((group[0], index, *(None,) * 5, "late frame", False, late))
                 continue
             last = index
             frame = Frame(index, list(faces), None, spec)
