@@ -171,7 +171,7 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
 # ---- bitmaps of hashed keys ----------------------------------------------------------------------
 
 BLOCK_BITS = 15
-KEY_BITS = 27
+KEY_BITS = 28
 
 
 def key_bucket(keys: np.ndarray) -> np.ndarray:
@@ -192,7 +192,7 @@ def _folded(bits: np.ndarray) -> np.ndarray:
 
 
 def bitmap(buckets: DataFrame) -> np.ndarray:
-    """The bitmap of a table (bucket): 2**KEY_BITS bits, 16 MB, at most, however many rows there are.
+    """The bitmap of a table (bucket): 2**KEY_BITS bits, 32 MB, at most, however many rows there are.
     One of few bits is folded to a smaller size.
 
     Set bits become packed blocks on the executors; the driver only puts the blocks together.

@@ -41,8 +41,10 @@ SKETCH_BLOCK = 1 << 16
 MOST_MATCHES = 8
 #: Verifying a candidate costs as much as this many entries of the prefix index.
 VERIFY_COST = 20.0
-#: Lists of a shingle longer than this are first linked through pivots of this many documents.
+#: Lists of a shingle longer than this are first thinned, in cells of about this many documents.
 LIST = 32
+CELL = 64
+THINNING = 2
 #: Members and probes that one comparison task holds at a time.
 MEMBERS, PROBES = 256, 1024
 LAST = (1 << 63) - 1
@@ -122,7 +124,7 @@ def prefix(s: np.ndarray, codes: np.ndarray, noise: int, t: float) -> tuple[np.n
 
 
 def _prefixes(n: int, t: float, sketch, shared):
-    """Index entries (shingle, node, size, matches): of all shingles as buckets with their number if
+    """Index entries (shingle, node, size, matches, place in the order): of all shingles as buckets with their number if
     `shared` is None, else of those whose bucket is shared. A set is indexed once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,14 +156,16 @@ def _prefixes(n: int, t: float, sketch, shared):
                 continue
             on = has_bit(bits, bucket)
             each = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])[on]
+            place = np.concatenate([np.arange(len(x)) for x in tokens])[on]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(flat[on].view(np.int64)),
                     pa.array(np.array(nodes, np.uint64).view(np.int64)[each]),
                     pa.array(np.array(sizes, np.int32)[each]),
                     pa.array(np.array(need, np.int32)[each]),
+                    pa.array(place.astype(np.int32)),
                 ],
-                names=["token", "node", "size", "need"],
+                names=["token", "node", "size", "need", "place"],
             )
 
     return run
@@ -206,6 +210,62 @@ def _compare(n: int, percent: int):
     return run
 
 
+def _within(n: int, percent: int):
+    """Rows sorted by cell: links that connect what is linked within a cell, none twice over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, members, root = None, [], []
+        for part in slices(batches, "text", SLICE):
+            out = []
+            sets = Words(part.column("text").to_pylist(), fold=True).shingles(n)
+            keys = list(zip(part.column("target").to_pylist(), part.column("block").to_pylist()))
+            for key, node, s in zip(keys, part.column("node").to_pylist(), sets):
+                if key != cell:
+                    cell, members, root = key, [], []
+                own = len(members)
+                root.append(own)
+                for i, (other, m) in enumerate(members):
+                    if root[i] != root[own] and other != node and linked(s, m, percent):
+                        out.append((node, other))
+                        root = [root[own] if r == root[i] else r for r in root]
+                members.append((node, s))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["src", "dst"]
+            )
+
+    return run
+
+
+def thinned(texts: DataFrame, nodes: DataFrame, lists: DataFrame, links: DataFrame | None, n: int, percent: int, step: int) -> DataFrame | None:
+    """Links found by one round over the long lists (token, node, target) that span several groups.
+
+    Each document goes with one of its lists, the same for documents that share them, into one cell
+    of it, and a cell is compared all with all: every text travels once, and groups of near copies
+    grow together however many they are. None if there is nothing to do.
+    """
+    several = lists.groupBy("token").agg(F.min("target").alias("a"), F.max("target").alias("b")).where("a <> b").select("token")
+    chosen = lists.join(several, "token").groupBy("node").agg(F.min_by("token", F.xxhash64("token", F.lit(step))).alias("target"))
+    chosen = stored(chosen, "chosen")
+    if chosen.isEmpty():
+        return None
+    sizes = chosen.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("blocks"))
+    roles = chosen.join(sizes, "target").select(
+        "target", F.pmod(F.xxhash64("node", F.lit(step)), F.col("blocks")).cast("int").alias("block"), "node"
+    )
+    rows = _with_texts(texts, stored(roles.join(nodes, "node"), "roles")).select("target", "block", "node", "text")
+    shuffles = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(shuffles, "target", "block").sortWithinPartitions("target", "block")
+    found = dealt.mapInArrow(_within(n, percent), "src long, dst long")
+    return stored(found if links is None else links.union(found), "links")
+
+
+def _with_texts(texts: DataFrame, roles: DataFrame) -> DataFrame:
+    """`roles` (dk, ...) with their texts; other texts are left out before anything is shuffled."""
+    wanted = roles.select("dk").distinct().mapInArrow(_as_buckets, "bucket int")
+    bits = texts.sparkSession.sparkContext.broadcast(bitmap(wanted))
+    return texts.mapInArrow(_only(bits, "dk"), texts.schema).join(roles, "dk")
+
+
 def _only(bits, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,10 +298,7 @@ def verified(texts: DataFrame, nodes: DataFrame, probes: DataFrame, members: Dat
     )
     if roles.isEmpty():
         return spark.createDataFrame([], "src long, dst long")
-    wanted = roles.select("dk").distinct().mapInArrow(_as_buckets, "bucket int")
-    bits = spark.sparkContext.broadcast(bitmap(wanted))
-    bodies = texts.mapInArrow(_only(bits, "dk"), texts.schema)
-    rows = bodies.join(roles, "dk").select("target", "block", "chunk", "probe", "node", "text")
+    rows = _with_texts(texts, roles).select("target", "block", "chunk", "probe", "node", "text")
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(shuffles, "target", "block", "chunk").sortWithinPartitions("target", "block", "chunk", "probe")
     return stored(dealt.mapInArrow(_compare(n, percent), "src long, dst long"), "links")
@@ -264,8 +321,8 @@ def near_groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
     one shingle. Null, empty and blank texts have no set and link with nothing. Copies of a set are
     one node from the start. A null id comes after all others (as the largest long). No rows give no rows.
 
-    Long lists of the index, groups of near copies, are first thinned: each document is verified
-    against one pivot per list. Then every document is compared with all other groups that it shares
+    Long lists of the index, groups of near copies, are first thinned in cells of a bounded size.
+    Then every document is compared with all other groups that it shares
     enough prefix shingles with, the smaller group's documents asking; pairs that are already
     connected are left out, all others are verified, so no group is lost however large.
     """
@@ -279,39 +336,47 @@ def near_groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
     seen = texts.mapInArrow(_prefixes(n, t, sketch, None), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     shared = spark.sparkContext.broadcast(bitmap(seen.where("n > 1").select("bucket")))
     entries = stored(
-        texts.mapInArrow(_prefixes(n, t, sketch, shared), "token long, node long, size int, need int").distinct(), "prefixes"
+        texts.mapInArrow(_prefixes(n, t, sketch, shared), "token long, node long, size int, need int, place int").distinct(), "prefixes"
     )
     lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
     index = stored(entries.join(lists, "token"), "index")
 
-    part = F.pmod(F.xxhash64("node", "token"), F.ceil(F.col("length") / LIST))
-    long = index.where(F.col("length") > LIST).withColumn("part", part)
-    pivots = long.groupBy("token", "part").agg(F.min_by("node", F.xxhash64("node")).alias("target"))
-    probes = stored(
-        long.join(pivots, ["token", "part"]).where(F.col("node") != F.col("target")).select("node", "target").distinct(), "probes"
-    )
-    members = probes.select(F.col("target").alias("node"), "target").distinct()
-    first = verified(texts, nodes, probes, members, n, percent)
+    links = None
+    groups = spark.createDataFrame([], "node long, component long")
+    long = index.where(F.col("length") > LIST).select("token", "node")
+    for step in range(THINNING):
+        target = F.coalesce("component", "node").alias("target")
+        more = thinned(texts, nodes, long.join(groups, "node", "left").select("token", "node", target), links, n, percent, step)
+        if more is None:
+            break
+        links = more
+        groups = stored(components(links), "groups")
 
-    groups = stored(components(first), "groups")
     placed = stored(
-        index.join(groups, "node", "left").select("token", "node", "size", "need", F.coalesce("component", "node").alias("target")), "placed"
+        index.join(groups, "node", "left").select("token", "node", "size", "need", "place", F.coalesce("component", "node").alias("target")), "placed"
     )
     sizes = placed.groupBy("target").agg(F.countDistinct("node").alias("count"))
     placed = stored(placed.join(sizes, "target"), "placed")
     heads = placed.groupBy("token", "target").agg(
-        F.first("count").alias("count"), F.min("need").alias("need"), F.min("size").alias("least"), F.max("size").alias("most")
+        F.first("count").alias("count"), F.min("need").alias("need"), F.min("size").alias("least"), F.max("size").alias("most"),
+        F.min("place").alias("place"),
     )
     mixed = heads.groupBy("token").agg(F.count(F.lit(1)).alias("_targets")).where("_targets > 1").select("token")
     heads = stored(heads.join(mixed, "token"), "heads")
     asking = placed.join(heads.select("token").distinct(), "token", "left_semi").select(
-        "token", F.col("node"), F.col("size"), F.col("need").alias("own_need"), F.col("target").alias("own"), F.col("count").alias("own_count")
+        "token", F.col("node"), F.col("size"), F.col("need").alias("own_need"), F.col("place").alias("own_place"), F.col("target").alias("own"), F.col("count").alias("own_count")
     )
     smaller = F.struct("own_count", "own") < F.struct("count", "target")
     fits = (100 * F.col("most") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("least"))
+    # Sets of sizes x and y must have t / (1 + t) * (x + y) shingles in common, so the matches that
+    # count stand among the first x minus that many, and the number asked for, of either order. The
+    # bounds hold for every member of a group: its least size, greatest size and first place are used.
+    both = lambda other: F.ceil(F.lit(percent / (100 + percent)) * (F.col("size") + F.col(other)) - 1e-9)
+    asked_for = F.least("need", "own_need")
+    early = (F.col("own_place") < F.col("size") - both("least") + asked_for) & (F.col("place") < F.col("most") - both("most") + asked_for)
     probes = stored(
         asking.join(heads, "token")
-        .where(smaller & fits)
+        .where(smaller & fits & early)
         .groupBy("node", "target")
         .agg(F.count(F.lit(1)).alias("_shared"), F.min(F.least("need", "own_need")).alias("_need"))
         .where(F.col("_shared") >= F.col("_need"))
@@ -322,7 +387,7 @@ def near_groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
     members = placed.select("node", "target").distinct().join(asked, "target", "left_semi")
     second = verified(texts, nodes, probes, members, n, percent)
 
-    whole = components(first.union(second))
+    whole = components(second if links is None else links.union(second))
     named = nodes.join(whole, "node")
     lowest = named.groupBy("component").agg(F.min("dk").alias("lowest"))
     classes = stored(

@@ -102,6 +102,7 @@ def test_groups_equal_brute_force(spark, make, monkeypatch, long_list):
     monkeypatch.setattr(ngram_join, "LIST", long_list)
     monkeypatch.setattr(ngram_join, "MEMBERS", 4)
     monkeypatch.setattr(ngram_join, "PROBES", 4)
+    monkeypatch.setattr(ngram_join, "CELL", 8)
     rng = random.Random(2)
     rows = [r for r in ODD if r[0] != 11]
     for i in range(100, 150):
