@@ -47,7 +47,8 @@ PRIOR = 3.0
 DOUBT = 5.0
 #: A word this heavy counts as toxic evidence.
 HEAVY = 3.0
-#: Labelled rows that the logistic curve is fitted on, at most: those with the smallest hashed ids.
+#: Labelled rows that the logistic curve is fitted on: those with the smallest hashed ids, and of
+#: repeated ids no more than as many again.
 SAMPLE = 20_000
 THRESHOLD = 0.7
 
@@ -336,8 +337,11 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, train_rows) -> DataFrame:
     train = stored(keyed.mapInArrow(_those(bits), keyed.schema).join(marks, "_id"), "labelled")
     runs = run_weights(train, letters)
     model = spark.sparkContext.broadcast((letters.value, runs))
-    sample = train.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
-    rows = sample.mapInArrow(_evidences(model, ["toxic"], None), "toxic int, x array<double>").toArrow()
+    # the sample's ids are found by their hashes alone; texts stay where they are
+    key = F.xxhash64("_id")
+    last = train.select(key.alias("k")).orderBy("k").limit(SAMPLE).agg(F.max("k")).first()[0]
+    sample = train.where(key <= F.lit(last)) if last is not None else train
+    rows = sample.mapInArrow(_evidences(model, ["toxic"], None), "toxic int, x array<double>").limit(2 * SAMPLE).toArrow()
     x = np.array(rows.column("x").to_pylist(), np.float64).reshape(-1, 4)
     curve = fitted(x, rows.column("toxic").to_numpy().astype(np.float64))
     inner, names = aside(docs, "text")
