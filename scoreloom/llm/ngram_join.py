@@ -313,6 +313,43 @@ def _as_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---- the join ------------------------------------------------------------------------------------
 
 
+def candidates(placed: DataFrame, percent: int) -> DataFrame:
+    """(node, target): the documents that ask, and the groups they may have a link into, of the index
+    entries (token, node, size, need, place, target).
+
+    A document asks a whole group for one number of matches, the least that it or any member needs.
+    Linked sets share that many shingles among the first ones that the limits on places leave, so
+    every shingle that counts is held to limits of the same number.
+    """
+    sizes = placed.groupBy("target").agg(F.countDistinct("node").alias("count"), F.min("need").alias("group_need"))
+    placed = stored(placed.join(sizes, "target"), "placed")
+    heads = placed.groupBy("token", "target").agg(
+        F.first("count").alias("count"), F.first("group_need").alias("need"), F.min("size").alias("least"), F.max("size").alias("most"),
+        F.min("place").alias("place"),
+    )
+    mixed = heads.groupBy("token").agg(F.count(F.lit(1)).alias("_targets")).where("_targets > 1").select("token")
+    heads = stored(heads.join(mixed, "token"), "heads")
+    asking = placed.join(heads.select("token").distinct(), "token", "left_semi").select(
+        "token", F.col("node"), F.col("size"), F.col("need").alias("own_need"), F.col("place").alias("own_place"), F.col("target").alias("own"), F.col("count").alias("own_count")
+    )
+    smaller = F.struct("own_count", "own") < F.struct("count", "target")
+    fits = (100 * F.col("most") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("least"))
+    # Sets of sizes x and y must have t / (1 + t) * (x + y) shingles in common, so the matches that
+    # count stand among the first x minus that many, and the number asked for, of either order. The
+    # bounds hold for every member of a group: its least size, greatest size and first place are used.
+    both = lambda other: F.ceil(F.lit(percent / (100 + percent)) * (F.col("size") + F.col(other)) - 1e-9)
+    asked_for = F.least("need", "own_need")
+    early = (F.col("own_place") < F.col("size") - both("least") + asked_for) & (F.col("place") < F.col("most") - both("most") + asked_for)
+    return (
+        asking.join(heads, "token")
+        .where(smaller & fits & early)
+        .groupBy("node", "target")
+        .agg(F.count(F.lit(1)).alias("_shared"), F.first(asked_for).alias("_need"))
+        .where(F.col("_shared") >= F.col("_need"))
+        .select("node", "target")
+    )
+
+
 def near_groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(dk, size, component): each row's id, shingle set size and smallest id reachable by links.
 
@@ -355,34 +392,7 @@ def near_groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
     placed = stored(
         index.join(groups, "node", "left").select("token", "node", "size", "need", "place", F.coalesce("component", "node").alias("target")), "placed"
     )
-    sizes = placed.groupBy("target").agg(F.countDistinct("node").alias("count"))
-    placed = stored(placed.join(sizes, "target"), "placed")
-    heads = placed.groupBy("token", "target").agg(
-        F.first("count").alias("count"), F.min("need").alias("need"), F.min("size").alias("least"), F.max("size").alias("most"),
-        F.min("place").alias("place"),
-    )
-    mixed = heads.groupBy("token").agg(F.count(F.lit(1)).alias("_targets")).where("_targets > 1").select("token")
-    heads = stored(heads.join(mixed, "token"), "heads")
-    asking = placed.join(heads.select("token").distinct(), "token", "left_semi").select(
-        "token", F.col("node"), F.col("size"), F.col("need").alias("own_need"), F.col("place").alias("own_place"), F.col("target").alias("own"), F.col("count").alias("own_count")
-    )
-    smaller = F.struct("own_count", "own") < F.struct("count", "target")
-    fits = (100 * F.col("most") >= percent * F.col("size")) & (100 * F.col("size") >= percent * F.col("least"))
-    # Sets of sizes x and y must have t / (1 + t) * (x + y) shingles in common, so the matches that
-    # count stand among the first x minus that many, and the number asked for, of either order. The
-    # bounds hold for every member of a group: its least size, greatest size and first place are used.
-    both = lambda other: F.ceil(F.lit(percent / (100 + percent)) * (F.col("size") + F.col(other)) - 1e-9)
-    asked_for = F.least("need", "own_need")
-    early = (F.col("own_place") < F.col("size") - both("least") + asked_for) & (F.col("place") < F.col("most") - both("most") + asked_for)
-    probes = stored(
-        asking.join(heads, "token")
-        .where(smaller & fits & early)
-        .groupBy("node", "target")
-        .agg(F.count(F.lit(1)).alias("_shared"), F.min(F.least("need", "own_need")).alias("_need"))
-        .where(F.col("_shared") >= F.col("_need"))
-        .select("node", "target"),
-        "probes",
-    )
+    probes = stored(candidates(placed, percent), "probes")
     asked = probes.select("target").distinct()
     members = placed.select("node", "target").distinct().join(asked, "target", "left_semi")
     second = verified(texts, nodes, probes, members, n, percent)

@@ -119,3 +119,47 @@ def test_groups_equal_brute_force(spark, make, monkeypatch, long_list):
     want = {(i, c) for i, _, c in groups(rows, 4, 85)}
     assert {r["doc_id"] for r in kept.collect()} - {None} == {i for i, c in want if i == c and i != ngram_join.LAST}
     assert ngram_join.near_groups(make(rows).limit(0), 4, 85).count() == 0
+
+
+def test_no_link_into_a_large_group_is_lost(spark):
+    """Groups of many members, mixed needs, and pairs at the threshold: 184 of 216 shingles, and more of any size."""
+    rng, percent = random.Random(8), 85
+    sets, target = {}, {}
+
+    def add(group, shingles):
+        sets[len(sets)] = sorted(shingles)
+        target[len(target)] = group
+
+    for k in range(60):
+        start = 10_000 * k
+        n = rng.choice([20, 40, 200])
+        core = set(range(start + 2000, start + 2000 + n))
+        apart = next(e for e in range(n, -1, -1) if 100 * (n - e) >= percent * (n + e))  # the pair is at the threshold
+        rare = sorted(core)[:apart] if k % 3 else rng.sample(sorted(core), apart)
+        add(2 * k, core)
+        add(2 * k + 1, (core - set(rare)) | set(rng.sample(range(start, start + 2000), apart)))  # what it has alone comes first
+        for _ in range(8):  # members that have some of the first common shingles
+            some = {c for c in sorted(core)[apart : apart + 12] if rng.random() < 0.4}
+            add(2 * k + 1, some | set(rng.sample(range(start + 5000, start + 8000), n - len(some))))
+    example = set(range(-184, 0))
+    add(200, set(range(-900, -884)) | example)
+    add(201, set(range(-800, -784)) | example)
+    add(201, {-183, *range(1, 200)})
+    needs = {i: rng.randrange(1, 9) for i in sets}
+    needs |= {len(sets) - 3: 2, len(sets) - 2: 2, len(sets) - 1: 1}
+    rows = []
+    for i, s in sets.items():
+        length = len(s) - -(-percent * len(s) // 100) + needs[i]
+        rows += [(x, i, len(s), needs[i], p, target[i]) for p, x in enumerate(s[:length])]
+    placed = spark.createDataFrame(rows, "token long, node long, size int, need int, place int, target long")
+    got = {(r["node"], r["target"]) for r in ngram_join.candidates(placed, percent).collect()}
+    links, lost = 0, []
+    for i in sets:
+        for j in range(i + 1, min(i + 12, len(sets))):
+            a, b = set(sets[i]), set(sets[j])
+            if target[i] != target[j] and 100 * len(a & b) >= percent * len(a | b):
+                links += 1
+                if (i, target[j]) not in got and (j, target[i]) not in got:
+                    lost.append((i, j))
+    assert links > 50
+    assert not lost
