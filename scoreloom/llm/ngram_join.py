@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.llm.common import (
@@ -82,15 +82,15 @@ def _summaries(n: int):
             keys = [_signed(set_key(s)) if len(s) else None for s in sets]
             none = [None] * len(sets)
             yield pa.RecordBatch.from_arrays(
-                [part.column("dk"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.int32()), pa.array(none, pa.binary())],
-                names=["dk", "size", "node", "key", "part", "value"],
+                [part.column("dk"), part.column("rk"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.int32()), pa.array(none, pa.binary())],
+                names=["dk", "rk", "size", "node", "key", "part", "value"],
             )
         for b in range(SKETCH // SKETCH_BLOCK):
             block = counts[b * SKETCH_BLOCK : (b + 1) * SKETCH_BLOCK]
             if block.any():
                 share = partial(b, TaskContext.get().partitionId(), block.astype(np.uint64))
                 none = pa.array([None], pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, *share.columns], names=["dk", "size", "node", "key", "part", "value"])
+                yield pa.RecordBatch.from_arrays([none, none, none, none, *share.columns], names=["dk", "rk", "size", "node", "key", "part", "value"])
 
     return run
 
@@ -260,10 +260,10 @@ def thinned(texts: DataFrame, nodes: DataFrame, lists: DataFrame, links: DataFra
 
 
 def _with_texts(texts: DataFrame, roles: DataFrame) -> DataFrame:
-    """`roles` (dk, ...) with their texts; other texts are left out before anything is shuffled."""
-    wanted = roles.select("dk").distinct().mapInArrow(_as_buckets, "bucket int")
+    """`roles` (dk, rk, ...) with their texts; other texts are left out before anything is shuffled."""
+    wanted = roles.select("rk").distinct().mapInArrow(_as_buckets, "bucket int")
     bits = texts.sparkSession.sparkContext.broadcast(bitmap(wanted))
-    return texts.mapInArrow(_only(bits, "dk"), texts.schema).join(roles, "dk")
+    return texts.mapInArrow(_only(bits, "rk"), texts.schema).join(roles, ["dk", "rk"])
 
 
 def _only(bits, column: str):
@@ -350,25 +350,22 @@ def candidates(placed: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def near_groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(dk, size, component): each row's id, shingle set size and smallest id reachable by links.
+def _keyed(doc_id: str, text: str) -> list[Column]:
+    """What names a row: its id, and a hash of its id and text. Rows without an id, or with a repeated
+    one, are told apart by the second."""
+    dk = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
+    return [dk.alias("dk"), F.xxhash64(dk, text).alias("rk")]
 
-    Two documents link when their sets of `n`-word shingles have a Jaccard similarity of `percent`
-    hundredths or more. Words are lower-cased in A-Z; with fewer than `n`, the whole sequence is the
-    one shingle. Null, empty and blank texts have no set and link with nothing. Copies of a set are
-    one node from the start. A null id comes after all others (as the largest long). No rows give no rows.
 
-    Long lists of the index, groups of near copies, are first thinned in cells of a bounded size.
-    Then every document is compared with all other groups that it shares
-    enough prefix shingles with, the smaller group's documents asking; pairs that are already
-    connected are left out, all others are verified, so no group is lost however large.
-    """
+def _classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(dk, rk, size, node) of every row, and (node, component, first) of every node: the smallest id of
+    its group, and the rk of the group's first row by (dk, rk). See `near_groups`."""
     t = percent / 100
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("dk"), "text")
-    both = stored(texts.mapInArrow(_summaries(n), f"dk long, size long, node long, {PARTIAL}"), "sets")
-    summary = both.where("key is null").select("dk", "size", "node")
-    nodes = stored(summary.where("size > 0").groupBy("node").agg(F.min("dk").alias("dk")), "nodes")
+    texts = docs.select(*_keyed("doc_id", "text"), "text")
+    both = stored(texts.mapInArrow(_summaries(n), f"dk long, rk long, size long, node long, {PARTIAL}"), "sets")
+    summary = both.where("key is null").select("dk", "rk", "size", "node")
+    nodes = stored(summary.where("size > 0").groupBy("node").agg(F.min(F.struct("dk", "rk")).alias("_row")).select("node", "_row.dk", "_row.rk"), "nodes")
     sketch = spark.sparkContext.broadcast(frequencies(both.where("key is not null").select("key", "part", "value"), texts.rdd.getNumPartitions()))
     seen = texts.mapInArrow(_prefixes(n, t, sketch, None), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     shared = spark.sparkContext.broadcast(bitmap(seen.where("n > 1").select("bucket")))
@@ -399,21 +396,41 @@ def near_groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     whole = components(second if links is None else links.union(second))
     named = nodes.join(whole, "node")
-    lowest = named.groupBy("component").agg(F.min("dk").alias("lowest"))
+    lowest = named.groupBy("component").agg(F.min(F.struct("dk", "rk")).alias("lowest"))
     classes = stored(
-        nodes.join(whole, "node", "left").join(lowest, "component", "left").select("node", F.coalesce("lowest", "dk").alias("component")), "classes"
+        nodes.join(whole, "node", "left").join(lowest, "component", "left")
+        .select("node", F.coalesce("lowest.dk", "dk").alias("component"), F.coalesce("lowest.rk", "rk").alias("first")),
+        "classes",
     )
+    return summary, classes
+
+
+def near_groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(dk, size, component): each row's id, shingle set size and smallest id reachable by links.
+
+    Two documents link when their sets of `n`-word shingles have a Jaccard similarity of `percent`
+    hundredths or more. Words are lower-cased in A-Z; with fewer than `n`, the whole sequence is the
+    one shingle. Null, empty and blank texts have no set and link with nothing. Copies of a set are
+    one node from the start. A null id comes after all others (as the largest long). No rows give no rows.
+
+    Long lists of the index, groups of near copies, are first thinned in cells of a bounded size.
+    Then every document is compared with all other groups that it shares
+    enough prefix shingles with, the smaller group's documents asking; pairs that are already
+    connected are left out, all others are verified, so no group is lost however large.
+    """
+    summary, classes = _classes(docs, n, percent)
     return summary.join(classes, "node", "left").select("dk", "size", F.coalesce("component", "dk").alias("component"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` with one document of each group: that of the smallest id. Documents without words stay;
-    of rows with the same id and text one stays."""
+    """`docs` with one row of each group: that of the smallest id, and of several with that id, or of
+    none with an id, the one whose id and text hash least. Documents without words stay; of rows with
+    the same id and text one stays."""
     names = {c: f"_carried_{i}" for i, c in enumerate(docs.columns)}
-    inner = docs.select(*[F.col(c).alias(m) for c, m in names.items()], F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("dk"))
-    groups = near_groups(docs.select("doc_id", "text"), n, percent)
-    gone = groups.where((F.col("component") != F.col("dk"))).select("dk").distinct()
-    left = inner.join(gone, "dk", "left_anti").withColumn("_same", F.xxhash64(names["text"])).dropDuplicates(["dk", "_same"])
+    inner = docs.select(*[F.col(c).alias(m) for c, m in names.items()], *_keyed("doc_id", "text"))
+    summary, classes = _classes(docs.select("doc_id", "text"), n, percent)
+    gone = summary.join(classes, "node").where((F.col("dk") != F.col("component")) | (F.col("rk") != F.col("first"))).select("dk", "rk").distinct()
+    left = inner.join(gone, ["dk", "rk"], "left_anti").dropDuplicates(["dk", "rk"])
     return left.select(*[F.col(m).alias(c) for c, m in names.items()])
 
 

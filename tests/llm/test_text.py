@@ -163,3 +163,19 @@ def test_no_link_into_a_large_group_is_lost(spark):
                     lost.append((i, j))
     assert links > 50
     assert not lost
+
+
+def test_rows_without_ids_are_told_apart(spark, make):
+    """Near copies go row by row, with clean rows beside them that have no id or the same one."""
+    near = lambda k, i: prose(300 + k, 120) + f" end{i}"
+    clean = [(None, prose(400 + i, 60)) for i in range(12)] + [(5, prose(420, 60)), (6, prose(421, 60))]
+    rows = clean + [(1, near(0, 0)), (None, near(0, 1)), (5, near(0, 2)), (6, near(1, 0)), (6, near(1, 1))]
+    rows += [(None, near(2, i)) for i in range(5)] + [(None, near(3, 0)), (None, near(3, 0).upper()), (None, None), (8, " ")]
+    got = [(r["doc_id"], r["text"]) for r in ngram_join.one_of_each(make(rows), 5, 80).collect()]
+    assert {*clean, (1, near(0, 0)), (None, None), (8, " ")} <= {*got}
+    kept = lambda k: [(d, t) for d, t in got if t and t.lower().startswith(prose(300 + k, 120))]
+    assert kept(0) == [(1, near(0, 0))]
+    assert [d for d, _ in kept(1)] == [6]
+    assert [d for d, _ in kept(2)] == [None]
+    assert [d for d, _ in kept(3)] == [None]
+    assert len(got) == len(clean) + 6
