@@ -202,3 +202,25 @@ def test_pipeline_stages(spark, sf, make):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, sf)
     assert empty.count() == 0
+
+
+def test_every_customer_is_seated_anew():
+    """Table numbers follow a**t * S(c, t): by the recursion, by seating one by one, and for frequent dishes."""
+    for d in (0.1, 0.6, 0.9):
+        for a in (1e-6, 0.02, 3.0, 400.0, 1e5):
+            for c in (200, lm.STIRLING):
+                logs = lm._log_stirling(d)[c, 1:] + np.log(a) * np.arange(1, lm.STIRLING + 1)
+                want = np.exp(logs - logs.max())
+                first, p = lm.table_law(c, a, d)
+                assert 1 <= first <= c
+                assert np.abs((want / want.sum())[first - 1 : first - 1 + len(p)] - p).sum() < 1e-6
+    rng = np.random.default_rng(4)
+    sizes, seen = [40], []
+    for _ in range(1500):
+        sizes = lm.reseat(sizes, 40, 0.5, 0.6, rng.random(2 * 40).tolist())
+        seen.append(len(sizes))
+    drawn = lm.tables_drawn(np.full(4000, 40), np.full(4000, 0.5), 0.6, rng.random(4000))
+    assert abs(np.mean(seen) - drawn.mean()) < 0.3
+    often = lm.tables_drawn(np.array([1_000_000]), np.array([200.0]), 0.6, np.array([0.5]))[0]
+    assert 250 < often < 400  # the mean is near a / d; one table and 8 moves in each of 4 sweeps gave 33 at most
+    assert lm.tables_drawn(np.array([0, 1]), np.ones(2), 0.6, np.ones(2) / 2).tolist() == [0, 1]
