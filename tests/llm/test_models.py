@@ -224,3 +224,4 @@ def test_every_customer_is_seated_anew():
     often = lm.tables_drawn(np.array([1_000_000]), np.array([200.0]), 0.6, np.array([0.5]))[0]
     assert 250 < often < 400  # the mean is near a / d; one table and 8 moves in each of 4 sweeps gave 33 at most
     assert lm.tables_drawn(np.array([0, 1]), np.ones(2), 0.6, np.ones(2) / 2).tolist() == [0, 1]
+    assert lm.tables_drawn(np.array([2, 300, 100_000]), np.zeros(3), 0.95, np.ones(3) / 2).tolist() == [1, 1, 1]
