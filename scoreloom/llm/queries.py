@@ -1,6 +1,6 @@
 """Imports every operator, so that their queries are registered."""
 
-from scoreloom.llm import bpe, embeddings, lm, mixing, ngram_join, quality, sharding, substring, toxicity, url_filter  # noqa: F401
+from scoreloom.llm import alignment, bpe, embeddings, exact, lm, mixing, ngram_join, quality, search, sharding, substring, toxicity, url_filter  # noqa: F401
 from scoreloom.llm.common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
