@@ -16,11 +16,8 @@ from pyspark.sql import functions as F
 
 from scoreloom.errors import ConfigError
 from scoreloom.operators.ordered import (
-    cut_block,
     join_null_safe,
-    order_cuts,
     prefix_sums,
-    score_block,
     weighted_quantiles,
 )
 
@@ -48,7 +45,6 @@ def roc_curve(hist: DataFrame, groups: Sequence[str]) -> DataFrame:
         groups,
         ["score"],
         {"cum_pos": F.col("pos"), "cum_neg": F.col("neg")},
-        score_block(F.col("score")),
         descending=True,
         totals={"cum_pos": "n_pos", "cum_neg": "n_neg"},
     )
@@ -264,30 +260,37 @@ def ece(bins: int = 15, adaptive: bool = False) -> Metric:
 ROW_ORDER = ("dataset", "key", "compression")
 
 
-def risk_coverage(
-    rows: DataFrame, groups: Sequence[str], *, blocks: int | None = None
-) -> DataFrame:
-    """Points (coverage, risk) from the most confident row down, ties in key order.
-
-    Rows are needed here, not the histogram: equal confidences keep the table's key order. Cut
-    points over the whole order split even a run of equal confidences.
-    """
+def by_confidence(rows: DataFrame, groups: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Rows with _less (minus their confidence), _y and _err (1 where wrong), and the columns that
+    order them from the most confident one down, ties in key order."""
     ties = [c for c in ROW_ORDER if c in rows.columns]
     ordered = rows.select(
         *groups,
         (-F.greatest(F.col("score"), 1.0 - F.col("score"))).alias("_less"),
         *[F.coalesce(F.col(c), F.lit("")).alias(f"_t_{c}") for c in ties],
+        F.col("label").alias("_y"),
         ((F.col("score") >= 0.5).cast("int") != F.col("label")).cast("long").alias("_err"),
     )
-    order = ["_less", *[f"_t_{c}" for c in ties]]
-    cuts = order_cuts(ordered, order, blocks)
+    return ordered, ["_less", *[f"_t_{c}" for c in ties]]
+
+
+def risk_coverage(
+    rows: DataFrame, groups: Sequence[str], *, blocks: int | None = None
+) -> DataFrame:
+    """Points (coverage, risk) from the most confident row down, ties in key order.
+
+    Rows are needed here, not the histogram: equal confidences keep the table's key order. Ranges of
+    the whole order split even a run of equal confidences.
+    """
+    ordered, order = by_confidence(rows, groups)
     run = prefix_sums(
         ordered,
         groups,
         order,
         {"_k": F.lit(1), "_e": F.col("_err")},
-        cut_block(order, cuts),
         totals={"_k": "_n"},
+        ranges=True,
+        blocks=blocks,
     )
     return run.select(
         *groups,

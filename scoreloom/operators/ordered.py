@@ -4,10 +4,10 @@ A running sum over a group is taken in two levels. Rows carry a block number tha
 order; each (group, block) is summed on its own, and the totals of the blocks before it are added.
 Only the block totals, a bounded number per group, are ever ordered together.
 
-Blocks come from one of two places: `score_block` maps a score in [0, 1] to a fixed, fine block, so
-the plan stays lazy; `order_cuts` samples any order (strings, several columns) and returns cut points
-that become literals of the plan, so a retried task assigns the same blocks. Their number follows the
-counted rows, whatever the files look like that the rows come from.
+Blocks come from one of two places. Histograms ordered by a number are cut at that number's quantiles
+in their group, read from a mergeable sketch per group; the plan stays lazy, and cells that crowd
+together are many blocks all the same. Any other order is cut by Spark's range partitioning; the
+ranges are written once, with their numbers, so that all that reads them sees the same blocks.
 """
 
 from __future__ import annotations
@@ -18,21 +18,45 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows of a block, about; there are LEAST_BLOCKS even of a small table, so that one path serves all.
-ROWS_PER_BLOCK = 2_000_000
-LEAST_BLOCKS = 8
-_SAMPLES_PER_BLOCK = 64
+from scoreloom.session import materialized
 
+# Blocks of a group that is cut at quantiles, a power of two, and the ranks its sketch tells apart.
+QUANTILE_BLOCKS = 256
+SKETCH_RANKS = 4096
 
-def score_block(score: Column) -> Column:
-    """A block number that never falls as the score grows.
 
-    Equal steps of log-odds: detectors crowd their scores near 0 and 1, which equal-width steps
-    would put into two blocks. About 75,000 blocks over [0, 1], some hundred between 0.49 and 0.51.
+def with_quantile_block(
+    df: DataFrame, groups: Sequence[str], value: str, sums: Sequence[Column] = ()
+) -> DataFrame:
+    """`df` with `_block`, which never falls as `value` grows and holds even shares of a group's rows.
+
+    The cuts are values of the group, so equal values share a block. They are found by halving steps.
+    Rows whose `sums` are null add nothing and have no say in the cuts; that the cuts read these columns
+    lets them share the exchange of the sums.
     """
-    p = F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0))
-    odds = F.ln((p + F.lit(1e-16)) / (F.lit(1.0) - p + F.lit(1e-16)))
-    return F.floor(odds * 1024.0).cast("int")
+    probs = [i / QUANTILE_BLOCKS for i in range(1, QUANTILE_BLOCKS)]
+    counted = reduce(lambda a, b: a & b, [x.isNotNull() for x in sums], F.lit(True))
+    cut_values = F.percentile_approx(F.when(counted, F.col(value)), probs, SKETCH_RANKS)
+    cuts = df.groupBy(*groups).agg(cut_values.alias("_cuts"))
+    steps = [QUANTILE_BLOCKS >> i for i in range(1, QUANTILE_BLOCKS.bit_length())]
+
+    def further(at: Column, step: Column) -> Column:
+        return F.when(F.get(F.col("_cuts"), at + step - 1) <= F.col(value), at + step).otherwise(at)
+
+    # without groups there is one row of cuts
+    joined = join_null_safe(df, cuts, groups) if groups else df.join(F.broadcast(cuts))
+    block = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), further)
+    return joined.withColumn("_block", block).drop("_cuts")
+
+
+def with_range_block(df: DataFrame, order: Sequence[str], blocks: int | None = None) -> DataFrame:
+    """`df` with `_block`, which never falls along `order`, written in ranges of about equal size.
+
+    Spark samples every task for the range bounds, and makes as many ranges as it has shuffle
+    partitions, or `blocks`.
+    """
+    ranged = df.repartitionByRange(blocks, *order) if blocks else df.repartitionByRange(*order)
+    return materialized(ranged.withColumn("_block", F.spark_partition_id()), "ranges")
 
 
 def join_null_safe(
@@ -55,57 +79,28 @@ def join_null_safe(
     return out.drop(*[f"_r_{k}" for k in keys])
 
 
-def order_cuts(
-    df: DataFrame, order: Sequence[str], blocks: int | None = None
-) -> list[tuple[object, ...]]:
-    """Cut points splitting `order` into about `blocks` even blocks, as many as the rows ask for.
-
-    A uniform sample of a size that follows the number of blocks decides where blocks end, never what
-    the result is.
-    """
-    keys = df.select(*order).dropna()
-    n = keys.count()
-    if blocks is None:
-        blocks = max(LEAST_BLOCKS, -(-n // ROWS_PER_BLOCK))
-    if blocks <= 1 or n == 0:
-        return []
-    rows = [tuple(r) for r in keys.sample(min(1.0, blocks * _SAMPLES_PER_BLOCK / n), 1).orderBy(*order).collect()]
-    if not rows:
-        return []
-    picks = [rows[len(rows) * i // int(blocks)] for i in range(1, int(blocks))]
-    return list(dict.fromkeys(picks))
-
-
-def cut_block(order: Sequence[str], cuts: Sequence[tuple[object, ...]]) -> Column:
-    """The number of cut points at or below a row's order columns, as a binary search of CASEs."""
-    key = F.struct(*[F.col(c) for c in order])
-
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        cut = F.struct(*[F.lit(v).alias(c) for c, v in zip(order, cuts[mid], strict=True)])
-        return F.when(key < cut, search(lo, mid)).otherwise(search(mid + 1, hi))
-
-    return search(0, len(cuts))
-
-
 def prefix_sums(
     df: DataFrame,
     groups: Sequence[str],
     order: Sequence[str],
     sums: Mapping[str, Column],
-    block: Column,
     *,
     descending: bool = False,
     totals: Mapping[str, str] | None = None,
+    ranges: bool = False,
+    blocks: int | None = None,
 ) -> DataFrame:
     """`df` with a running sum per entry of `sums`, inclusive of the row, ordered by `order`.
 
-    `totals` optionally names columns that receive each sum over the whole group.
+    Blocks are quantiles of the first column of `order`, a number; with `ranges` those of the whole
+    order, whatever its columns, `blocks` of them if given. `totals` optionally names columns that
+    receive each sum over the whole group.
     """
     groups = list(groups)
-    blocked = df.withColumn("_block", block)
+    if ranges:
+        blocked = with_range_block(df, [*groups, *order], blocks)
+    else:
+        blocked = with_quantile_block(df, groups, order[0], list(sums.values()))
     by = [*groups, "_block"]
     direction = F.desc if descending else F.asc
     within = (
@@ -155,11 +150,8 @@ def numbered(
 
     `total` names a column for the group's number of rows.
     """
-    cuts = order_cuts(df, order, blocks)
     totals = {name: total} if total else None
-    return prefix_sums(
-        df, groups, order, {name: F.lit(1)}, cut_block(order, cuts), totals=totals
-    )
+    return prefix_sums(df, groups, order, {name: F.lit(1)}, totals=totals, ranges=True, blocks=blocks)
 
 
 def weighted_quantiles(
@@ -171,8 +163,7 @@ def weighted_quantiles(
     statistics; both are picked by their running count, so no group is gathered.
     """
     run = prefix_sums(
-        hist, groups, [value], {"_cum": F.col(weight)}, score_block(F.col(value)),
-        totals={"_cum": "_n"},
+        hist, groups, [value], {"_cum": F.col(weight)}, totals={"_cum": "_n"}
     )
     aggs = []
     for name, q in probs.items():
@@ -195,7 +186,7 @@ def weighted_quantiles(
 def midranks(df: DataFrame, groups: Sequence[str], value: str, name: str = "midrank") -> DataFrame:
     """Each distinct value of a unit-score column with its 1-based mean rank over ties and count."""
     counts = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
-    run = prefix_sums(counts, groups, [value], {"_cum": F.col("n")}, score_block(F.col(value)))
+    run = prefix_sums(counts, groups, [value], {"_cum": F.col("n")})
     return run.select(
         *groups, value, "n", (F.col("_cum") - (F.col("n") - 1) / F.lit(2.0)).alias(name)
     )

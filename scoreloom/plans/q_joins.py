@@ -156,14 +156,6 @@ def w02(spark: SparkSession, d: str) -> DataFrame:
     return L.latest(V.outcomes(spark, d)).select("key", "compression", "seq", "status")
 
 
-@query(
-    "s11_outcome_log",
-    with_views("SELECT status, count(*) AS n FROM lo GROUP BY ALL", "fx_outcomes", lo=LATEST_OUTCOME),
-)
-def s11(spark: SparkSession, d: str) -> DataFrame:
-    return L.latest(V.outcomes(spark, d)).groupBy("status").agg(F.count("*").alias("n"))
-
-
 @query(
     "j05_work_list",
     with_views(

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.operators import joins as J
+from scoreloom.operators import logs as L
 from scoreloom.operators import records as R
 from scoreloom.operators import splits as S
 from scoreloom.operators import track as T
@@ -52,8 +53,9 @@ def s01(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "s01_jsonl_problems",
-    """SELECT doc_id % 4 AS kind, CASE doc_id % 4 WHEN 1 THEN 'unknown field extra' WHEN 2 THEN 'not a JSON object' ELSE 'value of another type' END AS problem, count(*) AS n
-FROM documents WHERE doc_id % 4 > 0 GROUP BY ALL""",
+    """SELECT doc_id % 4 AS kind, CASE doc_id % 4 WHEN 1 THEN 'unknown field extra' WHEN 2 THEN 'not a JSON object' ELSE 'value of another type' END AS problem,
+  part, (2 * row_number() OVER (PARTITION BY part ORDER BY doc_id) - 1)::BIGINT AS line, doc_id FROM (SELECT doc_id, doc_id % 3 AS part FROM documents)
+QUALIFY doc_id % 4 > 0""",
 )
 def s01_problems(spark: SparkSession, d: str) -> DataFrame:
     path = shared_folder(spark, "broken")
@@ -64,12 +66,15 @@ def s01_problems(spark: SparkSession, d: str) -> DataFrame:
         .when(i % 4 == 2, F.format_string('k2-%d', i))
         .otherwise(F.format_string('{"fake_key":"k3-%d","rank":"x"}', i))
     )
-    lines = V.table(spark, d, "documents").select(line.alias("value"))
-    lines.unionAll(spark.range(3).select(F.lit("  "))).write.text(path)
+    # three files, each line with a blank one after it
+    rows = V.table(spark, d, "documents").select(i, (i % 3).alias("part"), F.concat(line, F.lit("\n")).alias("value"))
+    rows.repartition(3, "part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(path)
     schema = "fake_key STRING, real_key STRING, rule STRING, rank INT"
     bad = SR.read_jsonl(spark, path, schema, strict=True).problems
-    kind = F.regexp_extract("line", r"k(\d)-", 1).cast("long")
-    return bad.groupBy(kind.alias("kind"), "problem").agg(F.count("*").alias("n"))
+    kind = F.regexp_extract("text", r"k(\d)-", 1).cast("long")
+    part = F.regexp_extract("file", r"part=(\d+)", 1).cast("long")
+    doc = F.regexp_extract("text", r"k\d-(\d+)", 1).cast("long")
+    return bad.select(kind.alias("kind"), "problem", part.alias("part"), "line", doc.alias("doc_id"))
 
 
 @query(
@@ -132,6 +137,32 @@ def s05(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "s05_quoted_line_breaks",
+    with_views(
+        """SELECT 'd' || n % 3 AS dataset, key, label, round(score / 1000, 9) AS score, CASE WHEN n % 3 < 2 THEN 'line one' || chr(10) || '"' || method || '", two' || repeat(chr(10), n % 4) || n END AS note
+FROM fx_scores JOIN fx_videos USING (key, label, method)""",
+        "fx_scores",
+    ),
+)
+def s05_breaks(spark: SparkSession, d: str) -> DataFrame:
+    """Foreign score tables with line breaks in cells, under three headers."""
+    root = shared_folder(spark, "foreign")
+    rows = V.scores(spark, d).join(V.videos(spark, d).select("key", "n"), "key")
+    breaks = F.repeat(F.lit("\n"), (F.col("n") % 4).cast("int"))
+    cells = {
+        "dataset": F.concat(F.lit("d"), F.col("n") % 3), "key": F.col("key"), "compression": F.lit("c23"),
+        "label": F.col("label"), "score": F.col("score") / 1000, "status": F.col("status"),
+        "x_note": F.concat(F.lit('line one\n"'), "method", F.lit('", two'), breaks, "n"),
+    }
+    heads = [list(cells), [*reversed(cells)], ["key", "status", "score", "label", "dataset", "compression"]]
+    for i, head in enumerate(heads):
+        part = rows.where(F.col("n") % 3 == i).select(*[cells[c].alias(c) for c in head])
+        part.write.option("header", True).option("escape", '"').csv(f"{root}/{i}")
+    table = SR.read_scores(spark, root).checked()
+    return table.select("dataset", "key", "label", r9("score").alias("score"), F.element_at("x", F.lit("x_note")).alias("note"))
+
+
 @query(
     "s06_score_cells",
     with_views(
@@ -167,7 +198,7 @@ def s07(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "s09_foreign_scores",
     with_views(
-        "SELECT n AS id, key AS video, CAST(1 - score AS VARCHAR) IS NOT NULL AS has_score FROM fx_scores s JOIN fx_videos v USING (key)",
+        "SELECT n AS id, key AS video, round(1 - score, 9) AS score FROM fx_scores s JOIN fx_videos v USING (key)",
         "fx_scores",
     ),
 )
@@ -177,7 +208,7 @@ def s09(spark: SparkSession, d: str) -> DataFrame:
     cells = rows.select(F.col("n").cast("string").alias("id"), F.col("key").alias("video"), (1 - F.col("score")).cast("string").alias("p real"))
     cells.write.option("header", True).option("sep", ";").csv(path)
     back = SR.read_csv_text(spark, path, ";")
-    return back.select(F.col("id").cast("long").alias("id"), "video", F.col("p real").isNotNull().alias("has_score"))
+    return back.select(F.col("id").cast("long").alias("id"), "video", r9(F.col("p real").cast("double")).alias("score"))
 
 
 @query(
@@ -196,6 +227,22 @@ def s10(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "s11_outcome_log",
+    with_views("SELECT key, compression, n AS seq, status FROM (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS n FROM fx_outcomes) QUALIFY row_number() OVER (PARTITION BY key, compression ORDER BY n DESC) = 1", "fx_outcomes"),
+)
+def s11(spark: SparkSession, d: str) -> DataFrame:
+    """The last outcome of every key from a log of lines without numbers, written in three batches."""
+    path = shared_folder(spark, "log")
+    log = V.outcomes(spark, d)
+    third = F.ceil(log.count() / F.lit(3))
+    numbered_rows = log.withColumn("batch", F.floor(F.col("seq") / third)).withColumn("reason", F.lit(None).cast("string"))
+    for batch in range(3):
+        part = numbered_rows.where(F.col("batch") == batch).orderBy("seq")
+        SR.append_outcomes(part.select("key", "compression", "status", "reason"), path, batch)
+    return L.latest(SR.read_outcomes(spark, path)).select("key", "compression", "seq", "status")
+
+
 @query(
     "s12_outcome_append",
     with_views(

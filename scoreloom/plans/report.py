@@ -100,11 +100,7 @@ def _long(
     parts = []
     if n_boot:
         for label, (name, params) in metrics.items():
-            part = B.bootstrap_ci(hist, keys, name, params, n_boot=n_boot, seed=seed)
-            if name == "aurc":
-                exact = M.compute(rows, keys, {"value": M.metric(name, **params)}, hist=hist)
-                part = join_null_safe(part.drop("value"), exact.select(*keys, "value"), keys, "left")
-                part = part.select(*keys, "value", "undefined", "ci_lo", "ci_hi")
+            part = B.bootstrap_ci(hist, keys, name, params, n_boot=n_boot, seed=seed, rows=rows)
             parts.append(part.withColumn("metric", F.lit(label)))
     else:
         # every metric of the report comes from one plan over the shared histogram
@@ -231,7 +227,7 @@ def validation_means(
     clips.
     """
     videos = clips.groupBy(source, *keys).agg(F.avg("score").alias("score"), F.max("label").alias("label"))
-    points = _long(M.score_hist(videos, [source]), [source], metrics, 0, 0)
+    points = _long(M.score_hist(videos, [source]), [source], metrics, 0, 0, videos)
     means = points.groupBy("metric").agg(
         F.avg("value").alias("mean"), F.count("value").alias("n_sources")
     )

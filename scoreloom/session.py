@@ -42,6 +42,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the shared folder and read back: what is read again is the same rows, in the
+    same parts, also after executors are lost."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder the cluster names, so lost executors cost no recompute."""
     sc = df.sparkSession.sparkContext

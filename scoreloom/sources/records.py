@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 from functools import reduce
 from operator import or_
@@ -17,6 +18,7 @@ from scoreloom.functions.keys import has_absolute_path, portable_text
 from scoreloom.functions.scores import row_problems
 from scoreloom.operators.fingerprint import fingerprint, json_line, split_line
 from scoreloom.operators.records import SPLITS, require_empty
+from scoreloom.sources.lines import block_starts, numbered_log, read_lines, read_records, with_line_numbers
 
 # Schemas as DDL texts: they are parsed only when a session is there to parse them.
 VIDEO_SCHEMA = (
@@ -75,16 +77,14 @@ def read_jsonl(
     """JSON lines (gzip by suffix): blank lines skipped, other fields and broken lines reported.
 
     With `strict`, values of another type are reported too; fields that are `required` must be there
-    and not null. Each problem names its file and line.
+    and not null. Each problem has its file, the number of its line in it and the line's text.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    paths = [path] if isinstance(path, str) else list(path)
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"))
-    lines = lines.where(F.trim("value") != "")
+    lines = read_lines(spark, path)
     full = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    parsed = lines.withColumn("r", F.from_json("value", full, options))
+    parsed = lines.where(F.trim("value") != "").withColumn("r", F.from_json("value", full, options))
     names = F.json_object_keys("value")
     known = F.array(*[F.lit(f) for f in schema.names])
     problem = F.when(names.isNull(), F.lit("not a JSON object")).when(
@@ -95,11 +95,10 @@ def read_jsonl(
         problem = problem.when(F.col(f"r.`{field}`").isNull(), F.lit(f"missing field {field}"))
     if strict:
         problem = problem.when(F.col("r._corrupt").isNotNull(), F.lit("value of another type"))
+    bad = parsed.withColumn("problem", problem).where(F.col("problem").isNotNull())
     return Scan(
         parsed.select(*[F.col(f"r.`{f}`").alias(f) for f in schema.names]),
-        parsed.select("file", F.col("value").alias("line"), problem.alias("problem")).where(
-            F.col("problem").isNotNull()
-        ),
+        with_line_numbers(bad, block_starts(lines)).select("file", "line", F.col("value").alias("text"), "problem"),
     )
 
 
@@ -164,26 +163,25 @@ def write_split_tsv(rows: DataFrame, path: str) -> str:
 def read_csv_text(spark: SparkSession, path: str, sep: str = ",", *, named: bool = False) -> DataFrame:
     """A CSV table with a header, every cell as text, a byte-order mark tolerated.
 
-    Files may order or choose their columns each in their own way: files of one header are read
-    together, and the tables united by name. With `named`, `file` names the file of each row.
+    Cells in quotes may hold line breaks, wherever Spark cuts a file into blocks. Files may order or
+    choose their columns each in their own way: records are parsed by the header of their file, and
+    the tables of all headers united by name. With `named`, `file` names the file of each row.
     """
-    reader = spark.read.option("sep", sep).option("escape", '"')
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
-    lines = lines.withColumn("place", F.monotonically_increasing_id())
-    heads = (
-        lines.where("at = 0").groupBy("file")
-        .agg(F.min_by("value", "place").alias("head"))
-        .groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("head").collect()
-    )  # one row per header
-    if len(heads) <= 1:
-        tables = [reader.option("header", True).csv(path)]
-    else:
-        tables = [reader.option("header", True).csv(h["files"]) for h in heads]
-    tables = [t.withColumn("file", F.col("_metadata.file_name")) if named else t for t in tables]
-    tables = [t.withColumnRenamed(t.columns[0], t.columns[0].lstrip("\ufeff")) for t in tables]
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t, allowMissingColumns=True)
+    records = read_records(spark, path)
+    heads = records.groupBy("file").agg(F.min_by("value", "line").alias("head"), F.min("line").alias("first"))
+    body = records.join(heads, "file").where("line > first")
+    kinds = [r["head"] for r in heads.select("head").distinct().orderBy("head").collect()]  # one per set of columns
+    if not kinds:
+        raise ContractError(f"no table with a header at {path}")
+    out = None
+    for head in kinds:
+        names = next(csv.reader([head.lstrip("\ufeff")], delimiter=sep))
+        names = [n or f"_c{i}" for i, n in enumerate(names)]
+        schema = ", ".join("`" + n.replace("`", "``") + "` STRING" for n in names)
+        cells = F.from_csv("value", F.lit(schema), {"sep": sep, "escape": '"', "multiLine": "true"})
+        rows = body.where(F.col("head") == head).select(cells.alias("r"), "name")
+        table = rows.select("r.*", *([F.col("name").alias("file")] if named else []))
+        out = table if out is None else out.unionByName(table, allowMissingColumns=True)
     return out
 
 
@@ -292,15 +290,11 @@ SHARD_FILE = r"index\.shard-(\d+)-of-(\d+)\.jsonl"
 
 
 def append_outcomes(outcomes: DataFrame, path: str, batch_id: int) -> None:
-    """Append outcomes to a log, reasons cut to portable texts, each row with its batch.
+    """Append a batch of outcomes to a log, reasons cut to portable texts, each row with its batch.
 
-    Rows without a `seq` are numbered in their order, after those of earlier batches.
+    A batch is a folder of its own, so one that is appended again takes the place of its first try.
+    Rows keep the order of the table; `read_outcomes` numbers them.
     """
-    place = F.monotonically_increasing_id()
-    if "seq" not in outcomes.columns:
-        # a task's first row, then its place: 2**20 rows of each of 4,096 tasks of a batch
-        at = F.shiftleft(F.shiftright(place, 33), 20) + place.bitwiseAND(F.lit((1 << 20) - 1))
-        outcomes = outcomes.withColumn("seq", F.lit(batch_id << 32) + at)
     rows = outcomes.withColumns(
         {
             "reason": portable_text(F.col("reason")),
@@ -308,22 +302,21 @@ def append_outcomes(outcomes: DataFrame, path: str, batch_id: int) -> None:
         }
     )
     require_empty(path_leaks(rows), "absolute path")
-    rows.select(json_line(rows.columns).alias("value")).write.mode("append").text(path)
+    lines = rows.select(json_line(rows.columns).alias("value"))
+    lines.write.mode("overwrite").text(f"{path}/batch-{batch_id:019d}")
 
 
 def read_outcomes(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Outcome rows with the shard their file names, if any.
+    """Outcome rows in log order by `seq`, with the shard their file names, if any.
 
-    A line without a `seq` gets one from where it stands in its file: the start of the block that
-    Spark read it in, then its place among the rows of that block's task.
+    A later line of a log has a greater `seq`, a later batch greater ones than all before, however
+    many lines, tasks and batches there are. A log whose every line holds a `seq` keeps these.
     """
-    paths = [path] if isinstance(path, str) else list(path)
-    rows = spark.read.schema(OUTCOME_SCHEMA).json(paths)
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 24) - 1))
-    at = F.shiftleft(F.col("_metadata.file_block_start"), 24) + place
-    rows = rows.withColumn("seq", F.coalesce(F.col("seq"), at))
-    shard = F.regexp_extract(F.col("_metadata.file_path"), SHARD_FILE, 1)
-    return rows.withColumn("shard", F.nullif(shard, F.lit("")).cast("int"))
+    lines = read_lines(spark, path).withColumn("r", F.from_json("value", OUTCOME_SCHEMA))
+    rows = numbered_log(lines, batch=F.col("r.batch_id"), own=F.col("r.seq"))
+    shard = F.regexp_extract("file", SHARD_FILE, 1)
+    names = [f.name for f in T.StructType.fromDDL(OUTCOME_SCHEMA) if f.name != "seq"]
+    return rows.select(*[f"r.{c}" for c in names], "seq", F.nullif(shard, F.lit("")).cast("int").alias("shard"))
 
 
 def list_media(spark: SparkSession, root: str, suffixes: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoreloom.functions import frames as FR
-from scoreloom.functions import hist_metrics as H
+from scoreloom.functions.range_metrics import METRICS, Range
 from scoreloom.operators import bootstrap as B
 from scoreloom.operators import calibrate as CAL
 from scoreloom.operators import compare as CMP
@@ -94,11 +94,12 @@ def hist_of(spark, seed=0, n=400):
     return rows, y, p
 
 
-@pytest.mark.parametrize("small", [B.SMALL_CELLS, 0])
-def test_bootstrap_interval_has_the_law_of_row_resampling(spark, small):
+@pytest.mark.parametrize("fanout", [B.FANOUT, 5])
+def test_bootstrap_interval_has_the_law_of_row_resampling(spark, monkeypatch, fanout):
+    monkeypatch.setattr(B, "FANOUT", fanout)
     rows, y, p = hist_of(spark)
     hist = M.score_hist(rows, ["g"])
-    got = B.bootstrap_ci(hist, ["g"], "auc", n_boot=600, seed=4, small_cells=small).first()
+    got = B.bootstrap_ci(hist, ["g"], "auc", n_boot=600, seed=4).first()
     rng = np.random.default_rng(9)
     pos, neg = p[y == 1], p[y == 0]
     ref = []
@@ -107,27 +108,69 @@ def test_bootstrap_interval_has_the_law_of_row_resampling(spark, small):
         ref.append(np.mean((a[:, None] > b[None]) + 0.5 * (a[:, None] == b[None])))
     lo, hi = np.quantile(ref, [0.025, 0.975])
     assert got.ci_lo == pytest.approx(lo, abs=0.015) and got.ci_hi == pytest.approx(hi, abs=0.015)
-    again = B.bootstrap_ci(hist, ["g"], "auc", n_boot=600, seed=4, small_cells=small).first()
-    assert (again.ci_lo, again.ci_hi) == (got.ci_lo, got.ci_hi)
-
-
-def test_distributed_resamples_keep_class_sizes(spark):
-    rows, y, _ = hist_of(spark)
-    drawn = B.resampled_hist(M.score_hist(rows, ["g"]), ["g"], n_boot=40, seed=1, blocks=7)
-    sums = drawn.groupBy("g", "rep").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q")).collect()
-    assert len(sums) == 40
-    assert {(r.p, r.q) for r in sums} == {(int(y.sum()), int((1 - y).sum()))}
-    assert drawn.groupBy("rep", "score").count().where("count > 1").count() == 0
-
-
-@pytest.mark.parametrize("small", [B.SMALL_CELLS, 0])
-def test_paired_interval_sees_the_same_rows_on_both_sides(spark, small):
+    again = B.bootstrap_ci(hist, ["g"], "auc", n_boot=600, seed=4).first()
+    assert (again.ci_lo, again.ci_hi) == pytest.approx((got.ci_lo, got.ci_hi), abs=1e-12)
+
+
+def test_an_interval_is_the_same_alone_and_beside_others(spark, monkeypatch):
+    monkeypatch.setattr(B, "FANOUT", 7)
+    mine = hist_of(spark)[0].select("g", "label", "score")
+    other = hist_of(spark, 3, 900)[0].select(F.lit("b").alias("g"), "label", "score")
+    alone = B.replicate_values(M.score_hist(mine, ["g"]), ["g"], "ap", n_boot=30, seed=2)
+    both = M.score_hist(mine.unionByName(other), ["g"])
+    values = lambda df: [r["value"] for r in df.where("g = 'a'").orderBy("rep").collect()]
+    want = values(alone)
+    assert len(want) == 30 and values(B.replicate_values(both, ["g"], "ap", n_boot=30, seed=2)) == pytest.approx(want, abs=1e-12)
+    monkeypatch.setattr(B, "slices_for", lambda *_: 3)
+    for n in (1, 30):
+        shuffled = both.repartition(n)
+        assert values(B.replicate_values(shuffled, ["g"], "ap", n_boot=30, seed=2)) == pytest.approx(want, abs=1e-12)
+
+
+def test_the_interval_of_aurc_is_of_its_value(spark):
+    """Two distinct scores, so the order within ties is nearly all there is."""
+    rng = np.random.default_rng(5)
+    data = [("f", f"k{i:04d}", int(y), 0.7 if a else 0.2) for i, (y, a) in enumerate(zip(rng.integers(0, 2, 400), rng.integers(0, 2, 400)))]
+    rows = spark.createDataFrame(data, "g string, key string, label int, score double")
+    got = B.bootstrap_ci(M.score_hist(rows, ["g"]), ["g"], "aurc", n_boot=200, rows=rows).first()
+    assert got.ci_lo < got.value < got.ci_hi and got.ci_hi - got.ci_lo < 0.2
+    wrong = np.array([(s >= 0.5) != y for _, _, y, s in data])[np.argsort([-max(s, 1 - s) for *_, s in data], kind="stable")]
+    assert got.value == pytest.approx(np.mean(np.cumsum(wrong) / np.arange(1, 401)), abs=1e-12)
+    pairs = rows.select("g", F.lit("d").alias("dataset"), "key", F.lit(None).cast("string").alias("compression"), F.col("label").alias("label_a"),
+                        F.col("score").alias("score_a"), (1 - F.col("score") / 3).alias("score_b"))
+    joint = CMP.joint_hist(pairs, ["g"])
+    found = CMP.paired_delta_ci(joint, ["g"], "aurc", n_boot=100, pairs=pairs).first()
+    other = pairs.withColumn("score", F.col("score_b")).withColumn("label", F.col("label_a"))
+    b = M.compute(other, ["g"], {"v": M.aurc()}).first()["v"]
+    assert found.delta_lo < b - got.value < found.delta_hi
+
+
+@pytest.mark.parametrize("fanout", [B.FANOUT, 5])
+def test_paired_interval_sees_the_same_rows_on_both_sides(spark, monkeypatch, fanout):
+    monkeypatch.setattr(B, "FANOUT", fanout)
     rows, _, _ = hist_of(spark)
     joint = rows.groupBy("g", F.col("score").alias("score_a"), F.col("score").alias("score_b")).agg(
         F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")
     )
-    got = CMP.paired_delta_ci(joint, ["g"], "auc", n_boot=64, small_cells=small).first()
-    assert got.delta_lo == pytest.approx(0, abs=1e-12) and got.delta_hi == pytest.approx(0, abs=1e-12)
+    for name, params in (("auc", {}), ("ece", {"adaptive": True, "bins": 4}), ("eer", {})):
+        got = CMP.paired_delta_ci(joint, ["g"], name, params, n_boot=16).first()
+        assert got.delta_lo == pytest.approx(0, abs=1e-12) and got.delta_hi == pytest.approx(0, abs=1e-12)
+
+
+def test_paired_interval_has_the_law_of_row_resampling(spark, monkeypatch):
+    monkeypatch.setattr(B, "FANOUT", 40)
+    rows, y, p = hist_of(spark)
+    pairs = rows.select("g", F.col("label").alias("label_a"), F.col("score").alias("score_a"), F.col("score_b"))
+    other = np.round(p**2, 3)
+    joint = CMP.joint_hist(pairs, ["g"])
+    got = CMP.paired_delta_ci(joint, ["g"], "acc", n_boot=500, seed=3).first()
+    hit = ((other >= 0.5) == y).astype(float) - ((p >= 0.5) == y)
+    rng = np.random.default_rng(1)
+    ref = [(rng.choice(hit[y == 1], int(y.sum())).sum() + rng.choice(hit[y == 0], int((1 - y).sum())).sum()) / len(y) for _ in range(3000)]
+    lo, hi = np.quantile(ref, [0.025, 0.975])
+    assert got.delta_lo == pytest.approx(lo, abs=0.02) and got.delta_hi == pytest.approx(hi, abs=0.02)
+
+
 
 
 def test_stratified_resample_is_exact_per_class(videos):
@@ -295,10 +338,10 @@ def test_holm_example(spark):
 
 def test_replicates_do_not_depend_on_partitioning(spark):
     s, pos, neg = np.array([0.1, 0.5, 0.9]), np.array([3, 4, 5]), np.array([6, 2, 1])
-    rng = B._group_rng(1, ("a",), 7)
-    p = B._multinomial(rng, pos, 1)[0]
-    q = B._multinomial(rng, neg, 1)[0]
-    want = float(H.auc(s, p, q))
+    rng = np.random.default_rng([1, B.group_stream(("a",)), 7, 0, 0])
+    p = rng.multinomial(12, pos[::-1] / 12)[None]
+    q = rng.multinomial(9, neg[::-1] / 9)[None]
+    want = float(METRICS["auc"].part(Range(s[::-1], p, q, *np.zeros((3, 1)), 12, 9))[0][0])
     hist = spark.createDataFrame(pd.DataFrame({"g": "a", "score": s, "pos": pos, "neg": neg}))
     values = B.replicate_values(hist, ["g"], "auc", n_boot=20, seed=1)
     assert values.where("rep = 7").first()["value"] == pytest.approx(want)

@@ -1,5 +1,7 @@
 """Files as others write them: own headers, no order, broken cells; and comparisons that must refuse."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +80,80 @@ def test_comparisons_refuse_what_has_no_answer(spark):
     apart = [("b", "d", "z/1", *r[3:]) for r in one[:1]]
     with pytest.raises(ContractError, match="share no"):
         CMP.compare(frame(one + apart), brier, n_boot=0)
+
+
+@pytest.fixture
+def small_blocks(spark):
+    """Files cut into blocks of 64 bytes."""
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_records_over_many_blocks_equal_a_csv_reader(spark, tmp_path, small_blocks, end):
+    import csv
+    import random
+
+    rng = random.Random(4)
+    want = []
+    for name, head in (("a.csv", ["k", "note", "n"]), ("b.csv", ["note", "two\nlines", "k"]), ("c.csv", ["k"])):
+        cell = lambda: "".join(rng.choice(['"', ",", "\n", "x", "yz ", "\r\n", '""']) for _ in range(rng.randrange(9)))
+        with open(tmp_path / name, "w", encoding="utf-8", newline="") as f:
+            out = csv.writer(f, lineterminator=end)
+            out.writerow(head)
+            for i in range(120):
+                row = {"k": f"{name}{i}", "note": rng.choice([cell(), "-" * rng.randrange(200)]), "n": str(i), "two\nlines": cell()}
+                out.writerow([row[h] for h in head])
+                want.append((row["k"], *[row[h] or None if h in head else None for h in ("note", "n", "two\nlines")], name))
+                if i % 50 == 7:
+                    f.write(end)
+    table = SR.read_csv_text(spark, str(tmp_path), named=True)
+    got = [tuple(c or None for c in r) for r in table.select("k", "note", "n", "`two\nlines`", "file").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_a_cell_without_an_end_is_an_error(spark, tmp_path, small_blocks):
+    write(tmp_path, "a.csv", "k,n\n" + "x,1\n" * 40 + '"y,2\n' + "x,1\n" * 40)
+    with pytest.raises(ContractError, match="no end"):
+        SR.read_csv_text(spark, str(tmp_path))
+
+
+def test_problems_have_line_numbers(spark, tmp_path, small_blocks):
+    write(tmp_path, "v.jsonl", "".join('{"key":"r"}\n' if i % 7 else '\n{"kez":"r"}\n' for i in range(100)))
+    scan = SR.read_jsonl(spark, str(tmp_path / "v.jsonl"), "key STRING")
+    want = [i + 1 for i, line in enumerate((tmp_path / "v.jsonl").read_text().split("\n")) if "kez" in line]
+    assert sorted(r["line"] for r in scan.problems.collect()) == want
+
+
+def test_log_order_survives_many_rows_in_a_task(spark, tmp_path):
+    n = 2_000_000
+    status = F.when(F.col("id") >= n - 5, "ok").otherwise("decode_error")
+    log = spark.range(n, numPartitions=1).select(
+        F.concat(F.lit("u/"), (F.col("id") % 5).cast("string")).alias("key"), F.lit(None).cast("string").alias("compression"),
+        status.alias("status"), F.lit(None).cast("string").alias("reason"),
+    )
+    path = str(tmp_path / "log")
+    for batch in (0, 1):
+        SR.append_outcomes(log, path, batch)
+    SR.append_outcomes(log, path, 1)  # a batch again, after a failure
+    rows = SR.read_outcomes(spark, path)
+    seq = rows.agg(F.count("seq"), F.count_distinct("seq"), F.max("seq")).first()
+    assert tuple(seq) == (2 * n, 2 * n, 2 * n - 1)
+    assert {(r["key"], r["status"]) for r in logs.latest(rows).collect()} == {(f"u/{i}", "ok") for i in range(5)}
+
+
+def test_log_order_survives_many_tasks_and_small_blocks(spark, tmp_path, small_blocks):
+    path = str(tmp_path / "log")
+    for batch in range(3):
+        rows = spark.range(60, numPartitions=20).select(F.lit("k").alias("key"), F.lit(None).cast("string").alias("compression"), (F.col("id") + batch * 60).cast("string").alias("status"), F.lit(None).cast("string").alias("reason"))
+        SR.append_outcomes(rows, path, batch)
+    rows = SR.read_outcomes(spark, path)
+    assert sorted((r["seq"], int(r["status"])) for r in rows.collect()) == [(i, i) for i in range(180)]
+    # names of tasks beyond five digits, as other writers leave them
+    (tmp_path / "many").mkdir()
+    for task in (99_999, 100_000, 3):
+        write(tmp_path / "many", f"part-{task:05d}-x-c000.txt", json.dumps({"key": "a", "compression": None, "status": str(task)}) + "\n")
+    assert logs.latest(SR.read_outcomes(spark, str(tmp_path / "many"))).first()["status"] == "100000"
+    assert SR.read_outcomes(spark, str(tmp_path / "many")).schema.names == [f.name for f in spark.createDataFrame([], SR.OUTCOME_SCHEMA).schema.fields if f.name != "seq"] + ["seq", "shard"]

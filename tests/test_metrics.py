@@ -7,8 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scoreloom.errors import ConfigError
-from scoreloom.functions import hist_metrics as H
-from scoreloom.operators import bootstrap as B
+from scoreloom.functions.range_metrics import METRICS, Range, inner_quantiles
 from scoreloom.operators import metrics as M
 
 
@@ -96,37 +95,42 @@ def test_aurc_keeps_key_order_in_ties(groups, blocks):
         assert got[g] == pytest.approx(np.mean(run / np.arange(1, len(run) + 1)), abs=1e-12)
 
 
+def by_ranges(s, pos, neg, name, cut, **kw):
+    """A metric of one histogram from the parts of its ranges, as resampling merges them."""
+    order = np.argsort(-s)
+    s, pos, neg = s[order], pos[order][None], neg[order][None]
+    n_p, n_q = int(pos.sum()), int(neg.sum())
+    adaptive = kw.pop("adaptive", False)
+
+    def parts(of, **params):
+        out = []
+        for at in range(0, len(s), cut):
+            here = slice(at, at + cut)
+            tp, fp = pos[:, :at].sum(axis=1), neg[:, :at].sum(axis=1)
+            out.append(METRICS[of].part(Range(s[here], pos[:, here], neg[:, here], tp, fp, np.zeros(1), n_p, n_q), **params))
+        merge = {"sum": np.nansum, "max": np.fmax.reduce, "min": np.fmin.reduce}[METRICS[of].merge]
+        return [float(merge(np.array(x), axis=0)[0]) for x in zip(*out)]
+
+    if adaptive:
+        found = parts("order_statistics", bins=kw["bins"])
+        at = inner_quantiles(kw["bins"]) * (n_p + n_q - 1)
+        kw["edges"] = np.array([[lo + (hi - lo) * (a - np.floor(a)) for lo, hi, a in zip(found[::2], found[1::2], at)]])
+    merged = parts(name, **kw)
+    if name == "ece":
+        return sum(map(abs, merged))
+    return 1.0 if kw.get("interp") and np.isnan(merged[0]) else merged[0]
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 20)), min_size=2, max_size=40))
-def test_numpy_metrics_match_definitions(rows):
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 20)), min_size=2, max_size=40), st.integers(1, 9))
+def test_metrics_by_ranges_match_definitions(rows, cut):
     y = np.array([0, 1, *[r[0] for r in rows]])
     p = np.array([0.4, 0.6, *[r[1] / 20 for r in rows]])
     s = np.unique(p)
     pos = np.array([np.sum((p == v) & (y == 1)) for v in s])
     neg = np.array([np.sum((p == v) & (y == 0)) for v in s])
     for n, kw in CASES:
-        got = H.FUNCTIONS[n](s, pos, neg, **kw)
-        assert float(got) == pytest.approx(naive(y, p, n, **kw), abs=1e-9), (n, kw)
-
-
-def test_numpy_aurc_matches_the_run_formula():
-    rng = np.random.default_rng(1)
-    s = np.linspace(0, 1, 21)
-    pos, neg = rng.integers(0, 9, 21), rng.integers(0, 9, 21)
-    rows = []
-    for v, a, b in zip(s, pos, neg):
-        rows += [(max(v, 1 - v), 0, v)] * int(b) + [(max(v, 1 - v), 1, v)] * int(a)
-    rows.sort(key=lambda r: (-r[0], r[1], r[2]))
-    wrong = np.cumsum([(r[2] >= 0.5) != (r[1] == 1) for r in rows])
-    assert float(H.aurc(s, pos, neg)) == pytest.approx(np.mean(wrong / np.arange(1, len(rows) + 1)), abs=1e-9)
-
-
-def test_distributed_aurc_of_hist_matches_numpy(spark, groups):
-    hist = M.score_hist(groups, ["g"])
-    got = {r["g"]: r["v"] for r in M.compute(None, ["g"], {"v": B.aurc_of_hist()}, hist=hist).collect()}
-    for g, part in hist.toPandas().sort_values("score").groupby("g"):
-        want = H.aurc(part["score"].to_numpy(), part["pos"].to_numpy(), part["neg"].to_numpy())
-        assert got[g] == pytest.approx(float(want), abs=1e-9)
+        assert by_ranges(s, pos, neg, n, cut, **kw) == pytest.approx(naive(y, p, n, **kw), abs=1e-9), (n, kw)
 
 
 def test_one_class_is_null_with_a_reason(spark):

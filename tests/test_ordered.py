@@ -22,13 +22,17 @@ def rows(spark):
     return spark.createDataFrame(data, "g string, key string, s double, w int").cache()
 
 
-def test_score_blocks_never_fall(spark):
-    xs = sorted({0.0, 1.0, 1e-300, 1e-9, 0.5, *np.random.default_rng(0).random(5000).tolist(),
-                 *(1 - np.logspace(-16, -1, 300)).tolist(), *np.logspace(-16, -1, 300).tolist()})
-    df = spark.createDataFrame([(float(x),) for x in xs], "s double").select("s", O.score_block(F.col("s")).alias("b"))
-    blocks = [r.b for r in df.orderBy("s").collect()]
-    assert blocks == sorted(blocks)
-    assert blocks[-1] - blocks[0] > 2000
+def test_crowded_scores_are_many_even_blocks(spark):
+    """All scores within 0.0002: the blocks are even, never fall, and hold equal scores together."""
+    rng = np.random.default_rng(0)
+    df = spark.createDataFrame([("a", float(0.4999 + 0.0002 * x)) for x in rng.random(6000)] + [("b", 0.5)] * 50 + [(None, 0.1)], "g string, s double")
+    got = O.with_quantile_block(df, ["g"], "s")
+    of_a = got.where("g = 'a'").orderBy("s").select("s", "_block").collect()
+    blocks = [r["_block"] for r in of_a]
+    sizes = np.bincount(blocks)
+    assert blocks == sorted(blocks) and len(set(blocks)) > 200 and sizes.max() < 3 * 6000 / 256
+    assert got.groupBy("g", "s").agg(F.count_distinct("_block").alias("n")).where("n > 1").count() == 0
+    assert got.where("g = 'b'").select("_block").distinct().count() == 1 and got.count() == 6051
 
 
 @pytest.mark.parametrize("blocks", [1, 7, 60])
@@ -47,7 +51,7 @@ def test_numbered_without_groups(rows):
 @pytest.mark.parametrize("descending", [False, True])
 def test_prefix_sums_equal_window(rows, descending):
     hist = rows.groupBy("g", "s").agg(F.sum("w").alias("w"))
-    got = O.prefix_sums(hist, ["g"], ["s"], {"c": F.col("w")}, O.score_block(F.col("s")), descending=descending, totals={"c": "t"})
+    got = O.prefix_sums(hist, ["g"], ["s"], {"c": F.col("w")}, descending=descending, totals={"c": "t"})
     order = F.desc("s") if descending else F.asc("s")
     w = Window.partitionBy("g").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     want = hist.withColumn("c", F.sum("w").over(w)).withColumn("t", F.sum("w").over(Window.partitionBy("g")))
@@ -82,7 +86,7 @@ def test_running_sums_read_the_input_once(spark, sf):
     items = spark.read.parquet(f"{sf}/lineitem.parquet")
     hist = items.groupBy("l_returnflag", "l_discount").agg(F.sum("l_quantity").alias("w"))
     run = O.prefix_sums(
-        hist, ["l_returnflag"], ["l_discount"], {"c": F.col("w")}, O.score_block(F.col("l_discount"))
+        hist, ["l_returnflag"], ["l_discount"], {"c": F.col("w")}
     )
     run.collect()
     plan = run._jdf.queryExecution().executedPlan().toString()
