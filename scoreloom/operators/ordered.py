@@ -154,6 +154,46 @@ def numbered(
     return prefix_sums(df, groups, order, {name: F.lit(1)}, totals=totals, ranges=True, blocks=blocks)
 
 
+def carried_forward(df: DataFrame, order: Sequence[str], value: Column, name: str, blocks: int | None = None) -> DataFrame:
+    """`df` with the greatest `value` up to each row of `order`, null values aside: where values rise
+    along the order, the latest one known at the row."""
+    blocked = with_range_block(df, order, blocks)
+    within = Window.partitionBy("_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = blocked.withColumn("_own", F.max(value).over(within))
+    # one row per range
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = blocked.groupBy("_block").agg(F.max(value).alias("_last"))
+    earlier = totals.select("_block", F.max("_last").over(before).alias("_earlier"))
+    return running.join(earlier, "_block").select(*df.columns, F.coalesce("_own", "_earlier").alias(name))
+
+
+# Leading hexadecimal digits by which hashes are counted: 65,536 counts per group at most.
+HASH_DIGITS = 4
+
+
+def smallest_hashes(rows: DataFrame, groups: Sequence[str], hashed: str, k: int) -> DataFrame:
+    """The `k` rows of every group with the smallest values of `hashed`, hexadecimal and of one length.
+
+    Rows are counted per group and leading digits, which merges over tasks. The digits at which a
+    group's count passes `k` part it: rows before are in, rows after are out, and only those at these
+    digits are ordered. A group of `k` rows or fewer is kept whole. Null groups are groups.
+    """
+    if k <= 0:
+        return rows.limit(0)
+    groups = list(groups)
+    keyed = rows.withColumn("_lead", F.substring(hashed, 1, HASH_DIGITS))
+    counts = keyed.groupBy(*groups, "_lead").agg(F.count(F.lit(1)).alias("_n"))
+    by = Window.partitionBy(*(groups or [F.lit(0)]))
+    before = F.coalesce(F.sum("_n").over(by.orderBy("_lead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    passed = counts.withColumn("_before", before).where((F.col("_before") < k) & (F.col("_before") + F.col("_n") >= k))
+    cuts = passed.select(*groups, F.col("_lead").alias("_cut"), (F.lit(k) - F.col("_before")).alias("_more"))
+    joined = join_null_safe(keyed, cuts, groups, "left") if groups else keyed.join(F.broadcast(cuts), how="left")
+    inside = joined.where(F.col("_cut").isNull() | (F.col("_lead") < F.col("_cut")))
+    place = F.row_number().over(Window.partitionBy(*groups, "_lead").orderBy(hashed))
+    at = joined.where(F.col("_lead") == F.col("_cut")).withColumn("_place", place).where(F.col("_place") <= F.col("_more"))
+    return inside.select(*rows.columns).unionByName(at.select(*rows.columns))
+
+
 def weighted_quantiles(
     hist: DataFrame, groups: Sequence[str], value: str, weight: str, probs: Mapping[str, float]
 ) -> DataFrame:

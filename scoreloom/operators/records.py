@@ -12,6 +12,7 @@ from scoreloom.errors import ConfigError, ContractError
 from scoreloom.functions.keys import task_or_key
 from scoreloom.operators.ordered import join_null_safe
 
+# The splits, and the fields of a record.
 SPLITS = ("train", "val", "test", "exclude")
 RECORD_FIELDS = (
     "key",

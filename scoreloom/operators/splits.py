@@ -19,9 +19,10 @@ from scoreloom.functions.keys import (
     md5_mod,
     task_of,
 )
-from scoreloom.operators.ordered import join_null_safe, numbered
+from scoreloom.operators.ordered import join_null_safe, numbered, smallest_hashes
 from scoreloom.operators.records import KEY, SPLITS
 
+# The policies' names.
 POLICIES = ("test-only-official", "official-train-test")
 
 
@@ -82,12 +83,20 @@ def official_val_rows(listed: DataFrame) -> DataFrame:
     return listed.where(F.col("split") == "val")
 
 
+# What a benchmark may be stratified by.
 STRATA = ("identity", "target_id", "source_id", "task")
 
 
+DRAWS = ("hashed", "sequence")
+
+
 @dataclass(frozen=True)
 class BenchmarkSpec:
-    """A seeded test subset: `k_fake` fakes (per stratum if any), then up to as many reals."""
+    """A seeded test subset: `k_fake` fakes (per stratum if any), then up to as many reals.
+
+    A hashed draw takes the rows of the smallest hashes of seed and key, on the executors. A sequence
+    draw picks positions of sorted lists by a seeded generator, as lists that are published already do.
+    """
 
     k_fake: int
     strata: tuple[str, ...] = ()
@@ -95,8 +104,11 @@ class BenchmarkSpec:
     exclude_tasks: tuple[str, ...] = ()
     seed: int = 0
     compressions: tuple[str, ...] | None = None
+    draw: str = "hashed"
 
     def __post_init__(self) -> None:
+        if self.draw not in DRAWS:
+            raise ConfigError(f"unknown draw {self.draw!r}; known: {', '.join(DRAWS)}")
         for name in self.strata:
             if name not in STRATA:
                 raise ConfigError(f"unknown stratum {name!r}; known: {', '.join(STRATA)}")
@@ -123,12 +135,7 @@ def benchmark(
     pool_keys: DataFrame | None = None,
     blocks: int | None = None,
 ) -> DataFrame:
-    """Draw a benchmark exactly as a seeded generator would from the sorted lists.
-
-    Sampling a list picks positions, so only the sizes of strata that are larger than `k_fake`
-    reach the driver; the positions drawn go back as a table and meet the rows by row number.
-    Smaller strata are kept whole without being looked at.
-    """
+    """Draw a benchmark from the videos, or from those of `pool_keys` if there are any."""
     pool = videos
     if pool_keys is not None and pool_keys.head(1):
         pool = pool.join(pool_keys.select("key").distinct(), "key", "left_semi")
@@ -154,8 +161,34 @@ def benchmark(
     unranked = keyed.where(F.col("_rank") < 0).head(1)
     if unranked:
         raise ContractError(f"the task of {unranked[0]['key']!r} has no rank")
+    if spec.draw == "hashed":
+        drawn = _hashed_draw(keyed, spec, strata)
+    else:
+        drawn = _sequence_draw(keyed, spec, strata, blocks)
+    return all_test(drawn)
+
+
+def _hashed_draw(keyed: DataFrame, spec: BenchmarkSpec, strata: Sequence[str]) -> DataFrame:
+    """Fakes and reals of the smallest hashes of (seed, key, compression)."""
+    text = F.concat_ws(":", F.lit(str(spec.seed)), "key", "_c")
+    hashed = keyed.withColumn("_h", F.md5(text.cast("binary")))
+    fakes, reals = hashed.where(~F.col("_real")), hashed.where("_real")
+    picked = smallest_hashes(fakes, strata, "_h", spec.k_fake)
+    n_reals = fakes.groupBy(*strata).count().agg(F.sum(F.least("count", F.lit(max(spec.k_fake, 0))))).first()[0] or 0
+    if spec.k_real_cap is not None and spec.k_real_cap >= 0:
+        n_reals = min(n_reals, spec.k_real_cap)
+    return picked.select(*KEY).unionByName(smallest_hashes(reals, [], "_h", n_reals).select(*KEY))
+
+
+def _sequence_draw(keyed: DataFrame, spec: BenchmarkSpec, strata: Sequence[str], blocks: int | None) -> DataFrame:
+    """The draw of a seeded generator from sorted lists.
+
+    Sampling a list picks positions, so only the sizes of strata that are larger than `k_fake`
+    reach the driver; the positions drawn go back as a table and meet the rows by row number.
+    Smaller strata are kept whole without being looked at.
+    """
     order = ["_local", "_rank", "_c"]
-    spark = videos.sparkSession
+    spark = keyed.sparkSession
     rng = random.Random(spec.seed)
 
     fakes = keyed.where(~F.col("_real"))
@@ -195,14 +228,13 @@ def benchmark(
         chosen = spark.createDataFrame([(p + 1,) for p in places], "rn long")
         ranked = numbered(reals, [], order, blocks=blocks)
         drawn.append(ranked.join(chosen, "rn", "left_semi").select(*KEY))
-    if not drawn:
-        return all_test(videos).limit(0)
-    out = drawn[0]
-    for part in drawn[1:]:
+    out = keyed.select(*KEY).limit(0)
+    for part in drawn:
         out = out.unionByName(part)
-    return all_test(out)
+    return out
 
 
+# The rules' names.
 RULES = ("all-test", "ident-72-14-14", "ident-80-20", "official", "official+ident-80-20", "benchmark")
 
 

@@ -324,6 +324,44 @@ def a49(spark: SparkSession, d: str) -> DataFrame:
     return dataset_bumps(V.videos(spark, d), V.videos_next(spark, d))
 
 
+def _listed(v: str, schemes: str) -> str:
+    """All lists of a release as (dataset, kind, name, k, says)."""
+    k = "key || '|' || coalesce(compression, '-')"
+    return f"""SELECT dataset, 'videos' AS kind, '' AS name, {k} AS k, label_key || '|' || method AS says FROM {v}
+UNION ALL SELECT dataset, 'scheme', s.name, {k}, CASE WHEN s.name = 'all' THEN 'test' WHEN n % s.m = 0 THEN 'test' ELSE 'train' END FROM {v}, (VALUES {schemes}) AS s(name, m) WHERE s.name <> 'half' OR dataset <> 'ds2'
+UNION ALL SELECT DISTINCT dataset, 'labels', 'binary', label_key, CAST(label AS VARCHAR) FROM {v}"""
+
+
+def _release(videos: DataFrame, schemes: dict[str, int]) -> dict[str, DataFrame]:
+    each = F.explode(F.create_map(*[F.lit(x) for pair in schemes.items() for x in pair])).alias("scheme", "m")
+    split = F.when((F.col("scheme") == "all") | (F.col("n") % F.col("m") == 0), "test").otherwise("train")
+    scheme = videos.select("dataset", "key", "compression", "n", each).where("scheme <> 'half' OR dataset <> 'ds2'")
+    labels = videos.select("dataset", F.lit("binary").alias("mapping"), "label_key", F.col("label").cast("string").alias("value"))
+    return {"videos": videos, "scheme": scheme.withColumn("split", split), "labels": labels.distinct()}
+
+
+@query(
+    "a49_release_changes",
+    with_views(
+        """SELECT dataset, kind, name, change, CASE WHEN change = 'changed' THEN added END AS added, CASE WHEN change = 'changed' THEN removed END AS removed,
+  CASE WHEN change = 'changed' THEN changed END AS changed,
+  CASE WHEN change = 'new' OR (change = 'changed' AND kind = 'labels' AND removed = 0 AND changed = 0) THEN 'minor' ELSE 'major' END AS bump
+FROM (SELECT *, CASE WHEN olds = 0 THEN 'new' WHEN news = 0 THEN 'removed' ELSE 'changed' END AS change FROM met) WHERE added + removed + changed > 0""",
+        "fx_videos2",
+        o=_listed("fx_videos", "('all', 1), ('half', 2), ('third', 3)"),
+        w=_listed("fx_videos2", "('all', 1), ('half', 2), ('fifth', 5)"),
+        met="""SELECT coalesce(o.dataset, w.dataset) AS dataset, coalesce(o.kind, w.kind) AS kind, coalesce(o.name, w.name) AS name, count(o.k) AS olds, count(w.k) AS news,
+  count(*) FILTER (o.k IS NULL) AS added, count(*) FILTER (w.k IS NULL) AS removed, count(*) FILTER (o.says <> w.says) AS changed
+FROM o FULL JOIN w ON o.dataset = w.dataset AND o.kind = w.kind AND o.name = w.name AND o.k = w.k GROUP BY ALL""",
+    ),
+)
+def a49_release(spark: SparkSession, d: str) -> DataFrame:
+    from scoreloom.plans.release import release_changes
+
+    old = _release(V.videos(spark, d), {"all": 1, "half": 2, "third": 3})
+    return release_changes(old, _release(V.videos_next(spark, d), {"all": 1, "half": 2, "fifth": 5}))
+
+
 _REALS = """SELECT DISTINCT key AS real_key, substr(key, strpos(key, '/') + 1) AS lk, identity FROM fx_videos WHERE label = 0"""
 
 

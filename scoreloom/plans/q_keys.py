@@ -347,8 +347,24 @@ for _n, (_r, _p, _s) in _RULES.items():
 RANK = {"REAL": 0, "FAKE_A": 1, "FAKE_B": 2}
 
 
-# Python's generator is not SQL: the draw is checked against plain Python in the tests.
-@query("k04_benchmark_draw")
+def _draw(pool: str, seed: int, k: int, strata: str, cap: str) -> str:
+    """The rows with the smallest hashes: `k` fakes per stratum, and as many reals, `cap` at most."""
+    by = f"PARTITION BY {strata} " if strata else ""
+    return with_views(
+        f"""SELECT key, compression, 'test' AS split FROM fakes WHERE rn <= {k} UNION ALL SELECT key, compression, 'test' FROM reals
+WHERE rn <= least((SELECT count(*) FROM fakes WHERE rn <= {k}), {cap})""",
+        "fx_videos",
+        o=_OFFICIAL,
+        pool=f"SELECT *, md5('{seed}:' || key || ':' || coalesce(compression, '')) AS h FROM fx_videos WHERE {pool}",
+        fakes=f"SELECT *, row_number() OVER ({by}ORDER BY h) AS rn FROM pool WHERE label = 1",
+        reals="SELECT *, row_number() OVER (ORDER BY h) AS rn FROM pool WHERE label = 0",
+    )
+
+
+@query(
+    "k04_benchmark_draw",
+    _draw("compression IN ('c23', 'c40') AND key IN (SELECT key FROM o WHERE split = 'test')", 7, 4, "label_key", "6"),
+)
 def k04(spark: SparkSession, d: str) -> DataFrame:
     params = {"k_fake": 4, "strata": ("task",), "seed": 7, "compressions": ("c23", "c40"), "k_real_cap": 6}
     return S.assign(
@@ -357,7 +373,7 @@ def k04(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("r06_benchmark_by_identity")
+@query("r06_benchmark_by_identity", _draw("label_key <> 'FAKE_B'", 1, 3, "identity", "1000000000"))
 def r06(spark: SparkSession, d: str) -> DataFrame:
     spec = S.BenchmarkSpec(k_fake=3, strata=("identity",), seed=1, exclude_tasks=("FAKE_B",))
     return S.benchmark(V.videos(spark, d), spec, is_real=F.col("label") == 0, task_rank=RANK)
@@ -383,7 +399,7 @@ def r07(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query("r08_scheme_from_official_pool")
+@query("r08_scheme_from_official_pool", _draw("key IN (SELECT key FROM o WHERE split = 'test')", 3, 50, "", "1000000000"))
 def r08(spark: SparkSession, d: str) -> DataFrame:
     rows = S.assign(
         "benchmark", {"k_fake": 50, "seed": 3}, V.videos(spark, d), listed=official_list(spark, d),

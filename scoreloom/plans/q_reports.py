@@ -242,25 +242,27 @@ def scorer_files(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "a37_delong",
     with_views(
-        """SELECT CAST(sum(label) AS BIGINT) AS n_pos, CAST(sum(1 - label) AS BIGINT) AS n_neg,
+        """SELECT n_pos, n_neg, auc_a, auc_b, round(z, 6) AS z,
+  round(1 - 2 / sqrt(2 * pi()) * abs(z) / 6000 * list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-(z * i / 2000) * (z * i / 2000) / 2))), 6) AS p
+FROM (SELECT CAST(sum(label) AS BIGINT) AS n_pos, CAST(sum(1 - label) AS BIGINT) AS n_neg,
   round(avg(xa) FILTER (label = 1), 9) AS auc_a, round(avg(xb) FILTER (label = 1), 9) AS auc_b,
-  round((avg(xa) FILTER (label = 1) - avg(xb) FILTER (label = 1)) / sqrt(var_samp(xa - xb) FILTER (label = 1) / sum(label) + var_samp(ya - yb) FILTER (label = 0) / sum(1 - label)), 6) AS z
+  round((avg(xa) FILTER (label = 1) - avg(xb) FILTER (label = 1)) / sqrt(var_samp(xa - xb) FILTER (label = 1) / sum(label) + var_samp(ya - yb) FILTER (label = 0) / sum(1 - label)), 15) AS z
 FROM (SELECT label,
   (rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE - (rank() OVER (PARTITION BY label ORDER BY score) + (count(*) OVER (PARTITION BY label, score) - 1) / 2.0::DOUBLE)) / (SELECT count(*) FROM s WHERE label = 0) AS xa,
   (rank() OVER (ORDER BY score_b) + (count(*) OVER (PARTITION BY score_b) - 1) / 2.0::DOUBLE - (rank() OVER (PARTITION BY label ORDER BY score_b) + (count(*) OVER (PARTITION BY label, score_b) - 1) / 2.0::DOUBLE)) / (SELECT count(*) FROM s WHERE label = 0) AS xb,
   1 - (rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE - (rank() OVER (PARTITION BY label ORDER BY score) + (count(*) OVER (PARTITION BY label, score) - 1) / 2.0::DOUBLE)) / (SELECT count(*) FROM s WHERE label = 1) AS ya,
   1 - (rank() OVER (ORDER BY score_b) + (count(*) OVER (PARTITION BY score_b) - 1) / 2.0::DOUBLE - (rank() OVER (PARTITION BY label ORDER BY score_b) + (count(*) OVER (PARTITION BY label, score_b) - 1) / 2.0::DOUBLE)) / (SELECT count(*) FROM s WHERE label = 1) AS yb
-  FROM s)""",
+  FROM s))""",
         "fx_scores",
         s="SELECT * FROM fx_scores WHERE status = 'ok' AND status_b = 'ok'",
     ),
 )
 def a37(spark: SparkSession, d: str) -> DataFrame:
     pairs = CMP.file_pairs(scorer_files(spark, d).where(F.col("file").isin("a", "b")))
-    out = CMP.delong(CMP.joint_hist(pairs, ["a", "b"]), ["a", "b"])
+    out = CMP.with_p_value(CMP.delong(CMP.joint_hist(pairs, ["a", "b"]), ["a", "b"]))
     return out.select(
         "n_pos", "n_neg", r9("auc_a").alias("auc_a"), r9("auc_b").alias("auc_b"),
-        (F.round("z", 6) + 0.0).alias("z"),
+        (F.round("z", 6) + 0.0).alias("z"), F.round("p", 6).alias("p"),
     )
 
 
@@ -345,9 +347,41 @@ def a41(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("a42_isotonic_fit")
+def _isotonic(src: str) -> dict[str, str]:
+    """Knots of the isotonic fit: the greatest over starts of the least mean over ends, for every score."""
+    return {
+        "cells": f"SELECT row_number() OVER (ORDER BY score) AS i, score, sum(label) AS pos, count(*) AS n FROM {src} GROUP BY score",
+        "pre": "SELECT i, score, pos, n, sum(pos) OVER (ORDER BY i) AS p1, sum(n) OVER (ORDER BY i) AS n1 FROM cells",
+        "means": "SELECT a.i AS j, b.i AS i, (b.p1 - a.p1 + a.pos) / CAST(b.n1 - a.n1 + a.n AS DOUBLE) AS mean FROM pre a JOIN pre b ON b.i >= a.i",
+        "least": "SELECT j, i, min(mean) OVER (PARTITION BY j ORDER BY i DESC ROWS UNBOUNDED PRECEDING) AS v FROM means",
+        "fitted": "SELECT i, max(v) AS y FROM least GROUP BY i",
+        "spans": "SELECT y, min(score) AS lo, max(score) AS hi FROM fitted JOIN cells USING (i) GROUP BY y",
+        "knots": "SELECT lo AS x, y FROM spans UNION SELECT hi, y FROM spans",
+    }
+
+
+@query("a42_isotonic_fit", with_views("SELECT x, round(y, 12) AS y FROM knots", "fx_ok", **_isotonic("fx_ok")))
 def a42(spark: SparkSession, d: str) -> DataFrame:
-    return CAL.fit("isotonic", X.apply_missing_policy(V.scores(spark, d))).knots
+    knots = CAL.fit("isotonic", X.apply_missing_policy(V.scores(spark, d))).knots
+    return knots.select("x", F.round("y", 12).alias("y"))
+
+
+@query(
+    "a43_isotonic_table",
+    with_views(
+        """SELECT dataset, key, compression, status, round(CASE WHEN score IS NULL THEN NULL WHEN k.x IS NULL THEN (SELECT y FROM knots ORDER BY x LIMIT 1)
+  WHEN k.x1 IS NULL THEN k.y ELSE k.y + (score - k.x) / (k.x1 - k.x) * (k.y1 - k.y) END, 9) AS score
+FROM fx_scores s ASOF LEFT JOIN pieces k ON s.score >= k.x""",
+        "fx_ok",
+        src="SELECT * FROM fx_ok WHERE dataset = 'ds0'",
+        **_isotonic("src"),
+        pieces="SELECT x, y, lead(x) OVER (ORDER BY x) AS x1, lead(y) OVER (ORDER BY x) AS y1 FROM knots",
+    ),
+)
+def a43_isotonic(spark: SparkSession, d: str) -> DataFrame:
+    rows = V.scores(spark, d)
+    out, _ = CAL.calibrate(rows.where("dataset = 'ds0'"), rows, "isotonic")
+    return out.select("dataset", "key", "compression", "status", r9("score").alias("score"))
 
 
 @query("a43_calibrated_table")

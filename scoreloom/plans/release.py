@@ -201,3 +201,73 @@ def publish(built: Built, root: str, version: str, expected: DataFrame) -> str:
 def current(spark: SparkSession, root: str) -> str:
     """The folder of the published version."""
     return f"{root}/{spark.read.text(f'{root}/current').first()['value']}"
+
+
+# What a release publishes by row: the columns that name a list, those that name a row of it, and what
+# a row says.
+LISTS = {
+    "videos": (["dataset"], ["key", "compression"], ["label_key", "method"]),
+    "scheme": (["dataset", "scheme"], ["key", "compression"], ["split"]),
+    "labels": (["dataset", "mapping"], ["label_key"], ["value"]),
+}
+
+
+def list_digests(rows: DataFrame, kind: str) -> DataFrame:
+    """(dataset, name, n, digest) of every list of a kind: its rows, and the sum of their hashes.
+
+    Sums merge over tasks in any order, so a list is digested where it lies and never sorted or joined.
+    """
+    lists, names, says = LISTS[kind]
+    row = F.xxhash64(*[F.coalesce(F.col(c), F.lit("\x00")) for c in [*names, *says]]).cast("decimal(38,0)")
+    name = F.col(lists[1]) if len(lists) > 1 else F.lit("")
+    return rows.groupBy("dataset", name.alias("name")).agg(F.count(F.lit(1)).alias("n"), F.sum(row).alias("digest"))
+
+
+def list_changes(old: DataFrame, new: DataFrame, kind: str) -> DataFrame:
+    """(dataset, kind, name, change, added, removed, changed) of the lists of two releases that differ.
+
+    Digests say which lists are new, removed or changed. Only rows of changed lists are joined.
+    """
+    lists, names, says = LISTS[kind]
+    a = list_digests(old, kind).select("dataset", "name", F.struct("n", "digest").alias("_a"))
+    b = list_digests(new, kind).select("dataset", "name", F.struct("n", "digest").alias("_b"))
+    both = a.join(b, ["dataset", "name"], "full_outer").where(~F.col("_a").eqNullSafe(F.col("_b")))
+    change = F.when(F.col("_a").isNull(), "new").when(F.col("_b").isNull(), "removed").otherwise("changed")
+    found = both.select("dataset", "name", change.alias("change"))
+    which = found.where("change = 'changed'").select("dataset", "name")
+    keys = ["dataset", "name", *names]
+
+    def rows(table: DataFrame, side: str) -> DataFrame:
+        named = table.withColumn("name", F.col(lists[1]) if len(lists) > 1 else F.lit(""))
+        return named.join(which, ["dataset", "name"], "left_semi").select(*keys, F.struct(*says).alias(side))
+
+    met = join_null_safe(rows(old, "_old"), rows(new, "_new"), keys, "full_outer")
+    counts = met.groupBy("dataset", "name").agg(
+        F.count_if(F.col("_old").isNull()).alias("added"),
+        F.count_if(F.col("_new").isNull()).alias("removed"),
+        F.count_if(F.col("_old").isNotNull() & F.col("_new").isNotNull() & ~F.col("_old").eqNullSafe(F.col("_new"))).alias("changed"),
+    )
+    return found.join(counts, ["dataset", "name"], "left").select("dataset", F.lit(kind).alias("kind"), "name", "change", "added", "removed", "changed")
+
+
+def release_changes(old: Mapping[str, DataFrame], new: Mapping[str, DataFrame]) -> DataFrame:
+    """Every list that differs between two releases, with the bump it asks for.
+
+    A release maps "videos", "scheme" and "labels" to its rows, columns as in `LISTS`. What breaks
+    results is major: a list removed, a video list or scheme changed, a label that maps to another value
+    or to none. What adds is minor: a new list, a mapping that only gained labels. Lists of a dataset
+    that is new itself are new lists.
+    """
+    out = None
+    for kind in LISTS:
+        part = list_changes(old[kind], new[kind], kind)
+        out = part if out is None else out.unionByName(part)
+    only_more = (F.col("kind") == "labels") & (F.col("removed") == 0) & (F.col("changed") == 0)
+    bump = F.when((F.col("change") == "new") | (F.col("change") == "changed") & only_more, "minor").otherwise("major")
+    return out.withColumn("bump", bump)
+
+
+def required_bump(changes: DataFrame, datasets: DataFrame) -> DataFrame:
+    """The bump that each of `datasets` (dataset) asks for: its most breaking change, `none` without any."""
+    worst = changes.groupBy("dataset").agg(F.when(F.bool_or(F.col("bump") == "major"), "major").otherwise("minor").alias("bump"))
+    return datasets.select("dataset").distinct().join(worst, "dataset", "left").select("dataset", F.coalesce("bump", F.lit("none")).alias("bump"))

@@ -15,6 +15,7 @@ from scoreloom.operators import bootstrap as B
 from scoreloom.operators import calibrate as CAL
 from scoreloom.operators import compare as CMP
 from scoreloom.operators import metrics as M
+from scoreloom.operators import ordered as O
 from scoreloom.operators import sampling as SA
 from scoreloom.operators import splits as S
 
@@ -54,23 +55,45 @@ def plain_benchmark(rows, spec):
     return {(r[0], r[1]) for r in chosen + picked}
 
 
+SPECS = [
+    {"k_fake": 50, "seed": 3},
+    {"k_fake": 3, "strata": ("identity", "task"), "seed": 1},
+    {"k_fake": 9, "strata": ("task",), "seed": 2, "k_real_cap": 7, "compressions": ("c23",)},
+    {"k_fake": 10**6, "exclude_tasks": ("FAKE_B",)},
+]
+
+
 @pytest.mark.parametrize("blocks", [1, 5])
-@pytest.mark.parametrize(
-    "spec",
-    [
-        S.BenchmarkSpec(k_fake=50, seed=3),
-        S.BenchmarkSpec(k_fake=3, strata=("identity", "task"), seed=1),
-        S.BenchmarkSpec(k_fake=9, strata=("task",), seed=2, k_real_cap=7, compressions=("c23",)),
-        S.BenchmarkSpec(k_fake=10**6, exclude_tasks=("FAKE_B",)),
-    ],
-)
-def test_benchmark_equals_the_plain_draw(videos, spec, blocks):
+@pytest.mark.parametrize("params", SPECS)
+def test_benchmark_equals_the_plain_draw(videos, params, blocks):
+    spec = S.BenchmarkSpec(**params, draw="sequence")
     got = S.benchmark(videos, spec, is_real=F.col("key").startswith("REAL"), task_rank=RANK, blocks=blocks)
     rows = [tuple(r) for r in videos.collect()]
     found = [(r["key"], r["compression"]) for r in got.collect()]
     assert len(found) == len(set(found)) and set(found) == plain_benchmark(rows, spec)
 
 
+@pytest.mark.parametrize("digits", [1, 4])
+@pytest.mark.parametrize("params", [*SPECS, {"k_fake": 0}, {"k_fake": 5, "k_real_cap": 0}])
+def test_hashed_benchmark_takes_the_smallest_hashes(videos, monkeypatch, params, digits):
+    monkeypatch.setattr(O, "HASH_DIGITS", digits)
+    spec = S.BenchmarkSpec(**params)
+    got = S.benchmark(videos, spec, is_real=F.col("key").startswith("REAL"), task_rank=RANK)
+    task = lambda r: r[0].split("/")[0]
+    pool = [tuple(r) for r in videos.collect()]
+    pool = [r for r in pool if task(r) not in spec.exclude_tasks and (spec.compressions is None or r[1] in spec.compressions)]
+    pool.sort(key=lambda r: hashlib.md5(f"{spec.seed}:{r[0]}:{r[1] or ''}".encode()).hexdigest())
+    field = {"identity": lambda r: r[2] or "", "task": task}
+    strata: dict = {}
+    for r in pool:
+        if task(r) != "REAL":
+            strata.setdefault(tuple(field[s](r) for s in spec.strata), []).append(r)
+    chosen = [r for members in strata.values() for r in members[: spec.k_fake]]
+    n = len(chosen) if spec.k_real_cap is None else min(len(chosen), spec.k_real_cap)
+    chosen += [r for r in pool if task(r) == "REAL"][:n]
+    assert sorted((r["key"], r["compression"] or "") for r in got.collect()) == sorted((r[0], r[1] or "") for r in chosen)
+
+
 def test_carves_keep_a_person_on_one_side(videos):
     out = S.carve_72_14_14(videos).join(videos, "key")
     assert out.groupBy("identity").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0
