@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreloom.llm.common import Words, bitmap, has_bit, key_bucket, mix64, query, slices, stored, table
+from scoreloom.llm.common import Words, aside, bitmap, has_bit, key_bucket, mix64, query, restored_names, slices, stored, table
 
 MINIMIZER = 6
 #: Windows of a segment at most. A run of windows with one minimizer is cut there; it is long only
@@ -358,11 +358,13 @@ def without_repeats(docs: DataFrame, window: int = 20, verbatim: bool = False) -
     A null text has no words; fewer words than a window are kept. A
     null id comes after all others. Rows that share an id count as one document: windows at the same
     place in them are not earlier than each other, so repeated rows fare alike. No rows give no rows.
+    Texts and words may be of any length. Other columns are carried; one that is named like an added
+    one is replaced.
     """
     spark = docs.sparkSession
     names = {c: f"_carried_{i}" for i, c in enumerate(docs.columns)}
     keyed = docs.select(
-        *[F.col(c).alias(n) for c, n in names.items()],
+        *[F.col(f"`{c}`").alias(n) for c, n in names.items()],
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("dk"),
         F.xxhash64("text").alias("rk"),
         F.col("text"),
@@ -396,14 +398,15 @@ def without_repeats(docs: DataFrame, window: int = 20, verbatim: bool = False) -
         ]
     )
     out = joined.mapInArrow(_cut(window, schema, carried, verbatim), schema)
-    return out.withColumnsRenamed({n: c for c, n in names.items()})
+    return out.select(*restored_names(names, ["_n_words", "_n_removed", "_kept"], without=["text"]))
 
 
 def cut_documents(docs: DataFrame, window: int) -> DataFrame:
     """`docs` with repeated passages cut from their texts; n_chars, if there, follows the text."""
-    out = without_repeats(docs, window, verbatim=True)
+    inner, names = aside(docs, "doc_id", "text")
+    out = without_repeats(inner, window, verbatim=True)
     fresh = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
-    return out.select(*[fresh[c].alias(c) if c in fresh else F.col(c) for c in docs.columns])
+    return out.select(*[fresh.get(c, F.col(m)).alias(c) for c, m in names.items()])
 
 
 @query("op3_substring_dedup")

@@ -113,8 +113,10 @@ def url_verdicts(
     `redirects` (src_url, dst_url) are aliases: all of one class, however long the chain. A page
     without a rule is allowed if any address of its class, a page or not, has an allow rule, else
     blocked if any has a block rule, else allowed. A null url, or one without a host, has no aliases and is allowed.
-    Repeated pages are judged alike. No pages give no rows.
+    Repeated pages are judged alike. No pages give no rows. Addresses and pages may be of any length;
+    carried columns may have any names.
     """
+    names = {c: f"_kept_{i}" for i, c in enumerate(carry)}
     edges = alias_edges(pages.select("url", "html"))
     if redirects is not None:
         edges = edges.union(
@@ -136,13 +138,13 @@ def url_verdicts(
         "aliases",
     )
     own = pages.select(
-        *carry,
+        *[F.col(f"`{c}`").alias(m) for c, m in names.items()],
         host_of(F.col("url")).alias("_host"),
         path_of(F.col("url")).alias("_path"),
         address(F.col("url")).alias("_address"),
     ).withColumn("_own", fitting_rule(F.col("_host"), F.col("_path"), rules))
     return own.join(verdicts, "_address", "left").select(
-        *carry,
+        *[F.col(m).alias(c) for c, m in names.items()],
         "_host",
         "_path",
         F.col("_own.rule").alias("_rule"),
