@@ -46,11 +46,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a `stored` table that nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
-    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of `stored` tables that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -184,40 +185,46 @@ def has_bit(bits: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     return ((bits[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1) == 1
 
 
-def _folded(bits: np.ndarray) -> np.ndarray:
-    """A bitmap of half the size: neighbouring bits become one."""
-    pair = np.array([sum((((b >> 2 * k) | (b >> (2 * k + 1))) & 1) << k for k in range(4)) for b in range(256)], np.uint8)
-    half = pair[bits]
-    return half[::2] | (half[1::2] << 4)
-
-
 def bitmap(buckets: DataFrame) -> np.ndarray:
     """The bitmap of a table (bucket): 2**KEY_BITS bits, 32 MB, at most, however many rows there are.
-    One of few bits is folded to a smaller size.
+    One of few bits is folded to a smaller size: neighbouring bits become one.
 
-    Set bits become packed blocks on the executors; the driver only puts the blocks together.
+    Set bits become packed blocks on the executors, and are folded there; the driver only puts the
+    blocks together.
     """
     size = 1 << BLOCK_BITS
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
+            out, ones = [], []
             for offsets in pdf["offsets"]:
                 on = np.zeros(size, np.uint8)
                 on[np.asarray(offsets, np.int64)] = 1
                 out.append(np.packbits(on, bitorder="little").tobytes())
-            yield pd.DataFrame({"block": pdf["block"], "bits": out})
+                ones.append(int(on.sum()))
+            yield pd.DataFrame({"block": pdf["block"], "bits": out, "ones": ones})
 
-    blocks = (
+    blocks = stored(
         buckets.groupBy(F.floor(F.col("bucket") / size).cast("int").alias("block"))
         .agg(F.collect_set((F.col("bucket") % size).cast("int")).alias("offsets"))
-        .mapInPandas(pack, "block int, bits binary")
+        .mapInPandas(pack, "block int, bits binary, ones long"),
+        "bits",
     )
-    bits = np.zeros(1 << (KEY_BITS - 3), np.uint8)
-    for row in blocks.toLocalIterator():
-        bits[row["block"] * size // 8 : (row["block"] + 1) * size // 8] = np.frombuffer(row["bits"], np.uint8)
-    while len(bits) > 1 << 14 and int(np.bitwise_count(bits).sum()) < len(bits) * 8 // 64:
-        bits = _folded(bits)
+    ones = blocks.agg(F.sum("ones")).first()[0] or 0
+    folds = 0
+    while folds < BLOCK_BITS - 4 and (ones << (folds + 1)) < 1 << (KEY_BITS - 6):
+        folds += 1
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            bits = [np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little").reshape(-1, 1 << folds).max(axis=1) for b in pdf["bits"]]
+            yield pd.DataFrame({"block": pdf["block"], "bits": [np.packbits(b, bitorder="little").tobytes() for b in bits]})
+
+    width = size >> folds >> 3
+    bits = np.zeros(1 << (KEY_BITS - 3 - folds), np.uint8)
+    for row in blocks.mapInPandas(fold, "block int, bits binary").toLocalIterator():
+        bits[row["block"] * width : (row["block"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
+    discard(blocks)
     return bits
 
 
@@ -234,16 +241,23 @@ def partial(key: int, part: int, value: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def summed(parts: DataFrame, dtype: type, tasks: int) -> dict[int, np.ndarray]:
-    """The sums of PARTIAL arrays by key. They are added 64 at a time, so that no task meets those of
-    all others; what reaches the driver is one array per key."""
+def summed(
+    parts: DataFrame, dtype: type, tasks: int, finish: Callable[[np.ndarray], np.ndarray] = lambda total: total
+) -> dict[int, np.ndarray]:
+    """The sums of PARTIAL arrays by key, each after `finish`. They are added 64 at a time, so that no
+    task meets those of all others; what reaches the driver is one finished array per key."""
+
+    def adding(finish: Callable[[np.ndarray], np.ndarray]):
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            total = finish(sum(np.frombuffer(zlib.decompress(v), dtype) for v in pdf.sort_values("part")["value"]))
+            return pd.DataFrame({"key": pdf["key"].iloc[:1], "part": pdf["part"].iloc[:1] // 64, "value": [zlib.compress(total.tobytes(), 1)]})
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(v), dtype) for v in pdf.sort_values("part")["value"])
-        return pd.DataFrame({"key": pdf["key"].iloc[:1], "part": pdf["part"].iloc[:1] // 64, "value": [zlib.compress(total.tobytes(), 1)]})
+        return add
 
     while True:
-        parts = parts.groupBy("key", F.floor(F.col("part") / 64)).applyInPandas(add, PARTIAL)
         tasks = -(-tasks // 64)
+        step = adding(finish if tasks <= 1 else lambda total: total)
+        parts = parts.groupBy("key", F.floor(F.col("part") / 64)).applyInPandas(step, PARTIAL)
         if tasks <= 1:
-            return {row["key"]: np.frombuffer(zlib.decompress(row["value"]), dtype) for row in parts.toLocalIterator()}
+            kind = finish(np.zeros(1, dtype)).dtype
+            return {row["key"]: np.frombuffer(zlib.decompress(row["value"]), kind) for row in parts.toLocalIterator()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import stored
+from scoreloom.llm.common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,16 +29,20 @@ def components(edges: DataFrame) -> DataFrame:
         ends = left.select(F.col("hi").alias("n"), F.col("lo").alias("p")).union(left.select("lo", "hi"))
         down = stored(ends.groupBy("n").agg(F.min("p").alias("p")).select("n", F.least("n", "p").alias("p")), "down")
         while True:
+            last = down
             above = down.select(F.col("n").alias("p"), F.col("p").alias("q"))
-            jumped = stored(down.join(above, "p").select("n", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")), "down")
-            down = jumped.select("n", "p")
-            if jumped.where("moved").isEmpty():
+            down = stored(down.join(above, "p").select("n", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")), "down")
+            discard(last)
+            if down.where("moved").isEmpty():
                 break
-        if labels is None:
-            labels = down
+        known = labels
+        if known is None:
+            labels = stored(down.select("n", "p"), "labels")
         else:
             root = down.select(F.col("n").alias("p"), F.col("p").alias("q"))
-            labels = stored(labels.join(root, "p", "left").select("n", F.coalesce("q", "p").alias("p")), "labels")
+            labels = stored(known.join(root, "p", "left").select("n", F.coalesce("q", "p").alias("p")), "labels")
+            discard(known)
+        drawn = left
         for end in ("hi", "lo"):
             left = left.join(down.select(F.col("n").alias(end), F.col("p").alias("q")), end).select(
                 F.col("q").alias(end), *[c for c in ("hi", "lo") if c != end]
@@ -47,6 +51,8 @@ def components(edges: DataFrame) -> DataFrame:
             left.where(F.col("hi") != F.col("lo")).select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct(),
             "edges",
         )
+        discard(drawn, down)
     if labels is None:
         return left.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+    discard(left)
     return labels.select(F.col("n").alias("node"), F.col("p").alias("component"))

@@ -20,12 +20,15 @@ from pyspark.sql import functions as F
 from scoreloom.llm.common import (
     PARTIAL,
     Words,
+    aside,
     bitmap,
+    discard,
     has_bit,
     key_bucket,
     mix64,
     partial,
     query,
+    restored_names,
     slices,
     stored,
     summed,
@@ -48,6 +51,8 @@ THINNING = 2
 #: Members and probes that one comparison task holds at a time.
 MEMBERS, PROBES = 256, 1024
 LAST = (1 << 63) - 1
+#: Groups whose sizes are sent to every task, at most; those of more groups are joined by shuffle.
+SMALL_GROUPS = 500_000
 #: Bytes of text taken at a time.
 SLICE = 2 << 20
 CODE = 8.0
@@ -97,9 +102,10 @@ def _summaries(n: int):
 
 def frequencies(parts: DataFrame, tasks: int) -> np.ndarray:
     """In how many documents each counter's shingles occur, as codes: eighths of a power of two."""
+    code = lambda total: np.minimum(np.round(CODE * np.log2(1.0 + total)), 255).astype(np.uint8)
     codes = np.zeros(SKETCH, np.uint8)
-    for b, block in summed(parts, np.uint64, tasks).items():
-        codes[b * SKETCH_BLOCK : (b + 1) * SKETCH_BLOCK] = np.minimum(np.round(CODE * np.log2(1.0 + block)), 255)
+    for b, block in summed(parts, np.uint64, tasks, code).items():
+        codes[b * SKETCH_BLOCK : (b + 1) * SKETCH_BLOCK] = block
     return codes
 
 
@@ -247,23 +253,30 @@ def thinned(texts: DataFrame, nodes: DataFrame, lists: DataFrame, links: DataFra
     chosen = lists.join(several, "token").groupBy("node").agg(F.min_by("token", F.xxhash64("token", F.lit(step))).alias("target"))
     chosen = stored(chosen, "chosen")
     if chosen.isEmpty():
+        discard(chosen)
         return None
     sizes = chosen.groupBy("target").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("blocks"))
-    roles = chosen.join(sizes, "target").select(
+    cells = chosen.join(sizes, "target").select(
         "target", F.pmod(F.xxhash64("node", F.lit(step)), F.col("blocks")).cast("int").alias("block"), "node"
     )
-    rows = _with_texts(texts, stored(roles.join(nodes, "node"), "roles")).select("target", "block", "node", "text")
+    roles = stored(cells.join(nodes, "node"), "roles")
+    wanted, bits = _with_texts(texts, roles)
+    rows = wanted.select("target", "block", "node", "text")
     shuffles = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(shuffles, "target", "block").sortWithinPartitions("target", "block")
     found = dealt.mapInArrow(_within(n, percent), "src long, dst long")
-    return stored(found if links is None else links.union(found), "links")
+    out = stored(found if links is None else links.union(found), "links")
+    bits.destroy()
+    discard(chosen, roles, *([] if links is None else [links]))
+    return out
 
 
-def _with_texts(texts: DataFrame, roles: DataFrame) -> DataFrame:
-    """`roles` (dk, rk, ...) with their texts; other texts are left out before anything is shuffled."""
+def _with_texts(texts: DataFrame, roles: DataFrame):
+    """`roles` (dk, rk, ...) with their texts; other texts are left out before anything is shuffled, by
+    a bitmap that comes along and has to be destroyed after use."""
     wanted = roles.select("rk").distinct().mapInArrow(_as_buckets, "bucket int")
     bits = texts.sparkSession.sparkContext.broadcast(bitmap(wanted))
-    return texts.mapInArrow(_only(bits, "rk"), texts.schema).join(roles, ["dk", "rk"])
+    return texts.mapInArrow(_only(bits, "rk"), texts.schema).join(roles, ["dk", "rk"]), bits
 
 
 def _only(bits, column: str):
@@ -298,10 +311,14 @@ def verified(texts: DataFrame, nodes: DataFrame, probes: DataFrame, members: Dat
     )
     if roles.isEmpty():
         return spark.createDataFrame([], "src long, dst long")
-    rows = _with_texts(texts, roles).select("target", "block", "chunk", "probe", "node", "text")
+    wanted, bits = _with_texts(texts, roles)
+    rows = wanted.select("target", "block", "chunk", "probe", "node", "text")
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(shuffles, "target", "block", "chunk").sortWithinPartitions("target", "block", "chunk", "probe")
-    return stored(dealt.mapInArrow(_compare(n, percent), "src long, dst long"), "links")
+    links = stored(dealt.mapInArrow(_compare(n, percent), "src long, dst long"), "links")
+    bits.destroy()
+    discard(split, roles)
+    return links
 
 
 def _as_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,14 +332,12 @@ def _as_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(placed: DataFrame, percent: int) -> DataFrame:
     """(node, target): the documents that ask, and the groups they may have a link into, of the index
-    entries (token, node, size, need, place, target).
+    entries (token, node, size, need, place, target, count, group_need).
 
     A document asks a whole group for one number of matches, the least that it or any member needs.
     Linked sets share that many shingles among the first ones that the limits on places leave, so
     every shingle that counts is held to limits of the same number.
     """
-    sizes = placed.groupBy("target").agg(F.countDistinct("node").alias("count"), F.min("need").alias("group_need"))
-    placed = stored(placed.join(sizes, "target"), "placed")
     heads = placed.groupBy("token", "target").agg(
         F.first("count").alias("count"), F.first("group_need").alias("need"), F.min("size").alias("least"), F.max("size").alias("most"),
         F.min("place").alias("place"),
@@ -340,14 +355,28 @@ def candidates(placed: DataFrame, percent: int) -> DataFrame:
     both = lambda other: F.ceil(F.lit(percent / (100 + percent)) * (F.col("size") + F.col(other)) - 1e-9)
     asked_for = F.least("need", "own_need")
     early = (F.col("own_place") < F.col("size") - both("least") + asked_for) & (F.col("place") < F.col("most") - both("most") + asked_for)
-    return (
+    out = stored(
         asking.join(heads, "token")
         .where(smaller & fits & early)
         .groupBy("node", "target")
         .agg(F.count(F.lit(1)).alias("_shared"), F.first(asked_for).alias("_need"))
         .where(F.col("_shared") >= F.col("_need"))
-        .select("node", "target")
+        .select("node", "target"),
+        "probes",
     )
+    discard(heads)
+    return out
+
+
+def _group_sizes(index: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of every node of a group: component, count (the group's nodes) and group_need (their least need).
+
+    Nodes are rows of their own by now, and counted per task before they meet by group.
+    """
+    own = index.groupBy("node").agg(F.min("need").alias("need")).join(groups, "node")
+    sizes = stored(own.groupBy("component").agg(F.count(F.lit(1)).alias("count"), F.min("need").alias("group_need")), "group_sizes")
+    few = sizes.count() <= SMALL_GROUPS
+    return groups.join(F.broadcast(sizes) if few else sizes, "component")
 
 
 def _keyed(doc_id: str, text: str) -> list[Column]:
@@ -364,16 +393,20 @@ def _classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFram
     spark = docs.sparkSession
     texts = docs.select(*_keyed("doc_id", "text"), "text")
     both = stored(texts.mapInArrow(_summaries(n), f"dk long, rk long, size long, node long, {PARTIAL}"), "sets")
-    summary = both.where("key is null").select("dk", "rk", "size", "node")
+    summary = stored(both.where("key is null").select("dk", "rk", "size", "node"), "summary")
     nodes = stored(summary.where("size > 0").groupBy("node").agg(F.min(F.struct("dk", "rk")).alias("_row")).select("node", "_row.dk", "_row.rk"), "nodes")
     sketch = spark.sparkContext.broadcast(frequencies(both.where("key is not null").select("key", "part", "value"), texts.rdd.getNumPartitions()))
+    discard(both)
     seen = texts.mapInArrow(_prefixes(n, t, sketch, None), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     shared = spark.sparkContext.broadcast(bitmap(seen.where("n > 1").select("bucket")))
     entries = stored(
         texts.mapInArrow(_prefixes(n, t, sketch, shared), "token long, node long, size int, need int, place int").distinct(), "prefixes"
     )
+    sketch.destroy()
+    shared.destroy()
     lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
     index = stored(entries.join(lists, "token"), "index")
+    discard(entries)
 
     links = None
     groups = spark.createDataFrame([], "node long, component long")
@@ -386,13 +419,21 @@ def _classes(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFram
         links = more
         groups = stored(components(links), "groups")
 
+    # a node without a group is one of its own
+    sizes = stored(_group_sizes(index, groups), "sizes")
     placed = stored(
-        index.join(groups, "node", "left").select("token", "node", "size", "need", "place", F.coalesce("component", "node").alias("target")), "placed"
+        index.join(sizes, "node", "left").select(
+            "token", "node", "size", "need", "place", F.coalesce("component", "node").alias("target"),
+            F.coalesce("count", F.lit(1)).alias("count"), F.coalesce("group_need", "need").alias("group_need"),
+        ),
+        "placed",
     )
-    probes = stored(candidates(placed, percent), "probes")
+    discard(index, sizes)
+    probes = candidates(placed, percent)
     asked = probes.select("target").distinct()
     members = placed.select("node", "target").distinct().join(asked, "target", "left_semi")
     second = verified(texts, nodes, probes, members, n, percent)
+    discard(placed, probes)
 
     whole = components(second if links is None else links.union(second))
     named = nodes.join(whole, "node")
@@ -412,6 +453,7 @@ def near_groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
     hundredths or more. Words are lower-cased in A-Z; with fewer than `n`, the whole sequence is the
     one shingle. Null, empty and blank texts have no set and link with nothing. Copies of a set are
     one node from the start. A null id comes after all others (as the largest long). No rows give no rows.
+    Texts and words may be of any length; other columns are not looked at.
 
     Long lists of the index, groups of near copies, are first thinned in cells of a bounded size.
     Then every document is compared with all other groups that it shares
@@ -425,13 +467,13 @@ def near_groups(docs: DataFrame, n: int, percent: int) -> DataFrame:
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """`docs` with one row of each group: that of the smallest id, and of several with that id, or of
     none with an id, the one whose id and text hash least. Documents without words stay; of rows with
-    the same id and text one stays."""
-    names = {c: f"_carried_{i}" for i, c in enumerate(docs.columns)}
-    inner = docs.select(*[F.col(c).alias(m) for c, m in names.items()], *_keyed("doc_id", "text"))
+    the same id and text one stays. Columns of any name are carried."""
+    carried, names = aside(docs, "doc_id", "text")
+    inner = carried.select(*names.values(), *_keyed("doc_id", "text"))
     summary, classes = _classes(docs.select("doc_id", "text"), n, percent)
     gone = summary.join(classes, "node").where((F.col("dk") != F.col("component")) | (F.col("rk") != F.col("first"))).select("dk", "rk").distinct()
     left = inner.join(gone, ["dk", "rk"], "left_anti").dropDuplicates(["dk", "rk"])
-    return left.select(*[F.col(m).alias(c) for c, m in names.items()])
+    return left.select(*restored_names(names))
 
 
 @query("op5_ngram_jaccard_join")

@@ -150,8 +150,9 @@ def test_no_link_into_a_large_group_is_lost(spark):
     rows = []
     for i, s in sets.items():
         length = len(s) - -(-percent * len(s) // 100) + needs[i]
-        rows += [(x, i, len(s), needs[i], p, target[i]) for p, x in enumerate(s[:length])]
-    placed = spark.createDataFrame(rows, "token long, node long, size int, need int, place int, target long")
+        group = [k for k in sets if target[k] == target[i]]
+        rows += [(x, i, len(s), needs[i], p, target[i], len(group), min(needs[k] for k in group)) for p, x in enumerate(s[:length])]
+    placed = spark.createDataFrame(rows, "token long, node long, size int, need int, place int, target long, count long, group_need int")
     got = {(r["node"], r["target"]) for r in ngram_join.candidates(placed, percent).collect()}
     links, lost = 0, []
     for i in sets:
