@@ -213,18 +213,18 @@ def s09(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "s10_media_listing",
-    """SELECT CAST(count(*) AS BIGINT) AS n, count(DISTINCT p) AS parts FROM (SELECT l_returnflag AS p, l_linenumber FROM lineitem GROUP BY ALL)""",
+    """SELECT DISTINCT 'part=' || l_returnflag || '/clip=' || l_linenumber AS folder, CAST(2 + l_linenumber AS BIGINT) AS length FROM lineitem""",
 )
 def s10(spark: SparkSession, d: str) -> DataFrame:
+    """One file in every folder, as long as its clip number says; hidden files are left out."""
     root = shared_folder(spark, "media")
     items = V.table(spark, d, "lineitem").select(
-        F.col("l_returnflag").alias("part"), F.col("l_linenumber").alias("clip"), F.lit("x").alias("value"),
+        F.col("l_returnflag").alias("part"), F.col("l_linenumber").alias("clip"),
+        F.concat(F.lit("x"), F.repeat(F.lit("y"), F.col("l_linenumber").cast("int"))).alias("value"),
     ).distinct()
-    items.repartition(1).write.partitionBy("part", "clip").text(root)
+    items.repartition("part", "clip").write.partitionBy("part", "clip").text(root)
     listing = SR.list_media(spark, root, [".TXT"])
-    return listing.agg(
-        F.count("*").alias("n"), F.count_distinct(F.substring_index("relpath", "/", 1)).alias("parts")
-    )
+    return listing.select(F.regexp_replace("relpath", "/[^/]*$", "").alias("folder"), "length")
 
 
 @query(
@@ -315,8 +315,9 @@ def s17(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "s19_official_lists",
-    """SELECT reader, split, count(*) AS n FROM (SELECT r AS reader, CASE c_custkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM customer, (VALUES ('json'), ('text'), ('object'), ('paths')) AS t(r)
-UNION ALL SELECT 'labelled', 'test' FROM customer) GROUP BY ALL""",
+    """SELECT r AS reader, prefix || c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split
+FROM customer, (VALUES ('json', ''), ('text', ''), ('object', ''), ('paths', 's__')) AS t(r, prefix)
+UNION ALL SELECT 'labelled', CAST(c_custkey AS VARCHAR), 'test' FROM customer""",
 )
 def s19(spark: SparkSession, d: str) -> DataFrame:
     root = shared_folder(spark, "lists")
@@ -349,9 +350,9 @@ def s19(spark: SparkSession, d: str) -> DataFrame:
     }
     out = None
     for name, rows in readers.items():
-        found = rows.select(F.lit(name).alias("reader"), "split")
+        found = rows.select(F.lit(name).alias("reader"), "id", "split")
         out = found if out is None else out.unionAll(found)
-    return out.groupBy("reader", "split").agg(F.count("*").alias("n"))
+    return out
 
 
 @query(
@@ -383,18 +384,17 @@ def built(spark: SparkSession, d: str) -> REL.Built:
 @query(
     "s15_dataset_lists",
     with_views(
-        """SELECT 'videos' AS "table", count(*) AS n FROM fx_videos UNION ALL SELECT 'carve:' || split, count(*) FROM fx_splits GROUP BY split UNION ALL SELECT 'all:test', count(*) FROM fx_videos""",
+        """SELECT 'videos' AS "table", key, compression, label_key AS value FROM fx_videos UNION ALL SELECT 'carve', key, compression, split FROM fx_splits
+UNION ALL SELECT 'all', key, compression, 'test' FROM fx_videos""",
         "fx_splits",
     ),
 )
 def s15(spark: SparkSession, d: str) -> DataFrame:
     path = shared_folder(spark, "dataset")
     REL.write_dataset(built(spark, d), path, {"dataset": "ds"})
-    splits = spark.read.parquet(f"{path}/splits")
-    name = F.concat_ws(":", "scheme", "split").alias("table")
-    counts = splits.groupBy(name).agg(F.count("*").alias("n"))
-    videos = spark.read.parquet(f"{path}/videos").agg(F.count("*").alias("n"))
-    return counts.unionByName(videos.withColumn("table", F.lit("videos")))
+    splits = spark.read.parquet(f"{path}/splits").select(F.col("scheme").alias("table"), "key", "compression", F.col("split").alias("value"))
+    videos = spark.read.parquet(f"{path}/videos").select(F.lit("videos").alias("table"), "key", "compression", F.col("label_key").alias("value"))
+    return splits.unionByName(videos)
 
 
 @query("s16_published_version")

@@ -84,9 +84,9 @@ def test_comparisons_refuse_what_has_no_answer(spark):
 
 @pytest.fixture
 def small_blocks(spark):
-    """Files cut into blocks of 64 bytes."""
+    """Files cut into blocks of 600 bytes."""
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
     yield
     spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
