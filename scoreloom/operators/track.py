@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.errors import ConfigError
+from scoreloom.functions.frames import sample_indices
+from scoreloom.operators.ordered import join_null_safe
 
 # The least similarity at which a face is the subject, the widest gap between chosen
 # frames that smoothing bridges, the frames searched for the subject.
@@ -339,13 +341,29 @@ def _linkage(points: np.ndarray, threshold: float) -> list[list[int]]:
     return sorted(clusters.values())
 
 
-def subjects(faces: DataFrame, keys: list[str], *, threshold: float = 0.5) -> DataFrame:
-    """The subject embedding of each video from the faces of its sampled frames.
+def searched_faces(faces: DataFrame, keys: list[str], totals: DataFrame | None = None) -> DataFrame:
+    """Faces on the evenly spaced frames of each video that its subject is searched on.
+
+    `totals` holds (keys, total), the videos' numbers of frames; without it a video ends at its last
+    frame with a row.
+    """
+    if totals is None:
+        totals = faces.groupBy(*keys).agg((F.max("frame") + 1).alias("total"))
+    frames = sample_indices("uniform", F.col("total"), frames=SUBJECT_FRAMES)
+    picked = totals.select(*keys, F.explode(frames).alias("frame"))
+    return join_null_safe(faces, picked, [*keys, "frame"], "left_semi")
+
+
+def subjects(
+    faces: DataFrame, keys: list[str], *, threshold: float = 0.5, totals: DataFrame | None = None
+) -> DataFrame:
+    """The subject embedding of each video from its faces.
 
     Faces are clustered by identity; the cluster with the most area x score x frontal weight wins
-    and its mean, at unit length, is the subject. Only the `SUBJECT_FRAMES` frames a video is
-    searched on come in here, so a group is a handful of faces whatever the video's length.
+    and its mean, at unit length, is the subject. Only the `SUBJECT_FRAMES` frames that a video is
+    searched on are read, so a group is a handful of faces whatever the video's length.
     """
+    faces = searched_faces(faces, keys, totals)
     kinds = dict(faces.dtypes)
 
     def subject(part: pd.DataFrame) -> pd.DataFrame:

@@ -332,7 +332,7 @@ def w05(spark: SparkSession, d: str) -> DataFrame:
 @query("w05_subject_tracks")
 def w05_subject(spark: SparkSession, d: str) -> DataFrame:
     faces = face_rows(spark, d)
-    subject = T.subjects(faces.where(F.col("frame") % 3 == 0), ["video"])
+    subject = T.subjects(faces, ["video"])
     rows = frame_table(faces, ["video"]).join(subject.select("video", "subject"), "video", "left")
     return T.track(rows, ["video"], SPEC)
 
@@ -345,14 +345,7 @@ def w06(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a47_subject_embeddings")
 def a47(spark: SparkSession, d: str) -> DataFrame:
-    # the subject is searched on a few evenly spaced frames of each video
-    faces = face_rows(spark, d)
-    last = faces.groupBy("video").agg((F.max("frame") + 1).alias("total"))
-    picked = last.select(
-        "video", F.explode(FR.sample_indices("uniform", F.col("total"), frames=T.SUBJECT_FRAMES)).alias("frame")
-    )
-    sampled = faces.join(picked, ["video", "frame"])
-    out = T.subjects(sampled, ["video"])
+    out = T.subjects(face_rows(spark, d), ["video"])
     return out.select("video", "n_faces", F.aggregate("subject", F.lit(0.0), lambda a, x: a + x * x).alias("norm2"))
 
 
