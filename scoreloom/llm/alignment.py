@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import json
-import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,34 +22,42 @@ B_IDS = 1 << 15
 COMMON = 1 << 20
 # Pairs a task counts before it hands the counts on.
 HELD = 1 << 22
-# Tokens compared at once on a diagonal, at most.
+# Tokens compared one by one at the start of a diagonal, and at once at most.
+SINGLE = 4
 WIDEST = 4096
 
 
+# Fixed value: how a byte-level tokenizer parts a text before it merges.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class ByteTokens:
-    """Byte-level BPE of a tokenizer file: ids of texts, and the bytes of each id."""
+    """Byte-level BPE of a tokenizer file: ids of texts, and the bytes of each id.
+
+    Ids of merged tokens rise in the order of the merges, so they are the ranks that another library
+    merges by, several times as fast.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tiktoken import Encoding
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are plain text
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         byte_of = {c: b for b, c in enumerate(byte_letters())}
-        own = spec["model"]["vocab"]
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        own = {t: i for t, i in spec["model"]["vocab"].items() if t not in added}
+        made = [own[x + y] for x, y in (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])]
+        if made != sorted(made) or spec["normalizer"] or not spec["pre_tokenizer"].get("use_regex"):
+            raise ValueError("not a byte-level tokenizer whose ids follow its merges")
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in own.items()}
         self.bytes = [b""] * (max([*own.values(), *added.values()]) + 1)
-        for token, i in own.items():
-            self.bytes[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
-        for token, i in added.items():
-            self.bytes[i] = token.encode()
+        for token, i in ranks.items():
+            self.bytes[i] = token
+        # without special tokens, their strings are plain text
+        self.encode = Encoding("byte-level", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __call__(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        return [self.encode(" " + t) for t in texts]
 
 
 class PieceTokens:
@@ -85,10 +94,12 @@ def aligned(a: list[int], b: list[int]) -> tuple[list[tuple[int, int, int]], lis
     n = len(a)
     while i < n:
         if a[i] == b[j]:
-            start, width = i, 1
-            shift = j - i
+            start, shift, width = i, j - i, SINGLE
             i += 1
-            while i < n:
+            near = min(i + SINGLE, n)
+            while i < near and a[i] == b[i + shift]:
+                i += 1
+            while near <= i < n:
                 width = min(2 * width, WIDEST)
                 if a[i : i + width] == b[i + shift : i + shift + width]:
                     i = min(i + width, n)
@@ -119,16 +130,38 @@ def aligned(a: list[int], b: list[int]) -> tuple[list[tuple[int, int, int]], lis
     return runs, of_a, of_b
 
 
-def groups_text(runs: list[tuple[int, int, int]], a: list[str], b: list[str]) -> str:
-    """`a1,a2|b1;a3|b2,b3`: the tokens of every group, in order."""
-    out = []
-    for k, (i, j, n) in enumerate(runs):
-        if n > 0:
-            out += map("|".join, zip(a[i : i + n], b[j : j + n]))
-        else:
-            end_i, end_j = runs[k + 1][:2] if k + 1 < len(runs) else (len(a), len(b))
-            out.append(",".join(a[i:end_i]) + "|" + ",".join(b[j:end_j]))
-    return ";".join(out)
+def group_starts(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first places in A and in B of every group."""
+    i, j, n = runs.T
+    sizes = np.abs(n)
+    step = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.repeat(i, sizes) + step, np.repeat(j, sizes) + step
+
+
+def group_ends(starts: np.ndarray, n: int) -> np.ndarray:
+    """Which of `n` tokens are the last of their group."""
+    last = np.zeros(n, bool)
+    last[np.r_[starts[1:], n] - 1] = True
+    return last
+
+
+class GroupTexts:
+    """`a1,a2|b1;a3|b2,b3` from ids and groups: every id's text with the sign that may follow it."""
+
+    def __init__(self, ids_a: int, ids_b: int):
+        self.of_b = 2 * ids_a
+        texts = [f"{i}{sign}" for n, signs in ((ids_a, ",|"), (ids_b, ",;")) for i in range(n) for sign in signs]
+        self.texts = np.array(texts, object)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> str:
+        last_a, last_b = group_ends(at_a, len(a)), group_ends(at_b, len(b))
+        # a token stands after all tokens of its own kind before it, and those of the other kind in
+        # the groups before it, for B also in its own
+        group_a, group_b = (np.cumsum(last) - last for last in (last_a, last_b))
+        codes = np.empty(len(a) + len(b), np.int64)
+        codes[np.arange(len(a)) + at_b[group_a]] = 2 * a + last_a
+        codes[np.arange(len(b)) + np.r_[at_a[1:], len(a)][group_b]] = self.of_b + 2 * b + last_b
+        return "".join(self.texts[codes].tolist())[:-1]
 
 
 class _Aligner:
@@ -138,10 +171,9 @@ class _Aligner:
             raise ValueError(f"ids of the second tokenizer reach {len(self.b.bytes)}, beyond {B_IDS}")
         if len(self.a.bytes) * B_IDS > 1 << 32:
             raise ValueError(f"ids of the first tokenizer reach {len(self.a.bytes)}, beyond {(1 << 32) // B_IDS}")
-        self.size_a = np.array([len(t) for t in self.a.bytes], np.int64)
-        self.size_b = np.array([len(t) for t in self.b.bytes], np.int64)
-        self.text_a = [str(i) for i in range(len(self.a.bytes))]
-        self.text_b = [str(i) for i in range(len(self.b.bytes))]
+        self.size_a, self.size_b = (np.array([len(t) for t in x.bytes]) for x in (self.a, self.b))
+        self.bytes_b = np.array(self.b.bytes, object)
+        self.text = GroupTexts(len(self.a.bytes), len(self.b.bytes))
 
     def __call__(self, texts: list[str | None]) -> Iterator[tuple]:
         """Per text: numbers of tokens of A and B and of groups, the groups as text, and keys of all links."""
@@ -151,21 +183,19 @@ class _Aligner:
             if not text:
                 yield 0, 0, 0, None, np.zeros(0, np.int64)
                 continue
-            _, ids_a, ids_b = next(tokens)
+            a, b = (np.fromiter(ids, np.int64, len(ids)) for ids in next(tokens)[1:])
+            # a byte-level tokenizer gives every text back: it only joins neighbouring bytes
             whole = b" " + text.encode()
-            if b"".join(map(self.a.bytes.__getitem__, ids_a)) != whole or b"".join(map(self.b.bytes.__getitem__, ids_b)) != whole:
+            if int(self.size_a[a].sum()) != len(whole) or b"".join(self.bytes_b[b].tolist()) != whole:
                 yield 0, 0, 0, None, np.zeros(0, np.int64)
                 continue
-            a, b = np.array(ids_a), np.array(ids_b)
-            runs, of_a, of_b = aligned(np.cumsum(self.size_a[a]).tolist(), np.cumsum(self.size_b[b]).tolist())
-            groups = groups_text(runs, list(map(self.text_a.__getitem__, ids_a)), list(map(self.text_b.__getitem__, ids_b)))
-            i, j, n = np.array(runs).T
-            one = n > 0
-            sizes = n[one]
-            step = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            at_a = np.concatenate([np.repeat(i[one], sizes) + step, np.array(of_a, np.int64)])
-            at_b = np.concatenate([np.repeat(j[one], sizes) + step, np.array(of_b, np.int64)])
-            yield len(a), len(b), int(np.abs(n).sum()), groups, a[at_a] * B_IDS + b[at_b]
+            found, of_a, of_b = aligned(np.cumsum(self.size_a[a]).tolist(), np.cumsum(self.size_b[b]).tolist())
+            runs = np.fromiter(chain.from_iterable(found), np.int64, 3 * len(found)).reshape(-1, 3)
+            at_a, at_b = group_starts(runs)
+            one = np.repeat(runs[:, 2] > 0, np.abs(runs[:, 2]))
+            link_a = np.concatenate([at_a[one], np.fromiter(of_a, np.int64, len(of_a))])
+            link_b = np.concatenate([at_b[one], np.fromiter(of_b, np.int64, len(of_b))])
+            yield len(a), len(b), len(at_a), self.text(a, b, at_a, at_b), a[link_a] * B_IDS + b[link_b]
 
 
 def token_groups(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -189,10 +219,12 @@ def token_groups(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         align = _Aligner(path_a, path_b)
         for part in slices(batches, "text", 1 << 20):
             rows = []
+            gc.disable()  # nothing here refers to itself, and there are very many small lists
             for n_a, n_b, n_groups, groups, keys in align(part.column("text").to_pylist()):
                 pairs, times = np.unique(keys, return_counts=True)
                 packed = [pairs.astype(np.uint32).tobytes(), times.astype(np.uint32).tobytes()]
                 rows.append((n_a, n_b, n_groups, len(keys), groups, *packed))
+            gc.enable()
             types = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.binary()]
             columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
             yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in rest], *columns], names=schema.names)
