@@ -18,6 +18,9 @@ from scoreloom.session import shared_folder
 # these six bytes, and bytes.lower() folds exactly A-Z.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Whether a query's shuffle files go when it ends, not when the driver collects garbage.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 Plan = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Plan] = {}
 SQL: dict[str, str] = {}
@@ -38,9 +41,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder and read back: lineage ends there, lost executors or not."""
+    """`df` written to the shared folder and read back: lineage ends there, lost executors or not.
+    Nothing reads the shuffles of a finished write again, so they are dropped with it."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    before = df.sparkSession.conf.get(DROP_SHUFFLES, "false")
+    df.sparkSession.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        df.sparkSession.conf.set(DROP_SHUFFLES, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

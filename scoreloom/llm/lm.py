@@ -1,16 +1,19 @@
 """LM scoring by a hierarchical Pitman-Yor model.
 
-Words sit in one restaurant. Its base measure spells words: a restaurant for every context of up to
-ORDER characters, whose parent drops the character furthest away, down to a uniform measure. A table
-of the word restaurant is a customer of each spelling restaurant along the word, and a table there is
-one customer of its parent.
+Every word is the context of a restaurant whose dishes are the words after it; the end of a text is the
+context of a text's first word. Their parent is the restaurant of all words: a table in a context is a
+customer of it. Its base measure spells words: a restaurant for every context of up to ORDER characters,
+whose parent drops the character furthest away, down to a uniform measure. A table of the word
+restaurant is a customer of each spelling restaurant along the word, and a table there is one customer
+of its parent.
 
 Seating is sampled by Gibbs sweeps over all dishes of a level at once, each dish given the totals of
 the sweep before. Predictions hang on a dish's number of tables alone, so a sweep seats all of its
 customers anew by drawing that number: t tables for c customers in proportion to a**t * S(c, t), where
 a is the weight of a new table and S the generalized Stirling numbers of the discount. Dishes are rows,
 so a restaurant with a third of all customers is many rows, and a dish costs no more for more customers
-than its number of tables varies. Probabilities are averaged over the kept sweeps.
+than its number of tables varies. A pair of words met once has one table in any seating, so sweeps read
+only the others. Probabilities are averaged over the kept sweeps.
 """
 
 from __future__ import annotations
@@ -23,12 +26,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreloom.llm.common import crc_of_id, discard, mix64, query, slices, stored, table
+from scoreloom.llm.common import Words, crc_of_id, discard, mix64, query, slices, stored, table
 
 ORDER = 3
 #: Symbols of the spelling model. With contexts of ORDER symbols a table of it has 48**4 entries at
@@ -38,12 +40,14 @@ STRENGTH = 1.0
 SWEEPS, BURN_IN = 4, 2
 #: Stirling numbers of up to so many customers are kept as a table, others integrated at NODES places.
 STIRLING, NODES = 256, 128
-#: Words with at least this share of all tokens are scored where the documents are; there can be no
-#: more than 65,536 of them. The others are joined by hash, and none has a larger share.
+#: Words and pairs of words with at least this share of all tokens are sent to the tasks; there can be
+#: no more than 65,536 of each. The others are joined by hash, and none has a larger share.
 FREQUENT = 1 / 65_536
 END = b""  # no word is empty: the end of a text
 #: Words a task counts before it hands them on.
 COUNTED = 300_000
+#: Pairs of words a task counts before it hands them on.
+PAIRS = 2_000_000
 LAST = (1 << 63) - 1
 
 
@@ -225,42 +229,67 @@ def tables_drawn(customers: np.ndarray, new: np.ndarray, discount: float, draws:
 class Totals(NamedTuple):
     tokens: int
     types: int
+    customers: int
     tables: int
     discount: float
+    pair_discount: float
+    pairs: DataFrame | None = None  # (key, n, known, base, score, spelled) of every pair of words
 
 
-def _word_probability(customers: np.ndarray, tables: np.ndarray, base: np.ndarray, t: Totals) -> np.ndarray:
-    """The restaurant's predictive probability of each word."""
-    new = (STRENGTH + t.discount * t.tables) * base
-    return (np.maximum(customers - t.discount * tables, 0) + new) / (STRENGTH + t.tokens)
+def _probability(t: Totals) -> Column:
+    """The word restaurant's predictive probability of each word."""
+    new = F.col("base") * (STRENGTH + t.discount * t.tables)
+    return (F.greatest(F.col("k") - F.col("t") * t.discount, F.lit(0.0)) + new) / (STRENGTH + t.customers)
 
 
-WORD_STATE = "word binary, c long, n long, t long, p double"
-WORDS = "h long, word binary, c long, n long, p double"
+#: c, n: tokens that aren't held out, and all; sk, sb: pairs met once that the word ends, and begins;
+#: k, b: tables of all pairs that it ends (its customers), and begins; t: its tables; p, a: the kept
+#: probabilities of the word, and weights of a new table in its context.
+COUNTS = "h long, word binary, c long, n long, sk long, sb long, moving boolean, k long, b long"
+WORDS = f"{COUNTS}, p array<double>, a array<double>, t long, base double"
 
 
-def _word_sweep(model, totals: Totals, sweep: int, keep: bool, seat: bool):
-    """Adds the words' probability under the last sample if it is kept, then draws the next seating;
-    after the last one, names the words by hash instead."""
+def _word_sweep(model, totals: Totals, sweep: int):
+    """Draws the words' tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "word", 1 << 20):
-            words = part.column("word").to_pylist()
-            c = part.column("c").to_numpy()
-            base = spelled(words, model.value)
-            p = part.column("p").to_numpy()
-            keys = np.fromiter(map(_hash, words), np.int64, len(words))
-            if keep:
-                p = p + _word_probability(c, part.column("t").to_numpy(), base, totals)
-            if not seat:
-                columns = [pa.array(keys), *(part.column(x) for x in ("word", "c", "n")), pa.array(p, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["h", "word", "c", "n", "p"])
-            else:
-                t = tables_drawn(c, (STRENGTH + totals.discount * totals.tables) * base, totals.discount, _uniform(keys, sweep))
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(x) for x in ("word", "c", "n")), pa.array(t), pa.array(p, pa.float64())],
-                    names=["word", "c", "n", "t", "p"],
-                )
+            base = spelled(part.column("word").to_pylist(), model.value)
+            h, k = part.column("h").to_numpy(), part.column("k").to_numpy()
+            t = tables_drawn(k, (STRENGTH + totals.discount * totals.tables) * base, totals.discount, _uniform(h, sweep))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(t), pa.array(base)], names=[*part.schema.names, "t", "base"])
+
+    return run
+
+
+# ---- the restaurants of words after a word -------------------------------------------------------
+
+
+def _ends(pairs: DataFrame, sums: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Sums over the pairs (u, w) by the word that they end ("w") or begin ("u"): name: (side, value)."""
+    side = lambda x: F.struct(
+        F.col(x).alias("h"), *[(v if by == x else F.lit(0)).cast("long").alias(name) for name, (by, v) in sums.items()]
+    )
+    rows = pairs.select(F.explode(F.array(side("u"), side("w"))).alias("_e")).select("_e.*")
+    return rows.groupBy("h").agg(*[F.sum(name).alias(name) for name in sums])
+
+
+def _looked_up(rows: DataFrame, by: str, values: DataFrame, frequent: DataFrame) -> DataFrame:
+    """`rows` with the `values` of the word `by`. Frequent words are sent to every task: a task would
+    get all pairs of one."""
+    sent = F.broadcast(frequent.withColumnRenamed("h", by))
+    rest = rows.join(F.broadcast(frequent.select(F.col("h").alias(by))), by, "left_anti")
+    return rows.join(sent, by).unionByName(rest.join(values.withColumnRenamed("h", by), by))
+
+
+def _pair_sweep(discount: float, sweep: int):
+    """Draws the tables of pairs met more than once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, w, c, p, a = (batch.column(x).to_numpy() for x in ("u", "w", "c", "p", "a"))
+            t = tables_drawn(c, p * a, discount, _uniform(_pair_key(u.view(np.uint64), w.view(np.uint64)).view(np.int64), sweep))
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("u", "w", "c", "n", "ts")), pa.array(t)], names=["u", "w", "c", "n", "ts", "t"])
 
     return run
 
@@ -311,6 +340,7 @@ def _spelling_sweep(words: DataFrame, model: Spelling, sweep: int) -> Spelling:
         held = sc.broadcast(model.tables[order])
         state = stored(counts.mapInArrow(_level_sweep(parent, held, discount, order, sweep), "code long, c long, t long"), "seating")
         discard(counts)
+        parent.destroy(), held.destroy()
         got = state.select("code", "c", "t").toArrow()  # at most SYMBOLS ** (order + 1) rows
         found.append((got.column("code").to_numpy(), got.column("c").to_numpy(), got.column("t").to_numpy(), discount))
         counts = state.groupBy((F.col("code") % SYMBOLS**order).alias("code")).agg(F.sum("t").alias("c")) if order else counts
@@ -338,9 +368,60 @@ def _tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
 
-def _hash(word: bytes) -> int:
-    h = xxhash.xxh3_64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
+def _hashed(words: Sequence[bytes]) -> np.ndarray:
+    """The hash of each word; that of the end is 0."""
+    found = Words([w.decode() for w in words])
+    out = np.zeros(len(words), np.uint64)
+    out[found.doc] = found.hashes
+    return out.view(np.int64)
+
+
+def _pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return u ^ ((w << np.uint64(1)) | (w >> np.uint64(63)))
+
+
+def _key_column() -> Column:
+    w = F.col("w")
+    return F.col("u").bitwiseXOR(F.shiftleft(w, 1).bitwiseOR(F.shiftrightunsigned(w, 63)))
+
+
+def _token_pairs(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The text of every token, and the hashes of the token before (the end, for the first) and of itself."""
+    words = Words(texts, fold=True)
+    w = np.insert(words.hashes, np.cumsum(words.counts), np.uint64(0))
+    doc = np.repeat(np.arange(len(texts)), words.counts + 1)
+    return doc, np.concatenate([np.zeros(1, np.uint64), w[:-1]]), w
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, "word", 1 << 20):
+        h = pa.array(_hashed(part.column("word").to_pylist()))
+        yield pa.RecordBatch.from_arrays([h, *(part.column(x) for x in ("word", "c", "n"))], names=["h", "word", "c", "n"])
+
+
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept: list[tuple[np.ndarray, ...]] = []
+
+    def added(rows: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        u, w, c, n = (np.concatenate(x) for x in zip(*rows))
+        order = np.lexsort((w, u))
+        u, w = u[order], w[order]
+        first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
+        return u[first], w[first], np.add.reduceat(c[order], first), np.add.reduceat(n[order], first)
+
+    def out() -> pa.RecordBatch:
+        u, w, c, n = added(kept)
+        kept.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (u.view(np.int64), w.view(np.int64), c, n)], names=["u", "w", "c", "n"])
+
+    for part in slices(batches, "text"):
+        doc, u, w = _token_pairs(part.column("text").to_pylist())
+        train = ~part.column("held").to_numpy(zero_copy_only=False).astype(bool)
+        kept.append(added([(u, w, train[doc].astype(np.int64), np.ones(len(u), np.int64))]))
+        if sum(len(x[0]) for x in kept) > PAIRS:
+            yield out()
+    if kept:
+        yield out()
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,47 +446,42 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rare(frequent):
-    """(dk, rk, h, n) of the words of each document that are not frequent."""
+    """(dk, rk, key, m) of the pairs of each document that are not frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = set(frequent.value[0])
+        known = frequent.value[0]
         for part in slices(batches, "text"):
-            dk, rk, hs, ns = [], [], [], []
-            for a, b, text in zip(part.column("dk").to_pylist(), part.column("rk").to_pylist(), part.column("text").to_pylist()):
-                found = {w: k for w, k in Counter(_tokens(text)).items() if w not in known}
-                hs += map(_hash, found)
-                ns += found.values()
-                dk += [a] * len(found)
-                rk += [b] * len(found)
+            doc, u, w = _token_pairs(part.column("text").to_pylist())
+            key = _pair_key(u, w).view(np.int64)
+            rare = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] != key
+            doc, key = doc[rare], key[rare]
+            order = np.lexsort((key, doc))
+            doc, key = doc[order], key[order]
+            first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])][: len(key)])
+            m = np.diff(np.r_[first, len(key)])
+            at = pa.array(doc[first])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(dk, pa.int64()), pa.array(rk, pa.int64()), pa.array(hs, pa.int64()), pa.array(ns, pa.int64())], names=["dk", "rk", "h", "n"]
+                [part.column("dk").take(at), part.column("rk").take(at), pa.array(key[first]), pa.array(m)], names=["dk", "rk", "key", "m"]
             )
 
     return run
 
 
-class _Places(dict):
-    """The rows of the frequent words; the last one for any other."""
-
-    def __missing__(self, word: bytes) -> int:
-        return len(self)
-
-
 def _common(frequent, carry: Sequence[str]):
-    """Each document with its tokens, how many are rare, and the sums of the frequent ones."""
+    """Each document with its tokens, how many are of rare pairs, and the sums of the frequent ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, table = frequent.value
-        place = _Places(zip(words, range(len(words))))
+        known, table = frequent.value
         for part in slices(batches, "text"):
-            rows = np.zeros((part.num_rows, 6))
-            for i, text in enumerate(part.column("text").to_pylist()):
-                tokens = _tokens(text)
-                at = np.fromiter(map(place.__getitem__, tokens), np.int64, len(tokens))
-                rows[i, 0] = len(tokens)
-                rows[i, 1:] = table[at].sum(0)
+            doc, u, w = _token_pairs(part.column("text").to_pylist())
+            key = _pair_key(u, w).view(np.int64)
+            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            at = np.where(known[at] == key, at, len(known))
+            first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])  # every text has an end
+            rows = np.add.reduceat(table[at], first, axis=0)
+            tokens = np.diff(np.r_[first, len(doc)])
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in carry), *(pa.array(rows[:, k].astype(np.int64)) for k in range(3)), *(pa.array(rows[:, k]) for k in (3, 4, 5))],
+                [*(part.column(c) for c in carry), pa.array(tokens), *(pa.array(rows[:, k].astype(np.int64)) for k in (0, 1)), *(pa.array(rows[:, k]) for k in (2, 3, 4))],
                 names=[*carry, "_tokens", "_rare", "_known", "_base", "_score", "_spelled"],
             )
 
@@ -413,37 +489,89 @@ def _common(frequent, carry: Sequence[str]):
 
 
 def language_model(docs: DataFrame) -> tuple[DataFrame, Totals]:
-    """(h, word, c, n, log10p, spelled) for every word of `docs` (text, held), and the model's totals.
+    """(h, word, c, n, log10p, spelled) for every word of `docs` (text, held) whatever stands before it,
+    and the model's totals with the probabilities of every pair of neighbouring words.
 
     c counts the rows that aren't held out, n all; END stands for the end of a text. log10p takes all
     unseen words as one symbol, which gets what the seen ones leave; spelled tells them apart.
     """
     spark = docs.sparkSession
     counts = docs.select("text", "held").mapInArrow(_word_counts, "word binary, c long, n long")
-    words = stored(
-        counts.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
-        .select("word", "c", "n", F.least("c", F.lit(1)).cast("long").alias("t"), F.lit(0.0).alias("p")),
+    counted = stored(
+        counts.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).mapInArrow(_named, "h long, word binary, c long, n long"), "counts"
+    )
+    pairs = stored(
+        docs.select("text", "held").mapInArrow(_pair_counts, "u long, w long, c long, n long").groupBy("u", "w").agg(F.sum("c").alias("c"), F.sum("n").alias("n")),
+        "pairs",
+    )
+    once, more = F.col("c") == 1, F.col("c") > 1
+    tokens, every, types = counted.agg(F.sum("c"), F.sum("n"), F.count_if(F.col("c") > 0)).first()
+    ones, twos = pairs.agg(F.count_if(once), F.count_if(F.col("c") == 2)).first()
+    least = F.lit(max(1.0, (every or 0) * FREQUENT))
+    # one table for each pair to begin with
+    ends = _ends(pairs.where("c > 0"), {"sk": ("w", once), "sb": ("u", once), "k": ("w", F.lit(1)), "b": ("u", F.lit(1))})
+    none = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    kept = F.array().cast("array<double>")
+    state = stored(
+        counted.join(ends, "h", "left")
+        .select("h", "word", "c", "n", *map(none, ("sk", "sb", "k", "b")))
+        .select("h", "word", "c", "n", "sk", "sb", ((F.col("k") > F.col("sk")) | (F.col("b") > F.col("sb"))).alias("moving"), "k", "b", kept.alias("p"), kept.alias("a")),
         "words",
     )
-    tokens, types, ones, twos = words.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    totals = Totals(tokens or 0, types or 0, types or 0, _discount(ones, twos))
-    spelling = Spelling.uniform()
+    discard(counted)
+    customers, word_ones, word_twos = state.agg(F.sum("k"), F.count_if(F.col("k") == 1), F.count_if(F.col("k") == 2)).first()
+    totals = Totals(tokens or 0, types or 0, customers or 0, types or 0, _discount(word_ones, word_twos), _discount(ones, twos))
+    context = F.col("b") * totals.pair_discount + STRENGTH
+    again = stored(pairs.where(more).select("*", F.array().cast("array<long>").alias("ts")), "again")
+    words, spelling = None, Spelling.uniform()
     for sweep in range(SWEEPS + 1):
-        keep, seat = sweep > BURN_IN, sweep < SWEEPS
+        keep = sweep > BURN_IN
+        if words is not None:
+            moving = words.where("moving")
+            now = moving.select("h", "n", _probability(totals).alias("p"), context.alias("a"))
+            often = stored(now.where(F.col("n") >= least).drop("n"), "often")
+            drawn = _looked_up(_looked_up(again, "u", now.select("h", "a"), often.select("h", "a")), "w", now.select("h", "p"), often.select("h", "p"))
+            seated = stored(drawn.mapInArrow(_pair_sweep(totals.pair_discount, sweep), "u long, w long, c long, n long, ts array<long>, t long"), "again")
+            tables = stored(_ends(seated, {"mk": ("w", F.col("t")), "mb": ("u", F.col("t"))}), "tables")
+            discard(again, often)
+            again = seated.select("u", "w", "c", "n", (F.concat("ts", F.array("t")) if keep else F.col("ts")).alias("ts"))
+            again._stored_at = seated._stored_at
+            carried = [*("h", "word", "c", "n", "sk", "sb", "moving"), "k", "b", "p", "a"]
+            moved = moving.drop("k", "b").join(tables, "h").withColumns({"k": F.col("sk") + F.col("mk"), "b": F.col("sb") + F.col("mb")})
+            state = words.where("NOT moving").select(*carried).unionByName(moved.select(*carried))
         model = spark.sparkContext.broadcast(spelling)
-        after = stored(words.mapInArrow(_word_sweep(model, totals, sweep, keep, seat), WORD_STATE if seat else WORDS), "words")
-        discard(words)
+        after = stored(state.mapInArrow(_word_sweep(model, totals, sweep), WORDS), "words")
+        model.destroy()
+        discard(*([state] if words is None else [words, tables]))
+        customers, seats = after.agg(F.sum("k"), F.sum("t")).first()
+        totals = totals._replace(customers=int(customers or 0), tables=int(seats or 0))
         words = after
-        if seat:
-            tables = words.where("c > 0").agg(F.sum("t")).first()[0]
-            totals = totals._replace(tables=int(tables or 0))
+        if keep:
+            words = after.withColumns({"p": F.concat("p", F.array(_probability(totals))), "a": F.concat("a", F.array(context))})
+            words._stored_at = after._stored_at
+        if sweep < SWEEPS:
             spelling = _spelling_sweep(words, spelling, sweep)
-    p = F.col("p") / (SWEEPS - BURN_IN)
-    seen = words.where("c > 0").agg(F.sum(p)).first()[0] or 0.0
-    unseen = float(np.log10(max(1.0 - seen, 1e-300)))
-    return words.select(
-        "h", "word", "c", "n", F.when(F.col("c") > 0, F.log10(p)).otherwise(F.lit(unseen)).alias("log10p"), F.log10(p).alias("spelled")
-    ), totals
+    samples = SWEEPS - BURN_IN
+    mean = lambda value: sum((value(i) for i in range(1, samples)), value(0)) / samples
+    seen = words.where("c > 0").agg(*[F.sum(F.col("p")[i]) for i in range(samples)]).first()
+    unseen = [max(1.0 - (s or 0.0), 1e-300) for s in seen]
+    p = lambda i: F.greatest(F.col("p")[i], F.lit(1e-300))
+    lumped = lambda known: lambda i: F.when(known, p(i)).otherwise(F.lit(unseen[i]))
+    # every pair: what stands before it tells the weight of a new table, the word how one is filled
+    met = pairs.where(~more).select("u", "w", "c", "n", F.array_repeat("c", samples).alias("ts")).unionByName(again)
+    before, at = words.select("h", F.col("c").alias("cu"), "a"), words.select("h", F.col("c").alias("cw"), "p")
+    often = words.where(F.col("n") >= least)
+    both = _looked_up(
+        _looked_up(met, "u", before, often.select("h", F.col("c").alias("cu"), "a")), "w", at, often.select("h", F.col("c").alias("cw"), "p")
+    )
+    tabled = lambda i: F.greatest(F.col("c") - F.col("ts")[i] * totals.pair_discount, F.lit(0.0))
+    given = lambda word: F.log10(mean(lambda i: tabled(i) + F.col("a")[i] * word(i)) / (F.col("cu") + STRENGTH))
+    scored = both.select(
+        _key_column().alias("key"), "n", (F.col("cw") > 0).cast("int").alias("known"), F.log10(F.col("cw") + 0.1).alias("base"),
+        given(lumped(F.col("cw") > 0)).alias("score"), given(p).alias("spelled"),
+    )
+    out = words.select("h", "word", "c", "n", F.log10(mean(lumped(F.col("c") > 0))).alias("log10p"), F.log10(mean(p)).alias("spelled"))
+    return out, totals._replace(pairs=scored)
 
 
 def lm_scores(docs: DataFrame, held_out) -> DataFrame:
@@ -452,8 +580,9 @@ def lm_scores(docs: DataFrame, held_out) -> DataFrame:
 
     The model learns from the rows where `held_out` doesn't hold. A-Z are lower-cased; the tokens of
     a text are its words and one end, so null and empty texts are one token. _base is the smoothed
-    unigram log10 probability, _score the model's; both take all unseen words as one symbol. In
-    _spelled every unseen word has its own probability. Equal rows score alike. If nothing is learned from, spelling is uniform. No rows give no rows.
+    unigram log10 probability, _score the model's, of each token after the one before it; both take all
+    unseen words as one symbol. In _spelled every unseen word has its own probability. Equal rows score
+    alike. If nothing is learned from, spelling is uniform. No rows give no rows.
     Columns of any name are carried; one that is named like an added one is replaced.
     """
     spark = docs.sparkSession
@@ -466,13 +595,19 @@ def lm_scores(docs: DataFrame, held_out) -> DataFrame:
         "text",
     )
     words, totals = language_model(keyed.select("text", "held"))
-    count = F.log10(F.col("c") + 0.1)
     every = words.agg(F.sum("n")).first()[0] or 0
-    # where every word has that share there are at most 65,536 of them
-    top = words.where(F.col("n") >= F.lit(max(1.0, every * FREQUENT))).select("word", "c", count.alias("b"), "log10p", "spelled").toArrow().to_pylist()
-    # rare, known, base, score, spelled; the last row stands for every other word
-    values = np.array([*[(0, int(r["c"] > 0), r["b"], r["log10p"], r["spelled"]) for r in top], (1, 0, 0, 0, 0)], np.float64)
-    frequent = spark.sparkContext.broadcast(([bytes(r["word"]) for r in top], values))
+    # where every pair has that share there are at most 65,536 of them
+    least = F.lit(max(1.0, every * FREQUENT))
+    top = totals.pairs.where(F.col("n") >= least).drop("n").toArrow().sort_by("key")
+    # rare, known, base, score, spelled; the last row stands for every other pair
+    values = np.zeros((top.num_rows + 1, 5))
+    values[-1, 0] = 1
+    for k, c in enumerate(("known", "base", "score", "spelled"), 1):
+        values[:-1, k] = top.column(c).to_numpy()
+    keys = top.column("key").to_numpy() if top.num_rows else np.array([LAST])  # a key of no rows finds none
+    if not top.num_rows:
+        values = values[[0, 0]]
+    frequent = spark.sparkContext.broadcast((keys, values))
     carry = [*names.values(), "dk", "rk", "held"]
     left = keyed.select(*carry, "text")
     schema = T.StructType(
@@ -483,18 +618,17 @@ def lm_scores(docs: DataFrame, held_out) -> DataFrame:
         ]
     )
     common = left.mapInArrow(_common(frequent, carry), schema)
-    rare = keyed.select("dk", "rk", "text").mapInArrow(_rare(frequent), "dk long, rk long, h long, n long")
-    tail = words.select("h", F.col("c"), count.alias("b"), "log10p", "spelled")
-    n = F.col("n")
+    rare = keyed.select("dk", "rk", "text").mapInArrow(_rare(frequent), "dk long, rk long, key long, m long")
+    m = F.col("m")
     sums = (
-        rare.join(tail, "h")
+        rare.join(totals.pairs.where(F.col("n") < least).drop("n"), "key")
         .groupBy("dk", "rk")
         .agg(
-            F.sum(n).alias("_n"),
-            F.sum(F.when(F.col("c") > 0, n).otherwise(0)).alias("_k"),
-            F.sum(n * F.col("b")).alias("_b"),
-            F.sum(n * F.col("log10p")).alias("_s"),
-            F.sum(n * F.col("spelled")).alias("_p"),
+            F.sum(m).alias("_n"),
+            F.sum(m * F.col("known")).alias("_k"),
+            F.sum(m * F.col("base")).alias("_b"),
+            F.sum(m * F.col("score")).alias("_s"),
+            F.sum(m * F.col("spelled")).alias("_p"),
         )
     )
     # rows with the same id and text meet in one sum: _n / _rare of them

@@ -159,6 +159,24 @@ def test_language_model(spark, make):
     assert all(r["_base"] == 0 for r in lm.lm_scores(docs.limit(2), F.lit(True)).collect())
 
 
+def test_words_are_scored_after_the_word_before(spark, make):
+    """In every context the probabilities of all words and of an unseen one sum to one; order counts."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(8)]
+    rows = [(i, " ".join(vocabulary[int(k) % 8] for k in np.cumsum(rng.integers(1, 3, 30)))) for i in range(80)]
+    every = [*vocabulary, "never"]
+    held = [(100, " ".join(f"{a} {b}" for a in every for b in every)), *[(101 + i, w) for i, w in enumerate(every)], (120, None)]
+    docs = make(rows + held).select("text", (F.col("doc_id") >= 100).alias("held"))
+    p = {r["key"]: 10 ** r["score"] for r in lm.language_model(docs)[1].pairs.collect()}
+    codes = lm._hashed([*(w.encode() for w in every), lm.END]).view(np.uint64)
+    for u in codes:
+        assert sum(p[int(lm._pair_key(np.full(1, u), np.full(1, w)).view(np.int64)[0])] for w in codes) == pytest.approx(1.0, abs=1e-6)
+    straight = " ".join(vocabulary * 2)
+    docs = make([*rows, (100, straight), (101, " ".join(reversed(straight.split())))])
+    got = {r["doc_id"]: r for r in lm.lm_scores(docs, F.col("doc_id") >= 100).collect()}
+    assert got[100]["_base"] == pytest.approx(got[101]["_base"]) and got[100]["_score"] > got[101]["_score"] + 5
+
+
 def test_word_probabilities_sum_to_one(spark, make):
     docs = make([(i, prose(i, 30)) for i in range(80)]).select("text", (F.col("doc_id") % 5 == 0).alias("held"))
     words_, totals = lm.language_model(docs)
