@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,18 +18,32 @@ GRID = 4096
 #: the share of symbols in prose, would else have no spread and make every other value an outlier.
 STATISTICS = {"word_length": 0.03, "symbols": 0.03, "capitals": 0.04, "repeats": 0.10, "dup_lines": 0.10}
 P = len(STATISTICS)
-#: Median of the chi-square distribution with as many degrees of freedom as statistics (5).
-CHI2_MEDIAN = 4.3515
-#: Squared distance beyond which a document is rejected. The chi-square 1 - 1e-6 quantile with 5
-#: degrees is 37.1; ratios of short texts have far wider tails than normal ones, so the cut stands well
-#: above: on the given tables prose measures below 500, and junk from 900 up.
-CUT = 500.0
 #: Documents that a group needs for an estimate of its own.
 LEAST = 50
 #: Groups up to this many rows are sent to every task; more are joined by shuffle.
 SMALL_GROUPS = 20_000
 
 
+def chi_square(x: float, degrees: int) -> float:
+    """The share of a chi-square variable with an odd number of degrees of freedom that is at most x."""
+    total, term = math.erf(math.sqrt(x / 2)), math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+    for k in range(1, degrees, 2):
+        total, term = total - term, term * x / (k + 2)
+    return total
+
+
+def chi_square_quantile(share: float, degrees: int) -> float:
+    low, high = 0.0, 1e4
+    for _ in range(200):
+        x = (low + high) / 2
+        low, high = (x, high) if chi_square(x, degrees) < share else (low, x)
+    return low
+
+
+#: Squared distance beyond which a document is rejected: one in a thousand normal ones.
+CUT = chi_square_quantile(0.999, P)
+
+
 def repeated_words(words: Column, n: int) -> Column:
     """Words covered by windows of `n` words that occur twice or more in the array."""
 
@@ -193,9 +208,10 @@ def judged(docs: DataFrame, carry: Sequence[str], keep: float = 0.75, steps: int
     Documents that pass the base rules are grouped by language and source (null is a value like any
     other). Each group's minimum-covariance-determinant estimate comes from concentration steps:
     starting at medians and quartiles, the `keep` share of documents nearest to the estimate give the
-    next mean and covariance, `steps` times. Distances are rescaled so that their median is that of a
-    chi-square variable; beyond CUT a document is rejected. Documents of groups with fewer than LEAST
-    documents are measured together by language; if those are too few as well, they are kept.
+    next mean and covariance, `steps` times. Distances are corrected by what the nearest `keep` of a
+    normal variable vary less than all of it; beyond CUT, a chi-square quantile, a document is rejected.
+    Documents of groups with fewer than LEAST documents are measured together by language; if those are
+    too few as well, they are kept.
     Repeated rows are judged alike; null and empty texts fail the base rules; no rows give no rows.
     """
     # what is carried must not meet the columns made here
@@ -228,13 +244,13 @@ def judged(docs: DataFrame, carry: Sequence[str], keep: float = 0.75, steps: int
         measured = _measured(member, estimates)
         near = measured.join(_sent(stored(_rank_cut(measured, keep), "cut")), "_group").where(F.col("_bin") <= F.col("_cut"))
         estimates = stored(_estimate(near), "estimate")
-    middle = stored(_rank_cut(_measured(member, estimates), 0.5), "middle")
-    scaled = estimates.join(middle.withColumn("_scale", F.lit(CHI2_MEDIAN) / F.exp((F.col("_cut") + 0.5) / 64)).drop("_cut"), "_group")
-    final = groups.join(stored(scaled, "scaled"), "_group")
+    # the nearest `keep` of normal rows vary less than all do, by this factor
+    scale = chi_square(chi_square_quantile(keep, P), P + 2) / keep
+    final = groups.join(estimates, "_group")
     m = [F.col(f"_m{i}") for i in range(P)]
     low = {(i, k): F.col(f"_l{i}{k}") for i in range(P) for k in range(i + 1)}
     measured = rows.join(F.broadcast(final) if groups.count() <= SMALL_GROUPS else final, "_own", "left").withColumn(
-        "distance", F.when(~F.col("base_failed") & F.col("_group").isNotNull(), _distance(m, low) * F.col("_scale"))
+        "distance", F.when(~F.col("base_failed") & F.col("_group").isNotNull(), _distance(m, low) * scale)
     )
     return measured.select(
         *[F.col(m).alias(c) for c, m in names.items()],

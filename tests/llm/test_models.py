@@ -69,6 +69,15 @@ def test_quality_counts_and_verdicts(spark, make):
     assert quality.judged(docs.limit(0), ["doc_id"]).count() == 0
 
 
+def test_moderate_outliers_are_rejected(spark, make):
+    """The cut is a chi-square quantile, not a gap seen in some table: a symbol at every fifth word is too many."""
+    assert quality.chi_square(6.6257, 5) == pytest.approx(0.75, abs=1e-4) and quality.CUT == pytest.approx(20.515, abs=1e-3)
+    rows = [(i, prose(i, 60), "en", "a") for i in range(100, 300)]
+    odd = [(i, "# ".join(" ".join(words(i, 60)[k : k + 5]) for k in range(0, 60, 5)), "en", "a") for i in range(400, 410)]
+    kept = {r["doc_id"] for r in quality.judged(make(rows + odd), ["doc_id"]).where("kept").collect()}
+    assert kept == set(range(100, 300))
+
+
 def test_estimates_equal_concentration_steps(spark):
     """Mean and covariance of the nearest share, step by step, in numpy."""
     rng = np.random.default_rng(3)
