@@ -76,6 +76,8 @@ def test_moderate_outliers_are_rejected(spark, make):
     odd = [(i, "# ".join(" ".join(words(i, 60)[k : k + 5]) for k in range(0, 60, 5)), "en", "a") for i in range(400, 410)]
     kept = {r["doc_id"] for r in quality.judged(make(rows + odd), ["doc_id"]).where("kept").collect()}
     assert kept == set(range(100, 300))
+    stage = dict(corpus_pipeline.STAGES)["quality_rules"]
+    assert {r["doc_id"] for r in stage(spark, make(rows + odd), "").collect()} == kept
 
 
 def test_estimates_equal_concentration_steps(spark):
