@@ -52,42 +52,53 @@ def _valid(scores: object, n: int) -> np.ndarray:
     return out
 
 
-def score_clips(clips: DataFrame, scorer: Scorer) -> DataFrame:
-    """Clip rows with `clip_score`, or with `failure` where the scorer failed.
+def scored_batches(scorer: Scorer) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Batches of clips with clip_score and failure, one for one: many small ones would cost more to
+    hand back than to score."""
 
-    Clip rows are spread evenly first, since the scorer costs far more than moving their few
-    columns: runs of `VIDEO_RUN` clips stay together, so a video is scored in one task unless it
-    is very long. A batch that fails is halved by video until the videos at fault stand alone;
-    every other video is scored.
-    """
-    columns = clips.columns
-    run_of = F.floor(F.col("clip_index") / VIDEO_RUN)
-    clips = clips.repartition(*[F.col(c) for c in ROW_KEY], run_of)
-
-    def attempt(rows: pd.DataFrame, video: np.ndarray) -> Iterator[pd.DataFrame]:
-        """Score rows sorted by video number."""
+    def attempt(rows: pd.DataFrame, video: np.ndarray, at: int, score: np.ndarray, failure: np.ndarray) -> None:
+        """Score rows sorted by video number, into the places from `at`."""
+        places = slice(at, at + len(rows))
         try:
-            yield rows.assign(clip_score=_valid(scorer(rows), len(rows)), failure=None)
+            score[places] = _valid(scorer(rows), len(rows))
             return
         except Exception as e:  # noqa: BLE001
             if video[0] == video[-1]:
-                yield rows.assign(clip_score=np.nan, failure=f"{type(e).__name__}: {e}")
+                failure[places] = f"{type(e).__name__}: {e}"
                 return
         middle = (video[0] + video[-1] + 1) // 2
         cut = int(np.searchsorted(video, middle))
-        yield from attempt(rows.iloc[:cut], video[:cut])
-        yield from attempt(rows.iloc[cut:], video[cut:])
+        attempt(rows.iloc[:cut], video[:cut], at, score, failure)
+        attempt(rows.iloc[cut:], video[cut:], at + cut, score, failure)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if batch.empty:
                 continue
-            number = batch.groupby(list(ROW_KEY), dropna=False, sort=False).ngroup()
-            order = np.argsort(number.to_numpy(), kind="stable")
-            yield from attempt(batch.iloc[order], number.to_numpy()[order])
+            number = batch.groupby(list(ROW_KEY), dropna=False, sort=False).ngroup().to_numpy()
+            order = np.argsort(number, kind="stable")
+            rows = batch.iloc[order]
+            score, failure = np.full(len(rows), np.nan), np.full(len(rows), None, object)
+            attempt(rows, number[order], 0, score, failure)
+            yield rows.assign(clip_score=score, failure=failure)
+
+    return run
+
+
+def score_clips(clips: DataFrame, scorer: Scorer) -> DataFrame:
+    """Clip rows with `clip_score`, or with `failure` where the scorer failed.
+
+    Clip rows are spread evenly first, since the scorer costs far more than moving their few
+    columns: runs of `VIDEO_RUN` clips stay together, so a video is scored in one task unless it
+    is very long. A batch that fails is halved by video until the videos at fault stand alone;
+    every other video is scored.
+    """
+    columns = clips.columns
+    run_of = F.floor(F.col("clip_index") / VIDEO_RUN)
+    clips = clips.repartition(*[F.col(c) for c in ROW_KEY], run_of)
 
     shown = ", ".join(f"`{c}` {t}" for c, t in clips.dtypes)
-    out = clips.mapInPandas(run, f"{shown}, clip_score double, failure string")
+    out = clips.mapInPandas(scored_batches(scorer), f"{shown}, clip_score double, failure string")
     score = F.when(F.col("failure").isNull(), F.col("clip_score"))
     return out.select(*columns, score.alias("clip_score"), "failure")
 

@@ -324,3 +324,21 @@ def test_no_reference_names_in_the_package():
             if f.endswith(".py"):
                 text = open(os.path.join(folder, f)).read()
                 assert not re.search("localCheckpoint", text), f
+
+
+def test_scored_batches_come_back_whole():
+    """Failing videos leave one batch for each batch, with every other video scored."""
+
+    def scorer(rows):
+        if rows["key"].str.endswith("7").any():
+            raise ValueError("unreadable clip")
+        return rows["clip_index"] / 100
+
+    keys = [f"k{i % 50}" for i in range(300)]
+    rows = pd.DataFrame({"dataset": "d", "key": keys, "compression": None, "label": 0, "clip_index": np.arange(300) % 90})
+    out = list(SC.scored_batches(scorer)(iter([rows, rows.iloc[:0], rows.iloc[:9]])))
+    assert [len(x) for x in out] == [300, 9]
+    for part in out:
+        bad = part["key"].str.endswith("7")
+        assert (part["failure"].notna() == bad).all() and set(part["failure"].dropna()) == {"ValueError: unreadable clip"}
+        assert part["clip_score"].isna().equals(bad) and np.allclose(part["clip_score"][~bad], part["clip_index"][~bad] / 100)
