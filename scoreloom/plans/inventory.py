@@ -71,7 +71,10 @@ def parse_listing(
     the release's folders are left out. With `folders`, paths are frame folders, not files.
     """
     files = listing if folders else listing.where(is_video(F.col("relpath")))
-    placed = files.withColumn("_p", _place(release, compressions)).where(F.col("_p").isNotNull())
+    # generated, the place is looked up once a row: as a plain column it would be copied, with all it
+    # is made of, into the filter and every field
+    found = F.explode_outer(F.array(_place(release, compressions))).alias("_p")
+    placed = files.select("*", found).where(F.col("_p").isNotNull())
     path = F.col("relpath")
     name = F.substring_index(path, "/", -1)
     rows = placed.select(
@@ -237,8 +240,11 @@ def _driver_splits(rows: DataFrame, lists: DataFrame) -> DataFrame:
 
 def wild_folders(listing: DataFrame) -> DataFrame:
     """Frame folders with their number of PNG frames, from a listing of frames."""
-    frames = listing.where(F.col("relpath").rlike(r"(?i)/[^./][^/]*\.png$"))
-    folder = F.regexp_replace("relpath", "/[^/]*$", "")
+    path = F.col("relpath")
+    name = F.substring_index(path, "/", -1)
+    named = (F.length(name) > 4) & ~F.startswith(name, F.lit(".")) & F.endswith(F.lower(name), F.lit(".png"))
+    frames = listing.where(named & F.contains(path, F.lit("/")))
+    folder = F.expr("substr(relpath, 1, length(relpath) - length(substring_index(relpath, '/', -1)) - 1)")
     return frames.groupBy(folder.alias("relpath")).agg(F.count(F.lit(1)).alias("n_frames"))
 
 
