@@ -56,20 +56,27 @@ def scored_batches(scorer: Scorer) -> Callable[[Iterator[pd.DataFrame]], Iterato
     """Batches of clips with clip_score and failure, one for one: many small ones would cost more to
     hand back than to score."""
 
-    def attempt(rows: pd.DataFrame, video: np.ndarray, at: int, score: np.ndarray, failure: np.ndarray) -> None:
-        """Score rows sorted by video number, into the places from `at`."""
-        places = slice(at, at + len(rows))
-        try:
-            score[places] = _valid(scorer(rows), len(rows))
-            return
-        except Exception as e:  # noqa: BLE001
-            if video[0] == video[-1]:
-                failure[places] = f"{type(e).__name__}: {e}"
-                return
+    def attempt(
+        rows: pd.DataFrame, video: np.ndarray, at: int, score: np.ndarray, failure: np.ndarray, fails: bool = False
+    ) -> bool:
+        """Score rows sorted by video number, into the places from `at`; whether all went at once.
+
+        With `fails`, rows of several videos are known to hold one at fault, and are not tried whole.
+        """
+        single = video[0] == video[-1]
+        if single or not fails:
+            try:
+                score[at : at + len(rows)] = _valid(scorer(rows), len(rows))
+                return True
+            except Exception as e:  # noqa: BLE001
+                if single:
+                    failure[at : at + len(rows)] = f"{type(e).__name__}: {e}"
+                    return False
         middle = (video[0] + video[-1] + 1) // 2
         cut = int(np.searchsorted(video, middle))
-        attempt(rows.iloc[:cut], video[:cut], at, score, failure)
-        attempt(rows.iloc[cut:], video[cut:], at + cut, score, failure)
+        first = attempt(rows.iloc[:cut], video[:cut], at, score, failure)
+        attempt(rows.iloc[cut:], video[cut:], at + cut, score, failure, fails=first)
+        return False
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -91,7 +98,8 @@ def score_clips(clips: DataFrame, scorer: Scorer) -> DataFrame:
     Clip rows are spread evenly first, since the scorer costs far more than moving their few
     columns: runs of `VIDEO_RUN` clips stay together, so a video is scored in one task unless it
     is very long. A batch that fails is halved by video until the videos at fault stand alone;
-    every other video is scored.
+    every other video is scored. Where the first half goes, the fault is in the second, which is halved
+    untried.
     """
     columns = clips.columns
     run_of = F.floor(F.col("clip_index") / VIDEO_RUN)

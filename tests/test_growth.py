@@ -5,6 +5,10 @@ import pandas as pd
 
 from scoreloom.plans import datasets as D
 from scoreloom.plans import inventory as INV
+from scoreloom.plans import scoring as SC
+from scoreloom.operators import coverage as C
+from scoreloom.plans import views as V
+from scoreloom.sources import lines as LN
 
 
 def optimized(df):
@@ -19,3 +23,51 @@ def test_a_place_is_looked_up_once_a_row(spark):
     # once as a key of the constant map, once in its value
     assert optimized(rows).count(folder) == 2
     assert {(r["key"], r["attrs"]["n_frames"]) for r in rows.collect()} == {("REAL/real_train_6_1", "1"), ("REAL/real_test_6_2", "2")}
+
+
+def test_first_lists_are_found_by_hashing(spark):
+    rows = [("a", "val"), ("a", "train"), ("b", "test"), ("b", "val"), ("c", "other"), (None, "test")]
+    lists = spark.createDataFrame(rows, "id string, split string")
+    for order, want in ((("train", "val", "test"), {"a": "train", "b": "val", None: "test"}), (("test", "val", "train"), {"a": "val", "b": "test", None: "test"})):
+        first = INV.first_listed(lists, order)
+        assert "SortAggregate" not in first._jdf.queryExecution().executedPlan().toString()
+        assert {r["id"]: r["split"] for r in first.collect()} == want
+
+
+def test_records_are_put_together_where_they_are_read(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('k,n\n"a\nb",1\n\nc,"2\n\n3"\n')
+    records = LN.read_records(spark, str(tmp_path))
+    assert sorted((r["line"], r["value"]) for r in records.collect()) == [(1, "k,n"), (2, '"a\nb",1'), (5, 'c,"2\n\n3"')]
+    # only pieces of records that lie across blocks are joined or dealt, from what is written once
+    assert "Join" not in optimized(records) and "text" not in records._jdf.queryExecution().executedPlan().toString().split("Scan ")[1][:8]
+
+
+def test_a_half_known_to_fail_is_not_tried(spark):
+    calls = []
+
+    def scorer(rows):
+        calls.append(len(rows))
+        if (rows["key"] == "k63").any():
+            raise ValueError("unreadable clip")
+        return rows["clip_index"] / 100
+
+    rows = pd.DataFrame({"dataset": "d", "key": [f"k{i}" for i in range(64)], "compression": None, "clip_index": np.arange(64)})
+    out = pd.concat(SC.scored_batches(scorer)(iter([rows])))
+    assert out["key"][out["failure"].notna()].tolist() == ["k63"] and out["clip_score"].notna().sum() == 63
+    assert calls == [64, 32, 16, 8, 4, 2, 1, 1]
+
+
+def test_medians_of_short_and_long_videos(spark, monkeypatch):
+    monkeypatch.setattr(C, "SORTED_CLIPS", 5)
+    rng = np.random.default_rng(3)
+    rows = [(f"v{n}" if n else None, float(x)) for n in range(12) for x in rng.integers(0, 9, n + 1) / 8] + [("none", None), ("v3", None), ("v9", None), *[("gone", None)] * 7]
+    got = {r["key"]: (r["score"], r["n_clips"]) for r in C.clip_to_video(spark.createDataFrame(rows, "key string, score double"), ["key"], "median").collect()}
+    for key in {k for k, _ in rows}:
+        values = [x for k, x in rows if k == key]
+        known = [x for x in values if x is not None]
+        assert got[key] == (np.median(known) if known else None, len(values)), key
+    assert len(got) == 14
+
+
+def test_scores_join_reduced_line_items(spark, sf):
+    assert optimized(V.scores(spark, sf)).count("Join") == 1
