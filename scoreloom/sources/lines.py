@@ -6,12 +6,15 @@ settled in two levels: per block, and over one row per block. No file is read by
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scoreloom.errors import ContractError
 from scoreloom.operators.records import require_empty
+from scoreloom.session import materialized
 
 _BEFORE = (Window.unboundedPreceding, -1)
 
@@ -46,44 +49,85 @@ def with_line_numbers(lines: DataFrame, starts: DataFrame) -> DataFrame:
     return lines.join(starts, ["file", "block"]).withColumn("line", number).drop("at", "first", "before")
 
 
-def quoted_spans(numbered: DataFrame, quote: str = '"') -> DataFrame:
-    """Where a quoted cell spans lines: file, opens, closes, n (its lines with an odd number of quotes).
+def _records(lines: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Records and pieces of records from lines in the order of their blocks.
 
-    A line with an even number of quotes ends as it began, inside a quoted cell or outside. So the odd
-    lines of a file open and close such cells in turn. They are counted within their block, and the
-    parity of the blocks before says whether the first of them opens or closes.
+    Columns as of `read_records`, and `last`: null for a whole record; for a piece of a record that
+    began in an earlier block or goes on in a later one, whether it is the last of the block's lines.
     """
-    value = F.col("value")
-    quotes = F.length(value) - F.length(F.replace(value, F.lit(quote), F.lit("")))
-    odd = numbered.where(quotes % 2 == 1).select("file", "block", "line")
-    totals = odd.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(*_BEFORE)
-    starts = totals.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("file", "block").orderBy("line")) + F.col("before")
-    turn = odd.join(starts, ["file", "block"]).select("file", "line", F.floor((place + 1) / 2).alias("turn"))
-    return turn.groupBy("file", "turn").agg(
-        F.min("line").alias("opens"), F.max("line").alias("closes"), F.count(F.lit(1)).alias("n")
-    ).drop("turn")
-
-
-def read_records(spark: SparkSession, path: str | Sequence[str], quote: str = '"') -> DataFrame:
+    block, inside, parts, start = None, False, [], 0
+
+    def out(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["value", "file", "name", "block", "line", "last"])
+
+    for batch in lines:
+        if batch["open"].isna().any():
+            raise ContractError("files were cut into other blocks than when they were counted")
+        rows = []
+        columns = (batch[c].tolist() for c in ("value", "file", "name", "block", "line", "open"))
+        for value, file, name, at, line, opened in zip(*columns):
+            if block is None or block[0] != file or block[2] != at:
+                if parts:
+                    rows.append(("\n".join(parts), *block, start, True))
+                # a piece whose record began before this block has no start of its own
+                block, inside, parts, start = (file, name, at), bool(opened), [], None if opened else line
+            if not parts and not inside:
+                start = line
+            parts.append(value)
+            if value.count('"') % 2:
+                inside = not inside
+            if not inside:
+                rows.append(("\n".join(parts), *block, line if start is None else start, None if start is not None else False))
+                parts, start = [], line
+        yield out(rows)
+    if parts:
+        yield out([("\n".join(parts), *block, start, True)])
+
+
+def read_records(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Records of delimited files, quoted line breaks within: value, file, name, line (of its start).
 
-    A record is one line, but for those whose quoted cells hold line breaks: their lines, and only
-    these, are brought together. Blank lines outside of cells are left out. A quoted cell without an
-    end is an error.
+    A line with an even number of quotes ends as it began, inside a quoted cell or outside. Odd lines
+    are counted per block, and the parity of the blocks before says where a block begins. So records
+    are put together where their lines are read; only those that lie across blocks are brought together
+    from their pieces. Blank lines outside of cells are left out. A quoted cell without an end is an error.
     """
     lines = read_lines(spark, path)
-    numbered = with_line_numbers(lines, block_starts(lines))
-    spans = quoted_spans(numbered, quote)
-    require_empty(spans.where("n = 1").select("file", "opens"), "a quoted cell has no end")
-    members = spans.select("file", F.col("opens").alias("start"), F.explode(F.sequence("opens", "closes")).alias("line"))
-    joined = numbered.join(members, ["file", "line"], "left")
-    single = joined.where(F.col("start").isNull()).select("value", "file", "name", "line")
-    parts = F.array_sort(F.collect_list(F.struct("line", "value")))
-    whole = F.array_join(F.transform(parts, lambda p: p["value"]), "\n").alias("value")
-    several = joined.where(F.col("start").isNotNull()).groupBy("file", "name", F.col("start").alias("line")).agg(whole)
-    records = single.unionByName(several)
+    value = F.col("value")
+    odd = (F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))) % 2
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), F.sum(odd).alias("odd"))
+    of_file = Window.partitionBy("file")
+    before = of_file.orderBy("block").rowsBetween(*_BEFORE)
+    # one row per block, written once: it is read again for the check of the ends
+    starts = materialized(
+        blocks.select(
+            "file", "block", "first",
+            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"),
+            (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2).alias("open"),
+            (F.sum("odd").over(of_file) % 2 == 1).alias("unended"),
+        ),
+        "blocks",
+    )
+    require_empty(starts.where("unended").select("file").distinct(), "a quoted cell has no end")
+    line = F.col("before") + F.col("at") - F.col("first") + 1
+    # sent to the lines, which keep the order they are read in
+    ordered = lines.join(F.broadcast(starts), ["file", "block"], "left").select("value", "file", "name", "block", line.alias("line"), "open")
+    found = ordered.mapInPandas(
+        _records, "value string, file string, name string, block long, line long, last boolean"
+    )
+    found = materialized(found, "records")
+    whole = found.where(F.col("last").isNull()).select("value", "file", "name", "line")
+    # a record across blocks: its first piece ends a block, its last one begins one, blocks that lie
+    # wholly inside are in between
+    pieces = found.where(F.col("last").isNotNull())
+    opens = F.col("last") & F.col("line").isNotNull()
+    run = Window.partitionBy("file").orderBy("block", "last")
+    turn = F.sum(opens.cast("int")).over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    parts = F.array_sort(F.collect_list(F.struct("block", "value")))
+    several = pieces.withColumn("_turn", turn).groupBy("file", "name", "_turn").agg(
+        F.array_join(F.transform(parts, lambda p: p["value"]), "\n").alias("value"), F.min_by("line", "block").alias("line")
+    )
+    records = whole.unionByName(several.select("value", "file", "name", "line"))
     return records.withColumn("value", F.regexp_replace("value", "\r$", "")).where(F.trim("value") != "")
 
 

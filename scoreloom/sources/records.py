@@ -18,6 +18,7 @@ from scoreloom.functions.keys import has_absolute_path, portable_text
 from scoreloom.functions.scores import row_problems
 from scoreloom.operators.fingerprint import fingerprint, json_line, split_line
 from scoreloom.operators.records import SPLITS, require_empty
+from scoreloom.session import materialized
 from scoreloom.sources.lines import block_starts, numbered_log, read_lines, read_records, with_line_numbers
 
 # Schemas as DDL texts: they are parsed only when a session is there to parse them.
@@ -168,8 +169,10 @@ def read_csv_text(spark: SparkSession, path: str, sep: str = ",", *, named: bool
     the tables of all headers united by name. With `named`, `file` names the file of each row.
     """
     records = read_records(spark, path)
-    heads = records.groupBy("file").agg(F.min_by("value", "line").alias("head"), F.min("line").alias("first"))
-    body = records.join(heads, "file").where("line > first")
+    first = records.groupBy("file").agg(F.min("line").alias("first"))
+    heads = records.join(F.broadcast(first), "file").where("line = first").select("file", F.col("value").alias("head"), "first")
+    # one row per file, sent to the records: dealing them by file would put a large file in one task
+    body = records.join(F.broadcast(heads), "file").where("line > first")
     kinds = [r["head"] for r in heads.select("head").distinct().orderBy("head").collect()]  # one per set of columns
     if not kinds:
         raise ContractError(f"no table with a header at {path}")
@@ -248,7 +251,9 @@ def score_cells(rows: DataFrame) -> DataFrame:
 
 
 def write_scores(rows: DataFrame, path: str, meta: Mapping[str, object]) -> None:
-    """A score table as CSV, its meta document beside it, written last."""
+    """A score table as CSV, its meta document beside it, written last. Rows are computed once, then
+    checked and written from the shared folder."""
+    rows = materialized(rows, "rows")
     each = F.explode(F.array_compact(F.array(*row_problems()))).alias("problem")
     require_empty(rows.select("dataset", "key", each), "bad score row")
     table = score_cells(rows)
