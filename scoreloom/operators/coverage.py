@@ -12,6 +12,8 @@ from scoreloom.functions.scores import apply_missing_policy, logit, sigmoid
 from scoreloom.operators.ordered import join_null_safe, weighted_quantiles
 
 AGGREGATION_CLIP = 1e-7
+# Clips of a video whose scores are sorted in one row; those of longer videos are ranked over blocks.
+SORTED_CLIPS = 4096
 
 
 def coverage(rows: DataFrame, groups: Sequence[str], minimum: float | None = None) -> DataFrame:
@@ -68,17 +70,14 @@ def clip_to_video(
 ) -> DataFrame:
     """One score per video from its clip scores, with `more` aggregates beside it.
 
-    All modes aggregate partially before the shuffle, so a video holding most of the clips is no
-    hot spot; the median reads a (video, score) histogram for the same reason.
+    All modes but the median aggregate partially before the shuffle, so a video holding most of the
+    clips is no hot spot. The median sorts the scores of a video of up to `SORTED_CLIPS` clips in its
+    row; longer videos are found first by a count, and their (video, score) histogram is ranked over
+    blocks.
     """
     s = F.col("score")
     if mode == "median":
-        hist = clips.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("_w"))
-        extra = [c.alias(k) for k, c in (more or {}).items()]
-        counts = clips.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_clips"), *extra)
-        median = weighted_quantiles(hist, keys, "score", "_w", {"score_median": 0.5})
-        joined = join_null_safe(median, counts, keys)
-        return joined.select(*keys, F.col("score_median").alias("score"), "n_clips", *(more or {}))
+        return _medians(clips, keys, {"n_clips": F.count(F.lit(1)), **(more or {})})
     modes: dict[str, Column] = {
         "mean-prob": F.avg(s),
         "mean-logit": sigmoid(F.avg(logit(s, AGGREGATION_CLIP))),
@@ -92,3 +91,22 @@ def clip_to_video(
         F.count(F.lit(1)).alias("n_clips"),
         *[c.alias(k) for k, c in (more or {}).items()],
     )
+
+
+def _medians(clips: DataFrame, keys: Sequence[str], more: Mapping[str, Column]) -> DataFrame:
+    extra = [c.alias(k) for k, c in more.items()]
+    sizes = clips.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    # at most one row for every SORTED_CLIPS clips
+    long = sizes.where(F.col("_size") > SORTED_CLIPS).drop("_size")
+    sorted_scores = F.sort_array(F.filter(F.collect_list("score"), lambda x: x.isNotNull()))
+    of_short = join_null_safe(clips, long, keys, "left_anti").groupBy(*keys).agg(sorted_scores.alias("_s"), *extra)
+    n = F.size("_s")
+    low, high = F.get("_s", F.floor((n - 1) / 2).cast("int")), F.get("_s", F.floor(n / 2).cast("int"))
+    half = F.when(n % 2 == 1, F.lit(0.0)).otherwise(F.lit(0.5))
+    short = of_short.select(*keys, (low + (high - low) * half).alias("score"), *more)
+
+    of_long = join_null_safe(clips, long, keys, "left_semi")
+    hist = of_long.where(F.col("score").isNotNull()).groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("_w"))
+    median = weighted_quantiles(hist, keys, "score", "_w", {"score": 0.5})
+    counts = of_long.groupBy(*keys).agg(*extra)
+    return short.unionByName(join_null_safe(counts, median, keys, "left").select(*keys, "score", *more))
