@@ -159,8 +159,10 @@ def with_local(records: DataFrame) -> DataFrame:
 
 def first_listed(lists: DataFrame, order: Sequence[str] = ("train", "val", "test")) -> DataFrame:
     """One split per id: the first in `order` that lists it."""
+    # ranks are numbers, so that they are merged by hashing; a text would have all rows sorted
     rank = F.coalesce(*[F.when(F.col("split") == s, F.lit(i)) for i, s in enumerate(order)])
-    return lists.where(rank.isNotNull()).groupBy("id").agg(F.min_by("split", rank).alias("split"))
+    first = lists.where(rank.isNotNull()).groupBy("id").agg(F.min(rank).alias("_r"))
+    return first.select("id", F.element_at(F.array(*[F.lit(s) for s in order]), F.col("_r") + 1).alias("split"))
 
 
 def official_splits(

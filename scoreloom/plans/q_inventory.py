@@ -480,5 +480,6 @@ SELECT label_key, CAST(CASE WHEN label_key = 'IDFv1-FS_TTS' THEN 1 ELSE 0 END AS
   CASE label_key WHEN 'IDFv1-REAL' THEN 'real' WHEN 'IDFv1-FS_TTS' THEN 'face-swap' ELSE 'audio-only' END AS family, count(*) AS n FROM r GROUP BY ALL""",
 )
 def f06(spark: SparkSession, d: str) -> DataFrame:
-    rows = records(spark, d, "idforge-v1").join(INV.label_vocab(spark, D.IDFORGE).drop("method"), "label_key")
+    # a row per task: sent to the records, which have too few label keys to be dealt by them
+    rows = records(spark, d, "idforge-v1").join(F.broadcast(INV.label_vocab(spark, D.IDFORGE).drop("method")), "label_key")
     return rows.groupBy("label_key", "binary", "binary_av", "family").agg(F.count("*").alias("n"))
