@@ -27,12 +27,14 @@ def json_line(columns: Sequence[str]) -> Column:
 def fingerprint(rows: DataFrame, line: Column, by: Sequence[str] = ()) -> DataFrame:
     """Row count and fingerprint of the lines, per group."""
     digest = F.sha2(line, 256)
-    words = [
-        F.sum(F.conv(F.substring("_d", 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")).alias(f"_w{i}")
+    word = lambda i: F.conv(F.substring("_d", 1 + 8 * i, 8), 16, 10).cast("long")
+    # halves of words are summed as whole numbers: decimals would cost more than the hashing
+    halves = [
+        F.sum(half).alias(f"_{name}{i}")
         for i in range(8)
+        for name, half in (("h", F.shiftright(word(i), 16)), ("l", word(i).bitwiseAND(65535)))
     ]
-    sums = rows.select(*by, digest.alias("_d")).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *words)
-    text = F.concat_ws(
-        ":", F.col("n"), *[F.coalesce(F.col(f"_w{i}").cast("string"), F.lit("0")) for i in range(8)]
-    )
+    sums = rows.select(*by, digest.alias("_d")).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *halves)
+    whole = lambda i: F.col(f"_h{i}").cast("decimal(20,0)") * 65536 + F.col(f"_l{i}")
+    text = F.concat_ws(":", F.col("n"), *[F.coalesce(whole(i).cast("string"), F.lit("0")) for i in range(8)])
     return sums.select(*by, "n", F.sha2(text, 256).alias("fingerprint"))

@@ -17,6 +17,7 @@ from scoreloom.operators import splits as S
 from scoreloom.operators.checks import repeated_keys
 from scoreloom.operators.joins import ROW_KEY
 from scoreloom.operators.ordered import join_null_safe
+from scoreloom.session import materialized
 
 
 def dataset_bumps(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -150,11 +151,20 @@ def rebuild_report(
     )
 
 
+def held(built: Built) -> Built:
+    """The same lists, computed and kept in the shared folder, where everything reads them."""
+    videos, pairs = materialized(built.videos, "videos"), materialized(built.pairs, "pairs")
+    schemes = {k: materialized(v, f"scheme-{k}") for k, v in built.schemes.items()}
+    return Built(videos, schemes, pairs, list_fingerprints(videos, schemes, pairs))
+
+
 def write_dataset(built: Built, path: str, card: Mapping[str, object]) -> None:
     """Write every list, checked first, and the card last: readers start from the card.
 
-    Raises when a video is listed twice or a split row names no video.
+    Raises when a video is listed twice or a split row names no video. Lists are computed once, into
+    the shared folder, and checked, fingerprinted and written from there.
     """
+    built = held(built)
     key = list(R.KEY)
     R.require_empty(repeated_keys(built.videos, key), "video listed twice")
     for name, split in built.schemes.items():

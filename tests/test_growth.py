@@ -5,6 +5,7 @@ import pandas as pd
 
 from scoreloom.plans import datasets as D
 from scoreloom.plans import inventory as INV
+from scoreloom.plans import release as REL
 from scoreloom.plans import scoring as SC
 from scoreloom.operators import coverage as C
 from scoreloom.plans import views as V
@@ -71,3 +72,14 @@ def test_medians_of_short_and_long_videos(spark, monkeypatch):
 
 def test_scores_join_reduced_line_items(spark, sf):
     assert optimized(V.scores(spark, sf)).count("Join") == 1
+
+
+def test_lists_held_are_computed_once(spark):
+    v = spark.createDataFrame([("REAL/a", None, "X-REAL", "p"), ("FAKE/b", None, "X-FAKE", "p")], "key string, compression string, label_key string, identity string")
+    built = REL.build_dataset(v, {"all": ("all-test", {})}, is_real=v.key.startswith("REAL"), candidates=v.key, task_rank={}, pairing_rule=None)
+    kept = REL.held(built)
+    for df in (kept.videos, kept.pairs, kept.schemes["all"]):
+        assert optimized(df).startswith("Relation")
+    plan = kept.fingerprints._jdf.queryExecution().executedPlan().toString()
+    assert "partial_sum(cast" not in plan and "decimal(20,0))#" not in plan.split("Aggregate")[-1]
+    assert sorted(map(tuple, kept.fingerprints.collect())) == sorted(map(tuple, built.fingerprints.collect()))
