@@ -56,6 +56,14 @@ def _place(release: D.Release, compressions: Sequence[str] | None) -> Column:
     return F.coalesce(*found)
 
 
+def _met(rows: DataFrame, values: DataFrame, by: list[str], other: str) -> DataFrame:
+    """`rows` with the `values` of `by`, if any. Rows whose last `by` is null meet nothing; dealt by it
+    they would all be one task's, so they are dealt by their `other` column."""
+    length = F.length(by[-1])
+    dealt = rows.withColumn("_dealt", F.coalesce(length, F.hash(other) % (1 << 16)))
+    return dealt.join(values.withColumn("_dealt", length), [*by, "_dealt"], "left").drop("_dealt")
+
+
 def parse_listing(
     listing: DataFrame,
     release: D.Release,
@@ -87,7 +95,7 @@ def parse_listing(
     if side is not None:
         key = F.col("stem") if side_key is None else side_key
         values = F.struct(*[c for c in side.columns if c != "side_id"]).alias("side")
-        rows = rows.withColumn("side_id", key).join(side.select("side_id", values), "side_id", "left")
+        rows = _met(rows.withColumn("side_id", key), side.select("side_id", values), ["side_id"], "relpath")
     real, fake = release.real(), release.fake()
     is_real = F.col("kind") == "real"
 
@@ -234,7 +242,7 @@ def _driver_splits(rows: DataFrame, lists: DataFrame) -> DataFrame:
         F.coalesce(source, F.lit("CelebV-HQ")).alias("source"),
         F.when(source.isNotNull(), F.col("local")).otherwise(F.col("source_id")).alias("id"),
     ).distinct()
-    joined = keyed.join(last, ["source", "id"], "left")
+    joined = _met(keyed, last, ["source", "id"], "key")
     fake = F.when(F.col("_task").isin(*D.THB_HELD_OUT) | (F.col("_s") == "test"), "test").otherwise("train")
     split = F.when(F.col("_real"), F.col("_s")).otherwise(fake)
     return joined.select("key", split.alias("split")).where(F.col("split").isNotNull())
@@ -326,13 +334,14 @@ def annotation_side(annotations: DataFrame) -> DataFrame:
 
 def driver_side(lists: DataFrame) -> DataFrame:
     """Drivers by the name a fake may give them: as listed, or having lost a leading dash."""
-    listed = lists.where(F.col("source") == "CelebV-HQ").select(F.col("id").alias("driver")).distinct()
-    plain = listed.select(F.col("driver").alias("side_id"), "driver", F.lit(0).alias("_w"))
-    lost = listed.where(F.startswith("driver", F.lit("-"))).select(
-        F.expr("substr(driver, 2)").alias("side_id"), "driver", F.lit(1).alias("_w")
-    )
-    both = plain.unionByName(lost)
-    return both.groupBy("side_id").agg(F.min_by("driver", "_w").alias("driver"))
+    driver = F.col("id")
+    plain = F.struct(driver.alias("side_id"), F.lit(0).alias("_w"))
+    lost = F.struct(F.expr("substr(id, 2)").alias("side_id"), F.lit(1).alias("_w"))
+    names = F.when(F.startswith(driver, F.lit("-")), F.array(plain, lost)).otherwise(F.array(plain))
+    named = lists.where(F.col("source") == "CelebV-HQ").select(F.explode(names).alias("_n")).select("_n.*")
+    # a number is merged by hashing, and the driver follows from it and the name
+    best = named.groupBy("side_id").agg(F.min("_w").alias("_w"))
+    return best.select("side_id", F.when(F.col("_w") == 0, F.col("side_id")).otherwise(F.concat(F.lit("-"), "side_id")).alias("driver"))
 
 
 def listed_reals(lists: DataFrame) -> DataFrame:

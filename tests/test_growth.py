@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from scoreloom.plans import datasets as D
 from scoreloom.plans import inventory as INV
@@ -35,6 +36,49 @@ def test_first_lists_are_found_by_hashing(spark):
         assert {r["id"]: r["split"] for r in first.collect()} == want
 
 
+def test_records_without_a_side_key_are_dealt_over_all_tasks(spark):
+    rows = [(f"original_content/fr/videos/fr_{i}.mp4",) for i in range(3)] + [(f"manipulated_content/to_ru/videos/fr_{i}.mp4",) for i in range(4000)]
+    rows += [(f"manipulated_content/to_zh/videos/fr_{i}_to_zh_tts.mp4",) for i in range(3)]
+    listing = spark.createDataFrame(rows, "relpath string")
+    side = spark.createDataFrame([("fr_1.mp4", "film"), (None, "nobody")], "side_id string, speaker string").hint("merge")
+    key = F.when(F.col("kind") == "real", F.col("file_name")).otherwise(F.concat(F.nullif(D.dub_real(F.col("stem")), F.lit("")), F.lit(".mp4")))
+    found = INV.parse_listing(listing, D.PGF, side=side, side_key=key)
+    with_side = {r["key"]: r["identity"] for r in found.where("identity = 'film'").collect()}
+    assert with_side == {"FR/fr_1": "film", "LS_TO_ZH/fr_1_to_zh_tts": "film"} and found.count() == 4006
+    _spread(spark, found, 4006)
+
+
+def test_fakes_without_a_driver_are_dealt_over_all_tasks(spark):
+    fakes = [(f"TH_M1/{i}", f"{i}.mp4", None, None) for i in range(4000)] + [("TH_LP/1--d--LivePortrait", "x.mp4", "d", None), ("REAL_CVHQ/d", "d.mp4", None, "d")]
+    rows = spark.createDataFrame(fakes, "key string, relpath string, source_id string, identity string")
+    lists = spark.createDataFrame([("CelebV-HQ", "d", "train"), ("CelebV-HQ", "d", "val"), ("CelebV-HQ", None, "val")], "source string, id string, split string")
+    out = INV.official_splits(D.THB, rows, lists.hint("merge"))
+    got = {r["key"]: r["split"] for r in out.collect()}
+    assert len(got) == 4002 and got["TH_LP/1--d--LivePortrait"] == "train" and got["REAL_CVHQ/d"] == "val"
+    assert got["TH_M1/7"] == "test"
+    _spread(spark, out, 4002)
+
+
+def _spread(spark, rows, n):
+    """No task of the last stage has most of the n rows."""
+    before = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        most = max(r["count"] for r in rows.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before[0])
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[1])
+    assert most < n / 2
+
+
+def test_a_driver_keeps_its_dash(spark):
+    lists = spark.createDataFrame([("CelebV-HQ", "-a"), ("CelebV-HQ", "-a"), ("CelebV-HQ", "-b"), ("CelebV-HQ", "b"), ("FF", "c"), ("CelebV-HQ", None)], "source string, id string")
+    side = INV.driver_side(lists)
+    assert "SortAggregate" not in side._jdf.queryExecution().executedPlan().toString()
+    assert {r["side_id"]: r["driver"] for r in side.collect()} == {"-a": "-a", "a": "-a", "-b": "-b", "b": "b", None: None}
+
+
 def test_records_are_put_together_where_they_are_read(spark, tmp_path):
     (tmp_path / "a.csv").write_text('k,n\n"a\nb",1\n\nc,"2\n\n3"\n')
     records = LN.read_records(spark, str(tmp_path))
