@@ -19,6 +19,7 @@ only the others. Probabilities are averaged over the kept sweeps.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -26,6 +27,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -289,7 +292,8 @@ def _pair_sweep(discount: float, sweep: int):
         for batch in batches:
             u, w, c, p, a = (batch.column(x).to_numpy() for x in ("u", "w", "c", "p", "a"))
             t = tables_drawn(c, p * a, discount, _uniform(_pair_key(u.view(np.uint64), w.view(np.uint64)).view(np.int64), sweep))
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("u", "w", "c", "n", "ts")), pa.array(t)], names=["u", "w", "c", "n", "ts", "t"])
+            kept = ("u", "w", "c", "n", "at", "ts")
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), pa.array(t)], names=[*kept, "t"])
 
     return run
 
@@ -330,10 +334,12 @@ def _spelling_sweep(words: DataFrame, model: Spelling, sweep: int) -> Spelling:
     """A sweep over the spelling restaurants, from the longest contexts down; then what they predict."""
     spark = words.sparkSession
     sc = spark.sparkContext
-    counts = words.where("c > 0").select("word", "t").mapInArrow(_spellings, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
+    state, counts = None, words.where("c > 0").select("word", "t").mapInArrow(_spellings, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
     found = []
     for order in range(ORDER, -1, -1):
         counts = stored(counts, "customers")
+        if state is not None:
+            discard(state)
         ones, twos = counts.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
         discount = _discount(ones, twos)
         parent = sc.broadcast(model.levels[order - 1] if order else None)
@@ -344,6 +350,7 @@ def _spelling_sweep(words: DataFrame, model: Spelling, sweep: int) -> Spelling:
         got = state.select("code", "c", "t").toArrow()  # at most SYMBOLS ** (order + 1) rows
         found.append((got.column("code").to_numpy(), got.column("c").to_numpy(), got.column("t").to_numpy(), discount))
         counts = state.groupBy((F.col("code") % SYMBOLS**order).alias("code")).agg(F.sum("t").alias("c")) if order else counts
+    discard(state)
     levels, tables, discounts = [], [], []
     above = np.full(1, 1 / SYMBOLS)
     for order, (code, c, t, discount) in enumerate(reversed(found)):
@@ -445,71 +452,225 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _rare(frequent):
-    """(dk, rk, key, m) of the pairs of each document that are not frequent."""
+# ---- blocks of documents -------------------------------------------------------------------------
+#
+# Documents lie in blocks, whose tokens are numbers in the block's own list of words. A block sends each of
+# its pairs once, to a bucket of the pair's hash, and is told what was counted and seated in the same
+# order: no pair is a row, but for the sweeps those met more than once.
+
+#: Bytes of text in a block, and tokens of all documents per bucket.
+BLOCK, BUCKET = 8 << 20, 2_000_000
+
+
+def _joined(column, dtype: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype)
+
+
+def _packed(values: np.ndarray, dtype: type, sizes: np.ndarray) -> pa.Array:
+    """The values in runs of these sizes, as bytes."""
+    raw, ends = values.astype(dtype).tobytes(), np.cumsum(sizes) * np.dtype(dtype).itemsize
+    return pa.array([raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())], pa.binary())
+
+
+def _unpacked(value: bytes, dtype: type) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(value), dtype)
+
+
+def _blocks(carry: Sequence[str]):
+    """A row for each block: its documents, their tokens and training marks, and its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = frequent.value[0]
-        for part in slices(batches, "text"):
-            doc, u, w = _token_pairs(part.column("text").to_pylist())
-            key = _pair_key(u, w).view(np.int64)
-            rare = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] != key
-            doc, key = doc[rare], key[rare]
-            order = np.lexsort((key, doc))
-            doc, key = doc[order], key[order]
-            first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])][: len(key)])
-            m = np.diff(np.r_[first, len(key)])
-            at = pa.array(doc[first])
-            yield pa.RecordBatch.from_arrays(
-                [part.column("dk").take(at), part.column("rk").take(at), pa.array(key[first]), pa.array(m)], names=["dk", "rk", "key", "m"]
-            )
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for part in slices(iter([batch]), "text", BLOCK):
+                doc, _, w = _token_pairs(part.column("text").to_pylist())
+                known, ids = np.unique(w, return_inverse=True)
+                rows = pa.StructArray.from_arrays([part.column(c) for c in carry], fields=[part.schema.field(c) for c in carry])
+                values = (np.bincount(doc).astype(np.int32), ~part.column("held").to_numpy(zero_copy_only=False).astype(bool), ids.astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block]), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), pa.array([len(w)]), *(pa.array([zlib.compress(v.tobytes(), 1)], pa.binary()) for v in values), pa.array([known.tobytes()], pa.binary())],
+                    names=["block", "docs", "n", "tokens", "train", "ids", "words"],
+                )
+                block += 1
 
     return run
 
 
-def _common(frequent, carry: Sequence[str]):
-    """Each document with its tokens, how many are of rare pairs, and the sums of the frequent ones."""
+class Pairs(NamedTuple):
+    """The pairs of a block, each once: its words' places, its training tokens and all; and the pair of each token."""
+
+    words: np.ndarray
+    u: np.ndarray
+    w: np.ndarray
+    c: np.ndarray
+    n: np.ndarray
+    at: np.ndarray
+    order: np.ndarray  # the pairs by bucket
+    sizes: np.ndarray  # of each bucket
+
+    @staticmethod
+    def of(row: dict, buckets: int) -> Pairs:
+        words, ids = np.frombuffer(row["words"], np.uint64), _unpacked(row["ids"], np.int32).astype(np.int64)
+        train = np.repeat(_unpacked(row["train"], bool), _unpacked(row["tokens"], np.int32))
+        # a text ends with the end, the first of the words: it stands before the next
+        code, at, n = np.unique(np.r_[0, ids[:-1]] * len(words) + ids, return_inverse=True, return_counts=True)
+        u, w = code // len(words), code % len(words)
+        bucket = (mix64(_pair_key(words[u], words[w])) >> np.uint64(20)) % np.uint64(buckets)
+        return Pairs(
+            words, u, w, np.bincount(at, train).astype(np.int64), n, at, np.argsort(bucket, kind="stable"), np.bincount(bucket.astype(np.int64), minlength=buckets)
+        )
+
+
+SENT = "block long, bucket int, u binary, w binary, c binary, n binary"
 
+
+def _sent(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table = frequent.value
-        for part in slices(batches, "text"):
-            doc, u, w = _token_pairs(part.column("text").to_pylist())
-            key = _pair_key(u, w).view(np.int64)
-            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-            at = np.where(known[at] == key, at, len(known))
-            first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])  # every text has an end
-            rows = np.add.reduceat(table[at], first, axis=0)
-            tokens = np.diff(np.r_[first, len(doc)])
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in carry), pa.array(tokens), *(pa.array(rows[:, k].astype(np.int64)) for k in (0, 1)), *(pa.array(rows[:, k]) for k in (2, 3, 4))],
-                names=[*carry, "_tokens", "_rare", "_known", "_base", "_score", "_spelled"],
-            )
+        for batch in batches:
+            for row in batch.to_pylist():
+                p = Pairs.of(row, buckets)
+                some = np.flatnonzero(p.sizes)
+                columns = [
+                    _packed(v[p.order], t, p.sizes[some]) for v, t in ((p.words[p.u], np.uint64), (p.words[p.w], np.uint64), (p.c, np.int32), (p.n, np.int32))
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(some), row["block"])), pa.array(some, pa.int32()), *columns], names=["block", "bucket", "u", "w", "c", "n"]
+                )
 
     return run
 
 
-def language_model(docs: DataFrame) -> tuple[DataFrame, Totals]:
-    """(h, word, c, n, log10p, spelled) for every word of `docs` (text, held) whatever stands before it,
-    and the model's totals with the probabilities of every pair of neighbouring words.
+#: A row of a block (0 and up): the place `at` of each pair it sent among the bucket's repeated ones; -1 for
+#: one met once in training, -2 for one met once among held-out rows. Row -1 holds the repeated
+#: pairs; row -2 sums of all pairs by word, u being the word and c its sk, sb, k and b.
+MET = "bucket int, block long, at binary, u binary, w binary, c binary, n binary, ones long, twos long"
+
+
+def _met(table: pa.Table) -> pa.Table:
+    u, w = _joined(table.column("u"), np.uint64), _joined(table.column("w"), np.uint64)
+    sizes = np.array([len(x) // 4 for x in table.column("c").to_pylist()])
+    key, first, back = np.unique(_pair_key(u, w), return_index=True, return_inverse=True)
+    c, n = (np.bincount(back, _joined(table.column(x), np.int32)).astype(np.int64) for x in ("c", "n"))
+    u, w, again = u[first], w[first], n > 1
+    at = np.where(again, np.cumsum(again) - 1, c - 2).astype(np.int32)
+    seen = c > 0
+    words, place = np.unique(np.r_[u[seen], w[seen]], return_inverse=True)
+    begins, ends = np.split(place, 2)
+    once = c[seen] == 1
+    sums = [np.bincount(x, v, len(words)) for x, v in ((ends, once), (begins, once), (ends, None), (begins, None))]
+    blocks, none = table.num_rows, [None] * table.num_rows
+    return pa.table(
+        {
+            "bucket": pa.array([table.column("bucket")[0].as_py()] * (blocks + 2), pa.int32()),
+            "block": pa.array([*table.column("block").to_pylist(), -1, -2], pa.int64()),
+            "at": pa.array([*_packed(at[back], np.int32, sizes).to_pylist(), None, None], pa.binary()),
+            "u": pa.array([*none, u[again].tobytes(), words.tobytes()], pa.binary()),
+            "w": pa.array([*none, w[again].tobytes(), None], pa.binary()),
+            "c": pa.array([*none, c[again].tobytes(), np.concatenate(sums).astype(np.int64).tobytes()], pa.binary()),
+            "n": pa.array([*none, n[again].tobytes(), None], pa.binary()),
+            "ones": pa.array([*none, int((c == 1).sum()), None], pa.int64()),
+            "twos": pa.array([*none, int((c == 2).sum()), None], pa.int64()),
+        }
+    )
 
-    c counts the rows that aren't held out, n all; END stands for the end of a text. log10p takes all
-    unseen words as one symbol, which gets what the seen ones leave; spelled tells them apart.
-    """
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, w, c, n, at) of the pairs met more than once in training."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            u, w, c, n = (np.frombuffer(row[x], np.int64) for x in ("u", "w", "c", "n"))
+            more = np.flatnonzero(c > 1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u[more], w[more], c[more], n[more], (row["bucket"] << 32) + more)], names=["u", "w", "c", "n", "at"])
+
+
+def _word_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            h, sums = np.frombuffer(row["u"], np.int64), np.frombuffer(row["c"], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), *(pa.array(x) for x in np.split(sums, 4))], names=["h", "sk", "sb", "k", "b"])
+
+
+def _told(key, met: pa.Table, again: pa.Table) -> pa.Table:
+    """What each block is told of the pairs it sent: training tokens, and tables of every kept sweep."""
+    samples = SWEEPS - BURN_IN
+    block = met.column("block").to_numpy()
+    c = np.r_[_joined(met.column("c").filter(pa.array(block == -1)), np.int64), 0, 1]  # then what was met once
+    t = np.repeat(np.minimum(c, 1)[:, None], samples, 1)
+    if again.num_rows:
+        t[again.column("at").to_numpy() & 0xFFFFFFFF] = again.column("ts").combine_chunks().flatten().to_numpy().reshape(-1, samples)
+    values = np.c_[c, t].astype(np.int32)
+    rows = met.filter(pa.array(block >= 0))
+    told = [values[np.frombuffer(at, np.int32)].T.tobytes() for at in rows.column("at").to_pylist()]
+    return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "told": pa.array([zlib.compress(x, 1) for x in told], pa.binary())})
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            h = np.frombuffer(row["words"], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), row["block"])), pa.array(np.arange(len(h), dtype=np.int32))], names=["h", "block", "place"])
+
+
+def _scored(buckets: int, totals: Totals, unseen: Sequence[float]):
+    """The documents of a block, given what it is told of its words and pairs."""
+    samples = SWEEPS - BURN_IN
+    scale = float(np.log10(totals.tokens + 0.1 * (totals.types + 1)))
+
+    def run(key, block: pa.Table, told: pa.Table) -> pa.Table:
+        row = block.drop_columns(["docs"]).to_pylist()[0]
+        p = Pairs.of(row, buckets)
+        words = told.filter(pc.is_valid(told.column("place")))
+        words = words.take(pc.sort_indices(words, [("place", "ascending")]))
+        cw = words.column("c").to_numpy()
+        a, pw = (words.column(x).combine_chunks().flatten().to_numpy().reshape(-1, samples) for x in ("a", "p"))
+        pw = np.maximum(pw, 1e-300)
+        pairs = told.filter(pc.is_valid(told.column("bucket")))
+        pairs = pairs.take(pc.sort_indices(pairs, [("bucket", "ascending")]))
+        sent = np.concatenate([_unpacked(x, np.int32).reshape(samples + 1, -1) for x in pairs.column("told").to_pylist()], 1)
+        c, *ts = sent[:, np.argsort(p.order)]
+        lumped = np.where(cw[:, None] > 0, pw, np.asarray(unseen))
+        given = lambda word: np.log10(
+            sum(np.maximum(c - t * totals.pair_discount, 0.0) + a[p.u, i] * word[p.w, i] for i, t in enumerate(ts)) / samples / (cw[p.u] + STRENGTH)
+        )
+        known = cw[p.w] > 0
+        tokens = _unpacked(row["tokens"], np.int32)
+        of_docs = lambda value: np.add.reduceat(value[p.at], np.cumsum(tokens) - tokens)
+        docs = block.column("docs").combine_chunks().flatten()
+        out = {docs.type[i].name: column for i, column in enumerate(docs.flatten())}
+        out |= {
+            "_n_tokens": pa.array(tokens.astype(np.int64)),
+            "_n_known": pa.array(of_docs(known.astype(np.int64))),
+            "_train_tokens": pa.array(np.full(len(tokens), totals.tokens)),
+            "_base": pa.array(of_docs(np.log10(cw[p.w] + 0.1)) - tokens * scale),
+            "_score": pa.array(of_docs(given(lumped))),
+            "_spelled": pa.array(of_docs(given(pw))),
+        }
+        return pa.table(out)
+
+    return run
+
+
+class Seated(NamedTuple):
+    """What the sweeps leave: the words, their totals, the pairs met more than once in training with their kept
+    tables, the probability of unseen words in each kept sweep, and the least tokens of a frequent word."""
+
+    words: DataFrame
+    totals: Totals
+    again: DataFrame
+    unseen: list[float]
+    least: Column
+
+
+def _seated(docs: DataFrame, ends: DataFrame, ones: int, twos: int, repeated: DataFrame) -> Seated:
+    """The model of `docs` (text, held), given the sums of all pairs by word, how many pairs were met once and
+    twice in training, and those met more often (u, w, c, n, at)."""
     spark = docs.sparkSession
     counts = docs.select("text", "held").mapInArrow(_word_counts, "word binary, c long, n long")
     counted = stored(
         counts.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).mapInArrow(_named, "h long, word binary, c long, n long"), "counts"
     )
-    pairs = stored(
-        docs.select("text", "held").mapInArrow(_pair_counts, "u long, w long, c long, n long").groupBy("u", "w").agg(F.sum("c").alias("c"), F.sum("n").alias("n")),
-        "pairs",
-    )
-    once, more = F.col("c") == 1, F.col("c") > 1
     tokens, every, types = counted.agg(F.sum("c"), F.sum("n"), F.count_if(F.col("c") > 0)).first()
-    ones, twos = pairs.agg(F.count_if(once), F.count_if(F.col("c") == 2)).first()
     least = F.lit(max(1.0, (every or 0) * FREQUENT))
-    # one table for each pair to begin with
-    ends = _ends(pairs.where("c > 0"), {"sk": ("w", once), "sb": ("u", once), "k": ("w", F.lit(1)), "b": ("u", F.lit(1))})
     none = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     kept = F.array().cast("array<double>")
     state = stored(
@@ -522,7 +683,7 @@ def language_model(docs: DataFrame) -> tuple[DataFrame, Totals]:
     customers, word_ones, word_twos = state.agg(F.sum("k"), F.count_if(F.col("k") == 1), F.count_if(F.col("k") == 2)).first()
     totals = Totals(tokens or 0, types or 0, customers or 0, types or 0, _discount(word_ones, word_twos), _discount(ones, twos))
     context = F.col("b") * totals.pair_discount + STRENGTH
-    again = stored(pairs.where(more).select("*", F.array().cast("array<long>").alias("ts")), "again")
+    again = stored(repeated.select("*", F.array().cast("array<long>").alias("ts")), "again")
     words, spelling = None, Spelling.uniform()
     for sweep in range(SWEEPS + 1):
         keep = sweep > BURN_IN
@@ -531,10 +692,10 @@ def language_model(docs: DataFrame) -> tuple[DataFrame, Totals]:
             now = moving.select("h", "n", _probability(totals).alias("p"), context.alias("a"))
             often = stored(now.where(F.col("n") >= least).drop("n"), "often")
             drawn = _looked_up(_looked_up(again, "u", now.select("h", "a"), often.select("h", "a")), "w", now.select("h", "p"), often.select("h", "p"))
-            seated = stored(drawn.mapInArrow(_pair_sweep(totals.pair_discount, sweep), "u long, w long, c long, n long, ts array<long>, t long"), "again")
+            seated = stored(drawn.mapInArrow(_pair_sweep(totals.pair_discount, sweep), "u long, w long, c long, n long, at long, ts array<long>, t long"), "again")
             tables = stored(_ends(seated, {"mk": ("w", F.col("t")), "mb": ("u", F.col("t"))}), "tables")
             discard(again, often)
-            again = seated.select("u", "w", "c", "n", (F.concat("ts", F.array("t")) if keep else F.col("ts")).alias("ts"))
+            again = seated.select("u", "w", "c", "n", "at", (F.concat("ts", F.array("t")) if keep else F.col("ts")).alias("ts"))
             again._stored_at = seated._stored_at
             carried = [*("h", "word", "c", "n", "sk", "sb", "moving"), "k", "b", "p", "a"]
             moved = moving.drop("k", "b").join(tables, "h").withColumns({"k": F.col("sk") + F.col("mk"), "b": F.col("sb") + F.col("mb")})
@@ -552,13 +713,33 @@ def language_model(docs: DataFrame) -> tuple[DataFrame, Totals]:
         if sweep < SWEEPS:
             spelling = _spelling_sweep(words, spelling, sweep)
     samples = SWEEPS - BURN_IN
-    mean = lambda value: sum((value(i) for i in range(1, samples)), value(0)) / samples
     seen = words.where("c > 0").agg(*[F.sum(F.col("p")[i]) for i in range(samples)]).first()
     unseen = [max(1.0 - (s or 0.0), 1e-300) for s in seen]
+    return Seated(words, totals, again, unseen, least)
+
+
+def language_model(docs: DataFrame) -> tuple[DataFrame, Totals]:
+    """(h, word, c, n, log10p, spelled) for every word of `docs` (text, held) whatever stands before it,
+    and the model's totals with the probabilities of every pair of neighbouring words.
+
+    c counts the rows that aren't held out, n all; END stands for the end of a text. log10p takes all
+    unseen words as one symbol, which gets what the seen ones leave; spelled tells them apart.
+    """
+    pairs = stored(
+        docs.select("text", "held").mapInArrow(_pair_counts, "u long, w long, c long, n long").groupBy("u", "w").agg(F.sum("c").alias("c"), F.sum("n").alias("n")),
+        "pairs",
+    )
+    once, more = F.col("c") == 1, F.col("c") > 1
+    ones, twos = pairs.agg(F.count_if(once), F.count_if(F.col("c") == 2)).first()
+    # one table for each pair to begin with
+    ends = _ends(pairs.where("c > 0"), {"sk": ("w", once), "sb": ("u", once), "k": ("w", F.lit(1)), "b": ("u", F.lit(1))})
+    words, totals, again, unseen, least = _seated(docs, ends, ones, twos, pairs.where(more).select("*", F.lit(0).cast("long").alias("at")))
+    samples = SWEEPS - BURN_IN
+    mean = lambda value: sum((value(i) for i in range(1, samples)), value(0)) / samples
     p = lambda i: F.greatest(F.col("p")[i], F.lit(1e-300))
     lumped = lambda known: lambda i: F.when(known, p(i)).otherwise(F.lit(unseen[i]))
     # every pair: what stands before it tells the weight of a new table, the word how one is filled
-    met = pairs.where(~more).select("u", "w", "c", "n", F.array_repeat("c", samples).alias("ts")).unionByName(again)
+    met = pairs.where(~more).select("u", "w", "c", "n", F.array_repeat("c", samples).alias("ts")).unionByName(again.drop("at"))
     before, at = words.select("h", F.col("c").alias("cu"), "a"), words.select("h", F.col("c").alias("cw"), "p")
     often = words.where(F.col("n") >= least)
     both = _looked_up(
@@ -585,67 +766,42 @@ def lm_scores(docs: DataFrame, held_out) -> DataFrame:
     alike. If nothing is learned from, spelling is uniform. No rows give no rows.
     Columns of any name are carried; one that is named like an added one is replaced.
     """
-    spark = docs.sparkSession
-    names = {c: f"_carried_{i}" for i, c in enumerate(docs.columns) if c != "text"}
-    keyed = docs.select(
-        *[F.col(f"`{c}`").alias(m) for c, m in names.items()],
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("dk"),
-        F.xxhash64("text").alias("rk"),
-        held_out.alias("held"),
-        "text",
-    )
-    words, totals = language_model(keyed.select("text", "held"))
-    every = words.agg(F.sum("n")).first()[0] or 0
-    # where every pair has that share there are at most 65,536 of them
-    least = F.lit(max(1.0, every * FREQUENT))
-    top = totals.pairs.where(F.col("n") >= least).drop("n").toArrow().sort_by("key")
-    # rare, known, base, score, spelled; the last row stands for every other pair
-    values = np.zeros((top.num_rows + 1, 5))
-    values[-1, 0] = 1
-    for k, c in enumerate(("known", "base", "score", "spelled"), 1):
-        values[:-1, k] = top.column(c).to_numpy()
-    keys = top.column("key").to_numpy() if top.num_rows else np.array([LAST])  # a key of no rows finds none
-    if not top.num_rows:
-        values = values[[0, 0]]
-    frequent = spark.sparkContext.broadcast((keys, values))
-    carry = [*names.values(), "dk", "rk", "held"]
-    left = keyed.select(*carry, "text")
-    schema = T.StructType(
-        [
-            *[left.schema[c] for c in carry],
-            *[T.StructField(c, T.LongType()) for c in ("_tokens", "_rare", "_known")],
-            *[T.StructField(c, T.DoubleType()) for c in ("_base", "_score", "_spelled")],
-        ]
-    )
-    common = left.mapInArrow(_common(frequent, carry), schema)
-    rare = keyed.select("dk", "rk", "text").mapInArrow(_rare(frequent), "dk long, rk long, key long, m long")
-    m = F.col("m")
-    sums = (
-        rare.join(totals.pairs.where(F.col("n") < least).drop("n"), "key")
-        .groupBy("dk", "rk")
-        .agg(
-            F.sum(m).alias("_n"),
-            F.sum(m * F.col("known")).alias("_k"),
-            F.sum(m * F.col("base")).alias("_b"),
-            F.sum(m * F.col("score")).alias("_s"),
-            F.sum(m * F.col("spelled")).alias("_p"),
-        )
-    )
-    # rows with the same id and text meet in one sum: _n / _rare of them
-    copies = F.coalesce(F.col("_n") / F.col("_rare"), F.lit(1.0))
-    part = lambda c: F.coalesce(F.col(c), F.lit(0)) / copies
-    scale = float(np.log10(totals.tokens + 0.1 * (totals.types + 1)))
-    added = {"_held", "_n_tokens", "_n_known", "_train_tokens", "_base", "_score", "_spelled"}
-    return common.join(sums, ["dk", "rk"], "left").select(
-        *[F.col(m).alias(c) for c, m in names.items() if c not in added],
-        F.col("held").alias("_held"),
-        F.col("_tokens").alias("_n_tokens"),
-        F.round(F.col("_known") + part("_k")).cast("long").alias("_n_known"),
-        F.lit(totals.tokens).cast("long").alias("_train_tokens"),
-        (F.col("_base") + part("_b") - F.col("_tokens") * scale).alias("_base"),
-        (F.col("_score") + part("_s")).alias("_score"),
-        (F.col("_spelled") + part("_p")).alias("_spelled"),
+    added = ("_held", "_n_tokens", "_n_known", "_train_tokens", "_base", "_score", "_spelled")
+    names = {f"_carried_{i}": c for i, c in enumerate(docs.columns) if c != "text" and c not in added}
+    keyed = docs.select(*[F.col(f"`{c}`").alias(m) for m, c in names.items()], held_out.alias("held"), "text")
+    carried = T.StructType([keyed.schema[m] for m in (*names, "held")])
+    shape = T.StructType().add("block", "long").add("docs", T.ArrayType(carried)).add("n", "long")
+    for c in ("tokens", "train", "ids", "words"):
+        shape = shape.add(c, "binary")
+    blocks = stored(keyed.mapInArrow(_blocks([*names, "held"]), shape), "blocks")
+    every = blocks.agg(F.sum("n")).first()[0] or 0
+    buckets = -(-every // BUCKET) or 1
+    sent = blocks.drop("docs").mapInArrow(_sent(buckets), SENT)
+    met = stored(sent.groupBy("bucket").applyInArrow(_met, MET), "met")
+    ones, twos = met.agg(F.sum("ones"), F.sum("twos")).first()
+    ends = met.where("block = -2").mapInArrow(_word_sums, "h long, sk long, sb long, k long, b long")
+    ends = ends.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("sk", "sb", "k", "b")])
+    repeated = met.where("block = -1").mapInArrow(_repeated, "u long, w long, c long, n long, at long")
+    words, totals, again, unseen, _ = _seated(keyed.select("text", "held"), ends, ones or 0, twos or 0, repeated)
+    # what nothing reads again goes before the next table is made
+    of_pairs = stored(
+        met.where("block >= -1").select("bucket", "block", "at", "c").groupBy("bucket")
+        .cogroup(again.select(F.shiftright("at", 32).cast("int").alias("bucket"), "at", "ts").groupBy("bucket"))
+        .applyInArrow(_told, "block long, bucket int, told binary"),
+        "told",
     )
+    discard(met, again)
+    placed = blocks.select("block", "words").mapInArrow(_places, "h long, block long, place int")
+    of_words = stored(placed.join(words.select("h", "c", "a", "p"), "h").drop("h"), "placed")
+    discard(words)
+    told = of_words.unionByName(of_pairs, allowMissingColumns=True)
+    out = T.StructType([*carried])
+    for c in added[1:4]:
+        out = out.add(c, "long")
+    for c in added[4:]:
+        out = out.add(c, "double")
+    scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scored(buckets, totals._replace(pairs=None), unseen), out)
+    return scored.select(*[F.col(m).alias(c) for m, c in names.items()], F.col("held").alias("_held"), *added[1:])
 
 
 @query("op8_pitman_yor_lm")

@@ -1,10 +1,12 @@
 """Embeddings, quality rules, toxicity, language model and the pipeline."""
 
 import math
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +146,28 @@ def test_toxicity_on_held_out_texts(spark, make):
     assert toxicity.toxic_scores(docs.limit(0), table, ~held).count() == 0
 
 
+def test_language_model_keeps_single_pairs_in_blocks(spark, monkeypatch):
+    """Blocks and buckets give each token what the table of all pairs gives; pairs met once are no rows."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abcdefgh") + rng.choice("xyz") * rng.randrange(3) for _ in range(rng.randrange(40)))) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (60, None), (61, "ax unheard")], "doc_id long, text string").repartition(5)
+    held = F.col("doc_id") % 7 == 5
+    pairs = lm.language_model(docs.select("text", held.alias("held")))[1].pairs.collect()
+    score = {r["key"]: (r["score"], r["spelled"]) for r in pairs}
+    monkeypatch.setattr(lm, "BUCKET", 100)
+    for r in lm.lm_scores(docs.withColumn("copy", F.col("text")), held).collect():
+        _, u, w = lm._token_pairs([r["copy"]])
+        found = np.array([score[k] for k in lm._pair_key(u, w).view(np.int64).tolist()]).sum(0)
+        assert [r["_score"], r["_spelled"]] == pytest.approx(found.tolist()) and r["_n_tokens"] == len(w)
+    u, w = (np.array(x, np.uint64) for x in ([1, 1, 2], [2, 3, 3]))
+    one = np.array([1], np.int32).tobytes()
+    sent = {"bucket": [0, 0], "block": [4, 5], "u": [u.tobytes(), u[:1].tobytes()], "w": [w.tobytes(), w[:1].tobytes()]}
+    sent |= {"c": [np.array([1, 1, 0], np.int32).tobytes(), one], "n": [np.array([1, 1, 1], np.int32).tobytes(), one]}
+    met = lm._met(pa.table(sent)).to_pylist()
+    assert [np.frombuffer(r["at"], np.int32).tolist() for r in met[:2]] == [[0, -1, -2], [0]]
+    assert len(met[2]["u"]) == 8 and np.frombuffer(met[2]["c"], np.int64).tolist() == [2] and (met[2]["ones"], met[2]["twos"]) == (1, 1)
+
+
 def test_language_model(spark, make):
     rows = [(i, prose(i % 60, 50) + (f" rare{i}" if i % 3 else "")) for i in range(1000, 1200)] + ODD
     docs = make(rows).withColumn("held", F.lit("clash")).withColumn("dk", F.lit(1))
