@@ -459,7 +459,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # order: no pair is a row, but for the sweeps those met more than once.
 
 #: Bytes of text in a block, and tokens of all documents per bucket.
-BLOCK, BUCKET = 8 << 20, 2_000_000
+BLOCK, BUCKET = 4 << 20, 2_000_000
 
 
 def _joined(column, dtype: type) -> np.ndarray:
