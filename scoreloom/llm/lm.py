@@ -43,8 +43,8 @@ STRENGTH = 1.0
 SWEEPS, BURN_IN = 4, 2
 #: Stirling numbers of up to so many customers are kept as a table, others integrated at NODES places.
 STIRLING, NODES = 256, 128
-#: Words and pairs of words with at least this share of all tokens are sent to the tasks; there can be
-#: no more than 65,536 of each. The others are joined by hash, and none has a larger share.
+#: Words with at least this share of all tokens are sent to the tasks; there can be
+#: no more than 65,536. The others are joined by hash, and none has a larger share.
 FREQUENT = 1 / 65_536
 END = b""  # no word is empty: the end of a text
 #: Words a task counts before it hands them on.
