@@ -10,17 +10,16 @@ of its parent.
 Seating is sampled by Gibbs sweeps over all dishes of a level at once, each dish given the totals of
 the sweep before. Predictions hang on a dish's number of tables alone, so a sweep seats all of its
 customers anew by drawing that number: t tables for c customers in proportion to a**t * S(c, t), where
-a is the weight of a new table and S the generalized Stirling numbers of the discount. Dishes are rows,
-so a restaurant with a third of all customers is many rows, and a dish costs no more for more customers
-than its number of tables varies. A pair of words met once has one table in any seating, so sweeps read
-only the others. Probabilities are averaged over the kept sweeps.
+a is the weight of a new table and S the generalized Stirling numbers of the discount. Dishes are entries of
+arrays that are dealt by hash, so a restaurant with a third of all customers lies in many of them, and a dish
+costs no more for more customers than its number of tables varies. A pair of words met once has one table
+in any seating, so sweeps read only the others. Probabilities are averaged over the kept sweeps.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from typing import NamedTuple
@@ -47,11 +46,8 @@ STIRLING, NODES = 256, 128
 #: no more than 65,536. The others are joined by hash, and none has a larger share.
 FREQUENT = 1 / 65_536
 END = b""  # no word is empty: the end of a text
-#: Words a task counts before it hands them on.
-COUNTED = 300_000
 #: Pairs of words a task counts before it hands them on.
 PAIRS = 2_000_000
-LAST = (1 << 63) - 1
 
 
 def _symbols() -> tuple[np.ndarray, np.ndarray]:
@@ -74,6 +70,7 @@ def _symbols() -> tuple[np.ndarray, np.ndarray]:
 
 
 SYMBOL_OF, SHARING = _symbols()
+LOG_SHARING = np.log(np.maximum(SHARING, 1))
 
 
 class Spelling(NamedTuple):
@@ -106,10 +103,10 @@ def events(words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[pick], n
 
 
-def spelled(words: Sequence[bytes], model: Spelling) -> np.ndarray:
-    """The base probability of each word: its symbols, its end, and its bytes among those sharing a symbol."""
-    code, n = events(words)
-    logs = np.log(model.levels[ORDER][code].astype(np.float64)) - np.log(np.maximum(SHARING[code % SYMBOLS], 1))
+def spelled(code: np.ndarray, n: np.ndarray, longest: np.ndarray) -> np.ndarray:
+    """The base probability of each word, given its `events`: its symbols, its end, and its bytes among those
+    sharing a symbol. longest: P(symbol | ORDER symbols before)."""
+    logs = np.log(longest[code].astype(np.float64)) - LOG_SHARING[code % SYMBOLS]
     return np.exp(np.add.reduceat(logs, np.cumsum(n) - n))
 
 
@@ -239,42 +236,10 @@ class Totals(NamedTuple):
     pairs: DataFrame | None = None  # (key, n, known, base, score, spelled) of every pair of words
 
 
-def _probability(t: Totals) -> Column:
-    """The word restaurant's predictive probability of each word."""
-    new = F.col("base") * (STRENGTH + t.discount * t.tables)
-    return (F.greatest(F.col("k") - F.col("t") * t.discount, F.lit(0.0)) + new) / (STRENGTH + t.customers)
-
-
-#: c, n: tokens that aren't held out, and all; sk, sb: pairs met once that the word ends, and begins;
-#: k, b: tables of all pairs that it ends (its customers), and begins; t: its tables; p, a: the kept
-#: probabilities of the word, and weights of a new table in its context.
-COUNTS = "h long, word binary, c long, n long, sk long, sb long, moving boolean, k long, b long"
-WORDS = f"{COUNTS}, p array<double>, a array<double>, t long, base double"
-
-
-def _word_sweep(model, totals: Totals, sweep: int):
-    """Draws the words' tables."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "word", 1 << 20):
-            base = spelled(part.column("word").to_pylist(), model.value)
-            h, k = part.column("h").to_numpy(), part.column("k").to_numpy()
-            t = tables_drawn(k, (STRENGTH + totals.discount * totals.tables) * base, totals.discount, _uniform(h, sweep))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(t), pa.array(base)], names=[*part.schema.names, "t", "base"])
-
-    return run
-
-
-# ---- the restaurants of words after a word -------------------------------------------------------
-
-
-def _ends(pairs: DataFrame, sums: dict[str, tuple[str, Column]]) -> DataFrame:
-    """Sums over the pairs (u, w) by the word that they end ("w") or begin ("u"): name: (side, value)."""
-    side = lambda x: F.struct(
-        F.col(x).alias("h"), *[(v if by == x else F.lit(0)).cast("long").alias(name) for name, (by, v) in sums.items()]
-    )
-    rows = pairs.select(F.explode(F.array(side("u"), side("w"))).alias("_e")).select("_e.*")
-    return rows.groupBy("h").agg(*[F.sum(name).alias(name) for name in sums])
+def _probability(t: Totals, k: np.ndarray, tables: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """The word restaurant's predictive probability of words, given their customers, tables and base probability."""
+    new = base * (STRENGTH + t.discount * t.tables)
+    return (np.maximum(k - tables * t.discount, 0.0) + new) / (STRENGTH + t.customers)
 
 
 def _looked_up(rows: DataFrame, by: str, values: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -285,29 +250,6 @@ def _looked_up(rows: DataFrame, by: str, values: DataFrame, frequent: DataFrame)
     return rows.join(sent, by).unionByName(rest.join(values.withColumnRenamed("h", by), by))
 
 
-def _pair_sweep(discount: float, sweep: int):
-    """Draws the tables of pairs met more than once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            u, w, c, p, a = (batch.column(x).to_numpy() for x in ("u", "w", "c", "p", "a"))
-            t = tables_drawn(c, p * a, discount, _uniform(_pair_key(u.view(np.uint64), w.view(np.uint64)).view(np.int64), sweep))
-            kept = ("u", "w", "c", "n", "at", "ts")
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), pa.array(t)], names=[*kept, "t"])
-
-    return run
-
-
-def _spellings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Customers of the longest contexts: one per table of a word for each of its symbols."""
-    for part in slices(batches, "word", 1 << 20):
-        tables = part.column("t").to_numpy()
-        code, n = events(part.column("word").to_pylist())
-        found, at = np.unique(code, return_inverse=True)
-        total = np.bincount(at, np.repeat(tables, n)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(found[total > 0]), pa.array(total[total > 0])], names=["code", "c"])
-
-
 # ---- the spelling restaurants --------------------------------------------------------------------
 
 
@@ -330,12 +272,10 @@ def _level_sweep(parent, tables, discount: float, order: int, sweep: int):
     return run
 
 
-def _spelling_sweep(words: DataFrame, model: Spelling, sweep: int) -> Spelling:
-    """A sweep over the spelling restaurants, from the longest contexts down; then what they predict."""
-    spark = words.sparkSession
-    sc = spark.sparkContext
-    state, counts = None, words.where("c > 0").select("word", "t").mapInArrow(_spellings, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
-    found = []
+def _spelling_sweep(counts: DataFrame, model: Spelling, sweep: int) -> Spelling:
+    """A sweep over the spelling restaurants, from the longest contexts (code, c) down; then what they predict."""
+    sc = counts.sparkSession.sparkContext
+    state, found = None, []
     for order in range(ORDER, -1, -1):
         counts = stored(counts, "customers")
         if state is not None:
@@ -400,12 +340,6 @@ def _token_pairs(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, n
     return doc, np.concatenate([np.zeros(1, np.uint64), w[:-1]]), w
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "word", 1 << 20):
-        h = pa.array(_hashed(part.column("word").to_pylist()))
-        yield pa.RecordBatch.from_arrays([h, *(part.column(x) for x in ("word", "c", "n"))], names=["h", "word", "c", "n"])
-
-
 def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept: list[tuple[np.ndarray, ...]] = []
 
@@ -431,35 +365,40 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
+# ---- blocks of documents, shards of words, buckets of pairs ---------------------------------------
+#
+# Documents lie in blocks, whose tokens are numbers in the block's own list of words. A block sends each of its
+# words once, to a shard of words, and each of its pairs once, to a bucket of pairs, and is told what was
+# counted and seated in the same order. A sweep is two turns: shards tell the buckets about the words of pairs
+# met more than once in training, in a fixed order; buckets draw these pairs' tables and tell the shards
+# their sums, in the same order. What travels is packed: no pair and no word is a row.
 
-    def out() -> pa.RecordBatch:
-        train, held = counts
-        words = list({**train, **held})
-        c = [train.get(w, 0) for w in words]
-        n = [k + held.get(w, 0) for k, w in zip(c, words)]
-        batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c, pa.int64()), pa.array(n, pa.int64())], names=["word", "c", "n"])
-        train.clear(), held.clear()
-        return batch
+#: Bytes of text in a block, tokens of all documents per bucket, and words of all blocks per shard.
+BLOCK, BUCKET, SHARD = 4 << 20, 2_000_000, 300_000
+#: Bytes of text that are hashed at once, and words that are spelled at once.
+HASHED, SPELLED = 1 << 20, 1 << 16
+#: Lowest bytes of a word's probability that a block isn't told: 28 bits are left, those of spelling have 24.
+ROUGH = 3
 
-    for part in slices(batches, "text"):
-        for text, held in zip(part.column("text").to_pylist(), part.column("held").to_pylist()):
-            counts[bool(held)].update(_tokens(text))
-        if len(counts[0]) + len(counts[1]) > COUNTED:
-            yield out()
-    if counts[0] or counts[1]:
-        yield out()
 
+class Layout(NamedTuple):
+    """How words are dealt to shards, and pairs to buckets: by the word before, of heavy words also by the word."""
 
-# ---- blocks of documents -------------------------------------------------------------------------
-#
-# Documents lie in blocks, whose tokens are numbers in the block's own list of words. A block sends each of
-# its pairs once, to a bucket of the pair's hash, and is told what was counted and seated in the same
-# order: no pair is a row, but for the sweeps those met more than once.
+    buckets: int
+    shards: int
+    heavy: np.ndarray  # in order
+    parts: np.ndarray  # buckets of each
 
-#: Bytes of text in a block, and tokens of all documents per bucket.
-BLOCK, BUCKET = 4 << 20, 2_000_000
+    def shard(self, words: np.ndarray) -> np.ndarray:
+        return ((mix64(words) >> np.uint64(20)) % np.uint64(self.shards)).astype(np.int64)
+
+    def bucket(self, words: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        parts = np.ones(len(words), np.uint64)
+        if len(self.heavy):
+            at = np.minimum(np.searchsorted(self.heavy, words), len(self.heavy) - 1)
+            parts = np.where(self.heavy[at] == words, self.parts[at], parts)
+        with np.errstate(over="ignore"):
+            return ((mix64(words[u] + mix64(words)[w] % parts[u]) >> np.uint64(20)) % np.uint64(self.buckets)).astype(np.int64)
 
 
 def _joined(column, dtype: type) -> np.ndarray:
@@ -472,8 +411,25 @@ def _packed(values: np.ndarray, dtype: type, sizes: np.ndarray) -> pa.Array:
     return pa.array([raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())], pa.binary())
 
 
-def _unpacked(value: bytes, dtype: type) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(value), dtype)
+def _squeezed(values: np.ndarray, drop: int = 0) -> bytes:
+    """The values, byte by byte of all of them, without their `drop` lowest bytes."""
+    raw = np.ascontiguousarray(values).reshape(-1).view(np.uint8).reshape(-1, values.itemsize)
+    return zlib.compress(raw[:, drop:].T.tobytes(), 1)
+
+
+def _unpacked(value: bytes, dtype: type, drop: int = 0) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    planes = np.frombuffer(zlib.decompress(value), np.uint8).reshape(size - drop, -1)
+    out = np.zeros((planes.shape[1], size), np.uint8)
+    out[:, drop:] = planes.T
+    return out.view(dtype).reshape(-1)
+
+
+def _rows(shape: str, rows: list[dict]) -> pa.Table:
+    """Rows of a table of packed arrays; what they leave out is null."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [field.split() for field in shape.split(", ")]
+    return pa.table({name: pa.array([r.get(name) for r in rows], kinds[kind]) for name, kind in fields})
 
 
 def _blocks(carry: Sequence[str]):
@@ -483,19 +439,39 @@ def _blocks(carry: Sequence[str]):
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(iter([batch]), "text", BLOCK):
-                doc, _, w = _token_pairs(part.column("text").to_pylist())
-                known, ids = np.unique(w, return_inverse=True)
+                tokens, hashes, starts, ends, flats, at = [], [], [], [], [], 0
+                for piece in slices(iter([part.select(["text"])]), "text", HASHED):
+                    words = Words(piece.column("text").to_pylist(), fold=True)
+                    closes = np.cumsum(words.counts)  # the end stands there, a word of no bytes
+                    tokens.append(words.counts + 1)
+                    hashes.append(np.insert(words.hashes, closes, np.uint64(0)))
+                    starts.append(np.insert(words.start + at, closes, 0))
+                    ends.append(np.insert(words.end + at, closes, 0))
+                    flats.append(words.flat)
+                    at += len(words.flat)
+                known, first, ids, often = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True, return_counts=True)
+                # the end, then the most frequent words: small numbers
+                order = np.lexsort((known, -often, known > 0))
+                known, first, ids = known[order], first[order], np.argsort(order)[ids]
+                flat = b"".join(flats).lower()
+                spelt = b"\n".join([flat[a:b] for a, b in zip(np.concatenate(starts)[first].tolist(), np.concatenate(ends)[first].tolist())])
                 rows = pa.StructArray.from_arrays([part.column(c) for c in carry], fields=[part.schema.field(c) for c in carry])
-                values = (np.bincount(doc).astype(np.int32), ~part.column("held").to_numpy(zero_copy_only=False).astype(bool), ids.astype(np.int32))
+                values = (np.concatenate(tokens).astype(np.int32), ~part.column("held").to_numpy(zero_copy_only=False).astype(bool), ids.astype(np.int32))
+                packed = [*map(_squeezed, values), zlib.compress(spelt, 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block]), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), pa.array([len(w)]), *(pa.array([zlib.compress(v.tobytes(), 1)], pa.binary()) for v in values), pa.array([known.tobytes()], pa.binary())],
-                    names=["block", "docs", "n", "tokens", "train", "ids", "words"],
+                    [pa.array([block]), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), pa.array([len(ids)]), pa.array([len(known)]), *(pa.array([x], pa.binary()) for x in packed)],
+                    names=["block", "docs", "n", "m", "tokens", "train", "ids", "spelt"],
                 )
                 block += 1
 
     return run
 
 
+def _words_of(row: dict) -> np.ndarray:
+    """The hashes of a block's words; the end is the first of them."""
+    return np.r_[np.zeros(1, np.uint64), Words([zlib.decompress(row["spelt"]).decode()]).hashes]
+
+
 class Pairs(NamedTuple):
     """The pairs of a block, each once: its words' places, its training tokens and all; and the pair of each token."""
 
@@ -509,128 +485,400 @@ class Pairs(NamedTuple):
     sizes: np.ndarray  # of each bucket
 
     @staticmethod
-    def of(row: dict, buckets: int) -> Pairs:
-        words, ids = np.frombuffer(row["words"], np.uint64), _unpacked(row["ids"], np.int32).astype(np.int64)
+    def of(row: dict, layout: Layout) -> Pairs:
+        words, ids = _words_of(row), _unpacked(row["ids"], np.int32).astype(np.int64)
         train = np.repeat(_unpacked(row["train"], bool), _unpacked(row["tokens"], np.int32))
         # a text ends with the end, the first of the words: it stands before the next
         code, at, n = np.unique(np.r_[0, ids[:-1]] * len(words) + ids, return_inverse=True, return_counts=True)
         u, w = code // len(words), code % len(words)
-        bucket = (mix64(_pair_key(words[u], words[w])) >> np.uint64(20)) % np.uint64(buckets)
-        return Pairs(
-            words, u, w, np.bincount(at, train).astype(np.int64), n, at, np.argsort(bucket, kind="stable"), np.bincount(bucket.astype(np.int64), minlength=buckets)
-        )
+        bucket = layout.bucket(words, u, w)
+        return Pairs(words, u, w, np.bincount(at, train).astype(np.int64), n, at, np.argsort(bucket, kind="stable"), np.bincount(bucket, minlength=layout.buckets))
 
 
-SENT = "block long, bucket int, u binary, w binary, c binary, n binary"
+#: A block's words for a shard, or row -1 of what a shard has of all blocks; at: the places of a block's words.
+VOCABULARY = "shard int, block long, at binary, h binary, c binary, n binary, spelt binary"
 
 
-def _sent(buckets: int):
+def _words_sent(layout: Layout):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                p = Pairs.of(row, buckets)
-                some = np.flatnonzero(p.sizes)
-                columns = [
-                    _packed(v[p.order], t, p.sizes[some]) for v, t in ((p.words[p.u], np.uint64), (p.words[p.w], np.uint64), (p.c, np.int32), (p.n, np.int32))
-                ]
+                h, ids = _words_of(row), _unpacked(row["ids"], np.int32)
+                train = np.repeat(_unpacked(row["train"], bool), _unpacked(row["tokens"], np.int32))
+                shard = layout.shard(h)
+                order, sizes = np.argsort(shard, kind="stable"), np.bincount(shard, minlength=layout.shards)
+                some = np.flatnonzero(sizes)
+                names = zlib.decompress(row["spelt"]).split(b"\n")
+                names = [names[i] for i in order.tolist()]
+                ends = np.cumsum(sizes[some]).tolist()
+                columns = [_packed(v[order], t, sizes[some]) for v, t in ((h, np.uint64), (np.bincount(ids, train), np.int32), (np.bincount(ids), np.int32))]
+                spelt = pa.array([b"\n".join(names[a:b]) for a, b in zip([0, *ends], ends)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(some), row["block"])), pa.array(some, pa.int32()), *columns], names=["block", "bucket", "u", "w", "c", "n"]
+                    [pa.array(some, pa.int32()), pa.array(np.full(len(some), row["block"])), *columns, spelt], names=["shard", "block", "h", "c", "n", "spelt"]
                 )
 
     return run
 
 
+def _counted(sent: pa.Table) -> pa.Table:
+    h = _joined(sent.column("h"), np.uint64)
+    sizes = np.array([len(x) // 8 for x in sent.column("h").to_pylist()])
+    known, first, back = np.unique(h, return_index=True, return_inverse=True)
+    c, n = (np.bincount(back, _joined(sent.column(x), np.int32)).astype(np.int32) for x in ("c", "n"))
+    names = b"\n".join(sent.column("spelt").to_pylist()).split(b"\n")
+    spelt = zlib.compress(b"\n".join([names[i] for i in first.tolist()]), 1)
+    shard = sent.column("shard")[0].as_py()
+    places = zip(sent.column("block").to_pylist(), np.split(back.astype(np.int32), np.cumsum(sizes)[:-1]))
+    rows = [{"shard": shard, "block": block, "at": _squeezed(at)} for block, at in places]
+    return _rows(VOCABULARY, [*rows, {"shard": shard, "block": -1, "h": known.tobytes(), "c": c.tobytes(), "n": n.tobytes(), "spelt": spelt}])
+
+
+def _heavy(least: float):
+    """(h, n) of the words met so often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                h, n = np.frombuffer(row["h"], np.int64), np.frombuffer(row["n"], np.int32).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x[n >= least]) for x in (h, n)], names=["h", "n"])
+
+    return run
+
+
+#: Pairs of a block for a bucket: their words, and per pair how far the place of the word before moved among them,
+#: the place of the word, and how many are training tokens and how many are not.
+SENT = "block long, bucket int, h binary, pairs binary"
+
+
+def _sent(layout: Layout):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                p, out = Pairs.of(row, layout), []
+                stops = np.cumsum(p.sizes)
+                for bucket in np.flatnonzero(p.sizes).tolist():
+                    at = p.order[stops[bucket] - p.sizes[bucket] : stops[bucket]]
+                    mine, place = np.unique(np.r_[p.u[at], p.w[at]], return_inverse=True)
+                    u, w = np.split(place, 2)
+                    pairs = np.array([np.diff(u, prepend=0), w, p.c[at], p.n[at] - p.c[at]], np.int32)
+                    out.append({"block": row["block"], "bucket": bucket, "h": p.words[mine].tobytes(), "pairs": _squeezed(pairs)})
+                yield _rows(SENT, out).combine_chunks().to_batches()[0]
+
+    return run
+
+
 #: A row of a block (0 and up): the place `at` of each pair it sent among the bucket's repeated ones; -1 for
-#: one met once in training, -2 for one met once among held-out rows. Row -1 holds the repeated
-#: pairs; row -2 sums of all pairs by word, u being the word and c its sk, sb, k and b.
-MET = "bucket int, block long, at binary, u binary, w binary, c binary, n binary, ones long, twos long"
+#: one met once in training, -2 for one met once among held-out rows. Row -1 holds the repeated pairs; as stored, c of
+#: these, and of those met more than once in training the words u and each pair's places among them in w. Rows -2
+#: are for the shards: the words u of all pairs, their sums sk, sb, k, b in c, and the words w of repeated pairs.
+MET = "bucket int, block long, shard int, at binary, u binary, w binary, c binary, n binary, ones long, twos long"
 
 
-def _met(table: pa.Table) -> pa.Table:
+def _heads(u: np.ndarray, w: np.ndarray, layout: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of pairs by shard; how many each shard has; the places among them of the words u and w."""
+    known, place = np.unique(np.r_[u, w], return_inverse=True)
+    shard = layout.shard(known)
+    order = np.argsort(shard, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return known[order], np.bincount(shard, minlength=layout.shards), *np.split(rank[place], 2)
+
+
+def _met(table: pa.Table, layout: Layout = Layout(1, 1, np.zeros(0, np.uint64), np.zeros(0, np.uint64))) -> pa.Table:
     u, w = _joined(table.column("u"), np.uint64), _joined(table.column("w"), np.uint64)
     sizes = np.array([len(x) // 4 for x in table.column("c").to_pylist()])
-    key, first, back = np.unique(_pair_key(u, w), return_index=True, return_inverse=True)
+    _, first, back = np.unique(_pair_key(u, w), return_index=True, return_inverse=True)
     c, n = (np.bincount(back, _joined(table.column(x), np.int32)).astype(np.int64) for x in ("c", "n"))
     u, w, again = u[first], w[first], n > 1
-    at = np.where(again, np.cumsum(again) - 1, c - 2).astype(np.int32)
+    at = np.where(again, np.cumsum(again) - 1, c - 2).astype(np.int32)[back]
+    bucket = table.column("bucket")[0].as_py()
+    rows = [{"bucket": bucket, "block": b, "at": a} for b, a in zip(table.column("block").to_pylist(), _packed(at, np.int32, sizes).to_pylist())]
+    del back, at
+    packed = {x: v[again].tobytes() for x, v in (("u", u), ("w", w), ("c", c), ("n", n))}
+    rows.append({"bucket": bucket, "block": -1, "ones": int((c == 1).sum()), "twos": int((c == 2).sum())} | packed)
+    heads, held, _, _ = _heads(u[c > 1], w[c > 1], layout)
     seen = c > 0
-    words, place = np.unique(np.r_[u[seen], w[seen]], return_inverse=True)
-    begins, ends = np.split(place, 2)
+    words, every, begins, ends = _heads(u[seen], w[seen], layout)
     once = c[seen] == 1
-    sums = [np.bincount(x, v, len(words)) for x, v in ((ends, once), (begins, once), (ends, None), (begins, None))]
-    blocks, none = table.num_rows, [None] * table.num_rows
-    return pa.table(
-        {
-            "bucket": pa.array([table.column("bucket")[0].as_py()] * (blocks + 2), pa.int32()),
-            "block": pa.array([*table.column("block").to_pylist(), -1, -2], pa.int64()),
-            "at": pa.array([*_packed(at[back], np.int32, sizes).to_pylist(), None, None], pa.binary()),
-            "u": pa.array([*none, u[again].tobytes(), words.tobytes()], pa.binary()),
-            "w": pa.array([*none, w[again].tobytes(), None], pa.binary()),
-            "c": pa.array([*none, c[again].tobytes(), np.concatenate(sums).astype(np.int64).tobytes()], pa.binary()),
-            "n": pa.array([*none, n[again].tobytes(), None], pa.binary()),
-            "ones": pa.array([*none, int((c == 1).sum()), None], pa.int64()),
-            "twos": pa.array([*none, int((c == 2).sum()), None], pa.int64()),
-        }
-    )
+    sums = np.array([np.bincount(x, v, len(words)) for x, v in ((ends, once), (begins, once), (ends, None), (begins, None))]).astype(np.int32)
+    some = np.flatnonzero(every)
+    for shard, mine, theirs, a, b in zip(some.tolist(), _packed(words, np.uint64, every[some]).to_pylist(), _packed(heads, np.uint64, held[some]).to_pylist(), (np.cumsum(every) - every)[some], np.cumsum(every)[some]):
+        rows.append({"bucket": bucket, "block": -2, "shard": shard, "u": mine, "w": theirs, "c": sums[:, a:b].tobytes()})
+    return _rows(MET, rows)
+
+
+def _gathered(layout: Layout):
+    """`_met` of what blocks have sent, squeezed."""
+
+    def run(sent: pa.Table) -> pa.Table:
+        columns: dict[str, list[bytes]] = {"u": [], "w": [], "c": [], "n": []}
+        for h, pairs in zip(sent.column("h").to_pylist(), sent.column("pairs").to_pylist()):
+            words, (moved, w, c, held) = np.frombuffer(h, np.uint64), _unpacked(pairs, np.int32).reshape(4, -1)
+            for x, v in (("u", words[np.cumsum(moved)]), ("w", words[w]), ("c", c), ("n", c + held)):
+                columns[x].append(v.tobytes())
+        table = pa.table({"bucket": sent.column("bucket"), "block": sent.column("block")} | {x: pa.array(v, pa.binary()) for x, v in columns.items()})
+        del sent, columns
+        rows = _met(table, layout).to_pylist()
+        for row in rows:
+            if row["at"] is not None:
+                row["at"] = _squeezed(np.frombuffer(row["at"], np.int32))
+            elif row["block"] == -2:
+                row["c"] = _squeezed(np.frombuffer(row["c"], np.int32))
+            else:
+                c = np.frombuffer(row["c"], np.int64)
+                heads, _, u, w = _heads(*(np.frombuffer(row[x], np.uint64)[c > 1] for x in ("u", "w")), layout)
+                row |= {"u": heads.tobytes(), "w": _squeezed(np.array([u, w], np.int32)), "c": _squeezed(c.astype(np.int32)), "n": None}
+        return _rows(MET, rows)
 
+    return run
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, w, c, n, at) of the pairs met more than once in training."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            u, w, c, n = (np.frombuffer(row[x], np.int64) for x in ("u", "w", "c", "n"))
-            more = np.flatnonzero(c > 1)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u[more], w[more], c[more], n[more], (row["bucket"] << 32) + more)], names=["u", "w", "c", "n", "at"])
+
+#: What a shard knows of its words, in row -1, and the places of the words each bucket (0 and up) asks for.
+#: c, n: tokens that aren't held out, and all; sk, sb: pairs met once that the word ends, and begins; k, b: tables
+#: of all pairs that it ends (its customers), and begins, one for each pair to begin with.
+LEXICON = (
+    "shard int, bucket int, at binary, h binary, c binary, n binary, spelt binary, sk binary, sb binary, k binary, b binary, "
+    "tokens long, types long, customers long, ones long, twos long"
+)
+
+
+def _lexicon(key, counted: pa.Table, met: pa.Table) -> pa.Table:
+    row = counted.to_pylist()[0]
+    h, c = np.frombuffer(row["h"], np.uint64), np.frombuffer(row["c"], np.int32).astype(np.int64)
+    sums, links = np.zeros((4, len(h)), np.int32), []
+    for x in met.to_pylist():
+        sums[:, np.searchsorted(h, np.frombuffer(x["u"], np.uint64))] += _unpacked(x["c"], np.int32).reshape(4, -1)
+        if x["w"]:
+            at = np.searchsorted(h, np.frombuffer(x["w"], np.uint64)).astype(np.int32)
+            links.append({"shard": row["shard"], "bucket": x["bucket"], "at": at.tobytes()})
+    k = sums[2]
+    known = {x: row[x] for x in ("shard", "h", "c", "n", "spelt")} | {"bucket": -1} | {x: v.tobytes() for x, v in zip(("sk", "sb", "k", "b"), sums)}
+    known |= {"tokens": int(c.sum()), "types": int((c > 0).sum()), "customers": int(k.sum()), "ones": int((k == 1).sum()), "twos": int((k == 2).sum())}
+    return _rows(LEXICON, [known, *links])
+
+
+#: Row -1: the words' customers, tables they begin, tables, and base probabilities; the same of the words a bucket (0
+#: and up) asks for. Row -2: customers `counts` of the longest contexts `codes` of spelling.
+TURN = "shard int, bucket int, k binary, b binary, t binary, base binary, codes binary, counts binary, customers long, seats long"
+
+
+def _word_turn(longest, totals: Totals, sweep: int):
+    """Draws the words' tables, given the tables of the pairs."""
+
+    def run(key, lexicon: pa.Table, seated: pa.Table) -> pa.Table:
+        lexicon = {r["bucket"]: r for r in lexicon.to_pylist()}
+        row = lexicon.pop(-1)
+        h, names = np.frombuffer(row["h"], np.int64), zlib.decompress(row["spelt"]).split(b"\n")
+        k, b = (np.frombuffer(row[x if not sweep else f"s{x}"], np.int32).astype(np.int64) for x in ("k", "b"))
+        for x in seated.to_pylist():
+            at = np.frombuffer(lexicon[x["bucket"]]["at"], np.int32)
+            ended, begun = np.frombuffer(x["drawn"], np.int32).reshape(2, -1)
+            k[at] += ended
+            b[at] += begun
+        t, base, counts = np.zeros(len(h), np.int64), np.zeros(len(h)), np.zeros(SYMBOLS ** (ORDER + 1), np.int64)
+        for i in range(0, len(h), SPELLED):
+            part = slice(i, i + SPELLED)
+            code, n = events(names[part])
+            base[part] = spelled(code, n, longest.value)
+            t[part] = tables_drawn(k[part], (STRENGTH + totals.discount * totals.tables) * base[part], totals.discount, _uniform(h[part], sweep))
+            counts += np.bincount(code, np.repeat(t[part], n), len(counts)).astype(np.int64)
+        codes = np.flatnonzero(counts)
+        k, b, t = (v.astype(np.int32) for v in (k, b, t))
+        packed = lambda bucket, at: {"shard": row["shard"], "bucket": bucket} | {x: v[at].tobytes() for x, v in (("k", k), ("b", b), ("t", t), ("base", base))}
+        out = [packed(-1, slice(None)) | {"customers": int(k.sum(dtype=np.int64)), "seats": int(t.sum(dtype=np.int64))}]
+        out.append({"shard": row["shard"], "bucket": -2, "codes": codes.tobytes(), "counts": counts[codes].tobytes()})
+        if sweep < SWEEPS:
+            out += [packed(bucket, np.frombuffer(x["at"], np.int32)) for bucket, x in lexicon.items()]
+        return _rows(TURN, out)
+
+    return run
 
 
-def _word_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Customers of the longest contexts: one per table of a word for each of its symbols."""
     for batch in batches:
         for row in batch.to_pylist():
-            h, sums = np.frombuffer(row["u"], np.int64), np.frombuffer(row["c"], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), *(pa.array(x) for x in np.split(sums, 4))], names=["h", "sk", "sb", "k", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row[x], np.int64)) for x in ("codes", "counts")], names=["code", "c"])
+
+
+#: The tables drawn for the pairs met more than once in training, in row -1, and their sums by the words of a shard
+#: (0 and up) that end the pairs and that begin them.
+SEATED = "bucket int, shard int, drawn binary"
+
 
+def _often(met: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs met more than once in training: their words, the places of u and w among these, and c."""
+    row = met.to_pylist()[0]
+    u, w = _unpacked(row["w"], np.int32).reshape(2, -1)
+    c = _unpacked(row["c"], np.int32)
+    return np.frombuffer(row["u"], np.uint64), u, w, c[c > 1].astype(np.int64)
 
-def _told(key, met: pa.Table, again: pa.Table) -> pa.Table:
+
+def _pair_turn(totals: Totals, layout: Layout, sweep: int):
+    """Draws the tables of pairs met more than once, given their words."""
+
+    def run(key, met: pa.Table, told: pa.Table) -> pa.Table:
+        heads, begins, ends, c = _often(met)
+        sizes = np.bincount(layout.shard(heads), minlength=layout.shards)
+        told = told.take(pc.sort_indices(told, [("shard", "ascending")]))
+        k, b, t = (_joined(told.column(x), np.int32) for x in ("k", "b", "t"))
+        a = b * totals.pair_discount + STRENGTH
+        p = _probability(totals, k, t, _joined(told.column("base"), np.float64))
+        drawn = tables_drawn(c, p[ends] * a[begins], totals.pair_discount, _uniform(_pair_key(heads[begins], heads[ends]), sweep))
+        bucket, some = key[0].as_py(), np.flatnonzero(sizes)
+        sums = np.array([np.bincount(x, drawn, len(k)) for x in (ends, begins)]).astype(np.int32)
+        stops = np.cumsum(sizes)
+        rows = [{"bucket": bucket, "shard": s, "drawn": sums[:, stops[s] - sizes[s] : stops[s]].tobytes()} for s in some.tolist()]
+        return _rows(SEATED, [{"bucket": bucket, "shard": -1, "drawn": drawn.astype(np.int32).tobytes()}, *rows])
+
+    return run
+
+
+class Seated(NamedTuple):
+    """What the sweeps leave: tables as above, those of every kept sweep, and the totals after each of these."""
+
+    layout: Layout
+    vocabulary: DataFrame
+    met: DataFrame
+    lexicon: DataFrame
+    words: list[DataFrame]
+    pairs: list[DataFrame]
+    totals: list[Totals]
+    unseen: list[float]  # the probability of all unseen words
+    every: int
+
+
+def _by_sweep(kept: list[DataFrame], *columns: str) -> DataFrame:
+    out = [df.select(F.lit(i).alias("i"), *columns) for i, df in enumerate(kept)]
+    for df in out[1:]:
+        out[0] = out[0].unionByName(df)
+    return out[0]
+
+
+def _known(totals: list[Totals], states: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The words' probabilities and the tables they begin, by kept sweep."""
+    rows = sorted(states.to_pylist(), key=lambda r: r["i"])
+    k, b, t = ([np.frombuffer(r[x], np.int32) for r in rows] for x in ("k", "b", "t"))
+    return np.array([_probability(x, *v, np.frombuffer(r["base"], np.float64)) for x, r, *v in zip(totals, rows, k, t)]), np.array(b)
+
+
+def _mass(totals: list[Totals]):
+    """The probability of all words seen in training, by kept sweep."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                k, t = (np.frombuffer(r[x], np.int32) for x in ("k", "t"))
+                p = _probability(totals[r["i"]], k, t, np.frombuffer(r["base"], np.float64))
+                yield pa.RecordBatch.from_arrays([pa.array([r["i"]], pa.int32()), pa.array([float(p[k > 0].sum())])], names=["i", "p"])
+
+    return run
+
+
+def _seated(blocks: DataFrame) -> Seated:
+    """The model of documents in blocks."""
+    sc = blocks.sparkSession.sparkContext
+    every, named = (x or 0 for x in blocks.agg(F.sum("n"), F.sum("m")).first())
+    layout = Layout(-(-every // BUCKET) or 1, -(-named // SHARD) or 1, np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    sent = blocks.select("block", "ids", "train", "tokens", "spelt").mapInArrow(_words_sent(layout), "shard int, block long, h binary, c binary, n binary, spelt binary")
+    vocabulary = stored(sent.groupBy("shard").applyInArrow(_counted, VOCABULARY), "vocabulary")
+    if layout.buckets > 1:  # at most 65,536 words: no part of another is above an eighth of a bucket, or 1 / 65,536 of all
+        share = max(every / (8 * layout.buckets), every * FREQUENT)
+        heavy = vocabulary.where("block = -1").select("h", "n").mapInArrow(_heavy(share), "h long, n long").toArrow()
+        h, n = (heavy.column(x).to_numpy() for x in ("h", "n"))
+        order = np.argsort(h.view(np.uint64))
+        layout = layout._replace(heavy=h.view(np.uint64)[order], parts=np.ceil(n[order] * (8 * layout.buckets / every)).astype(np.uint64))
+    sent = blocks.select("block", "ids", "train", "tokens", "spelt").mapInArrow(_sent(layout), SENT)
+    met = stored(sent.groupBy("bucket").applyInArrow(_gathered(layout), MET), "met")
+    ones, twos = (x or 0 for x in met.agg(F.sum("ones"), F.sum("twos")).first())
+    counted = vocabulary.where("block = -1").groupBy("shard")
+    lexicon = stored(counted.cogroup(met.where("block = -2").select("shard", "bucket", "u", "w", "c").groupBy("shard")).applyInArrow(_lexicon, LEXICON), "lexicon")
+    tokens, types, customers, word_ones, word_twos = (x or 0 for x in lexicon.agg(*map(F.sum, ("tokens", "types", "customers", "ones", "twos"))).first())
+    totals = Totals(tokens, types, customers, types, _discount(word_ones, word_twos), _discount(ones, twos))
+    again = met.where("block = -1").select("bucket", "u", "w", "c")
+    mine = lexicon.select("shard", "bucket", "at", "h", "spelt", "sk", "sb", "k", "b")
+    words, seated, spelling, kept = None, None, Spelling.uniform(), []
+    for sweep in range(SWEEPS + 1):
+        before = seated
+        if words is not None:
+            told = words.where("bucket >= 0").select("bucket", "shard", "k", "b", "t", "base")
+            seated = stored(again.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_pair_turn(totals, layout, sweep), SEATED), "seated")
+            if len(kept) == 0:
+                discard(words, *([before] if before is not None else []))
+        longest = sc.broadcast(spelling.levels[ORDER])
+        drawn = blocks.sparkSession.createDataFrame([], SEATED) if seated is None else seated.where("shard >= 0")
+        words = stored(mine.groupBy("shard").cogroup(drawn.groupBy("shard")).applyInArrow(_word_turn(longest, totals, sweep), TURN), "words")
+        longest.destroy()
+        customers, seats = words.agg(F.sum("customers"), F.sum("seats")).first()
+        totals = totals._replace(customers=customers or 0, tables=seats or 0)
+        if sweep > BURN_IN:
+            kept.append((words, seated, totals))
+        if sweep < SWEEPS:
+            counts = words.where("bucket = -2").select("codes", "counts").mapInArrow(_codes, "code long, c long")
+            spelling = _spelling_sweep(counts.groupBy("code").agg(F.sum("c").alias("c")), spelling, sweep)
+    words, pairs, after = map(list, zip(*kept))
+    mass = _by_sweep([df.where("bucket = -1") for df in words], "k", "t", "base").mapInArrow(_mass(after), "i int, p double")
+    mass = {r["i"]: r["p"] for r in mass.groupBy("i").agg(F.sum("p").alias("p")).collect()}
+    return Seated(layout, vocabulary, met, lexicon, words, pairs, after, [max(1.0 - mass.get(i, 0.0), 1e-300) for i in range(len(kept))], every)
+
+
+def _states(s: Seated) -> DataFrame:
+    """The words of the kept sweeps, and with i -1 what a shard knows of them: c in k, n in b, h in base."""
+    known = s.lexicon.where("bucket = -1").select(F.lit(-1).alias("i"), "shard", F.col("c").alias("k"), F.col("n").alias("b"), F.col("spelt").alias("t"), F.col("h").alias("base"))
+    return known.unionByName(_by_sweep([df.where("bucket = -1") for df in s.words], "shard", "k", "b", "t", "base"))
+
+
+def _told(key, met: pa.Table, seated: pa.Table) -> pa.Table:
     """What each block is told of the pairs it sent: training tokens, and tables of every kept sweep."""
     samples = SWEEPS - BURN_IN
     block = met.column("block").to_numpy()
-    c = np.r_[_joined(met.column("c").filter(pa.array(block == -1)), np.int64), 0, 1]  # then what was met once
-    t = np.repeat(np.minimum(c, 1)[:, None], samples, 1)
-    if again.num_rows:
-        t[again.column("at").to_numpy() & 0xFFFFFFFF] = again.column("ts").combine_chunks().flatten().to_numpy().reshape(-1, samples)
-    values = np.c_[c, t].astype(np.int32)
+    c = np.r_[_unpacked(met.column("c").filter(pa.array(block == -1))[0].as_py(), np.int32), 0, 1]  # then what was met once
+    values = np.repeat(np.minimum(c, 1)[:, None], samples + 1, 1)
+    values[:, 0] = c
+    for row in seated.to_pylist():
+        values[np.flatnonzero(c > 1), row["i"] + 1] = np.frombuffer(row["drawn"], np.int32)
+    values = values.astype(np.int32)
     rows = met.filter(pa.array(block >= 0))
-    told = [values[np.frombuffer(at, np.int32)].T.tobytes() for at in rows.column("at").to_pylist()]
-    return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "told": pa.array([zlib.compress(x, 1) for x in told], pa.binary())})
+    told = [_squeezed(values[_unpacked(at, np.int32)].T) for at in rows.column("at").to_pylist()]
+    return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "told": pa.array(told, pa.binary())})
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            h = np.frombuffer(row["words"], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), row["block"])), pa.array(np.arange(len(h), dtype=np.int32))], names=["h", "block", "place"])
+def _placed(totals: list[Totals]):
+    """What each block is told of its words: training tokens, and tables they begin and probabilities of every kept sweep."""
 
+    def run(key, places: pa.Table, states: pa.Table) -> pa.Table:
+        i = states.column("i").to_numpy()
+        c = _joined(states.column("k").filter(pa.array(i == -1)), np.int32)
+        p, b = _known(totals, states.filter(pa.array(i >= 0)))
+        b = np.r_[c[None], b]
+        at = [_unpacked(x, np.int32) for x in places.column("at").to_pylist()]
+        told = {"counts": [_squeezed(b[:, x]) for x in at], "p": [_squeezed(p[:, x], ROUGH) for x in at]}
+        return pa.table({"block": places.column("block"), "shard": places.column("shard")} | {x: pa.array(v, pa.binary()) for x, v in told.items()})
 
-def _scored(buckets: int, totals: Totals, unseen: Sequence[float]):
+    return run
+
+
+def _scored(layout: Layout, totals: list[Totals], unseen: Sequence[float]):
     """The documents of a block, given what it is told of its words and pairs."""
-    samples = SWEEPS - BURN_IN
-    scale = float(np.log10(totals.tokens + 0.1 * (totals.types + 1)))
+    samples = len(totals)
+    pair_discount = totals[0].pair_discount
+    scale = float(np.log10(totals[0].tokens + 0.1 * (totals[0].types + 1)))
 
     def run(key, block: pa.Table, told: pa.Table) -> pa.Table:
         row = block.drop_columns(["docs"]).to_pylist()[0]
-        p = Pairs.of(row, buckets)
-        words = told.filter(pc.is_valid(told.column("place")))
-        words = words.take(pc.sort_indices(words, [("place", "ascending")]))
-        cw = words.column("c").to_numpy()
-        a, pw = (words.column(x).combine_chunks().flatten().to_numpy().reshape(-1, samples) for x in ("a", "p"))
-        pw = np.maximum(pw, 1e-300)
+        p = Pairs.of(row, layout)
+        words = told.filter(pc.is_valid(told.column("shard")))
+        words = words.take(pc.sort_indices(words, [("shard", "ascending")]))
+        back = np.argsort(np.argsort(layout.shard(p.words), kind="stable"))
+        cw, *b = np.concatenate([_unpacked(x, np.int32).reshape(samples + 1, -1) for x in words.column("counts").to_pylist()], 1)[:, back]
+        pw = np.maximum(np.concatenate([_unpacked(x, np.float64, ROUGH).reshape(samples, -1) for x in words.column("p").to_pylist()], 1)[:, back], 1e-300)
         pairs = told.filter(pc.is_valid(told.column("bucket")))
         pairs = pairs.take(pc.sort_indices(pairs, [("bucket", "ascending")]))
         sent = np.concatenate([_unpacked(x, np.int32).reshape(samples + 1, -1) for x in pairs.column("told").to_pylist()], 1)
         c, *ts = sent[:, np.argsort(p.order)]
-        lumped = np.where(cw[:, None] > 0, pw, np.asarray(unseen))
+        lumped = np.where(cw > 0, pw, np.asarray(unseen)[:, None])
         given = lambda word: np.log10(
-            sum(np.maximum(c - t * totals.pair_discount, 0.0) + a[p.u, i] * word[p.w, i] for i, t in enumerate(ts)) / samples / (cw[p.u] + STRENGTH)
+            sum(np.maximum(c - t * pair_discount, 0.0) + (b[i] * pair_discount + STRENGTH)[p.u] * word[i][p.w] for i, t in enumerate(ts)) / samples / (cw[p.u] + STRENGTH)
         )
         known = cw[p.w] > 0
         tokens = _unpacked(row["tokens"], np.int32)
@@ -640,7 +888,7 @@ def _scored(buckets: int, totals: Totals, unseen: Sequence[float]):
         out |= {
             "_n_tokens": pa.array(tokens.astype(np.int64)),
             "_n_known": pa.array(of_docs(known.astype(np.int64))),
-            "_train_tokens": pa.array(np.full(len(tokens), totals.tokens)),
+            "_train_tokens": pa.array(np.full(len(tokens), totals[0].tokens)),
             "_base": pa.array(of_docs(np.log10(cw[p.w] + 0.1)) - tokens * scale),
             "_score": pa.array(of_docs(given(lumped))),
             "_spelled": pa.array(of_docs(given(pw))),
@@ -650,72 +898,27 @@ def _scored(buckets: int, totals: Totals, unseen: Sequence[float]):
     return run
 
 
-class Seated(NamedTuple):
-    """What the sweeps leave: the words, their totals, the pairs met more than once in training with their kept
-    tables, the probability of unseen words in each kept sweep, and the least tokens of a frequent word."""
-
-    words: DataFrame
-    totals: Totals
-    again: DataFrame
-    unseen: list[float]
-    least: Column
-
-
-def _seated(docs: DataFrame, ends: DataFrame, ones: int, twos: int, repeated: DataFrame) -> Seated:
-    """The model of `docs` (text, held), given the sums of all pairs by word, how many pairs were met once and
-    twice in training, and those met more often (u, w, c, n, at)."""
-    spark = docs.sparkSession
-    counts = docs.select("text", "held").mapInArrow(_word_counts, "word binary, c long, n long")
-    counted = stored(
-        counts.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).mapInArrow(_named, "h long, word binary, c long, n long"), "counts"
-    )
-    tokens, every, types = counted.agg(F.sum("c"), F.sum("n"), F.count_if(F.col("c") > 0)).first()
-    least = F.lit(max(1.0, (every or 0) * FREQUENT))
-    none = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    kept = F.array().cast("array<double>")
-    state = stored(
-        counted.join(ends, "h", "left")
-        .select("h", "word", "c", "n", *map(none, ("sk", "sb", "k", "b")))
-        .select("h", "word", "c", "n", "sk", "sb", ((F.col("k") > F.col("sk")) | (F.col("b") > F.col("sb"))).alias("moving"), "k", "b", kept.alias("p"), kept.alias("a")),
-        "words",
-    )
-    discard(counted)
-    customers, word_ones, word_twos = state.agg(F.sum("k"), F.count_if(F.col("k") == 1), F.count_if(F.col("k") == 2)).first()
-    totals = Totals(tokens or 0, types or 0, customers or 0, types or 0, _discount(word_ones, word_twos), _discount(ones, twos))
-    context = F.col("b") * totals.pair_discount + STRENGTH
-    again = stored(repeated.select("*", F.array().cast("array<long>").alias("ts")), "again")
-    words, spelling = None, Spelling.uniform()
-    for sweep in range(SWEEPS + 1):
-        keep = sweep > BURN_IN
-        if words is not None:
-            moving = words.where("moving")
-            now = moving.select("h", "n", _probability(totals).alias("p"), context.alias("a"))
-            often = stored(now.where(F.col("n") >= least).drop("n"), "often")
-            drawn = _looked_up(_looked_up(again, "u", now.select("h", "a"), often.select("h", "a")), "w", now.select("h", "p"), often.select("h", "p"))
-            seated = stored(drawn.mapInArrow(_pair_sweep(totals.pair_discount, sweep), "u long, w long, c long, n long, at long, ts array<long>, t long"), "again")
-            tables = stored(_ends(seated, {"mk": ("w", F.col("t")), "mb": ("u", F.col("t"))}), "tables")
-            discard(again, often)
-            again = seated.select("u", "w", "c", "n", "at", (F.concat("ts", F.array("t")) if keep else F.col("ts")).alias("ts"))
-            again._stored_at = seated._stored_at
-            carried = [*("h", "word", "c", "n", "sk", "sb", "moving"), "k", "b", "p", "a"]
-            moved = moving.drop("k", "b").join(tables, "h").withColumns({"k": F.col("sk") + F.col("mk"), "b": F.col("sb") + F.col("mb")})
-            state = words.where("NOT moving").select(*carried).unionByName(moved.select(*carried))
-        model = spark.sparkContext.broadcast(spelling)
-        after = stored(state.mapInArrow(_word_sweep(model, totals, sweep), WORDS), "words")
-        model.destroy()
-        discard(*([state] if words is None else [words, tables]))
-        customers, seats = after.agg(F.sum("k"), F.sum("t")).first()
-        totals = totals._replace(customers=int(customers or 0), tables=int(seats or 0))
-        words = after
-        if keep:
-            words = after.withColumns({"p": F.concat("p", F.array(_probability(totals))), "a": F.concat("a", F.array(context))})
-            words._stored_at = after._stored_at
-        if sweep < SWEEPS:
-            spelling = _spelling_sweep(words, spelling, sweep)
-    samples = SWEEPS - BURN_IN
-    seen = words.where("c > 0").agg(*[F.sum(F.col("p")[i]) for i in range(samples)]).first()
-    unseen = [max(1.0 - (s or 0.0), 1e-300) for s in seen]
-    return Seated(words, totals, again, unseen, least)
+def _word_rows(totals: list[Totals]):
+    def run(states: pa.Table) -> pa.Table:
+        i = states.column("i").to_numpy()
+        row = states.filter(pa.array(i == -1)).to_pylist()[0]
+        p, b = _known(totals, states.filter(pa.array(i >= 0)))
+        a = b * totals[0].pair_discount + STRENGTH
+        listed = lambda v: pa.ListArray.from_arrays(pa.array(np.arange(v.shape[1] + 1) * len(v), pa.int32()), pa.array(v.T.ravel()))
+        c, n = (pa.array(np.frombuffer(row[x], np.int32).astype(np.int64)) for x in ("k", "b"))
+        words = pa.array(zlib.decompress(row["t"]).split(b"\n"), pa.binary())
+        return pa.table({"h": pa.array(np.frombuffer(row["base"], np.int64)), "word": words, "c": c, "n": n, "p": listed(p), "a": listed(a)})
+
+    return run
+
+
+def _pair_rows(key, met: pa.Table, seated: pa.Table) -> pa.Table:
+    heads, u, w, _ = _often(met)
+    u, w = heads[u], heads[w]
+    rows = sorted(seated.to_pylist(), key=lambda r: r["i"])
+    ts = np.array([np.frombuffer(r["drawn"], np.int32) for r in rows]).astype(np.int64)
+    listed = pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1) * len(ts), pa.int32()), pa.array(ts.T.ravel()))
+    return pa.table({"u": pa.array(u.view(np.int64)), "w": pa.array(w.view(np.int64)), "ts": listed})
 
 
 def language_model(docs: DataFrame) -> tuple[DataFrame, Totals]:
@@ -725,34 +928,42 @@ def language_model(docs: DataFrame) -> tuple[DataFrame, Totals]:
     c counts the rows that aren't held out, n all; END stands for the end of a text. log10p takes all
     unseen words as one symbol, which gets what the seen ones leave; spelled tells them apart.
     """
+    docs = docs.select("text", "held")
+    s = _seated(stored(docs.mapInArrow(_blocks(["held"]), _block_shape(T.StructType([docs.schema["held"]]))), "blocks"))
+    words = stored(_states(s).groupBy("shard").applyInArrow(_word_rows(s.totals), "h long, word binary, c long, n long, p array<double>, a array<double>"), "words")
+    seated = _by_sweep([df.where("shard = -1") for df in s.pairs], "bucket", "drawn")
+    again = s.met.where("block = -1").select("bucket", "u", "w", "c").groupBy("bucket").cogroup(seated.groupBy("bucket")).applyInArrow(_pair_rows, "u long, w long, ts array<long>")
     pairs = stored(
-        docs.select("text", "held").mapInArrow(_pair_counts, "u long, w long, c long, n long").groupBy("u", "w").agg(F.sum("c").alias("c"), F.sum("n").alias("n")),
+        docs.mapInArrow(_pair_counts, "u long, w long, c long, n long").groupBy("u", "w").agg(F.sum("c").alias("c"), F.sum("n").alias("n")),
         "pairs",
     )
-    once, more = F.col("c") == 1, F.col("c") > 1
-    ones, twos = pairs.agg(F.count_if(once), F.count_if(F.col("c") == 2)).first()
-    # one table for each pair to begin with
-    ends = _ends(pairs.where("c > 0"), {"sk": ("w", once), "sb": ("u", once), "k": ("w", F.lit(1)), "b": ("u", F.lit(1))})
-    words, totals, again, unseen, least = _seated(docs, ends, ones, twos, pairs.where(more).select("*", F.lit(0).cast("long").alias("at")))
     samples = SWEEPS - BURN_IN
     mean = lambda value: sum((value(i) for i in range(1, samples)), value(0)) / samples
     p = lambda i: F.greatest(F.col("p")[i], F.lit(1e-300))
-    lumped = lambda known: lambda i: F.when(known, p(i)).otherwise(F.lit(unseen[i]))
+    lumped = lambda known: lambda i: F.when(known, p(i)).otherwise(F.lit(s.unseen[i]))
     # every pair: what stands before it tells the weight of a new table, the word how one is filled
-    met = pairs.where(~more).select("u", "w", "c", "n", F.array_repeat("c", samples).alias("ts")).unionByName(again.drop("at"))
+    more = F.col("c") > 1
+    met = pairs.where(~more).select("u", "w", "c", "n", F.array_repeat("c", samples).alias("ts")).unionByName(pairs.where(more).join(again, ["u", "w"]))
     before, at = words.select("h", F.col("c").alias("cu"), "a"), words.select("h", F.col("c").alias("cw"), "p")
-    often = words.where(F.col("n") >= least)
+    often = words.where(F.col("n") >= max(1.0, s.every * FREQUENT))
     both = _looked_up(
         _looked_up(met, "u", before, often.select("h", F.col("c").alias("cu"), "a")), "w", at, often.select("h", F.col("c").alias("cw"), "p")
     )
-    tabled = lambda i: F.greatest(F.col("c") - F.col("ts")[i] * totals.pair_discount, F.lit(0.0))
+    tabled = lambda i: F.greatest(F.col("c") - F.col("ts")[i] * s.totals[0].pair_discount, F.lit(0.0))
     given = lambda word: F.log10(mean(lambda i: tabled(i) + F.col("a")[i] * word(i)) / (F.col("cu") + STRENGTH))
     scored = both.select(
         _key_column().alias("key"), "n", (F.col("cw") > 0).cast("int").alias("known"), F.log10(F.col("cw") + 0.1).alias("base"),
         given(lumped(F.col("cw") > 0)).alias("score"), given(p).alias("spelled"),
     )
     out = words.select("h", "word", "c", "n", F.log10(mean(lumped(F.col("c") > 0))).alias("log10p"), F.log10(mean(p)).alias("spelled"))
-    return out, totals._replace(pairs=scored)
+    return out, s.totals[-1]._replace(pairs=scored)
+
+
+def _block_shape(carried: T.StructType) -> T.StructType:
+    shape = T.StructType().add("block", "long").add("docs", T.ArrayType(carried)).add("n", "long").add("m", "long")
+    for c in ("tokens", "train", "ids", "spelt"):
+        shape = shape.add(c, "binary")
+    return shape
 
 
 def lm_scores(docs: DataFrame, held_out) -> DataFrame:
@@ -770,37 +981,25 @@ def lm_scores(docs: DataFrame, held_out) -> DataFrame:
     names = {f"_carried_{i}": c for i, c in enumerate(docs.columns) if c != "text" and c not in added}
     keyed = docs.select(*[F.col(f"`{c}`").alias(m) for m, c in names.items()], held_out.alias("held"), "text")
     carried = T.StructType([keyed.schema[m] for m in (*names, "held")])
-    shape = T.StructType().add("block", "long").add("docs", T.ArrayType(carried)).add("n", "long")
-    for c in ("tokens", "train", "ids", "words"):
-        shape = shape.add(c, "binary")
-    blocks = stored(keyed.mapInArrow(_blocks([*names, "held"]), shape), "blocks")
-    every = blocks.agg(F.sum("n")).first()[0] or 0
-    buckets = -(-every // BUCKET) or 1
-    sent = blocks.drop("docs").mapInArrow(_sent(buckets), SENT)
-    met = stored(sent.groupBy("bucket").applyInArrow(_met, MET), "met")
-    ones, twos = met.agg(F.sum("ones"), F.sum("twos")).first()
-    ends = met.where("block = -2").mapInArrow(_word_sums, "h long, sk long, sb long, k long, b long")
-    ends = ends.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("sk", "sb", "k", "b")])
-    repeated = met.where("block = -1").mapInArrow(_repeated, "u long, w long, c long, n long, at long")
-    words, totals, again, unseen, _ = _seated(keyed.select("text", "held"), ends, ones or 0, twos or 0, repeated)
+    blocks = stored(keyed.mapInArrow(_blocks([*names, "held"]), _block_shape(carried)), "blocks")
+    s = _seated(blocks)
     # what nothing reads again goes before the next table is made
+    seated = _by_sweep([df.where("shard = -1") for df in s.pairs], "bucket", "drawn")
     of_pairs = stored(
-        met.where("block >= -1").select("bucket", "block", "at", "c").groupBy("bucket")
-        .cogroup(again.select(F.shiftright("at", 32).cast("int").alias("bucket"), "at", "ts").groupBy("bucket"))
-        .applyInArrow(_told, "block long, bucket int, told binary"),
+        s.met.where("block >= -1").select("bucket", "block", "at", "c").groupBy("bucket").cogroup(seated.groupBy("bucket")).applyInArrow(_told, "block long, bucket int, told binary"),
         "told",
     )
-    discard(met, again)
-    placed = blocks.select("block", "words").mapInArrow(_places, "h long, block long, place int")
-    of_words = stored(placed.join(words.select("h", "c", "a", "p"), "h").drop("h"), "placed")
-    discard(words)
+    discard(s.met, *s.pairs)
+    places = s.vocabulary.where("block >= 0").select("shard", "block", "at")
+    of_words = stored(places.groupBy("shard").cogroup(_states(s).groupBy("shard")).applyInArrow(_placed(s.totals), "block long, shard int, counts binary, p binary"), "placed")
+    discard(s.vocabulary, s.lexicon, *s.words)
     told = of_words.unionByName(of_pairs, allowMissingColumns=True)
     out = T.StructType([*carried])
     for c in added[1:4]:
         out = out.add(c, "long")
     for c in added[4:]:
         out = out.add(c, "double")
-    scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scored(buckets, totals._replace(pairs=None), unseen), out)
+    scored = blocks.drop("n", "m").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scored(s.layout, s.totals, s.unseen), out)
     return scored.select(*[F.col(m).alias(c) for m, c in names.items()], F.col("held").alias("_held"), *added[1:])
 
 

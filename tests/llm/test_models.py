@@ -168,6 +168,42 @@ def test_language_model_keeps_single_pairs_in_blocks(spark, monkeypatch):
     assert len(met[2]["u"]) == 8 and np.frombuffer(met[2]["c"], np.int64).tolist() == [2] and (met[2]["ones"], met[2]["twos"]) == (1, 1)
 
 
+def test_blocks_send_pairs_packed_and_heavy_words_apart():
+    """Every pair is counted once in one bucket, for a few bytes; a word before half of all pairs lies in many buckets."""
+    rng = np.random.default_rng(2)
+    names = [f"w{i}" for i in range(3000)]
+    sent, pairs, size = [], Counter(), 0
+    for block in range(3):
+        ids = np.minimum(rng.geometric(0.002, 20_000), 2999)
+        ids[::2] = 1
+        ids[-1] = 0
+        train = bool(block)
+        known = [b"", *(x.encode() for x in names[1:])]
+        row = {"block": block, "spelt": zlib.compress(b"\n".join(known)), "ids": lm._squeezed(ids.astype(np.int32))}
+        row |= {"train": lm._squeezed(np.array([train])), "tokens": lm._squeezed(np.array([len(ids)], np.int32))}
+        words_ = lm._words_of(row)
+        assert words_.tolist() == lm._hashed(known).view(np.uint64).tolist()
+        layout = lm.Layout(16, 3, words_[1:2], np.array([64], np.uint64))
+        out = next(lm._sent(layout)(iter([pa.RecordBatch.from_pylist([row])]))).to_pylist()
+        mine = Counter(zip(words_[np.r_[0, ids[:-1]]].tolist(), words_[ids].tolist()))
+        size += sum(len(r["h"]) + len(r["pairs"]) for r in out)
+        pairs.update({k: np.array([n * train, n]) for k, n in mine.items()})
+        sent += out
+    of_heavy = []
+    for bucket in range(16):
+        rows = [r for r in sent if r["bucket"] == bucket]
+        met = lm._gathered(layout)(pa.Table.from_pylist(rows)).to_pylist()
+        again = next(r for r in met if r["block"] == -1)
+        heads, u, w, c = lm._often(pa.Table.from_pylist([again]))
+        found = dict(zip(zip(heads[u].tolist(), heads[w].tolist()), c.tolist()))
+        of_heavy.append(sum(k[0] == words_[1] for k in found))
+        for k, n in found.items():
+            assert pairs.pop(k)[0] == n
+    assert all(c < 2 for c, _ in pairs.values())  # the rest is met once in training at most
+    assert max(of_heavy) < 0.2 * sum(of_heavy)
+    assert size < 16 * sum(r["pairs"] is not None and lm._unpacked(r["pairs"], np.int32).size // 4 for r in sent)  # 24 bytes before
+
+
 def test_language_model(spark, make):
     rows = [(i, prose(i % 60, 50) + (f" rare{i}" if i % 3 else "")) for i in range(1000, 1200)] + ODD
     docs = make(rows).withColumn("held", F.lit("clash")).withColumn("dk", F.lit(1))
